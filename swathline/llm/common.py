@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +54,14 @@ def portions(texts: list, most: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]
 def texts_of(column: pd.Series, null: str = "") -> list[str]:
     """Python strings, with ``null`` in place of nulls."""
     return [t if isinstance(t, str) else null for t in column]
+
+
+_HELD: dict[str, Any] = {}
+
+
+def held(token: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once in each Python worker: the tasks of one job share it. Only the latest is held."""
+    if token not in _HELD:
+        _HELD.clear()
+        _HELD[token] = make()
+    return _HELD[token]

@@ -23,6 +23,7 @@ gives an empty one; other columns play no part.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, texts_of
+from .common import held, portions, texts_of
 
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, n_letter_words bigint"
 UND = "und"
@@ -280,18 +281,18 @@ class Scorer:
         return out
 
 
-def _score_batches(shared, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list]]:
-    scorer = Scorer(shared.value)
+def _score_batches(shared, token: str, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list]]:
+    scorer = held(token, lambda: Scorer(shared.value))
     for pdf in batches:
         yield pdf, scorer.texts(texts_of(pdf["text"]))
 
 
 def predict(docs: DataFrame, model: LanguageModel, held_out: str = "false") -> DataFrame:
     """One row of ``SCHEMA`` per row of ``docs``; ``held_out`` is an SQL expression over them."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, got in _score_batches(shared, batches):
+        for pdf, got in _score_batches(shared, token, batches):
             lang, score, n = zip(*got, strict=True) if got else ((), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": list(lang), "score": list(score), "n_letter_words": list(n)})
 
@@ -300,10 +301,10 @@ def predict(docs: DataFrame, model: LanguageModel, held_out: str = "false") -> D
 
 def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is found with a score of ``least`` or more, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, got in _score_batches(shared, batches):
+        for pdf, got in _score_batches(shared, token, batches):
             yield pdf[[lang != UND and score >= least for lang, score, _ in got]]
 
     return docs.mapInPandas(run, docs.schema)
