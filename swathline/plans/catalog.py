@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import geometry, scalars
+from .spec import ORACLE, QUERIES
+
+scalars.register()
+geometry.register()
+
+__all__ = ["ORACLE", "QUERIES"]
