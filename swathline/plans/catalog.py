@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import geometry, scalars
+from . import geometry, planner, scalars, sequences
 from .spec import ORACLE, QUERIES
 
 scalars.register()
 geometry.register()
+sequences.register()
+planner.register()
 
 __all__ = ["ORACLE", "QUERIES"]
