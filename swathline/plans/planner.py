@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import planar
-from ..operators import graph, sweep
+from ..functions import geo, planar
+from ..operators import graph, overlay, regions, routes, sweep
 from ..sources.fixtures import Tables
 from ..sources.scratch import written
 from .spec import operator
@@ -117,10 +117,63 @@ def register() -> None:
         AND t.max_row >= least(a.max_row, b.max_row) + 1 AND t.min_row <= greatest(a.min_row, b.min_row) - 1 AND least(t.hi, least(a.hi, b.hi)) > greatest(t.lo, greatest(a.lo, b.lo)) + 0.5e0)"""
     op("f3_component_pairs", pairs, "stats")(lambda t: graph.merge_pairs(graph.component_stats(Stages(t).comps)))
     op("f5_intervening_anti_join", f"SELECT f, count(*) AS pairs FROM ({pairs}) p GROUP BY f", "stats")(lambda t: graph.merge_pairs(graph.component_stats(Stages(t).comps)).groupBy("f").agg(F.count("*").alias("pairs")))
+    _register_routes()
     operator("s5_merge")(lambda t: graph.merged(Stages(t).comps).select("f", "node", "comp", "merged"))
     operator("k3_union_find")(lambda t: graph.merged(Stages(t).comps).select("f", "comp", "merged").distinct())
 
 
+class FullPlan:
+    """The whole planner: working region, inset, stripes, components, snakes, islands, route. Each step is a table."""
+
+    def __init__(self, t: Tables, c: sweep.PlanConfig = C):
+        self.working = written(overlay.working_regions(t["region_vertices"]))
+        self.inset = written(overlay.insets(self.working, c.offset))
+        self.edges = written(overlay.edges_of(self.inset))
+        sides = sweep.in_sweep_frame(self.edges)
+        first = sweep.lines(sides)
+        at = first.union(sweep.second_pass(sweep.residual(first, sides), first))
+        kept = sweep.supported(sweep.rowed(written(sweep.cut(sides, at))))
+        self.nodes = written(graph.clusters(sweep.touching(sweep.numbered(kept), self.edges)))
+
+    @property
+    def merged(self):
+        return written(graph.merged(written(graph.components(self.nodes, written(graph.row_links(self.nodes))))))
+
+    @property
+    def chunks(self):
+        return written(routes.snakes(self.merged, self.edges))
+
+    @property
+    def islands(self):
+        return written(routes.islands(self.chunks, self.edges))
+
+    @property
+    def routes(self):
+        return routes.stitched(self.islands, self.edges)
+
+
+def _register_routes() -> None:
+    size = F.expr("aggregate(zip_with(xs, ys, (x, y) -> struct(x, y)), named_struct('n', 0D, 'px', CAST(NULL AS DOUBLE), 'py', CAST(NULL AS DOUBLE)), (s, p) -> named_struct('n', s.n + coalesce(sqrt((p.x - s.px) * (p.x - s.px) + (p.y - s.py) * (p.y - s.py)), 0D), 'px', p.x, 'py', p.y)).n")
+    operator("e15_working_region")(lambda t: regions.ring_stats(overlay.edges_of(overlay.working_regions(t["region_vertices"]))).select("f", "ring", "area", "perimeter"))
+    operator("e14_inset")(lambda t: regions.ring_stats(overlay.edges_of(overlay.insets(overlay.working_regions(t["region_vertices"]), C.offset))).select("f", "ring", "area", "perimeter"))
+    operator("e21_overlay_areas")(lambda t: overlay.overlay_areas(t["region_vertices"]))
+    operator("s1_prepare")(lambda t: _prepared(FullPlan(t)))
+    operator("s6_routes")(lambda t: FullPlan(t).chunks)
+    operator("k7_snake_lengths")(lambda t: FullPlan(t).chunks.select("f", "comp", "phase", "chunk", size.alias("metres")))
+    operator("s7_group")(lambda t: FullPlan(t).islands)
+    operator("g7_island_centroids")(lambda t: FullPlan(t).islands.select("f", "comp", "phase", "island", F.expr("aggregate(xs, 0D, (s, x) -> s + x) / size(xs)").alias("cx"), F.expr("aggregate(ys, 0D, (s, y) -> s + y) / size(ys)").alias("cy")))
+    operator("s8_stitch")(lambda t: FullPlan(t).routes.select("f", "ok", "islands", "used", "unreachable", "links", "phase0"))
+    operator("s9_route_points")(lambda t: FullPlan(t).routes.select("f", F.posexplode(F.arrays_zip("xs", "ys")).alias("seq", "p")).select("f", "seq", "p.xs", "p.ys"))
+    lat, lon = geo.unproject("(xs + 4118821e0)", "(ys - 7361866e0)")
+    operator("s10_plan_to_geo")(lambda t: FullPlan(t).routes.select("f", F.posexplode(F.arrays_zip("xs", "ys")).alias("seq", "p")).select("f", "seq", "p.xs", "p.ys").selectExpr("f", "seq", f"{lat} AS lat", f"{lon} AS lon"))
+
+
+def _prepared(p: FullPlan):
+    before = regions.ring_stats(overlay.edges_of(p.working)).groupBy("f").agg(F.sum("area").alias("working_area"), F.count("*").alias("rings"))
+    after = regions.ring_stats(p.edges).groupBy("f").agg(F.sum("area").alias("inset_area"))
+    return before.join(after, "f", "left").select("f", "rings", "working_area", "inset_area", F.when(F.col("inset_area").isNull(), "failed").otherwise("ok").alias("status"))
+
+
 def _pairs(nodes):
     a = nodes.select("f", F.col("node").alias("a"), "row", "a0", "a1", "d")
     b = nodes.select("f", F.col("node").alias("b"), (F.col("row") - 1).alias("row"), F.col("a0").alias("b0"), F.col("a1").alias("b1"), F.col("d").alias("e"))
