@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import geometry, planner, scalars, sequences
+from . import geometry, planner, replays, scalars, sequences
 from .spec import ORACLE, QUERIES
 
 scalars.register()
 geometry.register()
 sequences.register()
 planner.register()
+replays.register()
 
 __all__ = ["ORACLE", "QUERIES"]
