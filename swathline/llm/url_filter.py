@@ -140,7 +140,7 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
         F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
     )
     lengths = rules.select(F.length("rule") - F.length(F.substring_index("rule", "/", 1))).distinct().toDF("n")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.substring_index("host", ".", -i))
+    hosts = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")
     probes = split.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(hosts).alias("h"))
     probes = probes.join(F.broadcast(lengths), F.col("n") <= F.length("path"))  # as many rows as rules have path lengths
     probes = probes.select("host", "path", F.length("h").alias("hl"), F.concat("h", F.expr("substring(path, 1, n)")).alias("rule"))
