@@ -6,8 +6,8 @@ rejected.
 
 * punctuation: over ``max_odd`` of the line's visible characters are neither
   letters, digits, marks nor ordinary sentence punctuation;
-* navigation: under ``min_line_words`` words with no sentence punctuation, or
-  as many separators (``|``, ``>``, bullets) as half the words;
+* navigation: under ``min_line_words`` words with no sentence punctuation, or a
+  separator (``|``, ``>``, a bullet) for every two words beside it;
 * boilerplate: a known notice phrase in a line of at most ``notice_words`` words.
 
 Words are runs of ``[^\x20\x09-\x0D]``. The base rules need ``min_words`` words
@@ -104,7 +104,7 @@ def line_fails(line: str, n_words: int, rules: QualityRules) -> bool:
         return True
     if n_words < rules.min_line_words and not _SENTENCE.search(line):
         return True
-    if odd and 2 * len(_SEPARATOR.findall(line)) >= max(n_words, 2):
+    if odd and 3 * len(_SEPARATOR.findall(line)) >= max(n_words, 3):
         return True
     return n_words <= rules.notice_words and _NOTICE.search(line.lower()) is not None
 
