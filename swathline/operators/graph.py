@@ -56,7 +56,8 @@ def connected(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Clustered nodes with ``comp``, numbered by the smallest cluster."""
+    """Clustered nodes with ``comp``, numbered by the smallest cluster. The rounds start from tables."""
+    nodes, links = written(nodes), written(links)
     of = nodes.select("f", F.col("node"), F.col("cluster"))
     pairs = links.join(of.select("f", F.col("node").alias("src"), F.col("cluster").alias("ca")), ["f", "src"]).join(of.select("f", F.col("node").alias("dst"), F.col("cluster").alias("cb")), ["f", "dst"])
     pairs = pairs.select("f", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).where("a <> b").distinct()
@@ -95,15 +96,16 @@ def merge_pairs(stats: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
     )
     near = (F.col("along") <= max(6.0, c.merge_along_factor * c.step)) & (F.col("across") <= max(10.0, c.merge_across_factor * c.step))
     pairs = pairs.where((F.col("gap") <= c.merge_row_gap) & near)
-    third = stats.select("f", F.col("comp").alias("t"), F.col("min_row").alias("t0"), F.col("max_row").alias("t1"), F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
+    third = stats.select(F.col("f").alias("g"), F.col("comp").alias("t"), F.col("min_row").alias("t0"), F.col("max_row").alias("t1"), F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
     low, high = F.least("a_max_row", "b_max_row") + 1, F.greatest("a_min_row", "b_min_row") - 1
     band_lo, band_hi = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
-    blocked = (pairs["f"] == third["f"]) & ~F.col("t").isin(F.col("a_comp"), F.col("b_comp")) & (low <= high) & (band_hi > band_lo + 1e-3) & (F.col("t1") >= low) & (F.col("t0") <= high) & (F.least("thi", band_hi) > F.greatest("tlo", band_lo) + 0.5)
+    blocked = (F.col("f") == F.col("g")) & ~F.col("t").isin(F.col("a_comp"), F.col("b_comp")) & (low <= high) & (band_hi > band_lo + 1e-3) & (F.col("t1") >= low) & (F.col("t0") <= high) & (F.least("thi", band_hi) > F.greatest("tlo", band_lo) + 0.5)
     return pairs.join(third, blocked, "left_anti").select("f", F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
 
 
 def merged(nodes: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
     """Nodes with ``merged``, the component after merging."""
-    stats = component_stats(nodes)
+    nodes = written(nodes)
+    stats = written(component_stats(nodes))
     found = connected(merge_pairs(stats, c), stats.select("f", F.col("comp").alias("v")))
     return nodes.join(found.select("f", F.col("v").alias("comp"), F.col("comp").alias("merged")), ["f", "comp"])

@@ -65,7 +65,7 @@ class Stages:
     def comps(self):
         """Components run in rounds, so what they start from is a table."""
         clustered = written(self.clustered)
-        return graph.components(clustered, written(graph.row_links(clustered)))
+        return graph.components(clustered, graph.row_links(clustered))
 
 
 def register() -> None:
@@ -137,7 +137,7 @@ class FullPlan:
 
     @property
     def merged(self):
-        return written(graph.merged(written(graph.components(self.nodes, written(graph.row_links(self.nodes))))))
+        return written(graph.merged(graph.components(self.nodes, graph.row_links(self.nodes))))
 
     @property
     def chunks(self):
