@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import geometry, planner, replays, scalars, sequences
+from . import documents, geometry, planner, replays, scalars, sequences
 from .spec import ORACLE, QUERIES
 
 scalars.register()
@@ -10,5 +10,6 @@ geometry.register()
 sequences.register()
 planner.register()
 replays.register()
+documents.register()
 
 __all__ = ["ORACLE", "QUERIES"]
