@@ -41,7 +41,9 @@ ORDER, BITS = 4, 12
 ALPHABET = (1 << BITS) - 2
 #: Ids of trusted documents are broadcast up to this number (8 bytes each); above it they are joined by a shuffle.
 FEW = 2_000_000
-_BLOCK = "block string, doc_ids binary, nulls binary, langs array<string>, trusted array<boolean>, texts binary, ends binary"
+#: Characters that one NumPy pass takes at once.
+AT_ONCE = 2_000_000
+_BLOCK = "block bigint, doc_ids binary, nulls binary, langs array<string>, trusted array<boolean>, texts binary, ends binary"
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ class Symbols:
         raw = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "replace"), "<u4") if texts else np.zeros(0, np.uint32)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(lens + ORDER - 1)
-        out = self.table[raw].astype(np.int64)
+        out = self.table[raw]
         starts = ends - lens
         for k in range(1, ORDER):
             out[starts - k] = 0
@@ -84,29 +86,33 @@ def grams(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     Two gathers through dense tables: symbols to distinct pairs, pairs of pairs
     to distinct n-grams. No sorting of positions.
     """
-    used, local = np.unique(symbols, return_inverse=True)
-    pair = local[:-1] * len(used) + local[1:]
+    used = np.flatnonzero(np.bincount(symbols, minlength=1))
+    local = np.zeros(1 << BITS, np.int32)
+    local[used] = np.arange(len(used))
+    local = local[symbols]
+    pair = local[:-1] * np.int32(len(used)) + local[1:]
     flags = np.zeros(len(used) ** 2, bool)
     flags[pair] = True
     pairs = np.flatnonzero(flags)
-    number = np.zeros(len(flags), np.int64)
+    number = np.zeros(len(flags), np.int32)
     number[pairs] = np.arange(len(pairs))
     pair = number[pair]
-    quad = pair[:-2] * len(pairs) + pair[2:]
     # A position counts if it is no padding; its n-gram starts three symbols before.
     real = np.ones(len(symbols), bool)
     starts = np.r_[0, ends[:-1]]
     for k in range(ORDER - 1):
         real[starts + k] = False
-    quad = quad[real[ORDER - 1 :]]
-    if len(pairs) ** 2 <= 60_000_000:
-        counts = np.bincount(quad, minlength=len(pairs) ** 2) if len(quad) else np.zeros(0, np.int64)
+    real = real[ORDER - 1 :]
+    first, second = pair[:-2][real], pair[2:][real]
+    if len(pairs) ** 2 <= 16_000_000:
+        quad = first * np.int32(len(pairs)) + second
+        counts = np.bincount(quad, minlength=1)
         found = np.flatnonzero(counts)
-        place = np.zeros(len(counts), np.int64)
+        place = np.zeros(len(counts), np.int32)
         place[found] = np.arange(len(found))
         counts, place = counts[found], place[quad]
     else:
-        found, place, counts = np.unique(quad, return_inverse=True, return_counts=True)
+        found, place, counts = np.unique(first.astype(np.int64) * len(pairs) + second, return_inverse=True, return_counts=True)
     a, b = pairs[found // len(pairs)] if len(found) else found, pairs[found % len(pairs)] if len(found) else found
     key = np.zeros(len(found), np.int64)
     for s in (a // len(used), a % len(used), b // len(used), b % len(used)):
@@ -142,9 +148,10 @@ def count_grams(trusted: DataFrame, letters: np.ndarray) -> DataFrame:
         symbols = Symbols(letters)
         for pdf in batches:
             texts = [t for t in texts_of(pdf["text"]) if t]
-            for a, b in portions(texts, 8_000_000):
-                key, n, _ = grams(*symbols.of(texts[a:b]))
-                yield pd.DataFrame({"key": key, "n": n})
+            parts = [grams(*symbols.of(texts[a:b]))[:2] for a, b in portions(texts, AT_ONCE)]
+            if parts:
+                key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                yield pd.DataFrame({"key": key, "n": np.bincount(at, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)})
 
     return trusted.select("text").mapInPandas(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -184,8 +191,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 def log_probabilities(key: np.ndarray, answers: pd.DataFrame, n_letters: int) -> np.ndarray:
-    """log p of the last symbol of each order-4 n-gram after the three before it."""
-    answers = answers.sort_values("key")
+    """log p of the last symbol of each order-4 n-gram after the three before it; ``answers`` are sorted by key."""
     keys, a, gamma = (answers[c].to_numpy() for c in ("key", "a", "gamma"))
 
     def find(wanted: np.ndarray, column: np.ndarray, missing: float) -> np.ndarray:
@@ -205,7 +211,7 @@ def log_probabilities(key: np.ndarray, answers: pd.DataFrame, n_letters: int) ->
 
 
 def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
-    """Documents in compressed blocks; a block's name tells its task and place."""
+    """Documents in compressed blocks; a block's number tells its task and place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -218,7 +224,7 @@ def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
             raw = [r[3].encode("utf-8", "replace") for r in held]
             ids = np.array([0 if r[0] is None else r[0] for r in held], np.int64)
             nulls = np.array([r[0] is None for r in held])
-            row = (f"{TaskContext.get().partitionId()}-{k}", ids.tobytes(), nulls.tobytes(), [r[1] for r in held], [r[2] for r in held], squeeze.compress(b"".join(raw)), np.cumsum(list(map(len, raw)), dtype=np.int64).tobytes())
+            row = ((TaskContext.get().partitionId() << 32) + k, ids.tobytes(), nulls.tobytes(), [r[1] for r in held], [r[2] for r in held], squeeze.compress(b"".join(raw)), np.cumsum(list(map(len, raw)), dtype=np.int64).tobytes())
             return pd.DataFrame([row], columns=[c.split()[0] for c in _BLOCK.split(", ")])
 
         for pdf in batches:
@@ -253,26 +259,31 @@ def score(docs: DataFrame, letters: np.ndarray, model: DataFrame, block_chars: i
         symbols = Symbols(shared.value)
         for pdf in batches:
             for row in pdf.itertuples():
-                key, _, _ = grams(*symbols.of([t for t in _texts(row) if t]))
+                texts = [t for t in _texts(row) if t]
+                parts = [grams(*symbols.of(texts[a:b]))[0] for a, b in portions(texts, AT_ONCE)]
+                key = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
                 asked = [tagged(key, ORDER)]
                 for order in range(ORDER - 1, -1, -1):  # lower orders, and contexts, which may be of padding
                     asked.append(np.unique(np.r_[tagged(key, order), tagged(key >> BITS, order)]))
                 yield pd.DataFrame({"key": np.concatenate(asked), "block": row.block})
 
-    asked = blocks.select("block", "texts", "ends").mapInPandas(ask, "key bigint, block string")
+    asked = blocks.select("block", "texts", "ends").mapInPandas(ask, "key bigint, block bigint")
     answers = asked.join(model, "key").select("block", "key", "a", "gamma")
 
     def judge(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         symbols, out = Symbols(shared.value), []
+        answers = answers.sort_values("key")
         for row in block.itertuples():
             texts = _texts(row)
             lens = np.fromiter(map(len, texts), np.int64, len(texts))
             total = np.zeros(len(texts))
             full = np.flatnonzero(lens)
             if len(full) and len(shared.value):
-                key, _, place = grams(*symbols.of([texts[i] for i in full]))
-                logs = log_probabilities(key, answers, len(shared.value))[place]
-                total[full] = np.add.reduceat(logs, np.cumsum(lens[full]) - lens[full])
+                for a, b in portions([texts[i] for i in full], AT_ONCE):
+                    own = full[a:b]
+                    key, _, place = grams(*symbols.of([texts[i] for i in own]))
+                    logs = log_probabilities(key, answers, len(shared.value))[place]
+                    total[own] = np.add.reduceat(logs, np.cumsum(lens[own]) - lens[own])
             ppl = np.exp(-total / np.maximum(lens, 1))
             ids = pd.array(np.frombuffer(row.doc_ids, np.int64), "Int64")
             ids[np.frombuffer(row.nulls, bool)] = pd.NA
@@ -285,7 +296,7 @@ def score(docs: DataFrame, letters: np.ndarray, model: DataFrame, block_chars: i
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge, SCHEMA)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.5, block_chars: int = 12_000_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.25, block_chars: int = 12_000_000) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): doc_id, lang, n_scored, perplexity, threshold, kept."""
     docs = flagged(docs, trusted_ids(labels))
     trusted = docs.where("trusted and text is not null and text <> ''")
