@@ -43,8 +43,8 @@ def anchors(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     t = planar.side_t("px", "py")
     x, y = planar.side_point(t)
     near = F.struct(F.expr(planar.side_distance("px", "py")).alias("dist"), "ring", "i", F.expr(t).alias("t"), (F.col("arc") + F.expr(t) * F.col("len")).alias("arc"), F.expr(x).alias("x"), F.expr(y).alias("y"))
-    best = points.join(with_arcs(edges), "f").groupBy(*key, "f").agg(F.min(near).alias("a"))
-    return best.select(*key, "f", "a.*")
+    best = points.join(with_arcs(edges), "f").groupBy(*key, "f").agg(F.min(near).alias("nearest"))
+    return best.select(*key, "f", "nearest.*")
 
 
 def ring_distances(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
@@ -78,4 +78,4 @@ def along_contour(points: DataFrame, edges: DataFrame, key: list[str], step: str
     hit = goal.join(arcs, ["f", "ring"]).where("goal >= arc AND goal < arc + len")
     t = "((goal - arc) / len)"
     x, y = planar.side_point(t)
-    return hit.groupBy(*key, "f").agg(F.min(F.struct("i", F.expr(x).alias("x"), F.expr(y).alias("y"))).alias("a")).select(*key, "f", "a.x", "a.y")
+    return hit.groupBy(*key, "f").agg(F.min(F.struct("i", F.expr(x).alias("x"), F.expr(y).alias("y"))).alias("place")).select(*key, "f", "place.x", "place.y")

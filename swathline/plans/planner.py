@@ -118,6 +118,7 @@ def register() -> None:
     op("f3_component_pairs", pairs, "stats")(lambda t: graph.merge_pairs(graph.component_stats(Stages(t).comps)))
     op("f5_intervening_anti_join", f"SELECT f, count(*) AS pairs FROM ({pairs}) p GROUP BY f", "stats")(lambda t: graph.merge_pairs(graph.component_stats(Stages(t).comps)).groupBy("f").agg(F.count("*").alias("pairs")))
     _register_routes()
+    _register_details()
     operator("s5_merge")(lambda t: graph.merged(Stages(t).comps).select("f", "node", "comp", "merged"))
     operator("k3_union_find")(lambda t: graph.merged(Stages(t).comps).select("f", "comp", "merged").distinct())
 
@@ -168,6 +169,62 @@ def _register_routes() -> None:
     operator("s10_plan_to_geo")(lambda t: FullPlan(t).routes.select("f", F.posexplode(F.arrays_zip("xs", "ys")).alias("seq", "p")).select("f", "seq", "p.xs", "p.ys").selectExpr("f", "seq", f"{lat} AS lat", f"{lon} AS lon"))
 
 
+def _register_details() -> None:
+    """Parts of the planner that the stages above hold, as results of their own."""
+    # anchors of the left and right ends of every stripe: the shells of components
+    dist = planar.side_distance("px", "py")
+    shell = f"""SELECT f, node, side, ring, i, dist FROM (SELECT p.f, node, side, s.ring, s.i, {dist} AS dist, row_number() OVER (PARTITION BY p.f, node, side ORDER BY {dist}, s.ring, s.i) AS rn FROM (
+        SELECT f, node, 'left' AS side, sx AS px, sy AS py FROM nodes UNION ALL SELECT f, node, 'right' AS side, ex AS px, ey AS py FROM nodes) p JOIN sides s ON p.f = s.f) q WHERE rn = 1"""
+
+    def shells(t: Tables):
+        s = Stages(t)
+        both = s.nodes.selectExpr("f", "node", "stack(2, 'left', sx, sy, 'right', ex, ey) AS (side, px, py)")
+        return regions.anchors(both, s.edges, ["node", "side"]).select("f", "node", "side", "ring", "i", "dist")
+
+    operator("g4_shell_anchors", _sql(f"SELECT f, node, side, dist FROM ({shell}) z", "nodes"), {"dist": 5})(lambda t: shells(t).select("f", "node", "side", "dist"))
+    operator("p3_valid_shell_anchors", _sql(f"SELECT f, count(*) AS anchors FROM ({shell}) z WHERE dist < 3e0 GROUP BY f", "nodes"))(lambda t: shells(t).where("dist < 3").groupBy("f").agg(F.count("*").alias("anchors")))
+    operator("k10_boundary_transfer", _sql(f"SELECT f, node, count(*) = 2 AND min(ring) = max(ring) AND max(dist) <= 3e0 AS same_ring FROM ({shell}) z GROUP BY f, node", "nodes"))(
+        lambda t: shells(t).groupBy("f", "node").agg(F.expr("count(*) = 2 AND min(ring) = max(ring) AND max(dist) <= 3e0 AS same_ring"))
+    )
+    operator("k18_simplified_coverage", _sql("SELECT f, row, CASE WHEN row % 2 = 0 THEN min(a0) ELSE max(a1) END AS first, CASE WHEN row % 2 = 0 THEN max(a1) ELSE min(a0) END AS last FROM nodes GROUP BY f, row", "nodes"), {"first": 5, "last": 5})(
+        lambda t: Stages(t).nodes.groupBy("f", "row").agg(F.expr("CASE WHEN row % 2 = 0 THEN min(a0) ELSE max(a1) END AS first"), F.expr("CASE WHEN row % 2 = 0 THEN max(a1) ELSE min(a0) END AS last"))
+    )
+    # a tree of links from each component's first row: the row below that each stripe hangs on
+    operator("k6_spanning_tree", _sql("SELECT f, dst AS node, min(src) AS parent FROM links GROUP BY f, dst", "links"))(lambda t: Stages(t).links.groupBy("f", "dst").agg(F.min("src").alias("parent")).select("f", F.col("dst").alias("node"), "parent"))
+    inside = f"""SELECT f, src, dst, min(CASE WHEN hit % 2 = 1 OR near THEN 1 ELSE 0 END) = 1 AS inside FROM (SELECT c.f, src, dst, k, sum(CASE WHEN {planar.crosses('px', 'py')} THEN 1 ELSE 0 END) AS hit, min({dist}) <= 1e-6 AS near FROM (
+        SELECT l.f, src, dst, k, a.mx + (b.mx - a.mx) * k / 16e0 AS px, a.my + (b.my - a.my) * k / 16e0 AS py FROM links l JOIN nodes a ON l.f = a.f AND l.src = a.node JOIN nodes b ON l.f = b.f AND l.dst = b.node CROSS JOIN (SELECT {{explode:0,16}} AS k) n) c
+        JOIN sides s ON c.f = s.f GROUP BY c.f, src, dst, k) q GROUP BY f, src, dst"""
+
+    def chords(t: Tables):
+        s = Stages(t)
+        nodes = written(s.clustered)
+        a = nodes.select("f", F.col("node").alias("src"), F.col("mx").alias("ax"), F.col("my").alias("ay"))
+        b = nodes.select("f", F.col("node").alias("dst"), F.col("mx").alias("bx"), F.col("my").alias("by"))
+        pts = written(graph.row_links(nodes)).join(a, ["f", "src"]).join(b, ["f", "dst"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(16))))
+        pts = pts.selectExpr("f", "src", "dst", "k", "ax + (bx - ax) * k / 16e0 AS px", "ay + (by - ay) * k / 16e0 AS py")
+        return regions.inside(pts, s.edges, ["src", "dst", "k"], 1e-6).groupBy("f", "src", "dst").agg(F.expr("min(CASE WHEN inside THEN 1 ELSE 0 END) = 1 AS inside"))
+
+    operator("c15_row_edge_inside", _sql(inside, "links"))(chords)
+    operator("f7_bridge_candidates", f"SELECT a.f, a.i, b.i AS j, sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS hop FROM {{edges}} a JOIN {{edges}} b ON a.f = b.f AND a.ring = 1 AND b.ring = 0 WHERE sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) <= 40e0", {"hop": 6})(
+        lambda t: t["edges"].where("ring = 1").alias("a").join(t["edges"].where("ring = 0").alias("b"), F.expr("a.f = b.f")).selectExpr("a.f", "a.i", "b.i AS j", "sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS hop").where("hop <= 40")
+    )
+    operator("k11_best_bridge", "SELECT f, i, j, hop FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY hop, i, j) AS rn FROM (SELECT a.f, a.i, b.i AS j, sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS hop FROM {edges} a JOIN {edges} b ON a.f = b.f AND a.ring = 1 AND b.ring = 0) q) r WHERE rn = 1", {"hop": 6})(
+        lambda t: t["edges"].where("ring = 1").alias("a").join(t["edges"].where("ring = 0").alias("b"), F.expr("a.f = b.f")).selectExpr("a.f", "struct(sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS hop, a.i AS i, b.i AS j) AS b").groupBy("f").agg(F.min("b").alias("b")).select("f", "b.i", "b.j", "b.hop")
+    )
+    operator("f4_shell_semi_join", _sql(f"SELECT DISTINCT l.f, l.src, l.dst FROM links l JOIN ({shell}) a ON l.f = a.f AND l.src = a.node JOIN ({shell}) b ON l.f = b.f AND l.dst = b.node AND a.ring = b.ring AND a.side = b.side AND abs(a.i - b.i) <= 1", "links"))(_near_shells)
+
+
+def _near_shells(t: Tables):
+    s = Stages(t)
+    nodes = written(s.clustered)
+    both = nodes.selectExpr("f", "node", "stack(2, 'left', sx, sy, 'right', ex, ey) AS (side, px, py)")
+    found = written(regions.anchors(both, s.edges, ["node", "side"]).select("f", "node", "side", "ring", "i"))
+    links = written(graph.row_links(nodes))
+    a = found.selectExpr("f", "node AS src", "side", "ring", "i AS ai")
+    b = found.selectExpr("f", "node AS dst", "side", "ring", "i AS bi")
+    return links.join(a, ["f", "src"]).join(b, ["f", "dst", "side", "ring"]).where("abs(ai - bi) <= 1").select("f", "src", "dst").distinct()
+
+
 def _prepared(p: FullPlan):
     before = regions.ring_stats(overlay.edges_of(p.working)).groupBy("f").agg(F.sum("area").alias("working_area"), F.count("*").alias("rings"))
     after = regions.ring_stats(p.edges).groupBy("f").agg(F.sum("area").alias("inset_area"))
