@@ -154,13 +154,13 @@ class FullPlan:
 
 
 def _register_routes() -> None:
-    size = F.expr("aggregate(zip_with(xs, ys, (x, y) -> struct(x, y)), named_struct('n', 0D, 'px', CAST(NULL AS DOUBLE), 'py', CAST(NULL AS DOUBLE)), (s, p) -> named_struct('n', s.n + coalesce(sqrt((p.x - s.px) * (p.x - s.px) + (p.y - s.py) * (p.y - s.py)), 0D), 'px', p.x, 'py', p.y)).n")
+    size = "aggregate(zip_with(xs, ys, (x, y) -> struct(x, y)), named_struct('n', 0D, 'px', CAST(NULL AS DOUBLE), 'py', CAST(NULL AS DOUBLE)), (s, p) -> named_struct('n', s.n + coalesce(sqrt((p.x - s.px) * (p.x - s.px) + (p.y - s.py) * (p.y - s.py)), 0D), 'px', p.x, 'py', p.y)).n"
     operator("e15_working_region")(lambda t: regions.ring_stats(overlay.edges_of(overlay.working_regions(t["region_vertices"]))).select("f", "ring", "area", "perimeter"))
     operator("e14_inset")(lambda t: regions.ring_stats(overlay.edges_of(overlay.insets(overlay.working_regions(t["region_vertices"]), C.offset))).select("f", "ring", "area", "perimeter"))
     operator("e21_overlay_areas")(lambda t: overlay.overlay_areas(t["region_vertices"]))
     operator("s1_prepare")(lambda t: _prepared(FullPlan(t)))
     operator("s6_routes")(lambda t: FullPlan(t).chunks)
-    operator("k7_snake_lengths")(lambda t: FullPlan(t).chunks.select("f", "comp", "phase", "chunk", size.alias("metres")))
+    operator("k7_snake_lengths")(lambda t: FullPlan(t).chunks.select("f", "comp", "phase", "chunk", F.expr(size).alias("metres")))
     operator("s7_group")(lambda t: FullPlan(t).islands)
     operator("g7_island_centroids")(lambda t: FullPlan(t).islands.select("f", "comp", "phase", "island", F.expr("aggregate(xs, 0D, (s, x) -> s + x) / size(xs)").alias("cx"), F.expr("aggregate(ys, 0D, (s, y) -> s + y) / size(ys)").alias("cy")))
     operator("s8_stitch")(lambda t: FullPlan(t).routes.select("f", "ok", "islands", "used", "unreachable", "links", "phase0"))

@@ -47,3 +47,12 @@ def test_entry(spark):
 
     df = __spark_entry__.entry(spark)
     assert df.columns == ["robot_id", "seq", "part", "cmd", "value"] and df.count() > 0
+
+
+def test_queries_can_be_listed_before_a_session_starts():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
