@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import written
+
+__all__ = ["CHARS_AT_ONCE", "held", "portions", "table", "texts_of", "written"]
+
 #: Characters of text that one NumPy pass takes at once, so that a batch of long documents stays small in memory.
 CHARS_AT_ONCE = 4_000_000
 
@@ -18,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below the shared checkpoint folder; a temporary one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='swathline-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/swathline-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    The result has no lineage, so neither a lost executor nor a second use computes it again.
-    """
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def portions(texts: list, most: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
     """Index ranges of ``texts`` with about ``most`` characters each; a longer text has a range of its own."""
     start = size = 0

@@ -267,7 +267,7 @@ class Scorer:
             logs = np.concatenate([self.logs, word_logs(new, self.model.p, self.pieces)])
             for own in words:
                 n = len(own)
-                if not n or not self.model.langs:
+                if not self.model.langs or not any(c.isalpha() for w in own for c in w):  # the first one decides, but for numerals like ½
                     out.append((UND, 0.0, n))
                     continue
                 total = logs[np.fromiter(map(self.index.__getitem__, own), np.int64, n)].sum(0)

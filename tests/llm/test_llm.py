@@ -382,6 +382,11 @@ def test_language_edge_cases(docs, none):
     assert langid.keep_known(docs, langid.train(docs), 0.0).schema == docs.schema
 
 
+def test_numerals_are_no_letters():
+    model = langid.LanguageModel(["a", "b"], ["x"], np.array([[0.5, 0.1]]))
+    assert [g[0] for g in langid.Scorer(model).texts(["½ Ⅷ 12", "", "x", "½x"])] == ["und", "und", "a", "a"]
+
+
 # ---- pipeline ----
 
 
