@@ -52,9 +52,9 @@ def register() -> None:
     statement("g11_stage_counters", f"SELECT stage, status, count(*) AS jobs, sum(n) AS items FROM ({metrics}) m GROUP BY stage, status")
     statement("p4_stage_labels", f"SELECT f, stage, CASE stage WHEN 1 THEN 'Prepare' WHEN 2 THEN 'Sweep' ELSE 'Other' END AS name FROM ({metrics}) m")
     statement("p5_result_accessors", f"SELECT f, coalesce(max(CASE WHEN stage = 1 THEN n END), 1) AS outer_contours, max(CASE WHEN status = 'ok' THEN stage END) AS last_ok FROM ({metrics}) m GROUP BY f")
-    # -- connector rules over pairs of points ----------------------------------------------------------------------
+    # -- connector rules over each point and the next one of its field ----------------------------------------------------------------------
     c = sweep.PlanConfig()
-    pairs = "SELECT a.id AS a, b.id AS b, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) AS direct, abs(a.px - b.px) + abs(a.py - b.py) AS cost FROM {points} a JOIN {points} b ON a.f = b.f AND b.id > a.id"
+    pairs = "SELECT a.id AS a, b.id AS b, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) AS direct, abs(a.px - b.px) + abs(a.py - b.py) AS cost FROM {points} a JOIN {points} b ON a.f = b.f AND b.id = a.id + 100"
     statement("c21_connector_acceptable", f"SELECT a, b, cost < 1e12 AND cost <= greatest({c.intra_limit}e0, greatest(2.5e0 * direct, {2.5 * c.step}e0)) AS ok FROM ({pairs}) p")
     statement("k9_direct_cap", f"SELECT a, b, direct <= least(greatest(0.5e0, {c.direct_max}e0), greatest(greatest(0.5e0, {c.direct_max}e0), {1.35 * c.step}e0)) AS direct_ok FROM ({pairs}) p")
     statement("k15_entry_option", f"SELECT a, min(direct) AS best, count(*) AS options FROM ({pairs}) p GROUP BY a", {"best": 6})
