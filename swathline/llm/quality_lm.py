@@ -217,7 +217,7 @@ def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=9)
         k, held, size = 0, [], 0
 
         def out() -> pd.DataFrame:
@@ -268,7 +268,7 @@ def score(docs: DataFrame, letters: np.ndarray, model: DataFrame, block_chars: i
                 yield pd.DataFrame({"key": np.concatenate(asked), "block": row.block})
 
     asked = blocks.select("block", "texts", "ends").mapInPandas(ask, "key bigint, block bigint")
-    answers = asked.join(model, "key").select("block", "key", "a", "gamma")
+    answers = asked.join(model, "key").select("block", "key", F.col("a").cast("float").alias("a"), F.col("gamma").cast("float").alias("gamma"))
 
     def judge(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         symbols, out = Symbols(shared.value), []
