@@ -306,7 +306,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
     cut: Column = F.percentile_approx("perplexity", quantile, 10_000) * margin
     known = scored.where("trusted and perplexity is not null")
     by_lang = known.groupBy("lang").agg(cut.alias("own"))
-    everyone = known.agg(cut.alias("every"))
-    found = scored.alias("s").join(by_lang.alias("t"), F.expr("s.lang <=> t.lang"), "left").crossJoin(everyone)  # one row
-    threshold = F.coalesce("own", "every")
+    every = known.agg(cut.alias("every")).first().every  # one number
+    found = scored.alias("s").join(by_lang.alias("t"), F.expr("s.lang <=> t.lang"), "left")
+    threshold = F.coalesce(F.col("own"), F.lit(every).cast("double"))
     return found.select("doc_id", "s.lang", "n_scored", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"))
