@@ -1,10 +1,12 @@
 r"""Licence scans by canonical digests, in DataFrame operations only.
 
-A text is put in canonical form: lower case; lines that begin with a copyright
-notice dropped; everything but letters and digits one space; equivalent
-spellings made one (licence/license, -ise/-ize, -our/-or, and the like). Its
-SHA-256 is joined to the digests of known licences, whose texts go through the
-same expressions.
+A text is put in canonical form: lower case; title and copyright notice above a
+licence dropped, up to its first words, however the lines are wrapped; other
+lines that are a copyright notice dropped; everything but letters and digits
+one space; equivalent spellings made one (licence/license, -ise/-ize, -our/-or,
+and the like). Its SHA-256 is joined to the digests of known licences, whose
+texts go through the same expressions. Long licence texts are files in the
+folder ``licences``, named by their ids.
 
 The known list is small and is broadcast by Spark if it is below Spark's own
 limit; a longer one is a shuffled hash join on the digest.
@@ -17,6 +19,8 @@ empty table gives an empty one; columns besides ``doc_id`` and ``text`` play no
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +35,49 @@ SPELLINGS = (
     (r"\bwhilst\b", "while"),
     (r"\bper cent\b", "percent"),
 )
+# The holder's own name in BSD texts.
+HOLDER = (r"\bneither the names? of (?:[^ ]+ ){1,12}?nor the names of\b", "neither the name of the copyright holder nor the names of")
+# The comparison's SQL drops every line that begins so; the operator drops notices only, see NOTICE.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
 
+_GAP, _WORD = r"[^\p{L}\p{N}]++", r"[\p{L}\p{N}]++"
+#: Words of licences that follow 'copyright' where no holder does.
+_NO_HOLDER = (
+    "holders?|notices?|owners?|if|but|when|where|unless|not|than|also|those|licen[cs]\\w*|laws?|statements?|and|or|in|is|are|was|of|to|on|for|with|by|as|that|which|will|shall|may|can|does|under|from|any|"
+    "interests?|protections?|treat\\w+|infring\\w+|disclaim\\w*|information|ownership|rights?|permissions?|claims?|attributions?|acts?|doctrines?|status|"
+    "this|these|your|our|its|an?(?!\\.)|the(?![^\\n]*(?:authors|contributors|foundation|project|team|regents|university)\\b)"
+)
+#: What begins a copyright notice, in lower case: (c), a year, or a holder.
+_DATED = r"(?:copyright[^\p{L}\p{N}\n]*(?:\(c\)|©|\p{N}{4})|copyright[ \t]+by\b|\(c\)[^\p{L}\p{N}\n]*(?:copyright\b|\p{N}{4})|©)"
+_HELD = rf"copyright[ \t:]+(?!(?:{_NO_HOLDER})\b)\p{{L}}"
+NOTICE = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:{_DATED}[^\n]{{0,300}}|{_HELD}[^\n]{{0,80}})$"
+#: A notice to be filled in, in texts that say how to apply a licence.
+BLANK_NOTICE = rf"copyright{_GAP}(?:c{_GAP})?(?:year|yyyy){_GAP}name{_GAP}of{_GAP}(?:copyright{_GAP}owner|author)\b|copyright\s+\(c\)\s+_[_\s]*"
+_OPENINGS = (
+    "permission is hereby granted",
+    "permission to use copy modify",
+    "redistribution and use in source",
+    "this software is provided as is",
+    "licen[cs]ed under the apache",
+    "this program is free software",
+    "this library is free software",
+    "this is free and unencumbered",
+    "everyone is permitted to copy",
+    "terms and conditions for use",
+    "1 definitions",
+    "released under the mit",
+    "this source code form is",
+)
+_OPENING = "(?:" + "|".join(x.replace(" ", _GAP) for x in _OPENINGS) + r")\b"
+_TITLE = (
+    rf"(?:the{_GAP})?(?:\p{{N}}{_GAP}clause{_GAP})?(?:(?:new|modified|simplified|revised){_GAP})?(?:mit|expat|isc|zlib|0?bsd|apache|mozilla|gnu)(?:{_GAP}(?:\p{{N}}|clause|lesser|library|general|affero|public|software|or|new|revised|simplified|modified)){{0,6}}{_GAP}licen[cs]e\b"
+    rf"(?:{_GAP}(?:mit|expat|isc|zlib|bsd|version|v?\p{{N}}+|clause|january|february|june|november|https?|www|apache|org|licenses)(?![\p{{L}}\p{{N}}])){{0,10}}"
+)
+_NOTED = rf"(?:{_DATED.replace(chr(92) + 'n', '')}|{_HELD})[\p{{L}}\p{{N}}]*+(?:{_GAP}{_WORD}){{0,40}}?"
+#: Title and notices before the first words of a licence.
+HEAD = rf"\A[^\p{{L}}\p{{N}}]*(?:{_TITLE}(?:[^\p{{L}}\p{{N}}]+{_NOTED})?|[^\p{{L}}\p{{N}}]*{_NOTED})(?:{_GAP}all{_GAP}rights{_GAP}reserved)?[^\p{{L}}\p{{N}}]+(?={_OPENING})"
+
 # Public licence texts and notices, without their copyright lines.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -98,16 +142,26 @@ You should have received a copy of the GNU General Public License along with thi
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for pattern in (BLANK_NOTICE, HEAD, NOTICE):
+        out = F.regexp_replace(out, pattern, " ")
     out = F.trim(F.regexp_replace(out, OTHER, " "))
-    for pattern, to in SPELLINGS:
+    for pattern, to in (*SPELLINGS, HOLDER):
         out = F.regexp_replace(out, pattern, to)
     return out
 
 
+def long_texts() -> dict[str, str]:
+    """Licence texts of the folder ``licences``; those with advice on how to apply them also without, as ``id`` and a blank."""
+    own = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in (files(__package__) / "licences").iterdir() if f.name.endswith(".txt")}
+    end = "END OF TERMS AND CONDITIONS"
+    return own | {f"{k} ": t[: t.index(end) + len(end)] for k, t in own.items() if end in t}
+
+
 def known_licences(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """(digest, license_id) of known texts."""
-    rows = docs.sparkSession.createDataFrame(sorted((texts or TEXTS).items()), "license_id string, text string")
+    pairs = sorted((k.strip(), t) for k, t in (texts or TEXTS | long_texts()).items())
+    rows = docs.sparkSession.createDataFrame(pairs, "license_id string, text string")
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import html as html_lib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -349,6 +350,24 @@ def test_licences(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_licences_in_other_wrappings(spark):
+    texts = {k: t for k, t in (license_scan.TEXTS | license_scan.long_texts()).items() if "SPDX" not in k}
+    rows = []
+    for k, t in texts.items():
+        words = t.split()
+        rows += [(k.strip(), f"{w}", "\n".join(textwrap.wrap(" ".join(words), w, break_long_words=False, break_on_hyphens=False))) for w in (1, 30, 50, 66, 72, 79, 100, 10**6)]
+    notice = "Copyright (c) 2020, 2021 A. Person <a@b.org>"
+    for k, title in {"MIT": "MIT License", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-2-Clause": "Simplified BSD License", "Zlib": "The zlib License"}.items():
+        for head in (title, notice, f"{title}\n\n{notice}\nAll rights reserved.", f"{notice}\n\nThe {title}", "Copyright A. Person"):
+            rows += [(k, head, f"{head}\n\n{texts[k]}"), (k, head, " ".join(f"{head} {texts[k]}".split()))]
+    rows.append(("BSD-3-Clause", "holder", texts["BSD-3-Clause"].replace("the copyright holder nor", "Some Company, Inc. nor")))
+    rows += [(None, "prose", x) for x in ("MIT License", notice, "Copyright holders agree.\n" + texts["MIT"], "MIT License is nice.\n" + texts["MIT"])]
+    df = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.scan(df).collect()}
+    assert [(*r[:2], got[i]) for i, r in enumerate(rows) if got[i] != r[0]] == []
+    assert "authors or copyright holders be liable" in df.sparkSession.createDataFrame([(texts["MIT"],)], "t string").select(license_scan.canonical(F.col("t"))).first()[0]
+
+
 # ---- 10 ----
 
 
