@@ -7,10 +7,11 @@ corpus, so the plan is made from it alone:
 
 * the linear program over configurations (which lengths share a sequence) is
   solved by multiplicative weights: every length has a weight that falls as the
-  length gets covered, the best configuration for the weights is priced by a
-  knapsack dynamic program, and it is taken for a share of what it can cover;
-* the solution is rounded down, and what is left goes into sequences by best
-  fit, longest first, on counts of equal sequences.
+  length gets covered, configurations are priced by a knapsack dynamic program,
+  those near the best are taken, and the rounds end at a duality gap;
+* the solution is rounded down, and what is left goes into its open and new
+  sequences by best fit, longest first, on counts of equal sequences. Best fit
+  alone is the plan where it needs no more sequences.
 
 The plan says, for each length, which ranks go to which sequences. Pieces are
 ranked within their length by Spark: counts per (length, salt) give each salt's
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,13 +92,13 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = END) -> DataFrame:
 # ---- the plan, from the histogram ------------------------------------------------------------------------------
 
 
-def knapsack(values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable configuration: how many of each length, together at most ``capacity``. values[l] is length l's."""
+def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``capacity``: the value of the most valuable configuration in it, and one length of it (0: what fits in less room). values[l] is length l's."""
     lengths = np.flatnonzero(values > 0)
+    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     if not len(lengths):
-        return {}
+        return best, pick
     worth = values[lengths]
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(int(lengths[0]), capacity + 1):
         k = fits[c]
@@ -107,50 +108,74 @@ def knapsack(values: np.ndarray, capacity: int) -> dict[int, int]:
             best[c], pick[c] = total[i], lengths[i]
         else:
             best[c] = best[c - 1]
+    return best, pick
+
+
+def configuration(pick: list[int], room: int) -> dict[int, int]:
+    """How many of each length the most valuable configuration in ``room`` has."""
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c]:
-            out[int(pick[c])] = out.get(int(pick[c]), 0) + 1
-            c -= int(pick[c])
+    while room > 0:
+        k = pick[room]
+        if k:
+            out[k] = out.get(k, 0) + 1
+            room -= k
         else:
-            c -= 1
+            room -= 1
     return out
 
 
-def configuration_lp(hist: np.ndarray, capacity: int, rounds: int = 400, rate: float = 0.05, share: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """Configurations with fractional multiplicities that cover no length more often than ``hist`` has it.
+def configuration_lp(hist: np.ndarray, capacity: int, rounds: int = 250, rates: tuple = (0.3, 0.1, 0.1, 0.03, 0.03), gap: float = 0.002) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations with fractional multiplicities that cover every length as often as ``hist`` has it or more, and a lower bound.
 
-    A length's weight starts at its share of a sequence, which is near the dual
-    optimum, a little more for long ones, and falls by exp(-rate) as it gets
-    covered. It ends once the best configuration would waste space: the rest is
-    for ``best_fit``.
+    A length's weight starts at its share of a sequence and falls by exp(-rate)
+    each time the length gets covered once over. In a round every length that is
+    behind takes the best configuration that holds it, if its value is near the
+    maximum. The weights over the maximum are a dual solution, the configurations
+    over the least coverage a primal one; it ends when the two are ``gap`` apart.
+    Smaller rates go on from the weights of larger ones, with a new primal solution.
     """
+    at = np.flatnonzero(hist)[::-1]
+    if not len(at):
+        return [], 0.0
     n = hist.astype(float)
-    size = np.arange(len(n)) / capacity
-    start = size * (1 + rate * size)
-    weight, left = np.where(n > 0, start, 0.0), n.copy()
-    out: dict[tuple, float] = {}
-    for _ in range(rounds):
-        config = knapsack(np.where(left >= 1, weight, 0.0), capacity)
-        if sum(k * a for k, a in config.items()) < capacity - 1:
-            break
-        times = min(left[k] / a for k, a in config.items())
-        if times < 1:  # a length that is left once can't be used twice
-            k = min(config, key=lambda k: left[k] / config[k])
-            weight[k] *= np.exp(-rate)
-            continue
-        times = times if times < 8 else times * share
-        key = tuple(sorted(config.items()))
-        out[key] = out.get(key, 0.0) + times
-        for k, a in config.items():
-            left[k] -= a * times
-            weight[k] = start[k] * np.exp(-rate * (1 - left[k] / n[k]))
-    return [(dict(k), x) for k, x in out.items()]
-
-
-def best_fit(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit, longest first, on groups of equal sequences."""
+    count = n.tolist()
+    log = np.log(at / capacity)
+    best_out, best_value, bound = [], np.inf, 0.0
+    for rate in rates:
+        covered, taken = [0.0] * len(count), 0.0
+        out: dict[tuple, float] = {}
+        own = np.zeros(len(at))
+        for r in range(1, rounds + 1):
+            weight = np.zeros(len(count))
+            now = log - rate * own
+            weight[at] = np.exp(now - now.max())
+            best, pick = knapsack(weight, capacity)
+            bound = max(bound, float(weight @ n / best[capacity]))
+            near = weight[at] + best[capacity - at] >= (1 - rate / 20) * best[capacity]
+            picks = pick.tolist()
+            for k in at[near].tolist():
+                if covered[k] >= r:
+                    continue
+                config = configuration(picks, capacity - k)
+                config[k] = config.get(k, 0) + 1
+                times = min(count[j] / a for j, a in config.items())
+                key = tuple(sorted(config.items()))
+                out[key] = out.get(key, 0.0) + times
+                taken += times
+                for j, a in config.items():
+                    covered[j] += a * times / count[j]
+            own = np.array(covered)[at]
+            least = own.min()
+            if least > 0 and taken / least < best_value:
+                best_out, best_value = [(k, x / least) for k, x in out.items()], taken / least
+                if best_value <= (1 + gap) * bound:
+                    return [(dict(k), x) for k, x in best_out], bound
+        log -= rate * own
+    return [(dict(k), x) for k, x in best_out], bound
+
+
+def best_fit(hist: np.ndarray, capacity: int, opened: Iterable[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first, on groups of equal sequences, into those ``opened`` first."""
     room: dict[int, list[tuple[dict[int, int], int]]] = {}
     rooms = np.zeros(capacity + 1, bool)
 
@@ -158,6 +183,8 @@ def best_fit(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
         room.setdefault(free, []).append((config, times))
         rooms[free] = True
 
+    for config, times in opened:
+        put(config, times, capacity - sum(k * a for k, a in config.items()))
     for length in np.flatnonzero(hist)[::-1]:
         length, left = int(length), int(hist[length])
         while left:
@@ -186,13 +213,29 @@ def plan(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     left = hist.astype(np.int64).copy()
     out = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    for config, x in configuration_lp(left, capacity):
-        times = int(x)
-        if times:
-            out.append((config, times))
+    alone = best_fit(left, capacity)
+    used = sum(times for _, times in alone)
+    total = int(left @ np.arange(len(left)))
+    if used <= -(-total // capacity):  # no plan has fewer
+        return out + alone
+    opened, carry = [], 0.0
+    rest = left.copy()
+    solved, _ = configuration_lp(left, capacity)
+    for config, x in sorted(solved, key=lambda s: -s[1]):
+        # Rounded down, with the fraction carried on; what is covered already stays out.
+        times = int(x + carry + 1e-9)
+        carry = max(x + carry - times, 0.0)
+        while times:
+            config = {k: min(a, int(rest[k])) for k, a in config.items() if rest[k]}
+            if not config:
+                break
+            now = min(times, min(int(rest[k]) // a for k, a in config.items()))
+            opened.append((config, now))
+            times -= now
             for k, a in config.items():
-                left[k] -= a * times
-    return out + best_fit(left, capacity)
+                rest[k] -= a * now
+    both = best_fit(rest, capacity, opened)
+    return out + min(both, alone, key=lambda plan: sum(times for _, times in plan))
 
 
 def slots(planned: list[tuple[dict[int, int], int]]) -> pd.DataFrame:

@@ -258,6 +258,15 @@ def test_plan_uses_each_length_exactly():
         assert (used == hist).all()
 
 
+@pytest.mark.parametrize(("lengths", "most"), [((400, 330, 290), 90_000), ((505, 260, 252), 60_000)])
+def test_plan_solves_the_program_without_perfect_fills(lengths, most):
+    hist = np.zeros(1025, int)
+    hist[list(lengths)] = most
+    solved, bound = packing.configuration_lp(hist, 1024)
+    assert sum(x for _, x in solved) <= 1.01 * bound
+    assert sum(times for _, times in packing.plan(hist, 1024)) <= 1.001 * most
+
+
 # ---- 7 ----
 
 
