@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of, written
@@ -60,15 +60,23 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, *others: Column) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed 64-bit integer, and ``content`` if that column of strings is given."""
+    schema = "doc_id bigint, fp bigint" + ", content string" * len(others)
+    more = bool(others)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.fromiter((fingerprint(t) for t in texts_of(pdf["text"])), np.uint64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "fp": fp.view(np.int64)})
+            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "fp": fp.view(np.int64)})
+            yield out.assign(content=pdf["content"].array) if more else out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", *others).mapInPandas(run, schema)
+
+
+def content_of(docs: DataFrame) -> Column:
+    """The digest of a text; empty for null."""
+    return F.coalesce(F.sha2(docs["text"], 256), F.lit(""))
 
 
 # ---- the index -------------------------------------------------------------------------------------------------
@@ -248,19 +256,28 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _roots(marked: DataFrame, most: int, chunk: int) -> DataFrame:
+    """(fp, root, first): each fingerprint of ``marked`` (doc_id, fp) with its component's root and its own smallest id."""
+    firsts = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(linked_fingerprints(firsts.select("fp"), most, chunk))
+    return written(roots.withColumnRenamed("v", "fp").join(firsts, "fp", "right").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
+
+
 def near_duplicates(docs: DataFrame, most: int = 3, chunk: int = 4096) -> DataFrame:
     """One row of ``SCHEMA`` per row of ``docs`` (doc_id, text)."""
     marked = written(fingerprints(docs))
-    firsts = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(linked_fingerprints(firsts.select("fp"), most, chunk))
-    named = written(roots.withColumnRenamed("v", "fp").join(firsts, "fp", "right").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
+    named = _roots(marked, most, chunk)
     least = written(named.groupBy("root").agg(F.min("first").alias("component_id")))
     named = written(named.join(least, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, most: int = 3, chunk: int = 4096) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates: the one with the smallest ``doc_id``, with all its columns."""
-    first = near_duplicates(docs, most, chunk).select(F.col("component_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each group of near-duplicates, with all its columns: the smallest ``doc_id``, nulls last, then the smallest digest of the text."""
+    marked = written(fingerprints(docs, content_of(docs).alias("content")))
+    rooted = marked.join(_roots(marked, most, chunk).select("fp", "root"), "fp")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "content")).alias("m"))
+    first = written(first.select(F.col("m.doc_id").alias("_first"), F.col("m.content").alias("_first_content")))
+    own = docs.withColumn("_content", content_of(docs))
+    kept = own.join(first, own["doc_id"].eqNullSafe(first["_first"]) & (own["_content"] == first["_first_content"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_content"]).drop("_content")  # equal texts are of one group

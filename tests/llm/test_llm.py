@@ -318,6 +318,13 @@ def test_near_duplicates_edge_cases(docs, none):
     assert kept.schema == docs.schema and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 4, 5, 7]
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    words = lambda k: " ".join(f"{k}x{i}" for i in range(40))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (None, words("c")), (3, words("c")), (7, words("d")), (7, words("e")), (9, words("e")), (None, None), (None, "")]
+    kept = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter((i, t or "") for i, t in kept) == Counter([(None, words("a")), (None, words("b")), (3, words("c")), (7, words("d")), (7, words("e")), (None, "")])
+
+
 # ---- 8 ----
 
 
