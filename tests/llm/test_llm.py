@@ -181,18 +181,84 @@ def test_html_of_given_pages(spark, sf_dir):
         assert got.text[r.page_id] == want and got.n_chars[r.page_id] == len(want)
 
 
-def test_html_boilerplate_is_the_same_in_shards(spark):
+def test_html_tags_follow_the_tokenizer():
+    text = lambda page: [t for t, _ in html_extract.blocks(page)]
+    assert text("<article><p class=it's>one</p><p>two</p></article>") == ["one", "two"]
+    assert text("<article><!-->two<!--->three<!-- x --!>four</article>") == ["twothreefour"]
+    assert text("<p a='>'b=c d>x</ y>z</><input value='>'>w<a href=/u/>v</a>") == ["xzwv"]
+    assert text("<div/>a<p>b<svg/>c<select><option>n</select>d<canvas>e") == ["a", "bcde"]
+    assert text("a < b <3 c</") == ["a < b <3 c</"]
+    places = lambda page: [p for _, p in html_extract.blocks(page)]
+    assert places("<div class=content-sidebar-wrap>x<article>y<ul class=comments><li><article>c</article></ul></article></div>") == ["soft", "main", "side"]
+    assert places("<form id=all><main>m</main></form>") == ["main"] and places("<nav><article>n</article></nav>") == ["side"]
+
+
+def brute_extract(rows, least=8):
+    """The rules of the module, with plain dictionaries: {page_id: text}."""
+    hosts = {}
+    for _, url, page in rows:
+        hosts.setdefault(url_filter.parts(url)[0], set()).add(page or "")
+    of = {}
+    for host, pages in hosts.items():
+        pages.discard("")
+        where, tokens = {}, {}
+        for page in pages:
+            tokens[page] = [(w, p) for t, p in html_extract.blocks(page) for w in t.split()]
+            for i in range(len(tokens[page]) - least + 1):
+                where.setdefault(tuple(w for w, _ in tokens[page][i : i + least]), set()).add(page)
+        for page in pages:
+            hit = {"main": set(), "other": set()}
+            for i in range(len(tokens[page]) - least + 1):
+                n = len(where[tuple(w for w, _ in tokens[page][i : i + least])])
+                main = tokens[page][i][1] == "main"
+                if n >= max(4, len(pages) / 2) if main else n > 1:
+                    hit["main" if main else "other"] |= set(range(i, i + least))
+            mains = {i for i, (_, p) in enumerate(tokens[page]) if p == "main"}
+            got = (hit["main"] if 2 * len(hit["main"] & mains) <= len(mains) else set()) | hit["other"]
+            at, blocks = 0, []
+            for t, p in html_extract.blocks(page):
+                n = len(t.split())
+                blocks.append((t, p, len(got & set(range(at, at + n))) / n))
+                at += n
+            for place, most in (("main", 0.8), ("open", 0.5), ("soft", 0.5)):
+                every = [b for b in blocks if b[1] == place]
+                if every:
+                    of[host, page] = "\n\n".join(b[0] for b in [b for b in every if b[2] < most] or every)
+                    break
+    return {i: of.get((url_filter.parts(url)[0], page or ""), "") for i, url, page in rows}
+
+
+@pytest.mark.parametrize("shard_chars", [1 << 18, 3000])
+def test_html_matches_brute_force(spark, shard_chars):
     rng = np.random.default_rng(3)
     words = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 3000, n))
-    notice = [words(12) for _ in range(3)]
-    rows = [(i, f"http://h{i % 3}.x/", f"<div>{notice[i % 3]}</div><div>{words(30)}</div>") for i in range(60)] + [(None, None, None), (99, "http://h0.x/", "")]
+    notice, quote = [words(12) for _ in range(3)], words(60)
+    rows = []
+    for i in range(90):
+        h = i % 3
+        if i < 45:  # without an article
+            rows.append((i, f"http://h{h}.x/", f"<div>{notice[h]}</div><div>{words(30)}</div><form>{words(4)}</form>"))
+        else:  # a notice in every article of a host, a quotation in some
+            rows.append((i, f"http://n{h}.x/", f"<nav>{words(9)}</nav><article><p>{words(25)}</p>" + (f"<p>{quote}</p>" if i % 5 == 0 else "") + f"<p>{words(20)}</p><p>{notice[h]}</p></article>"))
+    copy = f"<article><p>{words(40)}</p></article>"
+    rows += [(100 + i, "http://copies.x/a", copy) for i in range(6)]
+    rows += [(110 + i, "http://near.x/a", f"<article><p>{quote}</p><p>{notice[0]}</p><p>{i}</p></article>") for i in range(6)]
+    rows += [(None, None, None), (99, "http://h0.x/", ""), (98, None, "<p>bare</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    whole, shards = (html_extract.extract(df, shard_tokens=n).toPandas().sort_values("page_id", ignore_index=True) for n in (1 << 14, 100))
-    pd.testing.assert_frame_equal(whole, shards)
-    assert all(notice[int(i) % 3] not in t and len(t.split()) == 30 for i, t in zip(whole.page_id[:60], whole.text, strict=False))
+    got = html_extract.extract(df, shard_chars=shard_chars).collect()
+    assert {r.page_id: r.text for r in got} == brute_extract(rows) and len(got) == len(rows)
+    texts = {r.page_id: r.text for r in got}
+    assert all(notice[i % 3] not in texts[i] for i in range(90)) and quote in texts[45] and quote in texts[111] and texts[100] == texts[105] != ""
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_window_pages_by_hand():
+    tokens = "a b a b \0 a b c \0".replace("\0", "|").split()
+    page, stop = np.array([0] * 5 + [1] * 4), np.array([t == "|" for t in tokens])
+    _, pages, whole = html_extract.window_pages([f"{t}{p}" if t == "|" else t for t, p in zip(tokens, page, strict=True)], page, stop, 2)
+    assert list(pages[whole]) == [2, 1, 2, 2, 1]
+
+
 # ---- 5 ----
 
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block"}
