@@ -8,7 +8,16 @@ rejected.
   letters, digits, marks nor ordinary sentence punctuation;
 * navigation: under ``min_line_words`` words with no sentence punctuation, or a
   separator (``|``, ``>``, a bullet) for every two words beside it;
-* boilerplate: a known notice phrase in a line of at most ``notice_words`` words.
+* boilerplate: a known notice phrase in a line of at most ``notice_words`` words,
+  or a line of the corpus's own boilerplate.
+
+The corpus's boilerplate is learned from all documents: lines of at most
+``notice_chars`` characters that stand between different neighbours in at least
+``common_share`` of the documents, and ``common_least`` times or more. A line of
+copied documents has the same neighbours each time and counts once. As a share
+of the documents, such lines are few whatever the corpus: at most the mean number
+of lines of a document divided by ``common_share``. They are removed, but are
+no lost text: they are well-formed, and say nothing about what stands around them.
 
 Words are runs of ``[^\x20\x09-\x0D]``. The base rules need ``min_words`` words
 and at most ``max_repeat_pct`` per cent of the words in 8-word windows that the
@@ -17,11 +26,13 @@ text holds twice or more.
 Edge cases: a null or empty text has no words and is rejected by the base
 rules; a null ``doc_id`` is carried through; equal rows give equal rows; an
 empty table gives an empty one; columns besides ``doc_id`` and ``text`` play no
-part. A line of only white space is neither kept nor lost.
+part (``keep_good`` sets ``n_chars``, if there is one, to the cleaned text's). A
+line of only white space is neither kept nor lost.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,12 +41,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import texts_of
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "base_failed boolean, n_lines bigint, n_failed_lines bigint, kept_chars bigint, lost_share double, kept boolean"
+    "base_failed boolean, n_lines bigint, n_failed_lines bigint, n_common_lines bigint, kept_chars bigint, lost_share double, kept boolean"
 )
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -64,6 +76,9 @@ class QualityRules:
     min_line_words: int = 3
     notice_words: int = 25
     max_lost: float = 0.5
+    notice_chars: int = 300
+    common_share: float = 0.01
+    common_least: int = 20
 
 
 _SENTENCE = re.compile(r"[.!?…:;。！？،؟।]")
@@ -109,17 +124,41 @@ def line_fails(line: str, n_words: int, rules: QualityRules) -> bool:
     return n_words <= rules.notice_words and _NOTICE.search(line.lower()) is not None
 
 
-def judge(text: str, rules: QualityRules) -> tuple:
-    """All columns of ``SCHEMA`` but ``doc_id``."""
+_BLANK = " \t\n\x0b\x0c\r"
+
+
+def common_lines(docs: DataFrame, rules: QualityRules = QualityRules()) -> frozenset[bytes]:
+    """Digests (MD5) of the corpus's own boilerplate lines; a bounded set, see above. Two counts, summed up in part before each shuffle."""
+    least = max(rules.common_least, rules.common_share * docs.where("text is not null").count())
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANK))), lambda x: x != "")
+    # Each line with the lines before and after it, in one pass over the array.
+    beside = lambda i: F.coalesce(F.get("l", i), F.lit(""))
+    placed = F.transform("l", lambda x, i: F.struct(x.alias("x"), F.xxhash64(beside(i - 1), beside(i + 1)).alias("context")))
+    rows = docs.select(lines.alias("l")).select(F.explode(F.filter(placed, lambda p: F.length(p["x"]) <= rules.notice_chars)).alias("p"))
+    rows = rows.select(F.unhex(F.md5("p.x")).alias("line"), "p.context").distinct()
+    return frozenset(bytes(r.line) for r in rows.groupBy("line").count().where(F.col("count") >= least).select("line").collect())
+
+
+def _is_common(line: str, rules: QualityRules, common: frozenset[bytes]) -> bool:
+    if not common:
+        return False
+    line = line.strip(_BLANK)
+    return len(line) <= rules.notice_chars and hashlib.md5(line.encode("utf-8", "replace"), usedforsecurity=False).digest() in common
+
+
+def judge(text: str, rules: QualityRules, common: frozenset[bytes] = frozenset()) -> tuple:
+    """All columns of ``SCHEMA`` but ``doc_id``, and the cleaned text."""
     raw = text.encode("utf-8", "replace")
     word_chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
     n_symbols = sum(map(text.count, SYMBOLS))
     seen: set[str] = set()
     words: list[bytes] = []
-    dups = lines = failed = kept_chars = all_chars = 0
+    clean: list[str] = []
+    dups = lines = failed = shared = kept_chars = all_chars = lost_chars = 0
     for line, line_raw in zip(text.split("\n"), raw.split(b"\n"), strict=True):
         own = line_raw.split()  # of bytes: splits at ASCII white space only, which is what a word excludes
         if not own:
+            clean.append(line)
             continue
         words += own
         lines += 1
@@ -128,21 +167,26 @@ def judge(text: str, rules: QualityRules) -> tuple:
         all_chars += len(line)
         if line_fails(line, len(own), rules):
             failed += 1
+            lost_chars += len(line)
+        elif _is_common(line, rules, common):
+            shared += 1
         else:
             kept_chars += len(line)
+            clean.append(line)
     n_words, repeat = len(words), repeated_words(words)
     base_failed = n_words < rules.min_words or 100 * repeat > rules.max_repeat_pct * n_words
-    lost = (all_chars - kept_chars) / all_chars if all_chars else 0.0
-    return n_words, word_chars, n_symbols, dups, repeat, base_failed, lines, failed, kept_chars, lost, not base_failed and lost <= rules.max_lost
+    lost = lost_chars / all_chars if all_chars else 0.0
+    return n_words, word_chars, n_symbols, dups, repeat, base_failed, lines, failed, shared, kept_chars, lost, not base_failed and lost <= rules.max_lost, "\n".join(clean)
 
 
-def quality_report(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """One row of ``SCHEMA`` per row of ``docs``; a narrow pass without a shuffle."""
+def quality_report(docs: DataFrame, rules: QualityRules = QualityRules(), common: frozenset[bytes] | None = None) -> DataFrame:
+    """One row of ``SCHEMA`` per row of ``docs``; after the count of lines, a narrow pass without a shuffle."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
+    shared = docs.sparkSession.sparkContext.broadcast(common_lines(docs, rules) if common is None else common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [judge(t, rules) for t in texts_of(pdf["text"])]
+            rows = [judge(t, rules, shared.value)[:-1] for t in texts_of(pdf["text"])]
             out = pd.DataFrame(rows, columns=names[1:])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
             yield out
@@ -150,21 +194,15 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules()) -> Dat
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
 
 
-def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns, texts unchanged."""
+def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), common: frozenset[bytes] | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns; texts without the lines that failed or are the corpus's boilerplate."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_lines(docs, rules) if common is None else common)
+    counted = "n_chars" in docs.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[[judge(t, rules)[-1] for t in texts_of(pdf["text"])]]
+            found = [judge(t, rules, shared.value)[-2:] for t in texts_of(pdf["text"])]
+            out = pdf.assign(text=[clean for _, clean in found])[[kept for kept, _ in found]]
+            yield out.assign(n_chars=out["text"].str.len().astype("Int64")) if counted else out
 
     return docs.mapInPandas(run, docs.schema)
-
-
-def clean_text(text: str, rules: QualityRules = QualityRules()) -> str:
-    """The text without its failing lines."""
-    out = []
-    for line in text.split("\n"):
-        n = len(line.encode("utf-8", "replace").split())
-        if not n or not line_fails(line, n, rules):
-            out.append(line)
-    return "\n".join(out)
