@@ -3,7 +3,10 @@ r"""Language identification with segmentation-marginalised unigrams.
 Each language has a probability for every piece of a fixed public vocabulary
 (the pieces of ``piece_bpe_32k.model``; they are given, never trained). The
 probability of a word is the sum over all its segmentations into pieces, found
-by a forward algorithm; a text's score sums the log probabilities of its words.
+by a forward algorithm over the whole word, however long; a text's log probability
+sums those of its words. Its score is the best language's share of the
+probabilities, after log probabilities of a text of over ``SCORED_WORDS`` words
+are brought down to that many words' worth, so that long texts don't all score 1.
 
 Training: expectation maximisation over word counts. The words come from a
 bounded sample of the labelled rows: about ``sample_docs`` texts of each
@@ -39,15 +42,16 @@ SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, n_let
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Longer pieces are left out, longer words are scored in stretches of CHUNK characters.
-LONGEST, CHUNK = 8, 48
+#: Words of up to so many characters go through matrices, many at a time (no product of FLOORs underflows); longer ones one by one, place by place.
+SHORT = 40
+SCORED_WORDS = 50
 #: Probability of a character that no piece holds, and the least one that a piece can get.
 FLOOR = 1e-7
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """Pieces of up to LONGEST characters of a sentencepiece model, in id order."""
+    """Lower-cased pieces of a sentencepiece model, sorted."""
     import sentencepiece
 
     if path is None:
@@ -56,7 +60,7 @@ def vocabulary(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i)))
-    return sorted({p for p in (x.lower() for x in found) if 0 < len(p) <= LONGEST})
+    return sorted({x.lower() for x in found if x})
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,18 +143,48 @@ def forward(p: np.ndarray, n_words: int, lens: np.ndarray, ends: list) -> np.nda
     return alpha[np.arange(n_words), lens]
 
 
+def placed(word: str, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces in one word: first character, length and id of each, sorted by where they end."""
+    codes, _ = _codes([word])
+    keys, found = np.zeros(codes.shape[1], np.uint64), []
+    for n in range(1, min(pieces.longest, len(word)) + 1):
+        keys = _extend(keys[: len(word) - n + 1], codes[0, n - 1 :])
+        rows, ids = pieces.find(keys)
+        found.append((rows, np.full(len(rows), n), ids))
+    start, n, ids = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(start + n, kind="stable")
+    return start[order], n[order], ids[order]
+
+
+def long_word_log(word: str, p: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """log P(word | language) of one word: the forward pass in a ring of the last places, scaled up as it shrinks."""
+    start, n, ids = placed(word, pieces)
+    first = np.searchsorted(start + n, np.arange(len(word) + 2))
+    size = pieces.longest + 1
+    ring, scale = np.zeros((size, p.shape[1])), np.zeros(p.shape[1])
+    ring[0] = 1
+    for end in range(1, len(word) + 1):
+        a = ring[(end - 1) % size] * FLOOR
+        own = slice(first[end], first[end + 1])
+        if own.stop > own.start:
+            a = a + (ring[(end - n[own]) % size] * p[ids[own]]).sum(0)
+        ring[end % size] = a
+        small = a < 1e-150
+        if small.any():
+            ring[:, small] *= 1e150
+            scale[small] -= 150 * np.log(10)
+    return np.log(np.maximum(ring[len(word) % size], 1e-300)) + scale
+
+
 def word_logs(words: list[str], p: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """log P(word | language), (words, languages); a word of over CHUNK characters is the product of its stretches."""
+    """log P(word | language), (words, languages)."""
     out = np.zeros((len(words), p.shape[1]))
-    long = [i for i, w in enumerate(words) if len(w) > CHUNK]
-    if long:
-        parts = [(i, words[i][a : a + CHUNK]) for i in long for a in range(0, len(words[i]), CHUNK)]
-        logs = word_logs([w for _, w in parts], p, pieces)
-        np.add.at(out, [i for i, _ in parts], logs)
-    short = [i for i, w in enumerate(words) if len(w) <= CHUNK]
     by_width: dict[int, list[int]] = {}
-    for i in short:
-        by_width.setdefault((len(words[i]) + 3) // 4, []).append(i)  # words of like length share a matrix
+    for i, w in enumerate(words):
+        if len(w) > SHORT:
+            out[i] = long_word_log(START + w, p, pieces)
+        else:
+            by_width.setdefault((len(w) + 3) // 4, []).append(i)  # words of like length share a matrix
     for ids in by_width.values():
         for s in range(0, len(ids), 20_000):
             part = ids[s : s + 20_000]
@@ -159,12 +193,34 @@ def word_logs(words: list[str], p: np.ndarray, pieces: Pieces) -> np.ndarray:
     return out
 
 
+def _long_counts(word: str, p: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids and their expected counts in one word, by forward-backward in logarithms; ``p`` is one language's."""
+    start, n, ids = placed(word, pieces)
+    end, logs, unknown = start + n, np.log(p[ids]), np.log(FLOOR)
+    alpha, beta = np.full(len(word) + 1, -np.inf), np.full(len(word) + 1, -np.inf)
+    alpha[0] = beta[-1] = 0
+    first = np.searchsorted(end, np.arange(len(word) + 2))
+    for k in range(1, len(word) + 1):
+        own = slice(first[k], first[k + 1])
+        alpha[k] = np.logaddexp.reduce(np.r_[alpha[k - 1] + unknown, alpha[start[own]] + logs[own]])
+    order = np.argsort(start, kind="stable")
+    first = np.searchsorted(start[order], np.arange(len(word) + 1))
+    for k in range(len(word) - 1, -1, -1):
+        own = order[first[k] : first[k + 1]]
+        beta[k] = np.logaddexp.reduce(np.r_[beta[k + 1] + unknown, beta[end[own]] + logs[own]])
+    return ids, np.exp(alpha[start] + logs + beta[end] - alpha[-1])
+
+
 def expected_counts(words: list[str], weights: np.ndarray, langs: np.ndarray, p: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Expected piece counts (pieces, languages) by forward-backward; word i counts for language ``langs[i]`` only."""
     out = np.zeros(p.shape)
-    for s in range(0, len(words), 5_000):
-        part = slice(s, s + 5_000)
-        own, w, lang = [START + x for x in words[part]], weights[part], langs[part]
+    for i in (i for i, x in enumerate(words) if len(x) > SHORT):
+        ids, c = _long_counts(START + words[i], p[:, langs[i]], pieces)
+        np.add.at(out[:, langs[i]], ids, weights[i] * c)
+    short = np.array([i for i, x in enumerate(words) if len(x) <= SHORT], np.int64)
+    for s in range(0, len(short), 5_000):
+        part = short[s : s + 5_000]
+        own, w, lang = [START + words[i] for i in part], weights[part], langs[part]
         lens, ends = pieces.spans(own)
         pl = [[(n, rows, ids, p[ids, lang[rows]]) for n, rows, ids in e] for e in ends]
         width, m = len(ends) - 1, len(own)
@@ -223,8 +279,7 @@ def train(docs: DataFrame, pieces: list[str] | None = None, sample_docs: int = 3
             for lang, own in pdf.groupby("lang"):
                 c: Counter = Counter()
                 for t in own["text"]:
-                    for w in words_of(t):
-                        c.update([w] if len(w) <= CHUNK else [w[a : a + CHUNK] for a in range(0, len(w), CHUNK)])
+                    c.update(words_of(t))
                 if c:
                     yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
@@ -271,7 +326,7 @@ class Scorer:
                     out.append((UND, 0.0, n))
                     continue
                 total = logs[np.fromiter(map(self.index.__getitem__, own), np.int64, n)].sum(0)
-                total *= min(n, 50) / n  # so that long texts don't all get exactly 1
+                total *= min(n, SCORED_WORDS) / n
                 best = int(total.argmax())
                 out.append((self.model.langs[best], float(1 / np.exp(total - total[best]).sum()), n))
             room = max(0, self.most - kept)  # the first words seen stay, as frequent ones are among them

@@ -516,6 +516,63 @@ def test_forward_sums_all_segmentations():
     assert got == pytest.approx([total("▁ab"), total("▁bab"), total("▁abc")], rel=1e-4)
 
 
+def test_long_words_are_summed_whole():
+    rng = np.random.default_rng(2)
+    pieces = sorted({"".join(rng.choice(list("abc"), n)) for n in (1, 2, 3, 5, 9, 16) for _ in range(12)} | {"▁"})
+    p = rng.dirichlet(np.ones(len(pieces)), 3).T + 1e-9
+    found = langid.Pieces(pieces)
+    words = ["".join(rng.choice(list("abcx"), n, p=[0.4, 0.3, 0.28, 0.02])) for n in (1, 5, 17, 39, 40)]
+    assert np.array([langid.long_word_log("▁" + w, p, found) for w in words]) == pytest.approx(langid.word_logs(words, p, found))
+    long = "".join(rng.choice(list("abcx"), 700))
+    logs, at = np.full((702, 3), -np.inf), {x: np.log(p[i]) for i, x in enumerate(pieces)}
+    logs[0] = 0
+    text = "▁" + long
+    for end in range(1, 702):
+        ways = [logs[end - 1] + np.log(langid.FLOOR)] + [logs[end - n] + at[text[end - n : end]] for n in range(1, min(16, end) + 1) if text[end - n : end] in at]
+        logs[end] = np.logaddexp.reduce(ways)
+    assert langid.word_logs([long], p, found)[0] == pytest.approx(logs[701])
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba"]
+    p = np.array([[0.1, 0.2], [0.2, 0.1], [0.3, 0.05], [0.05, 0.2], [0.15, 0.15], [0.07, 0.2], [0.13, 0.1]])
+    found = langid.Pieces(pieces)
+
+    def ways(s):
+        if not s:
+            yield []
+        for n in range(1, len(s) + 1):
+            if s[:n] in pieces:
+                yield from ([pieces.index(s[:n]), *rest] for rest in ways(s[n:]))
+        if s:
+            yield from ([-1, *rest] for rest in ways(s[1:]))
+
+    for words in (["ab", "abab", "baab", "abx"],):
+        weights, langs = np.array([2.0, 1.0, 3.0, 1.0]), np.array([0, 1, 1, 0])
+        want = np.zeros(p.shape)
+        for w, n, k in zip(words, weights, langs, strict=True):
+            every = [(x, np.prod([langid.FLOOR if i < 0 else p[i, k] for i in x])) for x in ways("▁" + w)]
+            for x, q in every:
+                for i in x:
+                    if i >= 0:
+                        want[i, k] += n * q / sum(q for _, q in every)
+        assert langid.expected_counts(words, weights, langs, p, found) == pytest.approx(want)
+        for w, k in zip(words, langs, strict=True):
+            ids, c = langid._long_counts("▁" + w, p[:, k], found)
+            one = langid.expected_counts([w], np.ones(1), np.array([k]), p, found)[:, k]
+            assert np.bincount(ids, c, len(pieces)) == pytest.approx(one)
+
+
+def test_the_vocabulary_is_whole():
+    import sentencepiece
+
+    import public_tokenizers
+
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    own = {m.id_to_piece(i).lower() for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+    assert set(langid.vocabulary()) == own and max(map(len, own)) > 8
+
+
 def test_language_on_held_out_texts(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, test = d.where("doc_id % 4 <> 2"), d.where("doc_id % 4 = 2")
