@@ -1,22 +1,24 @@
 r"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, of order 4. Its alphabet is the most frequent
-characters of the trusted text, up to ``ALPHABET``; any other character is one
-symbol of its own. Counts of four characters are summed up by Spark; the lower
-orders count in how many different ways they continue, three discounts per order
-come from the counts of counts, and every n-gram gets its discounted probability
-and, as a context, the weight of the next lower order. The model stays a table,
-sharded by n-gram.
+The model is over characters, of order 4. Its symbols are the most frequent
+characters of the counted text, up to ``ALPHABET``, and 256 bytes; any other
+character is spelt in its UTF-8 bytes, so no text loses anything. Counts of four
+symbols are summed up by Spark; the lower orders count in how many different ways
+they continue, three discounts per order come from the counts of counts, and every
+n-gram gets its discounted probability and, as a context, the weight of the next
+lower order. The model stays a table, sharded by n-gram.
 
 Scoring is a sharded join: documents travel in blocks of about ``block_chars``
 characters, compressed; a block asks once for each distinct n-gram that it holds,
-the answers come back by block, and the block's documents are scored with them.
-What is gathered so grows with the corpus, and no n-gram is a hot key, as
+the answers come back packed by block, and the block's documents are scored with
+them. What is gathered so grows with the corpus, and no n-gram is a hot key, as
 it has one request per block at most.
 
-A document is kept if its perplexity per character is at most ``margin`` times
-the ``quantile`` of trusted documents of its language (of all languages, if its
-own has none).
+One in ten of the trusted documents, by a hash of the id, is kept out of the
+counts and sets the thresholds: a document is kept if its perplexity per
+character is at most ``margin`` times the ``quantile`` (to a ten-thousandth of the
+ranks) of those of its language; of all languages, if its own has none; of the
+counted documents, if none was kept out.
 
 Edge cases: a null or empty text has no perplexity and is not kept; a null
 ``lang`` is a language of its own; without trusted text nothing has a perplexity
@@ -35,15 +37,19 @@ from pyspark.sql import functions as F
 
 from .common import portions, texts_of, written
 
-SCHEMA = "doc_id bigint, lang string, n_scored bigint, perplexity double, trusted boolean"
+SCHEMA = "doc_id bigint, lang string, n_scored bigint, perplexity double, role string"
 ORDER, BITS = 4, 12
-#: Symbols: 0 stands before a text, 1 is any character outside the alphabet, the rest are characters.
-ALPHABET = (1 << BITS) - 2
+#: Symbols: 0 stands before a text, from 2 on characters, after them 256 bytes.
+BYTES = 256
+ALPHABET = (1 << BITS) - 2 - BYTES
+#: Which trusted documents set the thresholds instead of being counted: this share, by a hash of the id.
+HELD_OUT = 10
 #: Ids of trusted documents are broadcast up to this number (8 bytes each); above it they are joined by a shuffle.
 FEW = 2_000_000
 #: Characters that one NumPy pass takes at once.
 AT_ONCE = 2_000_000
-_BLOCK = "block bigint, doc_ids binary, nulls binary, langs array<string>, trusted array<boolean>, texts binary, ends binary"
+_PACKED = "block bigint, n int, keys binary, a binary, gamma binary"
+_BLOCK = "block bigint, doc_ids binary, nulls binary, langs array<string>, roles array<string>, texts binary, ends binary"
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -51,10 +57,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, text, lang, trusted)."""
+    """(doc_id, text, lang, role): ``counted`` or ``calibrating`` for trusted documents with a text, else null."""
     few = trusted.limit(FEW + 1).count() <= FEW
     found = docs.select("doc_id", "text", "lang").join(F.broadcast(trusted) if few else trusted, F.col("doc_id") == F.col("_id"), "left")
-    return found.select("doc_id", "text", "lang", F.col("_id").isNotNull().alias("trusted"))
+    role = F.when(F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0, "calibrating").otherwise("counted")
+    return found.select("doc_id", "text", "lang", F.when(F.col("_id").isNotNull() & (F.col("text") != ""), role).alias("role"))
 
 
 # ---- counting --------------------------------------------------------------------------------------------------
@@ -66,6 +73,7 @@ class Symbols:
     def __init__(self, alphabet: np.ndarray):
         self.table = np.ones(0x110000, np.int16)
         self.table[alphabet] = np.arange(2, len(alphabet) + 2)
+        self.first_byte = len(alphabet) + 2
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all texts, each with three zeros before it, and where each text ends."""
@@ -77,7 +85,19 @@ class Symbols:
         starts = ends - lens
         for k in range(1, ORDER):
             out[starts - k] = 0
-        return out, ends
+        rare = np.flatnonzero(out == 1)
+        if not len(rare):
+            return out, ends
+        codes, which = np.unique(raw[rare], return_inverse=True)
+        spelt = [np.frombuffer(chr(c).encode("utf-8", "replace"), np.uint8) for c in codes]
+        widths = np.fromiter(map(len, spelt), np.int64, len(spelt))[which]
+        each = np.ones(len(out), np.int64)
+        each[rare] = widths
+        after = np.cumsum(each)
+        out = np.repeat(out, each)
+        at = np.repeat(after[rare] - widths, widths) + np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
+        out[at] = self.first_byte + np.concatenate([spelt[k] for k in which]).astype(np.int16)
+        return out, after[ends - 1]
 
 
 def grams(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,9 +210,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return written(out.groupBy("key").agg(F.coalesce(F.max("a"), F.lit(0.0)).alias("a"), F.coalesce(F.max("gamma"), F.lit(1.0)).alias("gamma")))
 
 
-def log_probabilities(key: np.ndarray, answers: pd.DataFrame, n_letters: int) -> np.ndarray:
-    """log p of the last symbol of each order-4 n-gram after the three before it; ``answers`` are sorted by key."""
-    keys, a, gamma = (answers[c].to_numpy() for c in ("key", "a", "gamma"))
+def log_probabilities(key: np.ndarray, answers: tuple[np.ndarray, np.ndarray, np.ndarray], n_letters: int) -> np.ndarray:
+    """log p of the last symbol of each order-4 n-gram after the three before it; ``answers`` (keys, a, gamma) are sorted by key."""
+    keys, a, gamma = answers
 
     def find(wanted: np.ndarray, column: np.ndarray, missing: float) -> np.ndarray:
         if not len(keys):
@@ -200,7 +220,7 @@ def log_probabilities(key: np.ndarray, answers: pd.DataFrame, n_letters: int) ->
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, column[at], missing)
 
-    p = np.full(len(key), 1.0 / (n_letters + 1))
+    p = np.full(len(key), 1.0 / (n_letters + BYTES))
     for order in range(1, ORDER + 1):
         context = tagged(key >> BITS, order - 1)
         p = find(tagged(key, order), a, 0.0) + find(context, gamma, 1.0) * p
@@ -229,7 +249,7 @@ def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
 
         for pdf in batches:
             ids = [None if x is pd.NA else int(x) for x in pdf["doc_id"].astype("Int64").array]
-            for row in zip(ids, pdf["lang"].where(pdf["lang"].notna(), None), pdf["trusted"], texts_of(pdf["text"]), strict=True):
+            for row in zip(ids, pdf["lang"].where(pdf["lang"].notna(), None), pdf["role"].where(pdf["role"].notna(), None), texts_of(pdf["text"]), strict=True):
                 held.append(row)
                 size += len(row[3]) + 64
                 if size >= block_chars:
@@ -249,8 +269,47 @@ def _texts(row) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
+def _pack(batches: Iterator[pd.DataFrame], at_once: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """Answers (block, key, a, gamma) as ``_PACKED``: one row for each block in some million of them."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3)
+
+    def out(held: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(held).sort_values(["block", "key"])
+        block = pdf["block"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        rows = []
+        for a, b in zip(cuts, cuts[1:]):
+            keys = np.diff(pdf["key"].to_numpy()[a:b], prepend=0)
+            rows.append((block[a], b - a, squeeze.compress(keys.tobytes()), *(squeeze.compress(pdf[c].to_numpy(np.float64)[a:b].tobytes()) for c in ("a", "gamma"))))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _PACKED.split(", ")])
+
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= at_once:
+            yield out(held)
+            held, n = [], 0
+    if n:
+        yield out(held)
+
+
+def _unpack(packed: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor()
+    parts = [tuple(np.frombuffer(open_.decompress(x, max_output_size=8 * r.n + 8), t) for x, t in ((r.keys, np.int64), (r.a, np.float64), (r.gamma, np.float64))) for r in packed.itertuples()]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    keys = np.concatenate([np.cumsum(k) for k, _, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate([a for _, a, _ in parts])[order], np.concatenate([g for _, _, g in parts])[order]
+
+
 def score(docs: DataFrame, letters: np.ndarray, model: DataFrame, block_chars: int = 12_000_000) -> DataFrame:
-    """One row of ``SCHEMA`` per row of ``docs`` (doc_id, text, lang, trusted)."""
+    """One row of ``SCHEMA`` per row of ``docs`` (doc_id, text, lang, role)."""
     blocks = written(_blocks(docs, block_chars))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(letters)
@@ -268,11 +327,11 @@ def score(docs: DataFrame, letters: np.ndarray, model: DataFrame, block_chars: i
                 yield pd.DataFrame({"key": np.concatenate(asked), "block": row.block})
 
     asked = blocks.select("block", "texts", "ends").mapInPandas(ask, "key bigint, block bigint")
-    answers = asked.join(model, "key").select("block", "key", F.col("a").cast("float").alias("a"), F.col("gamma").cast("float").alias("gamma"))
+    answers = asked.join(model, "key").select("block", "key", "a", "gamma").mapInPandas(_pack, _PACKED)
 
     def judge(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         symbols, out = Symbols(shared.value), []
-        answers = answers.sort_values("key")
+        found = _unpack(answers)
         for row in block.itertuples():
             texts = _texts(row)
             lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -281,14 +340,15 @@ def score(docs: DataFrame, letters: np.ndarray, model: DataFrame, block_chars: i
             if len(full) and len(shared.value):
                 for a, b in portions([texts[i] for i in full], AT_ONCE):
                     own = full[a:b]
-                    key, _, place = grams(*symbols.of([texts[i] for i in own]))
-                    logs = log_probabilities(key, answers, len(shared.value))[place]
-                    total[own] = np.add.reduceat(logs, np.cumsum(lens[own]) - lens[own])
+                    spelt, ends = symbols.of([texts[i] for i in own])
+                    key, _, place = grams(spelt, ends)
+                    logs = log_probabilities(key, found, len(shared.value))[place]
+                    total[own] = np.add.reduceat(logs, np.r_[0, ends[:-1]] - np.arange(len(own)) * (ORDER - 1))
             ppl = np.exp(-total / np.maximum(lens, 1))
             ids = pd.array(np.frombuffer(row.doc_ids, np.int64), "Int64")
             ids[np.frombuffer(row.nulls, bool)] = pd.NA
             scored = (lens > 0) & bool(len(shared.value))
-            out.append(pd.DataFrame({"doc_id": ids, "lang": list(row.langs), "n_scored": np.where(scored, lens, 0), "perplexity": pd.array(np.where(scored, ppl, np.nan)).astype("Float64"), "trusted": list(row.trusted)}))
+            out.append(pd.DataFrame({"doc_id": ids, "lang": list(row.langs), "n_scored": np.where(scored, lens, 0), "perplexity": pd.array(np.where(scored, ppl, np.nan)).astype("Float64"), "role": list(row.roles)}))
         got = pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
         got["perplexity"] = got["perplexity"].astype("Float64").where(got["n_scored"] > 0, pd.NA)
         return got
@@ -299,14 +359,13 @@ def score(docs: DataFrame, letters: np.ndarray, model: DataFrame, block_chars: i
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.25, block_chars: int = 12_000_000) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): doc_id, lang, n_scored, perplexity, threshold, kept."""
     docs = flagged(docs, trusted_ids(labels))
-    trusted = docs.where("trusted and text is not null and text <> ''")
-    letters = alphabet(trusted)
-    model = kneser_ney(count_grams(trusted, letters))
+    counted = docs.where("role = 'counted'")
+    letters = alphabet(counted)
+    model = kneser_ney(count_grams(counted, letters))
     scored = written(score(docs, letters, model, block_chars))
     cut: Column = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    known = scored.where("trusted and perplexity is not null")
-    by_lang = known.groupBy("lang").agg(cut.alias("own"))
-    every = known.agg(cut.alias("every")).first().every  # one number
+    by_lang = scored.where("role = 'calibrating' and perplexity is not null").groupBy("lang").agg(cut.alias("own"))
+    every = {r.role: r.every for r in scored.where("role is not null and perplexity is not null").groupBy("role").agg(cut.alias("every")).collect()}  # two numbers at most
     found = scored.alias("s").join(by_lang.alias("t"), F.expr("s.lang <=> t.lang"), "left")
-    threshold = F.coalesce(F.col("own"), F.lit(every).cast("double"))
+    threshold = F.coalesce(F.col("own"), F.lit(every.get("calibrating", every.get("counted"))).cast("double"))
     return found.select("doc_id", "s.lang", "n_scored", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"))

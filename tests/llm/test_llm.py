@@ -72,9 +72,10 @@ def test_top_k_of_few_and_none(spark):
 
 
 def kn(texts, letters):
-    """Plain interpolated modified Kneser-Ney of order 4 over characters."""
+    """Plain interpolated modified Kneser-Ney of order 4 over characters; others than ``letters`` are spelt in bytes."""
     sym = {c: i + 2 for i, c in enumerate(letters)}
-    seq = [[0, 0, 0, *(sym.get(c, 1) for c in t)] for t in texts]
+    spell = lambda t: [0, 0, 0, *(x for c in t for x in ([sym[c]] if c in sym else [-b for b in c.encode()]))]
+    seq = [spell(t) for t in texts]
     counts = {4: Counter(tuple(s[i - 3 : i + 1]) for s in seq for i in range(3, len(s)))}
     for k in (3, 2, 1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
@@ -89,10 +90,10 @@ def kn(texts, letters):
         model[k] = ({g: max(n - cut(n), 0) / total[g[:-1]] for g, n in c.items()}, {h: gone[h] / total[h] for h in total})
 
     def ppl(text):
-        s = [0, 0, 0, *(sym.get(c, 1) for c in text)]
+        s = spell(text)
         logs = 0.0
         for i in range(3, len(s)):
-            p = 1 / (len(letters) + 1)
+            p = 1 / (len(letters) + 256)
             for k in (1, 2, 3, 4):
                 a, g = model[k]
                 p = a.get(tuple(s[i - k + 1 : i + 1]), 0.0) + g.get(tuple(s[i - k + 1 : i]), 1.0) * p
@@ -102,16 +103,29 @@ def kn(texts, letters):
     return ppl
 
 
-def test_perplexity_matches_a_plain_model(spark, sf_dir):
-    d = real(spark, sf_dir).limit(60)
-    d = spark.createDataFrame([tuple(r) for r in d.collect()], d.schema)
-    labels = d.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).where("doc_id % 2 = 0")
+def test_classifier_matches_a_plain_model(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(quality_lm, "ALPHABET", 40)  # the rarer letters of the counted text are spelt in bytes too
+    rows = [(r.doc_id, r.text, r.lang) for r in real(spark, sf_dir).limit(80).collect()] + [(1000, "日本語の text, Ω½", None), (1001, None, "en"), (1002, "", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("perplexity", F.lit("clash"))
+    labels = d.select("doc_id", F.lit(1).alias("quality")).where("doc_id % 3 <> 0 or doc_id = 1001")
     got = quality_lm.classify(d, labels, block_chars=20_000).toPandas().set_index("doc_id")
-    pdf = d.toPandas()
-    trusted = [t for i, t in zip(pdf.doc_id, pdf.text, strict=True) if i % 2 == 0]
-    ppl = kn(trusted, sorted(set("".join(trusted))))
-    for i, t in zip(pdf.doc_id[:12], pdf.text, strict=False):
-        assert got.perplexity[i] == pytest.approx(ppl(t), rel=1e-6)
+    held = {r.doc_id for r in d.where(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0).collect()}
+    trusted = {i for i, t, _ in rows if (i % 3 or i == 1001) and t}
+    counted = [t for i, t, _ in rows if i in trusted - held]
+    often = Counter("".join(counted))
+    ppl = kn(counted, sorted(sorted(often, key=lambda c: (-often[c], c))[:40]))
+    want = {i: ppl(t) if t else None for i, t, _ in rows}
+    calm = [(lang, want[i]) for i, t, lang in rows if i in trusted & held]
+    assert len(calm) > 3 and len({x for x, _ in calm}) > 1
+    for i, _, lang in rows:
+        own = [x for k, x in calm if k == lang] or [x for _, x in calm]
+        limit = 1.25 * max(own)  # the 0.99 quantile of so few
+        if want[i] is None:
+            assert pd.isna(got.perplexity[i]) and not got.kept[i]
+        else:
+            assert got.perplexity[i] == pytest.approx(want[i], rel=1e-9)
+            assert got.threshold[i] == pytest.approx(limit) and got.kept[i] == (want[i] <= got.threshold[i])
+    assert got.kept.any() and not got.kept.all()
 
 
 def test_classifier_edge_cases(spark, docs, none):
