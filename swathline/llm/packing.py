@@ -14,9 +14,11 @@ corpus, so the plan is made from it alone:
   alone is the plan where it needs no more sequences.
 
 The plan says, for each length, which ranks go to which sequences. Pieces are
-ranked within their length by Spark: counts per (length, salt) give each salt's
-first rank, and a window numbers the pieces inside a salt, so a length that
-holds a third of all rows is numbered by many tasks.
+ranked within their length by Spark: a length of many pieces is dealt out over
+as many salts as leave about ``per_salt`` pieces in each, counts per (length,
+salt) give each salt's first rank, and a window numbers the pieces inside a salt,
+so a length that holds a third of all rows is numbered by many tasks. These
+counts are what grows on the driver: one number for every ``per_salt`` pieces.
 
 Edge cases: a null or empty text is the end id alone; a null ``doc_id`` is
 carried through; rows with equal ids or texts are packed each on its own; an
@@ -251,30 +253,37 @@ def slots(planned: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "each", "sequence", "offset"]).sort_values(["length", "first"], ignore_index=True)
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end: int = END, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end: int = END, per_salt: int = 200_000) -> DataFrame:
     """One row of ``SCHEMA`` per piece of ``docs`` (doc_id, text)."""
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    cut = written(pieces(docs, capacity, end).withColumn("salt", salt))
-    counts = cut.groupBy("length", "salt").count().toPandas()  # at most capacity * salts rows, whatever the corpus
-    counts = counts.sort_values(["length", "salt"])
-    counts["first"] = counts.groupby("length")["count"].cumsum() - counts["count"]
+    cut = written(pieces(docs, capacity, end))
     hist = np.zeros(capacity + 1, np.int64)
-    by_length = counts.groupby("length")["count"].sum()
-    hist[by_length.index] = by_length
+    for r in cut.groupBy("length").count().collect():  # at most capacity rows, whatever the corpus
+        hist[r.length] = r["count"]
     where = slots(plan(hist, capacity))
-    base = np.zeros((capacity + 1) * salts, np.int64)
-    base[counts["length"] * salts + counts["salt"]] = counts["first"]
+    salts = np.maximum(1, -(-hist // per_salt))
+    dealt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.get(F.array(*map(F.lit, salts.tolist())), F.col("length").cast("int")))
+    group = F.get(F.array(*map(F.lit, (np.cumsum(salts) - salts).tolist())), F.col("length").cast("int")) + dealt
+    cut = cut.withColumn("group", group)
+    sizes = np.zeros(int(salts.sum()), np.int64)
+    if salts.max() > 1:
+        counts = cut.groupBy("group").count().toPandas()
+        sizes[counts["group"]] = counts["count"]
+    else:
+        sizes = hist
+    # The first rank of each group: the pieces of its length in the groups before it.
+    base = np.cumsum(sizes) - sizes
+    base -= np.repeat(base[np.cumsum(salts) - salts], salts)
     # One key for (length, rank), so that one binary search finds a piece's range.
     step = np.int64(1) << 40
     shared = docs.sparkSession.sparkContext.broadcast((base, *(where[c].to_numpy(np.int64) for c in where)))
-    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
+    number = F.row_number().over(Window.partitionBy("group").orderBy("doc_id", "piece", "start", "ids_crc32"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, length, first, each, sequence, offset = shared.value
         keys = length * step + first
         for pdf in batches:
             own = pdf["length"].to_numpy(np.int64)
-            rank = base[own * salts + pdf["salt"].to_numpy()] + pdf["number"].to_numpy() - 1
+            rank = base[pdf["group"].to_numpy()] + pdf["number"].to_numpy() - 1
             i = np.searchsorted(keys, own * step + rank, side="right") - 1
             inside = rank - first[i]
             pdf["sequence_id"] = sequence[i] + inside // each[i]

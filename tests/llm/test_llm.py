@@ -355,8 +355,8 @@ def test_digest_array_confirms_texts(monkeypatch):
 
 
 def test_packing_places_every_token(spark, docs, none, sf_dir):
-    for df in (docs, real(spark, sf_dir)):
-        got = packing.pack(df).toPandas()
+    for df, per_salt in ((docs, 200_000), (real(spark, sf_dir), 200_000), (real(spark, sf_dir), 3)):
+        got = packing.pack(df, per_salt=per_salt).toPandas()
         own = got.sort_values(["sequence_id", "offset"])
         assert (own.groupby("sequence_id").length.cumsum() - own.length == own.offset).all()
         assert own.groupby("sequence_id").length.sum().max() <= 1024
