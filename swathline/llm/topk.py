@@ -1,24 +1,27 @@
 r"""Exact top-k by inner product over norm-sorted vectors.
 
 Vectors are integers, floor(scale * x) of each component. Spark sorts them by
-descending length into blocks; the block of the longest ones gives every query
-a first threshold, its k-th best score there. A query block then goes only to
-those blocks whose longest vector, by Cauchy-Schwarz, could still reach the
-threshold of one of its queries; block and query block meet in a join on the
-block, so a task holds one of each. Inside, candidates come in short runs of
-falling length. Vectors are rotated by the singular vectors of the whole table,
-so that the first components carry most of a product: a candidate is dropped if
-the sum over these plus the product of the residual lengths stays below the
-threshold. What is left gets its exact integer score. Spark ranks the survivors.
+descending length into blocks of bounded size, in the narrowest integers that
+hold them; the block of the longest ones gives every query a first threshold, its
+k-th best score there. A query block then goes only to those blocks whose longest
+vector, by Cauchy-Schwarz, could still reach the threshold of one of its queries;
+block and query block meet in a join on the block, so a task holds one of each.
+Inside, candidates come in short runs of falling length. Vectors are rotated by
+the singular vectors of the whole table, so that the first components carry most
+of a product. Products are summed up over growing parts of the components
+(``STAGES``); after a part, a candidate is dropped if its sum plus the product of
+the residual lengths stays below the running k-th score. Stages that drop little
+are passed over in the next run. What is left when few are, or at the end, gets
+its exact integer score. Spark ranks the survivors.
 
 The rotation comes from the d x d matrix of inner products of components, which
 tasks sum up; only that matrix reaches the driver.
 
 Edge cases: vectors that are null or hold a null, NaN or infinity take no part,
 nor do rows without an id; shorter vectors count as padded with zeros; zero
-vectors score 0; components beyond 64 bits saturate; ties go to the smaller id;
-rows that share the query's id are its own, and a repeated query counts once,
-while repeated candidates stay; with fewer than k candidates all are returned;
+vectors score 0; components and scores beyond 64 bits saturate; ties go to the smaller id;
+rows that share the query's id are its own, and of a repeated query the smallest
+vector (component by component) asks, while repeated candidates stay; with fewer than k candidates all are returned;
 an empty table gives an empty one; other columns play no part.
 """
 
@@ -35,7 +38,9 @@ from .common import written
 
 SCHEMA = "query_id bigint, rank int, vec_id bigint, score bigint"
 RUN = 512
-_BLOCK = "block bigint, n int, dim int, longest double, ids binary, data binary"
+#: After which shares of the components bounds are tested; beyond ``FEW`` of the pairs the next part is summed up for all.
+STAGES, FEW = (1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8), 0.05
+_BLOCK = "block bigint, n int, width int, longest double, ids binary, data binary"
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -70,7 +75,7 @@ def gram(rows: DataFrame, dim: int) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, dim: int, size: int) -> DataFrame:
-    """Rows of ``_BLOCK``: up to ``size`` vectors of a partition each, in their order."""
+    """Rows of ``_BLOCK``: up to ``size`` vectors of a partition each, in their order, as integers of ``width`` bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -80,7 +85,8 @@ def _packed(rows: DataFrame, dim: int, size: int) -> DataFrame:
 
         def out(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
             m = _matrix(pdf["v"], dim)
-            return pd.DataFrame([(k, len(pdf), dim, float(pdf["norm"].max()), pdf["vec_id"].to_numpy(np.int64).tobytes(), m.tobytes())], columns=[c.split()[0] for c in _BLOCK.split(", ")])
+            width = next(w for w in (2, 4, 8) if w == 8 or np.abs(m, dtype=float).max(initial=0) < 1 << 8 * w - 1)
+            return pd.DataFrame([(k, len(pdf), width, float(pdf["norm"].max()), pdf["vec_id"].to_numpy(np.int64).tobytes(), m.astype(f"i{width}").tobytes())], columns=[c.split()[0] for c in _BLOCK.split(", ")])
 
         for pdf in batches:
             held.append(pdf)
@@ -94,82 +100,126 @@ def _packed(rows: DataFrame, dim: int, size: int) -> DataFrame:
     return rows.mapInPandas(run, _BLOCK)
 
 
-def _unpacked(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(data, np.int64).reshape(len(ids), dim)
+    return ids, np.frombuffer(data, f"i{width}").reshape(len(ids), -1).astype(np.int64)
 
 
 def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k]
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, limit: np.ndarray, c_ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query place: ids and scores of its up to k best candidates that reach ``limit``; c is sorted by falling length."""
-    qf, cf = q.astype(float), c.astype(float)
-    qn, cn = np.linalg.norm(qf, axis=1), np.linalg.norm(cf, axis=1)
-    exact = float(qn.max(initial=0)) * float(cn.max(initial=0)) < 2.0**52  # then float64 sums are exact
-    lead = max(1, q.shape[1] // 4)
-    qr, cr = qf @ rotation, cf @ rotation
-    q_rest, c_rest = np.linalg.norm(qr[:, lead:], axis=1), np.linalg.norm(cr[:, lead:], axis=1)
-    limit = limit.copy()
-    found: list[list] = [[np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in q_ids]
-    for a in range(0, len(c_ids), RUN):
-        b = min(len(c_ids), a + RUN)
-        slack = 1 + 1e-9 * qn * cn[a]
-        live = np.flatnonzero(qn * cn[a] + slack >= limit)
-        if not len(live):
-            break  # all that follow are shorter
-        bound = qr[live, :lead] @ cr[a:b, :lead].T + q_rest[live, None] * c_rest[None, a:b] + slack[live, None]
-        keep = bound >= limit[live, None]
-        if exact:
-            if keep.mean() > 0.05:
-                score = (qf[live] @ cf[a:b].T).astype(np.int64)
+    return np.lexsort((ids, ~score))[:k]  # ~ turns the order round without overflow
+
+
+class Search:
+    """A block of candidates, sorted by falling length, that query blocks are searched in. ``pruned`` counts pairs: all, left by length, left by sums."""
+
+    def __init__(self, ids: np.ndarray, c: np.ndarray, rotation: np.ndarray):
+        self.ids, self.c, self.rotation = ids, c, rotation
+        self.f = c.astype(float)
+        self.norm = np.linalg.norm(self.f, axis=1)
+        self.turned = self.f @ rotation
+        dim = c.shape[1]
+        self.cuts = sorted({max(1, round(dim * s)) for s in STAGES} - {dim})
+        self.rest = self._rests(self.turned)
+        self.stage = 0
+        self.pruned = np.zeros(3, np.int64)
+
+    def _rests(self, turned: np.ndarray) -> list[np.ndarray]:
+        """Lengths of what is left of the vectors after each part."""
+        return [np.linalg.norm(turned[:, n:], axis=1) for n in self.cuts]
+
+    def _exact(self, q: np.ndarray, i: np.ndarray, j: np.ndarray, plain: bool) -> np.ndarray:
+        """Integer scores of pairs."""
+        if plain:  # sums below 2**52 are exact in float64
+            out = np.zeros(len(i), np.int64)
+            for s in range(0, len(i), 1 << 16):
+                out[s : s + (1 << 16)] = np.einsum("ij,ij->i", q[i[s : s + (1 << 16)]].astype(float), self.f[j[s : s + (1 << 16)]]).astype(np.int64)
+            return out
+        low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        return np.array([min(max(sum(map(int.__mul__, q[a].tolist(), self.c[b].tolist())), low), high) for a, b in zip(i, j, strict=True)], np.int64)
+
+    def of(self, q_ids: np.ndarray, q: np.ndarray, limit: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query place: ids and scores of its up to k best candidates that reach ``limit``."""
+        qf = q.astype(float)
+        qn = np.linalg.norm(qf, axis=1)
+        plain = float(qn.max(initial=0)) * float(self.norm.max(initial=0)) < 2.0**52
+        turned = qf @ self.rotation
+        rest = self._rests(turned)
+        limit = limit.copy()
+        found: list[list] = [[np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in q_ids]
+        self.pruned[0] += len(q_ids) * len(self.ids)
+        for a in range(0, len(self.ids), RUN):
+            b = min(len(self.ids), a + RUN)
+            slack = 1 + 1e-9 * qn * self.norm[a]
+            live = np.flatnonzero(qn * self.norm[a] + slack >= limit)
+            if not len(live):
+                break  # all that follow are shorter
+            self.pruned[1] += len(live) * (b - a)
+            need = (limit[live] - slack[live])[:, None]
+            total, done, stage = 0.0, 0, min(self.stage, len(self.cuts))
+            while True:
+                upto = self.cuts[stage] if stage < len(self.cuts) else q.shape[1]
+                total = total + turned[live, done:upto] @ self.turned[a:b, done:upto].T
+                done = upto
+                keep = total + (rest[stage][live, None] * self.rest[stage][None, a:b] if stage < len(self.cuts) else 0.0) >= need
+                share = keep.mean()
+                if share <= FEW or stage >= len(self.cuts):
+                    break
+                stage += 1
+            self.stage = max(0, stage - 1) if share < FEW / 5 else stage
+            i, j = np.nonzero(keep)
+            self.pruned[2] += len(i)
+            if plain and share > 4 * FEW:
+                score = (qf[live] @ self.f[a:b].T)[i, j].astype(np.int64)
             else:
-                score = np.zeros(keep.shape, np.int64)
-                i, j = np.nonzero(keep)
-                score[i, j] = np.einsum("ij,ij->i", qf[live[i]], cf[a + j]).astype(np.int64)
-        else:
-            score = q[live] @ c[a:b].T
-        keep &= (score >= limit[live, None]) & (q_ids[live, None] != c_ids[None, a:b])
-        for row in np.flatnonzero(keep.any(1)):
-            i, j = live[row], np.flatnonzero(keep[row])
-            ids = np.concatenate([found[i][0], c_ids[a + j]])
-            scores = np.concatenate([found[i][1], score[row, j]])
-            top = _best(ids, scores, k)
-            found[i] = [ids[top], scores[top]]
-            if len(top) == k:
-                limit[i] = max(limit[i], float(scores[top[-1]]))
-    return [(i, ids, scores) for i, (ids, scores) in enumerate(found) if len(ids)]
-
-
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, block: int = 8192, query_block: int = 1024) -> DataFrame:
-    """Rows of ``SCHEMA``: for every row of ``vectors`` (vec_id, embedding) where ``queries`` holds, its k best others."""
+                score = self._exact(q, live[i], a + j, plain)
+            good = (score >= limit[live[i]]) & (q_ids[live[i]] != self.ids[a + j])
+            i, j, score = live[i[good]], a + j[good], score[good]
+            edges = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(0, np.int64)
+            for s, e in zip(edges, edges[1:]):
+                at = i[s]
+                ids, scores = np.concatenate([found[at][0], self.ids[j[s:e]]]), np.concatenate([found[at][1], score[s:e]])
+                top = _best(ids, scores, k)
+                found[at] = [ids[top], scores[top]]
+                if len(top) == k:
+                    limit[at] = max(limit[at], float(scores[top[-1]]))
+        return [(i, ids, scores) for i, (ids, scores) in enumerate(found) if len(ids)]
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, block: int | None = None, query_block: int | None = None) -> DataFrame:
+    """Rows of ``SCHEMA``: for every row of ``vectors`` (vec_id, embedding) where ``queries`` holds, its k best others.
+
+    ``block`` and ``query_block``: vectors in one; by default of up to 16 MB and 2 MB as 64-bit numbers.
+    """
     spark = vectors.sparkSession
     rows = quantised(vectors, scale)
-    size = rows.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
+    size = rows.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n"), F.count_if(queries).alias("asked")).first()
     if not size.n:
         return spark.createDataFrame([], SCHEMA)
     dim = max(1, size.dim)
+    share = -(-size.n // (2 * spark.sparkContext.defaultParallelism))  # small tables are dealt to all cores too
+    block = block or max(RUN, min((2 << 20) // dim, share))
+    query_block = query_block or max(64, min((256 << 10) // dim, 4096))
     _, rotation = np.linalg.eigh(gram(rows, dim))
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(rotation[:, ::-1]))
-    parts = -(-size.n // block)
     # Equal lengths, of copies say, are told apart by the id, so that no range grows with them.
     order = rows.withColumn("down", -F.col("norm"))
-    blocks = written(_packed(order.repartitionByRange(parts, "down", "vec_id").sortWithinPartitions("down", "vec_id"), dim, block))
-    longest = blocks.orderBy(F.desc("longest"), "block").select("ids", "data").first()  # one block, of bounded size
-    first = spark.sparkContext.broadcast((bytes(longest.ids), bytes(longest.data)))
+    blocks = written(_packed(order.repartitionByRange(-(-size.n // block), "down", "vec_id").sortWithinPartitions("down", "vec_id"), dim, block))
+    # The number first, of narrow rows; then the one block, which is of bounded size.
+    longest = blocks.groupBy().agg(F.max_by("block", F.struct("longest", -F.col("block"))).alias("block")).first().block
+    longest = blocks.where(F.col("block") == longest).select("ids", "data", "width").first()
+    first = spark.sparkContext.broadcast((bytes(longest.ids), bytes(longest.data), longest.width))
 
-    asked = rows.where(queries).dropDuplicates(["vec_id"]).withColumn("down", -F.col("norm"))
-    asked = asked.repartitionByRange(max(1, -(-size.n // (20 * query_block))), "down", "vec_id").sortWithinPartitions("down", "vec_id")
+    asked = rows.where(queries).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("r")).select("vec_id", "r.v", "r.norm", (-F.col("r.norm")).alias("down"))
+    asked = asked.repartitionByRange(max(1, -(-size.asked // query_block)), "down", "vec_id").sortWithinPartitions("down", "vec_id")
 
     def limits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c_ids, c = _unpacked(*first.value, dim)
+        head = Search(*_unpacked(*first.value), shared.value)
         for pdf in batches:
             out, reach = [], []
             for row in pdf.itertuples():
-                ids, q = _unpacked(row.ids, row.data, dim)
+                ids, q = _unpacked(row.ids, row.data, row.width)
                 limit = np.full(len(ids), -np.inf)
-                for i, _, scores in search(ids, q, limit, c_ids, c, shared.value, k):
+                for i, _, scores in head.of(ids, q, limit, k):
                     if len(scores) == k:
                         limit[i] = float(scores[-1])
                 norm = np.linalg.norm(q.astype(float), axis=1)
@@ -185,15 +235,18 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, blo
     marks = blocks.select(F.col("block").alias("c_block"), level(F.col("longest")).alias("level"), "longest")
     wanted = asked.select("block", "reach", F.explode(F.filter(levels, lambda x: x >= level(F.col("reach")))).alias("level"))
     pairs = wanted.join(marks, "level").where("longest >= reach").select("block", "c_block")
-    sent = asked.select("block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "limits").join(pairs, "block")
-    held = blocks.select(F.col("block").alias("c_block"), "ids", "data")
-    both = sent.join(held, "c_block").select("q_ids", "q_data", "limits", "ids", "data")
+    sent = asked.select("block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("width").alias("q_width"), "limits").join(pairs, "block")
+    held = blocks.select(F.col("block").alias("c_block"), "ids", "data", "width")
+    both = sent.join(held, "c_block").select("c_block", "q_ids", "q_data", "q_width", "limits", "ids", "data", "width")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, search = None, None
         for pdf in batches:
             for row in pdf.itertuples():
-                (q_ids, q), (c_ids, c) = _unpacked(row.q_ids, row.q_data, dim), _unpacked(row.ids, row.data, dim)
-                got = search(q_ids, q, np.frombuffer(row.limits), c_ids, c, shared.value, k)
+                if row.c_block != now:  # rows of a block come together
+                    now, search = row.c_block, Search(*_unpacked(row.ids, row.data, row.width), shared.value)
+                q_ids, q = _unpacked(row.q_ids, row.q_data, row.q_width)
+                got = search.of(q_ids, q, np.frombuffer(row.limits), k)
                 if got:
                     i, ids, scores = zip(*got, strict=True)
                     yield pd.DataFrame({"query_id": np.repeat(q_ids[list(i)], list(map(len, ids))), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})

@@ -61,6 +61,30 @@ def test_top_k_matches_brute_force(spark):
     assert set(got.query_id) == set(range(0, 300, 20))
 
 
+def test_top_k_of_repeated_ids_and_great_numbers(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 5.0]), (0, [1.0, 5.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [1e18, 1.0]), (3, [-1e18, 0.0]), (4, [3e9, 3e9])]
+    got = topk.top_k(spark.createDataFrame(rows, schema), F.lit(True), k=3, block=2, query_block=2).collect()
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    q = [(i, [clip(int(np.floor(64 * x))) for x in v]) for i, v in rows]
+    for i in range(5):
+        own = min(v for j, v in q if j == i)
+        best = sorted(((-clip(sum(a * b for a, b in zip(own, v, strict=True))), j) for j, v in q if j != i))[:3]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == best
+
+
+def test_top_k_bounds_prune():
+    rng = np.random.default_rng(8)
+    v = (64 * rng.normal(size=(4000, 64))).astype(int)
+    v = v[np.argsort(-np.linalg.norm(v, axis=1))]
+    _, rotation = np.linalg.eigh((v.T @ v).astype(float))
+    search = topk.Search(np.arange(4000), v, rotation[:, ::-1])
+    got = search.of(np.arange(10_000, 10_040), v[::100], np.full(40, -np.inf), 5)
+    scores = v[::100] @ v.T
+    assert all(list(s) == sorted(scores[i], reverse=True)[:5] for i, _, s in got) and len(got) == 40
+    assert search.pruned[2] < 0.2 * search.pruned[1]  # even where all directions weigh alike
+
+
 def test_top_k_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema), F.lit(True)).count() == 0
