@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -336,18 +337,14 @@ class Scorer:
         return out
 
 
-def _score_batches(shared, token: str, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list]]:
-    scorer = held(token, lambda: Scorer(shared.value))
-    for pdf in batches:
-        yield pdf, scorer.texts(texts_of(pdf["text"]))
-
-
 def predict(docs: DataFrame, model: LanguageModel, held_out: str = "false") -> DataFrame:
     """One row of ``SCHEMA`` per row of ``docs``; ``held_out`` is an SQL expression over them."""
     shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, got in _score_batches(shared, token, batches):
+        scorer = held(token, lambda: Scorer(shared.value))
+        for pdf in batches:
+            got = scorer.texts(texts_of(pdf["text"]))
             lang, score, n = zip(*got, strict=True) if got else ((), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": list(lang), "score": list(score), "n_letter_words": list(n)})
 
@@ -358,8 +355,10 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> Dat
     """The rows of ``docs`` whose language is found with a score of ``least`` or more, with all their columns."""
     shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, got in _score_batches(shared, token, batches):
-            yield pdf[[lang != UND and score >= least for lang, score, _ in got]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = held(token, lambda: Scorer(shared.value))
+        for batch in batches:
+            got = scorer.texts([t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array([lang != UND and score >= least for lang, score, _ in got], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

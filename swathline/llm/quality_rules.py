@@ -40,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,12 +198,14 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules(), common
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), common: frozenset[bytes] | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; texts without the lines that failed or are the corpus's boilerplate."""
     shared = docs.sparkSession.sparkContext.broadcast(common_lines(docs, rules) if common is None else common)
-    counted = "n_chars" in docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [judge(t, rules, shared.value)[-2:] for t in texts_of(pdf["text"])]
-            out = pdf.assign(text=[clean for _, clean in found])[[kept for kept, _ in found]]
-            yield out.assign(n_chars=out["text"].str.len().astype("Int64")) if counted else out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [judge(t or "", rules, shared.value)[-2:] for t in batch.column("text").to_pylist()]
+            for name, values in (("text", [clean for _, clean in found]), ("n_chars", [len(clean) for _, clean in found])):
+                at = batch.schema.get_field_index(name)
+                if at >= 0:
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+            yield batch.filter(pa.array([kept for kept, _ in found], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

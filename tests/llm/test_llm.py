@@ -634,16 +634,66 @@ def test_numerals_are_no_letters():
 # ---- pipeline ----
 
 
-def test_pipeline_is_its_stages(spark, sf_dir):
+def brute_pipeline(spark, d):
+    """Rows that reach the last stage, as (doc_id, cleaned text), by the brute-force parts above."""
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    common = brute_lines([t for _, t in rows if t is not None])
+    good = []
+    for i, t in rows:
+        lost, _, clean = brute_verdict(t or "", common)
+        base = brute_quality(t or "")
+        if base[0] >= 20 and 100 * base[4] <= 30 * base[0] and lost <= 0.5:
+            good.append((i, clean))
+    langs = {(r.doc_id, r.text): r.lang for r in d.collect()}
+    again = spark.createDataFrame([(i, c, langs.get((i, t))) for (i, t), c in ((x, brute_verdict(x[1] or "", common)[2]) for x in rows) if (i, c) in set(good)], "doc_id long, text string, lang string")
+    model = langid.train(again)
+    scorer = langid.Scorer(model)
+    known = [(i, t) for i, t in good if (got := scorer.texts([t])[0])[0] != "und" and got[1] >= 0.5]
+    fp = np.array([simhash.fingerprint(t) for _, t in known], np.uint64)
+    first = {}
+    for x, g in zip(known, groups(fp), strict=True):
+        key = (x[0] is None, x[0] or 0, hashlib.sha256(x[1].encode()).hexdigest())
+        first[g] = min(first.get(g, (key, x)), (key, x), key=lambda y: y[0])
+    return [x for _, x in first.values()]
+
+
+def checked_pipeline(out, want):
+    """The pieces of the pipeline's last stage are those of the wanted texts, placed without gaps or overlaps."""
+    encoder = packing.Encoder()
+    pieces = Counter()
+    for i, text in want:
+        ids = [*encoder.exact.encode(text, add_special_tokens=False).ids, 2]
+        start, k = 0, 0
+        while start < len(ids):
+            n = (len(ids) - 1) % 1024 + 1 if k == 0 else 1024
+            pieces[i, k, start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())] += 1
+            start, k = start + n, k + 1
+    assert Counter((None if pd.isna(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in out.itertuples()) == pieces
+    own = out.sort_values(["sequence_id", "offset"])
+    assert (own.groupby("sequence_id").length.cumsum() - own.length == own.offset).all() and own.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_pipeline_matches_brute_force(spark, sf_dir):
     import corpus_pipeline
 
-    d = real(spark, sf_dir)
-    good = {r.doc_id for r in quality_rules.quality_report(d).where("kept").collect()}
-    model = langid.train(d.where(F.col("doc_id").isin(list(good))))
-    known = {r.doc_id for r in langid.predict(d.where(F.col("doc_id").isin(list(good))), model).where("lang_pred <> 'und' and score >= 0.5").collect()}
-    kept = sorted(known)
-    texts = {r.doc_id: r.text for r in d.collect()}
-    fp = np.array([simhash.fingerprint(texts[i]) for i in kept], np.uint64)
-    first = {kept[g] for g in groups(fp)}
-    out = corpus_pipeline.run(spark, sf_dir).toPandas()
-    assert set(out.doc_id) == first
+    checked_pipeline(corpus_pipeline.run(spark, sf_dir).toPandas(), brute_pipeline(spark, real(spark, sf_dir)))
+
+
+def test_pipeline_edge_cases(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    rows = [tuple(r)[:5] for r in real(spark, sf_dir).limit(60).collect()]
+    good = next(r for r in rows if r[1] and len(r[1].split()) > 60 and r[1].count("\n") < 9)
+    rows += [(None, good[1] + " And a word more.", None, None, None), (None, None, None, None, None), (rows[0][0], "Another text under a known id, " + " ".join(f"word{i}" for i in range(40)) + ".", "en", None, 1)]
+    rows += [good, good, (9000, "", "en", "s", 0), (9001, " ".join(f"long{i}" for i in range(20_000)) + ".", "en", "s", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("clash")).withColumn("score", F.lit(1.5))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    checked_pipeline(out, brute_pipeline(spark, d))
+    assert 9001 in set(out.doc_id) and 9000 not in set(out.doc_id)
+    d.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs = d
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.schema == d.schema, name
