@@ -1,7 +1,15 @@
 """From raw documents to packed sequences: quality rules, language ID, near-duplicates, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before
-it kept, and is written as Parquet and read again before the next one runs.
+it kept, and is written as Parquet and read again before the next one runs. All
+but the last return the columns of their input, extra ones included.
+
+Edge cases: rows with a null or empty text fail the base rules and go; null ids,
+languages and sources are carried through, and a null language is not learned
+from; of repeated rows and near-duplicates one row stays per group, the smallest
+id, nulls last, then the smallest digest of the text, while different texts under
+one id both stay; texts of any length are taken whole; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from swathline.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; the others lose the lines that fail and the corpus's boilerplate."""
     return quality_rules.keep_good(docs)
 
 

@@ -5,16 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a result below ``spark.checkpoint.dir`` and read it again; a temporary folder serves where the session names none."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary folder serves on one machine; on a
+    cluster executors would not see each other's files there, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='swathline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/swathline-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/swathline-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a result to a table of its own in ``folder`` and read it again."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application has written so far; what still reads them fails afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
