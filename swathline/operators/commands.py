@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, geo
+from .ordered import scan
 
 
 def route_commands(points: DataFrame, key: str = "robot_id", least_m: float = 0.2, u_turn_deg: float = 150.0, u_turn_m: float = 2.0, start_angle: float = 0.0) -> DataFrame:
@@ -36,31 +40,37 @@ def command_documents(commands: DataFrame, key: str = "robot_id") -> DataFrame:
     return commands.groupBy(key).agg(F.to_json(listed).alias("commands"), F.count("*").alias("n"))
 
 
-def greedy_filter(points: DataFrame, keys: list[str], order: str, keep: Column, columns: list[str]) -> DataFrame:
-    """Keeps a point if ``keep`` says so against the last kept one: SQL over structs ``p`` (the point) and ``q`` (the last kept).
+def greedy_filter(points: DataFrame, keys: list[str], order: str, keep: Callable[[tuple, tuple], bool], columns: list[str]) -> DataFrame:
+    """Keeps a point if ``keep(p, q)`` says so of it and the last kept one, both as tuples of (order, columns); each key's first point stays.
 
-    A fold over each key's sorted points, on the JVM; a key's points must fit a row.
+    One streaming pass over each key's sorted points.
     """
-    point = F.struct(order, *columns)
-    folded = F.expr(
-        f"aggregate(pts, cast(array() as {_array_type(points, [order, *columns])}), (acc, p) -> IF(size(acc) = 0, array(p), "
-        f"transform(array(element_at(acc, -1)), q -> IF({keep}, concat(acc, array(p)), acc))[0]))"
-    )
-    return points.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("pts")).select(*keys, F.explode(folded).alias("p")).select(*keys, "p.*")
+    names = [*keys, order, *columns]
+    schema = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in names)
 
+    def step(last: list, rows: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for p in rows[[order, *columns]].itertuples(index=False, name=None):
+            kept.append(not last or bool(keep(p, last[0])))
+            if kept[-1]:
+                last[:] = [p]
+        return rows[kept]
 
-def _array_type(df: DataFrame, columns: list[str]) -> str:
-    return "array<struct<" + ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in columns) + ">>"
+    return scan(points.select(*names), keys, [order], lambda _: [], step, schema)
 
 
 def ema(points: DataFrame, keys: list[str], order: str, value: str, alpha: float, name: str = "ema") -> DataFrame:
-    """Low-pass filter per key: the first value, then alpha * value + (1 - alpha) * before. A fold on the JVM."""
+    """Low-pass filter per key: the first value, then alpha * value + (1 - alpha) * before. One streaming pass."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
-    kind = f"struct<{order}:{points.schema[order].dataType.simpleString()},y:double>"
-    folded = F.expr(
-        f"aggregate(pts, cast(array() as array<{kind}>), (acc, p) -> concat(acc, array(named_struct('{order}', p.{order}, 'y', "
-        f"IF(size(acc) = 0, p.v, {alpha!r}D * p.v + (1D - {alpha!r}D) * element_at(acc, -1).y)))))"
-    )
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("v"))))
-    return points.groupBy(*keys).agg(listed.alias("pts")).select(*keys, F.explode(folded).alias("p")).select(*keys, f"p.{order}", F.col("p.y").alias(name))
+    names = [*keys, order]
+    schema = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in names) + f", {name} double"
+
+    def step(last: list, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for v in rows["_value"].to_numpy(float):
+            last[:] = [alpha * v + (1 - alpha) * last[0] if last else v]
+            out.append(last[0])
+        return rows[names].assign(**{name: out})
+
+    return scan(points.select(*names, F.col(value).cast("double").alias("_value")), keys, [order], lambda _: [], step, schema)

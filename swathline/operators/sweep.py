@@ -111,18 +111,32 @@ def second_pass(left: DataFrame, at: DataFrame) -> DataFrame:
     return both.select("f", F.when(below, F.col("k0") - 1).otherwise(F.col("k1") + 1).alias("k"), F.when(below, F.col("hi") - 1e-6).otherwise(F.col("lo") + 1e-6).alias("d"))
 
 
+def _runs(stripes: DataFrame, eps: float) -> DataFrame:
+    """(f, run, all, ds): distinct values of d in runs whose neighbours are less than ``eps`` apart, and those of a run that are kept.
+
+    A value is kept if it is at least ``eps`` above the last one kept; as runs are
+    further apart than that, each is folded on its own, however many rows a field has.
+    """
+    w = Window.partitionBy("f").orderBy("d")
+    values = stripes.select("f", "d").distinct().withColumn("new", (F.col("d") - F.lag("d").over(w) >= eps).cast("int"))
+    values = values.withColumn("run", F.coalesce(F.sum("new").over(w), F.lit(0)))
+    fold = F.expr(f"aggregate(all, cast(array() as array<double>), (acc, x) -> IF(size(acc) = 0 OR x >= element_at(acc, -1) + {eps!r}D, concat(acc, array(x)), acc))")
+    return values.groupBy("f", "run").agg(F.array_sort(F.collect_list("d")).alias("all")).withColumn("ds", fold)
+
+
 def distinct_rows(stripes: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
-    """(f, ds): the sorted values of d, each at least a tolerance above the last one kept; a fold per field."""
-    eps = max(0.05, 0.05 * c.step)
-    fold = F.expr(f"aggregate(s, cast(array() as array<double>), (acc, x) -> IF(size(acc) = 0 OR x >= element_at(acc, -1) + {eps!r}D, concat(acc, array(x)), acc))")
-    return stripes.groupBy("f").agg(F.array_sort(F.collect_set("d")).alias("s")).select("f", fold.alias("ds"))
+    """(f, d): the values of d, each at least a tolerance above the last one kept."""
+    return _runs(stripes, max(0.05, 0.05 * c.step)).select("f", F.explode("ds").alias("d"))
 
 
 def rowed(stripes: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
-    """Stripes with ``row``, the place of the nearest kept d."""
-    kept = distinct_rows(stripes, c)
-    place = F.expr("array_position(ds, element_at(array_sort(transform(ds, x -> named_struct('e', abs(x - d), 'x', x))), 1).x) - 1")
-    return stripes.join(kept, "f").select(*stripes.columns, place.cast("int").alias("row"))
+    """Stripes with ``row``, the place of the nearest kept d; it is one of the stripe's own run."""
+    runs = _runs(stripes, max(0.05, 0.05 * c.step))
+    before = Window.partitionBy("f").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.expr("transform(all, d -> named_struct('d', d, 'i', array_position(ds, element_at(array_sort(transform(ds, x -> named_struct('e', abs(x - d), 'x', x))), 1).x) - 1))")
+    rows = runs.withColumn("base", F.coalesce(F.sum(F.size("ds")).over(before), F.lit(0))).select("f", "base", F.explode(nearest).alias("p"))
+    rows = rows.select("f", "p.d", (F.col("base") + F.col("p.i")).cast("int").alias("row"))
+    return stripes.join(rows, ["f", "d"]).select(*stripes.columns, "row")
 
 
 def supported(stripes: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:

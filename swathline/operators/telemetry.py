@@ -3,7 +3,8 @@
 A row is one reading with both sensors and a control tick: (robot_id, t, seq,
 status, lat, lon, cov0, yaw, wz), t in seconds. ``step`` advances one robot's
 state by one row; the batch replay folds it over a robot's sorted rows, and the
-stream keeps the state between micro-batches, so both give the same rows.
+stream keeps the state between micro-batches, so both give the same rows. A
+replay streams a robot's rows through one task and holds its mission and state.
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pyspark.sql import functions as F
+
 from ..functions.motion import Controller
+from .ordered import scan
 
 READING = "robot_id bigint, seq int, t double, status int, lat double, lon double, cov0 double, yaw double, wz double"
 POSE = "robot_id bigint, seq int, t double, have_gps boolean, have_imu boolean, x double, y double, speed double, yaw double"
-TICK = "robot_id bigint, seq int, t double, state string, target int, distance double, heading_error double, v double, w double"
+#: ``event`` names what ended or began at a tick; ``waited`` is how long a settling that ends there took.
+TICK = "robot_id bigint, seq int, t double, state string, target int, distance double, heading_error double, v double, w double, event string, waited double"
 _RADIUS = 6371000.0
 
 
@@ -52,12 +57,13 @@ class Robot:
     target: int = 0
     goal: float = 0.0
     since: float = 0.0
-    reached: bool = False
+    hold: float = 0.0
     from_x: float = 0.0
     from_y: float = 0.0
     planned: float = 0.0
     best: float = field(default=math.inf)
-    checked: float | None = None
+    began: float | None = None
+    last: float | None = None
 
 
 def _wrap(a: float) -> float:
@@ -97,64 +103,80 @@ def _settled(r: Robot, t: float, c: Controller) -> bool:
     return t - r.since >= c.settle_timeout_s or (t - r.since >= c.settle_min_s and quiet)
 
 
-def tick(r: Robot, t: float, way: list[tuple[float, float, float]], c: Controller = Controller()) -> tuple[float | None, float | None, float, float]:
-    """One control tick: (distance, heading error, speed command, turn command). ``way`` has (x, y, reach radius)."""
+def tick(r: Robot, t: float, way: list[tuple[float, float, float]], c: Controller = Controller()) -> tuple:
+    """One control tick: (distance, heading error, speed command, turn command, event, waited). ``way`` has (x, y, reach radius).
+
+    A course check falls due every ``course_check_s`` of a robot's time, before the tick.
+    """
+    if r.began is None:
+        r.began = r.last = t
+    due = math.floor((t - r.began) / c.course_check_s) > math.floor((r.last - r.began) / c.course_check_s)
+    r.last = t
+    if not (r.have_gps and r.have_imu):
+        return None, None, 0.0, 0.0, None, None
     if r.target >= len(way):
         r.mode = "DONE"
-        return None, None, 0.0, 0.0
-    if not (r.have_gps and r.have_imu):
-        return None, None, 0.0, 0.0
+        return None, None, 0.0, 0.0, None, None
     x, y, radius = way[r.target]
     distance, bearing = math.hypot(x - r.x, y - r.y), math.atan2(y - r.y, x - r.x)
     error = _wrap(bearing - r.yaw)
+    off = abs(error) > c.heading_realign_rad
+
+    def said(event: str | None = None, v: float = 0.0, w: float = 0.0, waited: float | None = None) -> tuple:
+        return distance, error, v * c.forward_direction_sign, w * c.turn_direction_sign, event, waited
 
-    def settle(mode: str, reached: bool = False) -> tuple[float, float, float, float]:
-        r.mode, r.since, r.reached = mode, t, reached
-        return distance, error, 0.0, 0.0
+    def settle(mode: str, event: str) -> tuple:
+        r.mode, r.since = mode, t
+        return said(event)
 
+    if due and r.mode == "DRIVING" and off:
+        return settle("SETTLE_AFTER_DRIVE", "course_check")
     if r.mode == "TURN_INIT":
         if distance <= radius:
-            return settle("SETTLE_AFTER_DRIVE", True)
+            r.target += 1
+            return said("reached")
         r.goal, r.mode = bearing, "TURNING"
     if r.mode == "TURNING":
         left = _wrap(r.goal - r.yaw)
         if abs(left) <= c.yaw_tolerance_rad:
-            return settle("SETTLE_BEFORE_DRIVE")
+            return settle("SETTLE_BEFORE_DRIVE", "turned")
         w = max(-c.max_turn_cmd, min(c.max_turn_cmd, c.turn_kp * left))
-        if 0 < abs(w) < c.turn_min_cmd:
-            w = math.copysign(c.turn_min_cmd, w)
-        return distance, error, 0.0, w * c.turn_direction_sign
+        return said(w=math.copysign(c.turn_min_cmd, w) if 0 < abs(w) < c.turn_min_cmd else w)
+    waited = t - r.since
     if r.mode == "SETTLE_BEFORE_DRIVE":
         if not _settled(r, t, c):
-            return distance, error, 0.0, 0.0
-        r.mode, r.from_x, r.from_y, r.planned, r.best, r.checked = "DRIVING", r.x, r.y, distance, distance, t
+            return said()
+        r.mode, r.hold, r.from_x, r.from_y, r.planned, r.best = "DRIVING", r.yaw, r.x, r.y, distance, distance
+        return said("driving", waited=waited)
     if r.mode == "DRIVING":
         gone = math.hypot(r.x - r.from_x, r.y - r.from_y)
-        if distance <= radius:
-            return settle("SETTLE_AFTER_DRIVE", True)
         if distance + c.improve_m < r.best:
             r.best = distance
-        off = abs(error) > c.heading_realign_rad
-        due = r.checked is not None and t - r.checked >= c.course_check_s
-        if due:
-            r.checked = t
-        if (gone > c.realign_min_travel_m or due) and off:
-            return settle("SETTLE_AFTER_DRIVE")
+        if gone > c.realign_min_travel_m and distance > radius and off:
+            return settle("SETTLE_AFTER_DRIVE", "realign")
         if gone >= c.overshoot_min_travel_m and distance > r.best + c.overshoot_retry_margin_m:
-            return settle("SETTLE_AFTER_DRIVE")
+            return settle("SETTLE_AFTER_DRIVE", "overshoot")
         if gone >= r.planned:
-            return settle("SETTLE_AFTER_DRIVE")
+            return settle("SETTLE_AFTER_DRIVE", "distance")
         v = max(c.forward_min_cmd, min(c.max_forward_cmd, c.forward_gain * distance))
         if distance < c.slowdown_distance_m:
             v = min(v, c.slowdown_forward_cmd)
         if distance < 0.45:
             v = min(v, max(c.forward_min_cmd, 0.12))
-        w = max(-c.drive_heading_max_rps, min(c.drive_heading_max_rps, c.drive_heading_kp * _wrap(r.goal - r.yaw))) if c.drive_heading_hold else 0.0
-        return distance, error, v * c.forward_direction_sign, w * c.turn_direction_sign
-    if _settled(r, t, c):  # after a drive: on to the next point, or again to this one
-        r.target += r.reached
-        r.mode, r.reached = ("DONE" if r.target >= len(way) else "TURN_INIT"), False
-    return distance, error, 0.0, 0.0
+        turn = c.drive_heading_kp * _wrap(r.hold - r.yaw) if c.drive_heading_hold else 0.0
+        return said(v=v, w=max(-c.drive_heading_max_rps, min(c.drive_heading_max_rps, turn)))
+    if not _settled(r, t, c):  # after a drive
+        return said()
+    r.mode = "TURN_INIT"
+    if distance <= radius:
+        r.target += 1
+        return said("arrived", waited=waited)
+    return said("missed", waited=waited)
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    fields = [x.split() for x in schema.split(", ")]
+    return pd.DataFrame(rows, columns=[n for n, _ in fields]).astype({n: float for n, kind in fields if kind == "double"})
 
 
 def advance(r: Robot, rows: pd.DataFrame, origin: tuple[float, float, float], way: list[tuple[float, float, float]], s: Sensors = Sensors(), c: Controller = Controller()) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -163,28 +185,33 @@ def advance(r: Robot, rows: pd.DataFrame, origin: tuple[float, float, float], wa
     for row in rows.itertuples():
         sense(r, row, origin, s)
         poses.append((row.robot_id, row.seq, row.t, r.have_gps, r.have_imu, r.x, r.y, r.speed, r.yaw))
-        distance, error, v, w = tick(r, row.t, way, c)
-        ticks.append((row.robot_id, row.seq, row.t, r.mode, r.target, distance, error, v, w))
-    names = lambda schema: [x.split()[0] for x in schema.split(", ")]
-    return pd.DataFrame(poses, columns=names(POSE)), pd.DataFrame(ticks, columns=names(TICK))
+        distance, error, v, w, event, waited = tick(r, row.t, way, c)
+        ticks.append((row.robot_id, row.seq, row.t, r.mode, r.target, distance, error, v, w, event, waited))
+    return _frame(poses, POSE), _frame(ticks, TICK)
 
 
-def plan_of(mission: pd.DataFrame) -> tuple[tuple[float, float, float], list[tuple[float, float, float]]]:
-    """Origin and waypoints of one mission's rows (origin_lat, origin_lon, yaw, i, x, y, reach_radius_m)."""
-    if not len(mission):
-        return (0.0, 0.0, 0.0), []
-    m = mission.sort_values("i")
-    return tuple(float(m[k].iat[0]) for k in ("origin_lat", "origin_lon", "yaw")), [tuple(map(float, p)) for p in m[["x", "y", "reach_radius_m"]].to_numpy()]
+@dataclass
+class _Replayed:
+    robot: Robot = field(default_factory=Robot)
+    origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    way: list[tuple[float, float, float]] = field(default_factory=list)
 
 
 def replay(readings: DataFrame, missions: DataFrame, what: str = "ticks", s: Sensors = Sensors(), c: Controller = Controller()) -> DataFrame:
-    """Poses or ticks of every robot; ``missions`` has robot_id and the columns of ``plan_of``. One group per robot."""
-
-    def run(rows: pd.DataFrame, mission: pd.DataFrame) -> pd.DataFrame:
-        poses, ticks = advance(Robot(), rows.sort_values(["t", "seq"]), *plan_of(mission), s, c)
+    """Poses or ticks of every robot; ``missions`` has (robot_id, origin_lat, origin_lon, yaw, i, x, y, reach_radius_m). A robot's mission rows go before its readings."""
+    schema = POSE if what == "poses" else TICK
+    points = missions.select("robot_id", F.col("i").cast("int").alias("seq"), F.lit(0).alias("kind"), F.array("origin_lat", "origin_lon", "yaw", "x", "y", "reach_radius_m").alias("point"))
+    rows = readings.withColumn("kind", F.lit(1)).unionByName(points, allowMissingColumns=True)
+
+    def step(state: _Replayed, rows: pd.DataFrame) -> pd.DataFrame:
+        plan, own = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+        for p in plan["point"]:
+            state.origin = tuple(map(float, p[:3]))
+            state.way.append(tuple(map(float, p[3:])))
+        poses, ticks = advance(state.robot, own, state.origin, state.way, s, c)
         return poses if what == "poses" else ticks
 
-    return readings.groupBy("robot_id").cogroup(missions.groupBy("robot_id")).applyInPandas(run, POSE if what == "poses" else TICK)
+    return scan(rows, ["robot_id"], ["kind", "t", "seq"], lambda _: _Replayed(), step, schema)
 
 
 def batches(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:

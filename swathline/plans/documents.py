@@ -58,7 +58,6 @@ def register() -> None:
     statement("c21_connector_acceptable", f"SELECT a, b, cost < 1e12 AND cost <= greatest({c.intra_limit}e0, greatest(2.5e0 * direct, {2.5 * c.step}e0)) AS ok FROM ({pairs}) p")
     statement("k9_direct_cap", f"SELECT a, b, direct <= least(greatest(0.5e0, {c.direct_max}e0), greatest(greatest(0.5e0, {c.direct_max}e0), {1.35 * c.step}e0)) AS direct_ok FROM ({pairs}) p")
     statement("k15_entry_option", f"SELECT a, min(direct) AS best, count(*) AS options FROM ({pairs}) p GROUP BY a", {"best": 6})
-    statement("h13_settle_window", "SELECT robot_id, event_id, abs(wz) <= 0.08e0 AS quiet, count(CASE WHEN abs(wz) <= 0.08e0 THEN 1 END) OVER (PARTITION BY robot_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS settled FROM {imu}")
     statement("j10_unreachable", "SELECT s.s_suppkey AS f FROM {supplier} s LEFT JOIN (SELECT DISTINCT f FROM {points}) p ON s.s_suppkey = p.f WHERE p.f IS NULL")
     statement("e24_polyline_assembly", "SELECT mission_id, i, x, y FROM (SELECT *, lag(x) OVER (PARTITION BY mission_id ORDER BY i) AS px, lag(y) OVER (PARTITION BY mission_id ORDER BY i) AS py FROM {waypoint_xy}) q WHERE px IS NULL OR sqrt((x - px) * (x - px) + (y - py) * (y - py)) > 0.02e0", {"x": 4, "y": 4})
     statement("p9_context_overlay", "SELECT f, ring, CASE WHEN ring = 0 THEN 57 * f % 360 ELSE (53 * f + 17) % 360 END AS hue, count(*) AS sides FROM {edges} GROUP BY f, ring")

@@ -80,7 +80,7 @@ def register() -> None:
         UNION ALL SELECT e.f, b1, dmax FROM (SELECT f, max(d1) AS dmax FROM sides GROUP BY f) e JOIN (SELECT f, max(d) + 2e0 AS b1 FROM lines GROUP BY f) b ON e.f = b.f) q WHERE hi - lo > 2e-3"""
     op("j4_residual_intervals", res, "lines", {"lo": 5, "hi": 5})(lambda t: sweep.residual(Stages(t).lines, Stages(t).sides))
     op("e13_band_cover", f"SELECT f, count(*) AS intervals, sum(hi - lo) AS open_m FROM ({res}) z GROUP BY f", "lines", {"open_m": 5})(lambda t: sweep.residual(Stages(t).lines, Stages(t).sides).groupBy("f").agg(F.count("*").alias("intervals"), F.expr("sum(hi - lo)").alias("open_m")))
-    op("h2_distinct_rows", "SELECT f, count(DISTINCT k) AS n FROM stripes GROUP BY f", "stripes")(lambda t: sweep.distinct_rows(Stages(t).stripes).select("f", F.size("ds").cast("bigint").alias("n")))
+    op("h2_distinct_rows", "SELECT f, count(DISTINCT k) AS n FROM stripes GROUP BY f", "stripes")(lambda t: sweep.distinct_rows(Stages(t).stripes).groupBy("f").agg(F.count("*").alias("n")))
     op("h3_row_of_stripe", "SELECT f, k, a0, row FROM rowed", "rowed", {"a0": 5})(lambda t: Stages(t).rowed.select("f", "k", "a0", "row"))
     op("j6_duplicate_distances", "SELECT f, k, min(d) AS d FROM stripes GROUP BY f, k", "stripes", {"d": 5})(lambda t: Stages(t).stripes.groupBy("f", "k").agg(F.min("d").alias("d")))
     op("f1_neighbour_support", "SELECT f, k, a0, len FROM kept", "kept", {"a0": 5, "len": 5})(lambda t: Stages(t).kept.select("f", "k", "a0", "len"))

@@ -74,14 +74,14 @@ def register() -> None:
     statement("h14_stable_reads", "SELECT robot_id, seq, count(*) OVER (PARTITION BY robot_id, g ORDER BY seq ROWS UNBOUNDED PRECEDING) * ok AS stable FROM (SELECT *, sum(1 - ok) OVER (PARTITION BY robot_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT robot_id, CAST(row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) AS INT) AS seq, CASE WHEN status >= 0 THEN 1 ELSE 0 END AS ok FROM {gps_fix}) a) b WHERE ok = 1")
     statement("m16_readiness", "SELECT robot_id, min(seq) AS ready_at FROM (SELECT robot_id, seq, ok + coalesce(lag(ok) OVER (PARTITION BY robot_id ORDER BY seq), 0) AS run FROM (SELECT robot_id, row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) AS seq, CASE WHEN status >= 0 THEN 1 ELSE 0 END AS ok FROM {gps_fix}) a) b WHERE run = 2 GROUP BY robot_id")
     operator("h6_decimation", _greedy("{track}", "robot_id", "seq", ["lat", "lon"], "(p.lat - q.lat) * (p.lat - q.lat) + (p.lon - q.lon) * (p.lon - q.lon) > 4e-8"), {"lat": 9, "lon": 9})(
-        lambda t: commands.greedy_filter(t["track"], ["robot_id"], "seq", "(p.lat - q.lat) * (p.lat - q.lat) + (p.lon - q.lon) * (p.lon - q.lon) > 4e-8", ["lat", "lon"])
+        lambda t: commands.greedy_filter(t["track"], ["robot_id"], "seq", lambda p, q: (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2]) > 4e-8, ["lat", "lon"])
     )
     seconds = "SELECT robot_id, event_id, row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) AS seq, k * 1e0 AS v FROM {gps_fix}"
     walk = f"""WITH RECURSIVE s AS ({seconds}), w AS (SELECT robot_id, seq, v AS ema FROM s WHERE seq = 1
         UNION ALL SELECT s.robot_id, s.seq, 0.25e0 * s.v + (1e0 - 0.25e0) * w.ema FROM w JOIN s ON s.robot_id = w.robot_id AND s.seq = w.seq + 1) SELECT robot_id, seq, ema FROM w"""
     operator("h8_low_pass", walk, {"ema": 8})(lambda t: commands.ema(t.sql(seconds), ["robot_id"], "seq", "v", 0.25))
     operator("m13_log_throttle", _greedy("(SELECT robot_id, event_id, CAST(epoch(ts) AS DOUBLE) AS s FROM {gps_fix})", "robot_id", "event_id", ["s"], "p.s - q.s >= 3600e0"), {"s": 3})(
-        lambda t: commands.greedy_filter(t["gps_fix"].selectExpr("robot_id", "event_id", "CAST(CAST(ts AS TIMESTAMP) AS DOUBLE) AS s"), ["robot_id"], "event_id", "p.s - q.s >= 3600e0", ["s"])
+        lambda t: commands.greedy_filter(t["gps_fix"].selectExpr("robot_id", "event_id", "CAST(CAST(ts AS TIMESTAMP) AS DOUBLE) AS s"), ["robot_id"], "event_id", lambda p, q: p[1] - q[1] >= 3600, ["s"])
     )
     statement("i9_step_limit", "SELECT robot_id, seq, lat FROM {track} WHERE seq <= 5", {"lat": 9})
     statement("i10_log_cap", "SELECT robot_id, event_id FROM (SELECT robot_id, event_id, row_number() OVER (PARTITION BY robot_id ORDER BY event_id DESC) AS rn FROM {gps_fix}) q WHERE rn <= 500")

@@ -1,7 +1,6 @@
 """Regions, sweep, overlay and routes on closed forms and by invariants."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,9 +93,17 @@ def test_commands_of_a_route(spark):
 
 
 def test_greedy_filter_compares_with_the_last_kept(spark):
-    rows = [(1, i, v) for i, v in enumerate((0, 0.03, 0.06, 0.09, 0.2))]
+    rows = [(k, i, v) for k in (1, 2) for i, v in enumerate((0.0, 0.03, 0.06, 0.09, 0.2))]
     df = spark.createDataFrame(rows, "k int, i int, v double")
-    assert [r.v for r in commands.greedy_filter(df, ["k"], "i", "p.v - q.v >= 0.05D", ["v"]).orderBy("i").collect()] == [0, 0.06, 0.2]
+    kept = commands.greedy_filter(df, ["k"], "i", lambda p, q: p[1] - q[1] >= 0.05, ["v"]).orderBy("k", "i").collect()
+    assert [(r.k, r.v) for r in kept] == [(k, v) for k in (1, 2) for v in (0, 0.06, 0.2)]
+
+
+def test_a_long_key_streams_in_batches(spark):
+    df = spark.range(25_000).selectExpr("id % 2 AS k", "id AS i", "CAST(id AS DOUBLE) AS v")
+    assert commands.greedy_filter(df, ["k"], "i", lambda p, q: p[1] - q[1] >= 10, ["v"]).count() == 2 * 2500
+    last = commands.ema(df, ["k"], "i", "v", 1.0).orderBy("i").tail(2)
+    assert [r.ema for r in last] == [24_998.0, 24_999.0]
 
 
 def test_ema(spark):
@@ -109,4 +116,3 @@ def test_ema(spark):
 def test_empty_field_gives_no_lines(spark):
     empty = edges(spark, [square(0, 0, 4)]).where(F.lit(False))
     assert sweep.cut(sweep.in_sweep_frame(empty), sweep.lines(sweep.in_sweep_frame(empty))).count() == 0
-    assert isinstance(pd.DataFrame(), pd.DataFrame)
