@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,8 +81,12 @@ def component_stats(nodes: DataFrame) -> DataFrame:
     )
 
 
-def merge_pairs(stats: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
-    """(f, a, b): components close enough to become one, with no third one between them."""
+def merge_candidates(stats: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
+    """(f, a, b, close, bypass, ...): pairs of components that agree in exclusion, are near, and have no third one between them.
+
+    ``close``: rows at most a few apart and centroids near along and across.
+    ``bypass``: one is tiny, whatever the rows between; its chord is tested later.
+    """
     from .sweep import ANGLE
 
     a = stats.select("f", *[F.col(x).alias(f"a_{x}") for x in stats.columns if x != "f"])
@@ -91,21 +96,92 @@ def merge_pairs(stats: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
         {
             "gap": F.greatest(F.lit(0), F.greatest("a_min_row", "b_min_row") - F.least("a_max_row", "b_max_row") - 1),
             "along": F.expr(f"abs((b_cx - a_cx) * sin({ANGLE}) - (b_cy - a_cy) * cos({ANGLE}))"),
-            "across": F.expr(f"abs((b_cx - a_cx) * cos({ANGLE}) + (b_cy - a_cy) * sin({ANGLE}))"),
+            "a_d": F.expr(f"a_cx * cos({ANGLE}) + a_cy * sin({ANGLE})"),
+            "b_d": F.expr(f"b_cx * cos({ANGLE}) + b_cy * sin({ANGLE})"),
+            "apart": F.sqrt((F.col("b_cx") - F.col("a_cx")) ** 2 + (F.col("b_cy") - F.col("a_cy")) ** 2),
+            "tiny": (F.col("a_size") <= c.merge_tiny) | (F.col("b_size") <= c.merge_tiny),
         }
     )
-    near = (F.col("along") <= max(6.0, c.merge_along_factor * c.step)) & (F.col("across") <= max(10.0, c.merge_across_factor * c.step))
-    pairs = pairs.where((F.col("gap") <= c.merge_row_gap) & near)
+    near = (F.col("along") <= max(6.0, c.merge_along_factor * c.step)) & (F.abs(F.col("a_d") - F.col("b_d")) <= max(10.0, c.merge_across_factor * c.step))
+    pairs = pairs.withColumn("close", near & (F.col("gap") <= c.merge_row_gap)).withColumn("bypass", F.col("tiny") & (F.col("apart") <= max(20.0, 8 * c.step))).where("close OR bypass")
     third = stats.select(F.col("f").alias("g"), F.col("comp").alias("t"), F.col("min_row").alias("t0"), F.col("max_row").alias("t1"), F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
     low, high = F.least("a_max_row", "b_max_row") + 1, F.greatest("a_min_row", "b_min_row") - 1
     band_lo, band_hi = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
     blocked = (F.col("f") == F.col("g")) & ~F.col("t").isin(F.col("a_comp"), F.col("b_comp")) & (low <= high) & (band_hi > band_lo + 1e-3) & (F.col("t1") >= low) & (F.col("t0") <= high) & (F.least("thi", band_hi) > F.greatest("tlo", band_lo) + 0.5)
-    return pairs.join(third, blocked, "left_anti").select("f", F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    return pairs.join(third, blocked, "left_anti").select("f", F.col("a_comp").alias("a"), F.col("b_comp").alias("b"), "close", "bypass", "a_cx", "a_cy", "b_cx", "b_cy", "a_d", "b_d")
+
+
+def shells(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(f, comp, side, ring, i, n, last, first): on which sides of the region the left and right ends of a component's stripes lie.
+
+    ``last`` and ``first``: the place is a side's end or start, next to a corner.
+    """
+    from . import regions
+
+    ends = nodes.selectExpr("f", "comp", "node", "stack(2, 'left', sx, sy, 'right', ex, ey) AS (side, px, py)")
+    found = regions.anchors(ends, edges, ["comp", "node", "side"]).select("f", "comp", "side", "ring", "i", (F.col("t") >= 0.96).alias("last"), (F.col("t") <= 0.04).alias("first")).distinct()
+    return found.join(edges.select("f", "ring", "i", "n"), ["f", "ring", "i"])
+
 
+def _corners(a: str, b: str) -> str:
+    """Corners passed on the way forward from one place to another of a ring; a corner at either place does not count."""
+    way = f"pmod({b}_i - {a}_i, n)"
+    return f"IF({a}_i = {b}_i, 0, greatest(0, {way} - IF({a}_last, 1, 0) - IF({b}_first AND {way} - IF({a}_last, 1, 0) > 0, 1, 0)))"
 
-def merged(nodes: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
+
+def merge_pairs(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
+    """(f, a, b): components of ``nodes`` that become one.
+
+    Of the candidates those whose centroids see each other inside the region and
+    whose shells meet: both their left and right ends are a corner apart at most,
+    or those that face each other across the sweep. A field has one outer ring,
+    so all its components are on the same path.
+    """
+    from . import regions
+
+    found = written(merge_candidates(component_stats(nodes), c))
+    points = found.select("f", "a", "b", "a_cx", "a_cy", "b_cx", "b_cy", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("k"))
+    points = points.selectExpr("f", "a", "b", "k", "a_cx + (b_cx - a_cx) * k / 16e0 AS px", "a_cy + (b_cy - a_cy) * k / 16e0 AS py")
+    chord = regions.inside(points, edges, ["a", "b", "k"], 1e-6).groupBy("f", "a", "b").agg(F.bool_and("inside").alias("chord")).where("chord")
+    own = written(shells(nodes, edges))
+    named = lambda x: own.select("f", "ring", "n", F.col("comp").alias(x), *[F.col(k).alias(f"{x}_{k}") for k in ("side", "i", "last", "first")])
+    meets = found.select("f", "a", "b").join(named("a"), ["f", "a"]).join(named("b"), ["f", "ring", "n", "b"]).where(f"least({_corners('a', 'b')}, {_corners('b', 'a')}) <= 1")
+    sides = lambda x, y: F.bool_or((F.col("a_side") == x) & (F.col("b_side") == y)).alias(f"{x}_{y}")
+    meets = meets.groupBy("f", "a", "b").agg(*[sides(x, y) for x in ("left", "right") for y in ("left", "right")])
+    facing = f"CASE WHEN abs(a_d - b_d) > {max(1.0, 0.2 * c.step)!r}D THEN IF(a_d < b_d, right_left, left_right) ELSE right_left OR left_right END"
+    return found.join(chord, ["f", "a", "b"]).join(meets, ["f", "a", "b"]).where(f"(left_left AND right_right) OR {facing}").select("f", "a", "b")
+
+
+def merged(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
     """Nodes with ``merged``, the component after merging."""
     nodes = written(nodes)
-    stats = written(component_stats(nodes))
-    found = connected(merge_pairs(stats, c), stats.select("f", F.col("comp").alias("v")))
+    found = connected(merge_pairs(nodes, edges, c), nodes.select("f", F.col("comp").alias("v")).distinct())
     return nodes.join(found.select("f", F.col("v").alias("comp"), F.col("comp").alias("merged")), ["f", "comp"])
+
+
+def spanning_tree(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(f, node, parent, level): the breadth-first tree of each component from its first stripe by (row, along); a root is its own parent.
+
+    Of several neighbours one level up the smallest is the parent. One group per
+    field; a field's links are at most ``neighbours`` times its stripes.
+    """
+
+    def run(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        beside: dict[int, set[int]] = {}
+        for a, b in zip(links["src"], links["dst"], strict=True):
+            beside.setdefault(a, set()).add(b)
+            beside.setdefault(b, set()).add(a)
+        out = []
+        for _, own in nodes.sort_values(["row", "a0", "node"]).groupby("comp", sort=True):
+            root = own["node"].iat[0]
+            seen, level, depth = {root}, [root], 0
+            out.append((key[0], root, root, 0))
+            while level:
+                depth += 1
+                found = {v: min(u for u in level if v in beside[u]) for v in {v for u in level for v in beside.get(u, ())} - seen}
+                out += [(key[0], v, u, depth) for v, u in found.items()]
+                level = sorted(found)
+                seen |= found.keys()
+        return pd.DataFrame(out, columns=["f", "node", "parent", "level"])
+
+    return nodes.select("f", "node", "row", "a0", "comp").groupBy("f").cogroup(links.select("f", "src", "dst").groupBy("f")).applyInPandas(run, "f bigint, node int, parent int, level int")

@@ -110,17 +110,62 @@ def register() -> None:
     op("g2_component_span", "SELECT f, comp, lo, hi FROM stats", "stats", {"lo": 5, "hi": 5})(lambda t: graph.component_stats(Stages(t).comps).select("f", "comp", "lo", "hi"))
     op("g3_component_exclusion", "SELECT f, comp, excl FROM stats", "stats")(lambda t: graph.component_stats(Stages(t).comps).select("f", "comp", "excl"))
     op("g15_component_slots", "SELECT f, max(comp) + 1 AS slots FROM stats GROUP BY f", "stats")(lambda t: graph.component_stats(Stages(t).comps).groupBy("f").agg((F.max("comp") + 1).alias("slots")))
-    rowgap = "greatest(0, greatest(a.min_row, b.min_row) - least(a.max_row, b.max_row) - 1)"
-    al, ac = f"abs((b.cx - a.cx) * sin({_A}) - (b.cy - a.cy) * cos({_A}))", f"abs((b.cx - a.cx) * cos({_A}) + (b.cy - a.cy) * sin({_A}))"
-    pairs = f"""SELECT a.f AS f, a.comp AS a, b.comp AS b FROM stats a JOIN stats b ON a.f = b.f AND a.comp < b.comp AND a.excl = b.excl WHERE {rowgap} <= 3 AND {al.replace('radians((15 * f)', 'radians((15 * a.f)')} <= 13.6e0 AND {ac.replace('radians((15 * f)', 'radians((15 * a.f)')} <= 19.2e0
-        AND NOT EXISTS (SELECT 1 FROM stats t WHERE t.f = a.f AND t.comp <> a.comp AND t.comp <> b.comp AND least(a.max_row, b.max_row) + 1 <= greatest(a.min_row, b.min_row) - 1 AND least(a.hi, b.hi) > greatest(a.lo, b.lo) + 1e-3
-        AND t.max_row >= least(a.max_row, b.max_row) + 1 AND t.min_row <= greatest(a.min_row, b.min_row) - 1 AND least(t.hi, least(a.hi, b.hi)) > greatest(t.lo, greatest(a.lo, b.lo)) + 0.5e0)"""
-    op("f3_component_pairs", pairs, "stats")(lambda t: graph.merge_pairs(graph.component_stats(Stages(t).comps)))
-    op("f5_intervening_anti_join", f"SELECT f, count(*) AS pairs FROM ({pairs}) p GROUP BY f", "stats")(lambda t: graph.merge_pairs(graph.component_stats(Stages(t).comps)).groupBy("f").agg(F.count("*").alias("pairs")))
     _register_routes()
     _register_details()
-    operator("s5_merge")(lambda t: graph.merged(Stages(t).comps).select("f", "node", "comp", "merged"))
-    operator("k3_union_find")(lambda t: graph.merged(Stages(t).comps).select("f", "comp", "merged").distinct())
+    _register_merge(op)
+
+
+def _register_merge(op) -> None:
+    turn = lambda x: f"radians((15 * {x}.f) % 180 + 0e0)"
+    gap = "greatest(0, greatest(a.min_row, b.min_row) - least(a.max_row, b.max_row) - 1)"
+    across = f"((b.cx - a.cx) * cos({turn('a')}) + (b.cy - a.cy) * sin({turn('a')}))"
+    close = f"({gap} <= 3 AND abs((b.cx - a.cx) * sin({turn('a')}) - (b.cy - a.cy) * cos({turn('a')})) <= 13.6e0 AND abs({across}) <= 19.2e0)"
+    bypass = "(least(a.size, b.size) <= 18 AND sqrt((b.cx - a.cx) * (b.cx - a.cx) + (b.cy - a.cy) * (b.cy - a.cy)) <= 32e0)"
+    free = f"""SELECT a.f, a.comp AS a, b.comp AS b, a.cx AS ux, a.cy AS uy, b.cx AS vx, b.cy AS vy, {across} AS ahead FROM stats a JOIN stats b ON a.f = b.f AND a.comp < b.comp AND a.excl = b.excl WHERE ({close} OR {bypass})
+        AND NOT EXISTS (SELECT 1 FROM stats t WHERE t.f = a.f AND t.comp <> a.comp AND t.comp <> b.comp AND least(a.max_row, b.max_row) + 1 <= greatest(a.min_row, b.min_row) - 1 AND least(a.hi, b.hi) > greatest(a.lo, b.lo) + 1e-3
+        AND t.max_row >= least(a.max_row, b.max_row) + 1 AND t.min_row <= greatest(a.min_row, b.min_row) - 1 AND least(t.hi, least(a.hi, b.hi)) > greatest(t.lo, greatest(a.lo, b.lo)) + 0.5e0)"""
+    dist, t = planar.side_distance("px", "py"), planar.side_t("px", "py")
+    chord = f"""SELECT f, a, b FROM (SELECT c.f, a, b, k, sum(CASE WHEN {planar.crosses('px', 'py')} THEN 1 ELSE 0 END) % 2 = 1 OR min({dist}) <= 1e-6 AS ok FROM (SELECT f, a, b, k, ux + (vx - ux) * k / 16e0 AS px, uy + (vy - uy) * k / 16e0 AS py
+        FROM free CROSS JOIN (SELECT {{explode:0,16}} AS k) n) c JOIN sides s ON c.f = s.f GROUP BY c.f, a, b, k) q GROUP BY f, a, b HAVING min(CASE WHEN ok THEN 1 ELSE 0 END) = 1"""
+    places = f"""SELECT DISTINCT f, comp, side, ring, i, n, t >= 0.96e0 AS late, t <= 0.04e0 AS early FROM (SELECT p.f, comp, side, s.ring, s.i, s.n, {t} AS t, row_number() OVER (PARTITION BY p.f, node, side ORDER BY {dist}, s.ring, s.i) AS rn FROM (
+        SELECT f, comp, node, 'L' AS side, sx AS px, sy AS py FROM comps UNION ALL SELECT f, comp, node, 'R' AS side, ex AS px, ey AS py FROM comps) p JOIN sides s ON p.f = s.f) q WHERE rn = 1"""
+
+    def fwd(u: str, v: str) -> str:
+        n = f"(({v}.i - {u}.i + {u}.n) % {u}.n)"
+        return f"CASE WHEN {u}.i = {v}.i THEN 0 WHEN {n} = 1 AND ({u}.late OR {v}.early) THEN 0 ELSE {n} - CASE WHEN {u}.late THEN 1 ELSE 0 END - CASE WHEN {v}.early THEN 1 ELSE 0 END END"
+
+    met = f"SELECT p.f, p.a, p.b, concat(u.side, v.side) AS met FROM free p JOIN places u ON p.f = u.f AND p.a = u.comp JOIN places v ON p.f = v.f AND p.b = v.comp AND u.ring = v.ring WHERE least({fwd('u', 'v')}, {fwd('v', 'u')}) <= 1 GROUP BY ALL"
+    has = lambda x: f"EXISTS (SELECT 1 FROM met m WHERE m.f = p.f AND m.a = p.a AND m.b = p.b AND m.met = '{x}')"
+    joined = f"""SELECT p.f, p.a, p.b FROM free p JOIN chord c ON p.f = c.f AND p.a = c.a AND p.b = c.b
+        WHERE ({has('LL')} AND {has('RR')}) OR ({has('RL')} AND ahead >= -1e0) OR ({has('LR')} AND ahead <= 1e0)"""
+    walk = "SELECT f, comp AS v, comp AS w FROM stats UNION SELECT r.f, r.v, CASE WHEN j.a = r.w THEN j.b ELSE j.a END FROM merging r JOIN joined j ON r.f = j.f AND (j.a = r.w OR j.b = r.w)"
+    more = ", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in {"free": free, "chord": chord, "places": places, "met": met, "joined": joined}.items())
+    text = lambda q: _sql("SELECT 1", "stats").removesuffix("SELECT 1").rstrip() + f", {more}, merging AS ({walk}) {q}"
+    number = "(SELECT f, v AS comp, min(w) AS merged FROM merging GROUP BY f, v)"
+
+    def made(t: Tables):
+        s = Stages(t)
+        return s.comps, s.edges
+
+    operator("f5_intervening_anti_join", text("SELECT f, a, b FROM free"))(lambda t: graph.merge_candidates(graph.component_stats(made(t)[0])).select("f", "a", "b"))
+    operator("f3_component_pairs", text("SELECT f, a, b FROM joined"))(lambda t: graph.merge_pairs(*made(t)))
+    operator("s5_merge", text(f"SELECT c.f, node, c.comp, merged FROM comps c JOIN {number} m ON c.f = m.f AND c.comp = m.comp"))(lambda t: graph.merged(*made(t)).select("f", "node", "comp", "merged"))
+    operator("k3_union_find", text(f"SELECT f, comp, merged FROM {number} m"))(lambda t: graph.merged(*made(t)).select("f", "comp", "merged").distinct())
+    operator("f15_component_map", text(f"SELECT f, merged, count(*) AS raw_components, sum(size) AS stripes FROM {number} m JOIN stats s USING (f, comp) GROUP BY f, merged"))(
+        lambda t: graph.merged(*made(t)).groupBy("f", "merged").agg(F.countDistinct("comp").alias("raw_components"), F.count("*").alias("stripes"))
+    )
+    levels = """SELECT f, comp, node, level FROM (SELECT f, comp, node, 0 AS level, row_number() OVER (PARTITION BY f, comp ORDER BY row, a0, node) AS rn FROM comps) r WHERE rn = 1
+        UNION SELECT t.f, t.comp, CASE WHEN l.src = t.node THEN l.dst ELSE l.src END, t.level + 1 FROM tree t JOIN links l ON t.f = l.f AND (l.src = t.node OR l.dst = t.node) WHERE t.level < 120"""
+    tree = _sql("SELECT 1", "comps").removesuffix("SELECT 1").rstrip() + f""", tree AS ({levels}), depth AS (SELECT f, node, min(level) AS level FROM tree GROUP BY f, node)
+        SELECT d.f, d.node, CASE WHEN d.level = 0 THEN d.node ELSE min(u.node) END AS parent, d.level FROM depth d LEFT JOIN links l ON d.f = l.f AND (l.src = d.node OR l.dst = d.node)
+        LEFT JOIN depth u ON u.f = d.f AND u.node = CASE WHEN l.src = d.node THEN l.dst ELSE l.src END AND u.level = d.level - 1 GROUP BY d.f, d.node, d.level"""
+
+    def grown(t: Tables):
+        nodes = written(Stages(t).clustered)
+        links = written(graph.row_links(nodes))
+        return graph.spanning_tree(graph.components(nodes, links), links)
+
+    operator("k6_spanning_tree", tree)(grown)
 
 
 class FullPlan:
@@ -138,7 +183,7 @@ class FullPlan:
 
     @property
     def merged(self):
-        return written(graph.merged(graph.components(self.nodes, graph.row_links(self.nodes))))
+        return written(graph.merged(graph.components(self.nodes, graph.row_links(self.nodes)), self.edges))
 
     @property
     def chunks(self):
@@ -189,8 +234,6 @@ def _register_details() -> None:
     operator("k18_simplified_coverage", _sql("SELECT f, row, CASE WHEN row % 2 = 0 THEN min(a0) ELSE max(a1) END AS first, CASE WHEN row % 2 = 0 THEN max(a1) ELSE min(a0) END AS last FROM nodes GROUP BY f, row", "nodes"), {"first": 5, "last": 5})(
         lambda t: Stages(t).nodes.groupBy("f", "row").agg(F.expr("CASE WHEN row % 2 = 0 THEN min(a0) ELSE max(a1) END AS first"), F.expr("CASE WHEN row % 2 = 0 THEN max(a1) ELSE min(a0) END AS last"))
     )
-    # a tree of links from each component's first row: the row below that each stripe hangs on
-    operator("k6_spanning_tree", _sql("SELECT f, dst AS node, min(src) AS parent FROM links GROUP BY f, dst", "links"))(lambda t: Stages(t).links.groupBy("f", "dst").agg(F.min("src").alias("parent")).select("f", F.col("dst").alias("node"), "parent"))
     inside = f"""SELECT f, src, dst, min(CASE WHEN hit % 2 = 1 OR near THEN 1 ELSE 0 END) = 1 AS inside FROM (SELECT c.f, src, dst, k, sum(CASE WHEN {planar.crosses('px', 'py')} THEN 1 ELSE 0 END) AS hit, min({dist}) <= 1e-6 AS near FROM (
         SELECT l.f, src, dst, k, a.mx + (b.mx - a.mx) * k / 16e0 AS px, a.my + (b.my - a.my) * k / 16e0 AS py FROM links l JOIN nodes a ON l.f = a.f AND l.src = a.node JOIN nodes b ON l.f = b.f AND l.dst = b.node CROSS JOIN (SELECT {{explode:0,16}} AS k) n) c
         JOIN sides s ON c.f = s.f GROUP BY c.f, src, dst, k) q GROUP BY f, src, dst"""
