@@ -57,8 +57,7 @@ def connected(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Clustered nodes with ``comp``, numbered by the smallest cluster. The rounds start from tables."""
-    nodes, links = written(nodes), written(links)
+    """Clustered nodes, best a table, with ``comp``, numbered by the smallest cluster. The rounds start from tables."""
     of = nodes.select("f", F.col("node"), F.col("cluster"))
     pairs = links.join(of.select("f", F.col("node").alias("src"), F.col("cluster").alias("ca")), ["f", "src"]).join(of.select("f", F.col("node").alias("dst"), F.col("cluster").alias("cb")), ["f", "dst"])
     pairs = pairs.select("f", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).where("a <> b").distinct()

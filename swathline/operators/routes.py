@@ -10,11 +10,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .sweep import PlanConfig
 
 CHUNKS = "f bigint, comp bigint, phase int, chunk int, min_row int, max_row int, xs array<double>, ys array<double>"
 ISLANDS = "f bigint, comp bigint, phase int, island int, min_row int, max_row int, chunks int, xs array<double>, ys array<double>"
+HOPS = "f bigint, src int, dst int, direct double, direct_ok boolean, cost double, ok boolean"
+ENTRIES = "f bigint, comp bigint, phase int, island int, reverse boolean, cost double"
+COVERAGE = "f bigint, rows int, leg double, back double, xs array<double>, ys array<double>"
 ROUTES = "f bigint, ok boolean, islands int, used int, unreachable int, links int, phase0 int, xs array<double>, ys array<double>"
 
 
@@ -253,3 +257,137 @@ def stitched(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig(), dec
         return pd.DataFrame([row], columns=[x.split()[0] for x in ROUTES.split(", ")])
 
     return isl.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, ROUTES)
+
+
+def _rows(out: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+
+
+def hops(nodes: DataFrame, links: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
+    """Connectors (``HOPS``) between linked stripes, from the end of one to the end of the other that is nearest.
+
+    ``cost`` is null where no connector is legal; ``direct_ok``: short enough to go straight; ``ok``: cheap enough to be taken.
+    """
+    cap = min(max(0.5, c.direct_max), max(max(0.5, c.direct_max), 1.35 * c.step))
+    ends = lambda k: nodes.select("f", F.col("node").alias(k), *[F.col(x).alias(f"{k}_{x}") for x in ("sx", "sy", "ex", "ey")])
+    near = F.least(*[F.struct(F.sqrt((F.col(f"src_{a}x") - F.col(f"dst_{b}x")) ** 2 + (F.col(f"src_{a}y") - F.col(f"dst_{b}y")) ** 2).alias("direct"), *[F.col(f"{k}_{e}{x}").alias(f"{n}{x}") for k, e, n in (("src", a, "p"), ("dst", b, "q")) for x in "xy"]) for a in "se" for b in "se"])
+    pairs = links.select("f", "src", "dst").join(ends("src"), ["f", "src"]).join(ends("dst"), ["f", "dst"]).select("f", "src", "dst", near.alias("h")).select("f", "src", "dst", "h.*")
+
+    def run(key: tuple, pairs: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        region, out = Region(edges, c), []
+        for r in pairs.itertuples():
+            way = region.connect(np.array([r.px, r.py]), np.array([r.qx, r.qy]), True)
+            ok = way is not None and way[0] <= max(c.intra_limit, 2.5 * r.direct, 2.5 * c.step)
+            out.append((key[0], r.src, r.dst, r.direct, r.direct <= cap, way[0] if way else None, ok))
+        return _rows(out, HOPS)
+
+    return pairs.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, HOPS)
+
+
+def entries(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
+    """How each island is best entered from the contour's first vertex (``ENTRIES``): at its head, or at its tail if that is cheaper; no row where neither is legal."""
+
+    def run(key: tuple, isl: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        region, out = Region(edges, c), []
+        for r in isl.sort_values("island").itertuples() if len(edges) else ():
+            pts = _points(r)
+            head, tail = (region.connect(region.at(0, 0.0), p, False) for p in (pts[0], pts[-1]))
+            if head or tail:
+                reverse = bool(tail and (not head or tail[0] < head[0]))
+                out.append((key[0], r.comp, r.phase, r.island, reverse, tail[0] if reverse else head[0]))
+        return _rows(out, ENTRIES)
+
+    return isl.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, ENTRIES)
+
+
+def boundary_transfers(ends: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
+    """(f, node, ring, d1, d2, arc, score): ways along one ring between two points of a node; ``ends`` (f, node, side, px, py).
+
+    Joins only: both points' nearest boundary places must be on one ring and in reach; the score is both distances and the shorter arc.
+    """
+    from . import regions
+
+    reach = max(1.0, 0.75 * c.step)
+    near = regions.anchors(ends, edges, ["node", "side"]).where(f"dist <= {reach!r}")
+    total = edges.groupBy("f", "ring").agg(F.sum("len").alias("total"))
+    a = near.where("side = 'left'").selectExpr("f", "node", "ring", "dist AS d1", "arc AS u")
+    b = near.where("side = 'right'").selectExpr("f", "node", "ring", "dist AS d2", "arc AS v")
+    both = a.join(b, ["f", "node", "ring"]).join(total, ["f", "ring"]).withColumn("arc", F.expr("least(pmod(v - u, total), pmod(u - v, total))"))
+    return both.select("f", "node", "ring", "d1", "d2", "arc", F.expr("d1 + d2 + arc").alias("score"))
+
+
+def ring_samples(edges: DataFrame, most: int = 48) -> DataFrame:
+    """(f, ring, place, x, y): about ``most`` vertices of each ring, evenly, and the middles of the sides from them; ``place`` along the ring."""
+    from . import regions
+
+    picked = regions.with_arcs(edges).where(f"i % greatest(1, CAST(floor(n / {most}e0) AS INT)) = 0")
+    return picked.selectExpr("f", "ring", "stack(2, arc, x1, y1, arc + len / 2, (x1 + x2) / 2, (y1 + y2) / 2) AS (place, x, y)")
+
+
+def bridges(edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
+    """(f, ring, place, outer_place, px, py, qx, qy, hop): short chords inside the region between a hole's samples and the contour's.
+
+    Samples meet in square cells as wide as the longest bridge, each with its
+    neighbours, so a field with long rings joins only what can be near.
+    """
+    from . import regions
+
+    longest = max(0.5, min(2.5 * c.step, c.direct_max))
+    cell = lambda x: F.floor(F.col(x) / longest)
+    samples = ring_samples(edges)
+    holes = samples.where("ring > 0").select("f", F.col("ring").alias("hole"), "place", F.col("x").alias("px"), F.col("y").alias("py"), cell("x").alias("cx"), cell("y").alias("cy"))
+    around = F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    outer = samples.where("ring = 0").select("f", F.col("place").alias("outer_place"), F.col("x").alias("qx"), F.col("y").alias("qy"), around.alias("c")).select("f", "outer_place", "qx", "qy", "c.cx", "c.cy")
+    near = holes.join(outer, ["f", "cx", "cy"]).withColumn("hop", F.expr("sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py))")).where(F.col("hop") <= longest).drop("cx", "cy")
+    key = ["hole", "place", "outer_place"]
+    points = near.select("f", *key, "px", "py", "qx", "qy", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("k")).selectExpr("f", *key, "k", "px + (qx - px) * k / 16e0 AS px", "py + (qy - py) * k / 16e0 AS py")
+    clear = regions.inside(points, edges, [*key, "k"], 1e-6).groupBy("f", *key).agg(F.bool_and("inside").alias("clear")).where("clear")
+    return near.join(clear.select("f", *key), ["f", *key]).withColumnRenamed("hole", "ring")
+
+
+def simplified(nodes: DataFrame, edges: DataFrame, starts: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
+    """Simplified route (``COVERAGE``) of each field: along the boundary to a snake over all rows, and back.
+
+    Rows go in order, each from its end that is nearer to where the last one
+    stopped; a hop without a legal connector is straight. The snake is turned
+    round if its tail is nearer to the boundary place of the start (f, px, py).
+    The legs walk the ring between the boundary places of their ends, however far
+    these are. No cutouts: ``nodes`` and ``edges`` are of contours.
+    """
+
+    def run(key: tuple, nodes: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        edges, start = rest[rest["ring"].notna()], rest.loc[rest["ring"].isna(), ["x1", "y1"]].to_numpy()
+        if not len(nodes) or not len(edges) or not len(start):
+            return _rows([], COVERAGE)
+        region, route = Region(edges, c), []
+
+        def add(p: np.ndarray) -> None:
+            if not route or np.linalg.norm(p - route[-1]) > 0.02:
+                route.append(p)
+
+        for _, row in nodes.groupby("row", sort=True):
+            ends = row.sort_values(["a0", "node"])[["sx", "sy", "ex", "ey"]].to_numpy()
+            forward = not route or np.linalg.norm(ends[0, :2] - route[-1]) <= np.linalg.norm(ends[-1, 2:] - route[-1])
+            for e in ends if forward else ends[::-1]:
+                first, last = (e[:2], e[2:]) if forward else (e[2:], e[:2])
+                way = region.connect(route[-1], first, True) if route else None
+                for p in way[1] if way else [first]:
+                    add(p)
+                add(last)
+        ring, arc, _ = region.anchor(start[0])
+        place = region.at(ring, arc)
+        if np.linalg.norm(route[-1] - place) < np.linalg.norm(route[0] - place):
+            route.reverse()
+
+        def leg(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+            (r1, u, _), (r2, v, _) = region.anchor(p), region.anchor(q)
+            return [region.at(r1, u), *region.walk(r1, u, v), q] if r1 == r2 else [q]
+
+        length = lambda pts: float(sum(np.linalg.norm(b - a) for a, b in zip(pts, pts[1:])))
+        there, back = [start[0], *leg(start[0], route[0])], [route[-1], *leg(route[-1], start[0])]
+        whole = [*there, *route[1:], *back[1:]]
+        return _rows([(key[0], nodes["row"].nunique(), length(there), length(back), [p[0] for p in whole], [p[1] for p in whole])], COVERAGE)
+
+    at = starts.selectExpr("f", "CAST(NULL AS INT) AS ring", "CAST(NULL AS INT) AS i", "px AS x1", "py AS y1", "CAST(NULL AS DOUBLE) AS x2", "CAST(NULL AS DOUBLE) AS y2", "CAST(NULL AS DOUBLE) AS len")
+    rest = edges.select("f", "ring", "i", "x1", "y1", "x2", "y2", "len").union(at)
+    return nodes.select("f", "node", "row", "a0", "sx", "sy", "ex", "ey").groupBy("f").cogroup(rest.groupBy("f")).applyInPandas(run, COVERAGE)

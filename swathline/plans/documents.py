@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import sweep
+from ..operators import commands
 from ..sources import documents
 from ..sources.fixtures import Tables
 from .spec import operator, statement
@@ -44,21 +44,9 @@ def register() -> None:
     operator("a4_waypoint_documents", ways, {"lat0": 8, "latitude": 8, "longitude": 8, "reach_radius_m": 6})(lambda t: documents.missions(mission_texts(t)).select("id", "lat0", "i", "wid", "latitude", "longitude", "reach_radius_m"))
     operator("a17_world_models", "SELECT mission_id AS id, 'robot' AS name FROM {missions} WHERE mission_id IN (SELECT mission_id FROM {waypoints})")(lambda t: documents.world_models(world_texts(t)).select("id", "name"))
     operator("b14_world_documents", "SELECT mission_id AS id, count(*) + 1 AS models FROM {waypoint_xy} GROUP BY mission_id")(lambda t: world_texts(t).selectExpr("id", "CAST(size(xpath(body, '/sdf/world/model/@name')) AS BIGINT) AS models"))
-    # -- stage metrics ---------------------------------------------------------------------------------------------
-    metrics = "SELECT f, stage, n, CASE WHEN n > 0 THEN 'ok' ELSE 'failed' END AS status FROM (SELECT f, 1 AS stage, count(*) AS n FROM {outer_edges} GROUP BY f UNION ALL SELECT s_suppkey, 2, count(CASE WHEN s_suppkey % 3 = 0 THEN 1 END) FROM {supplier} GROUP BY s_suppkey) q"
-    statement("b19_stage_metrics", metrics)
-    statement("b20_first_failure", f"SELECT f, min(CASE WHEN status = 'failed' THEN stage END) AS first_failure, count(CASE WHEN status = 'ok' THEN 1 END) AS ok FROM ({metrics}) m GROUP BY f")
-    statement("b24_step_counts", f"SELECT f, stage, greatest(1, n) AS steps FROM ({metrics}) m")
-    statement("g11_stage_counters", f"SELECT stage, status, count(*) AS jobs, sum(n) AS items FROM ({metrics}) m GROUP BY stage, status")
-    statement("p4_stage_labels", f"SELECT f, stage, CASE stage WHEN 1 THEN 'Prepare' WHEN 2 THEN 'Sweep' ELSE 'Other' END AS name FROM ({metrics}) m")
-    statement("p5_result_accessors", f"SELECT f, coalesce(max(CASE WHEN stage = 1 THEN n END), 1) AS outer_contours, max(CASE WHEN status = 'ok' THEN stage END) AS last_ok FROM ({metrics}) m GROUP BY f")
-    # -- connector rules over each point and the next one of its field ----------------------------------------------------------------------
-    c = sweep.PlanConfig()
-    pairs = "SELECT a.id AS a, b.id AS b, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) AS direct, abs(a.px - b.px) + abs(a.py - b.py) AS cost FROM {points} a JOIN {points} b ON a.f = b.f AND b.id = a.id + 100"
-    statement("c21_connector_acceptable", f"SELECT a, b, cost < 1e12 AND cost <= greatest({c.intra_limit}e0, greatest(2.5e0 * direct, {2.5 * c.step}e0)) AS ok FROM ({pairs}) p")
-    statement("k9_direct_cap", f"SELECT a, b, direct <= least(greatest(0.5e0, {c.direct_max}e0), greatest(greatest(0.5e0, {c.direct_max}e0), {1.35 * c.step}e0)) AS direct_ok FROM ({pairs}) p")
-    statement("k15_entry_option", f"SELECT a, min(direct) AS best, count(*) AS options FROM ({pairs}) p GROUP BY a", {"best": 6})
-    statement("j10_unreachable", "SELECT s.s_suppkey AS f FROM {supplier} s LEFT JOIN (SELECT DISTINCT f FROM {points}) p ON s.s_suppkey = p.f WHERE p.f IS NULL")
     statement("e24_polyline_assembly", "SELECT mission_id, i, x, y FROM (SELECT *, lag(x) OVER (PARTITION BY mission_id ORDER BY i) AS px, lag(y) OVER (PARTITION BY mission_id ORDER BY i) AS py FROM {waypoint_xy}) q WHERE px IS NULL OR sqrt((x - px) * (x - px) + (y - py) * (y - py)) > 0.02e0", {"x": 4, "y": 4})
     statement("p9_context_overlay", "SELECT f, ring, CASE WHEN ring = 0 THEN 57 * f % 360 ELSE (53 * f + 17) % 360 END AS hue, count(*) AS sides FROM {edges} GROUP BY f, ring")
-    statement("m18_update_throttle", "SELECT robot_id, win, min(event_id) AS shown FROM (SELECT robot_id, event_id, CAST(floor(event_id / 5e0) AS BIGINT) AS win FROM {gps_fix}) q GROUP BY robot_id, win")
+    # an update is shown if none was in the 200 ms of its robot before it: the clock of a fix is its number, 50 ms apart
+    ms = "SELECT robot_id, seq, seq * 50 AS ms FROM {track}"
+    walk = f"WITH RECURSIVE clock AS ({ms}), shown AS (SELECT robot_id, seq, ms, ms AS last, true AS visible FROM clock WHERE seq = 1 UNION ALL SELECT c.robot_id, c.seq, c.ms, CASE WHEN c.ms - s.last >= 200 THEN c.ms ELSE s.last END, c.ms - s.last >= 200 FROM shown s JOIN clock c ON c.robot_id = s.robot_id AND c.seq = s.seq + 1) SELECT robot_id, seq, ms FROM shown WHERE visible"
+    operator("m18_update_throttle", walk)(lambda t: commands.greedy_filter(t.sql(ms), ["robot_id"], "seq", lambda p, q: p[1] - q[1] >= 200, ["ms"]))

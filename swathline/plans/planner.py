@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, planar
@@ -47,25 +49,53 @@ def _sql(text: str, upto: str) -> str:
 
 
 class Stages:
-    """The planner's DataFrames over raw regions (no inset), made once per query."""
+    """The planner's DataFrames over raw regions (no inset), made when they are asked for.
+
+    What several later steps read is written once, so that no plan holds a step twice.
+    """
 
     def __init__(self, t: Tables):
-        self.edges = t["edges"]
-        self.sides = sweep.in_sweep_frame(self.edges)
-        self.lines = sweep.lines(self.sides)
-        self.stripes = sweep.cut(self.sides, self.lines)
-        self.rowed = sweep.rowed(self.stripes)
-        self.kept = sweep.supported(self.rowed)
-        self.nodes = sweep.numbered(self.kept)
-        self.flagged = sweep.touching(self.nodes, self.edges)
-        self.clustered = graph.clusters(self.flagged)
-        self.links = graph.row_links(self.clustered)
+        self.t = t
 
-    @property
+    @cached_property
+    def edges(self):
+        return written(self.t["edges"])
+
+    @cached_property
+    def sides(self):
+        return sweep.in_sweep_frame(self.edges)
+
+    @cached_property
+    def lines(self):
+        return sweep.lines(self.sides)
+
+    @cached_property
+    def stripes(self):
+        return written(sweep.cut(self.sides, self.lines))
+
+    @cached_property
+    def rowed(self):
+        return written(sweep.rowed(self.stripes))
+
+    @cached_property
+    def kept(self):
+        return sweep.supported(self.rowed)
+
+    @cached_property
+    def nodes(self):
+        return written(sweep.numbered(self.kept))
+
+    @cached_property
+    def clustered(self):
+        return written(graph.clusters(sweep.touching(self.nodes, self.edges)))
+
+    @cached_property
+    def links(self):
+        return graph.row_links(self.clustered)
+
+    @cached_property
     def comps(self):
-        """Components run in rounds, so what they start from is a table."""
-        clustered = written(self.clustered)
-        return graph.components(clustered, graph.row_links(clustered))
+        return graph.components(self.clustered, self.links)
 
 
 def register() -> None:
@@ -78,20 +108,20 @@ def register() -> None:
     op("s2_sweep_lines", "SELECT f, k, d FROM lines", "lines", {"d": 5})(lambda t: Stages(t).lines)
     res = """SELECT f, lo, hi FROM (SELECT e.f, dmin AS lo, b0 AS hi FROM (SELECT f, min(d1) AS dmin FROM sides GROUP BY f) e JOIN (SELECT f, min(d) - 2e0 AS b0 FROM lines GROUP BY f) b ON e.f = b.f
         UNION ALL SELECT e.f, b1, dmax FROM (SELECT f, max(d1) AS dmax FROM sides GROUP BY f) e JOIN (SELECT f, max(d) + 2e0 AS b1 FROM lines GROUP BY f) b ON e.f = b.f) q WHERE hi - lo > 2e-3"""
-    op("j4_residual_intervals", res, "lines", {"lo": 5, "hi": 5})(lambda t: sweep.residual(Stages(t).lines, Stages(t).sides))
-    op("e13_band_cover", f"SELECT f, count(*) AS intervals, sum(hi - lo) AS open_m FROM ({res}) z GROUP BY f", "lines", {"open_m": 5})(lambda t: sweep.residual(Stages(t).lines, Stages(t).sides).groupBy("f").agg(F.count("*").alias("intervals"), F.expr("sum(hi - lo)").alias("open_m")))
+    op("j4_residual_intervals", res, "lines", {"lo": 5, "hi": 5})(lambda t: (lambda s: sweep.residual(s.lines, s.sides))(Stages(t)))
+    op("e13_band_cover", f"SELECT f, count(*) AS intervals, sum(hi - lo) AS open_m FROM ({res}) z GROUP BY f", "lines", {"open_m": 5})(lambda t: (lambda s: sweep.residual(s.lines, s.sides))(Stages(t)).groupBy("f").agg(F.count("*").alias("intervals"), F.expr("sum(hi - lo)").alias("open_m")))
     op("h2_distinct_rows", "SELECT f, count(DISTINCT k) AS n FROM stripes GROUP BY f", "stripes")(lambda t: sweep.distinct_rows(Stages(t).stripes).groupBy("f").agg(F.count("*").alias("n")))
     op("h3_row_of_stripe", "SELECT f, k, a0, row FROM rowed", "rowed", {"a0": 5})(lambda t: Stages(t).rowed.select("f", "k", "a0", "row"))
     op("j6_duplicate_distances", "SELECT f, k, min(d) AS d FROM stripes GROUP BY f, k", "stripes", {"d": 5})(lambda t: Stages(t).stripes.groupBy("f", "k").agg(F.min("d").alias("d")))
     op("f1_neighbour_support", "SELECT f, k, a0, len FROM kept", "kept", {"a0": 5, "len": 5})(lambda t: Stages(t).kept.select("f", "k", "a0", "len"))
     op("s3_filter", "SELECT f, node, row, d, a0, a1 FROM nodes", "nodes", {"d": 5, "a0": 5, "a1": 5})(lambda t: Stages(t).nodes.select("f", "node", "row", "d", "a0", "a1"))
     op("i1_stripe_order", "SELECT f, node, row FROM nodes", "nodes")(lambda t: Stages(t).nodes.select("f", "node", "row"))
-    op("f8_stripe_owner", "SELECT f, node, 0 AS ring FROM nodes", "nodes")(lambda t: Stages(t).nodes.join(t["edges"].where("ring = 0").select("f", "ring").distinct(), "f").select("f", "node", "ring"))
+    op("f8_stripe_owner", "SELECT f, node, 0 AS ring FROM nodes", "nodes")(lambda t: (lambda s: s.nodes.join(s.edges.where("ring = 0").select("f", "ring").distinct(), "f").select("f", "node", "ring"))(Stages(t)))
     op("c23_along_overlap", "SELECT a.f, a.node AS a, b.node AS b, least(a.a1, b.a1) > greatest(a.a0, b.a0) + 0.5e0 AS over FROM nodes a JOIN nodes b ON a.f = b.f AND b.row = a.row + 1", "nodes")(
         lambda t: _pairs(Stages(t).nodes).selectExpr("f", "a", "b", "least(a1, b1) > greatest(a0, b0) + 0.5e0 AS over")
     )
     op("c22_rows_contiguous", "SELECT a.f, a.node AS a, b.node AS b, abs(a.row - b.row) <= 1 AS near FROM nodes a JOIN nodes b ON a.f = b.f AND b.node = a.node + 1", "nodes")(
-        lambda t: Stages(t).nodes.alias("a").join(Stages(t).nodes.alias("b"), F.expr("a.f = b.f AND b.node = a.node + 1")).selectExpr("a.f", "a.node AS a", "b.node AS b", "abs(a.row - b.row) <= 1 AS near")
+        lambda t: (lambda n: n.alias("a").join(n.alias("b"), F.expr("a.f = b.f AND b.node = a.node + 1")))(Stages(t).nodes).selectExpr("a.f", "a.node AS a", "b.node AS b", "abs(a.row - b.row) <= 1 AS near")
     )
     op("h1_row_clusters", "SELECT f, node, cluster FROM clustered", "clustered")(lambda t: Stages(t).clustered.select("f", "node", "cluster"))
     op("g5_cluster_exclusion", "SELECT f, cluster, bool_or(excl) AS excl FROM clustered GROUP BY f, cluster", "clustered")(lambda t: Stages(t).clustered.groupBy("f", "cluster").agg(F.bool_or("excl").alias("excl")))
@@ -113,6 +143,70 @@ def register() -> None:
     _register_routes()
     _register_details()
     _register_merge(op)
+    _register_metrics()
+
+
+#: Fixed names of the planner's stages, in order.
+STAGES = ("Prepare", "Sweep", "Filter", "Graph", "Merge", "Routes", "Group", "Stitch", "Approach")
+
+
+def stage_metrics(s: Stages):
+    """(f, stage, key, value): what each stage of a field made, from Prepare to Graph."""
+    comps, stripes, kept, links = written(s.comps), s.stripes, written(s.kept), s.links
+    count = lambda df, stage, key, what=None: df.groupBy("f").agg((what if what is not None else F.count("*")).cast("double").alias("value")).select("f", F.lit(stage).alias("stage"), F.lit(key).alias("key"), "value")
+    parts = [
+        count(s.edges, 0, "outerContours", F.countDistinct(F.when(F.col("ring") == 0, F.col("ring")))),
+        count(s.edges, 0, "holes", F.countDistinct(F.when(F.col("ring") > 0, F.col("ring")))),
+        count(s.lines, 1, "lines"),
+        count(stripes, 1, "stripes"),
+        count(kept, 2, "kept"),
+        count(stripes.select("f", F.lit(1).alias("n")).unionAll(kept.select("f", F.lit(-1).alias("n"))), 2, "dropped", F.sum("n")),
+        count(comps, 3, "nodes"),
+        count(links, 3, "edges"),
+        count(comps, 3, "components", F.countDistinct("comp")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _register_metrics() -> None:
+    one = lambda stage, key, source, what="count(*)": f"SELECT f, {stage} AS stage, '{key}' AS key, CAST({what} AS DOUBLE) AS value FROM {source} GROUP BY f"
+    rows = " UNION ALL ".join(
+        [
+            one(0, "outerContours", "sides", "count(DISTINCT CASE WHEN ring = 0 THEN ring END)"),
+            one(0, "holes", "sides", "count(DISTINCT CASE WHEN ring > 0 THEN ring END)"),
+            one(1, "lines", "lines"),
+            one(1, "stripes", "stripes"),
+            one(2, "kept", "kept"),
+            one(2, "dropped", "(SELECT f, 1 AS n FROM stripes UNION ALL SELECT f, -1 FROM kept) z", "sum(n)"),
+            one(3, "nodes", "comps"),
+            one(3, "edges", "links"),
+            one(3, "components", "comps", "count(DISTINCT comp)"),
+        ]
+    )
+    text = lambda q: _sql("SELECT 1", "comps").removesuffix("SELECT 1").rstrip() + f", metrics AS MATERIALIZED ({rows}) {q}"
+    names = "CASE stage " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(STAGES)) + " END"
+    # A stage is ok if it made something; its steps are the rows of its output, for Filter with those dropped.
+    main = "CASE stage WHEN 0 THEN 'outerContours' WHEN 1 THEN 'stripes' WHEN 2 THEN 'kept' ELSE 'nodes' END"
+    status = f"SELECT f, stage, max(CASE WHEN key = {main} THEN value END) AS made, CASE WHEN max(CASE WHEN key = {main} THEN value END) > 0 THEN 'ok' ELSE 'failed' END AS status, greatest(1e0, sum(CASE WHEN key = {main} OR key = 'dropped' THEN value ELSE 0e0 END)) AS steps FROM metrics GROUP BY f, stage"
+
+    def op(name: str, query: str, build) -> None:
+        operator(name, text(query))(build)
+
+    def judged(t: Tables):
+        key = F.expr(main)
+        value = F.max(F.when(F.col("key") == key, F.col("value")))
+        return stage_metrics(Stages(t)).groupBy("f", "stage").agg(value.alias("made"), F.when(value > 0, "ok").otherwise("failed").alias("status"), F.greatest(F.lit(1.0), F.sum(F.when((F.col("key") == key) | (F.col("key") == "dropped"), F.col("value")).otherwise(0.0))).alias("steps"))
+
+    op("b19_stage_metrics", "SELECT * FROM metrics", lambda t: stage_metrics(Stages(t)))
+    op("b20_first_failure", f"SELECT f, min(CASE WHEN status = 'failed' THEN stage END) AS first_failure, count(CASE WHEN status = 'ok' THEN 1 END) AS ok FROM ({status}) z GROUP BY f", lambda t: judged(t).groupBy("f").agg(F.min(F.when(F.col("status") == "failed", F.col("stage"))).alias("first_failure"), F.count_if(F.col("status") == "ok").alias("ok")))
+    op("b24_step_counts", f"SELECT f, stage, steps FROM ({status}) z", lambda t: judged(t).select("f", "stage", "steps"))
+    op("g11_stage_counters", "SELECT stage, key, sum(value) AS total, count(*) AS jobs FROM metrics GROUP BY stage, key", lambda t: stage_metrics(Stages(t)).groupBy("stage", "key").agg(F.sum("value").alias("total"), F.count("*").alias("jobs")))
+    op("p4_stage_labels", f"SELECT f, {names} AS name, status FROM ({status}) z", lambda t: judged(t).select("f", F.get(F.array(*map(F.lit, STAGES)), F.col("stage")).alias("name"), "status"))
+    accessors = f"SELECT m.f, greatest(1e0, max(CASE WHEN key = 'outerContours' THEN value END)) AS outer_contours, max(last_ok) AS last_ok FROM metrics m JOIN (SELECT f, max(CASE WHEN status = 'ok' THEN stage END) AS last_ok FROM ({status}) z GROUP BY f) y ON m.f = y.f GROUP BY m.f"
+    op("p5_result_accessors", accessors, lambda t: judged(t).groupBy("f").agg(F.greatest(F.lit(1.0), F.max(F.when(F.col("stage") == 0, F.col("made")))).alias("outer_contours"), F.max(F.when(F.col("status") == "ok", F.col("stage"))).alias("last_ok")))
 
 
 def _register_merge(op) -> None:
@@ -161,7 +255,7 @@ def _register_merge(op) -> None:
         LEFT JOIN depth u ON u.f = d.f AND u.node = CASE WHEN l.src = d.node THEN l.dst ELSE l.src END AND u.level = d.level - 1 GROUP BY d.f, d.node, d.level"""
 
     def grown(t: Tables):
-        nodes = written(Stages(t).clustered)
+        nodes = Stages(t).clustered
         links = written(graph.row_links(nodes))
         return graph.spanning_tree(graph.components(nodes, links), links)
 
@@ -208,6 +302,21 @@ def _register_routes() -> None:
     operator("k7_snake_lengths")(lambda t: FullPlan(t).chunks.select("f", "comp", "phase", "chunk", F.expr(size).alias("metres")))
     operator("s7_group")(lambda t: FullPlan(t).islands)
     operator("g7_island_centroids")(lambda t: FullPlan(t).islands.select("f", "comp", "phase", "island", F.expr("aggregate(xs, 0D, (s, x) -> s + x) / size(xs)").alias("cx"), F.expr("aggregate(ys, 0D, (s, y) -> s + y) / size(ys)").alias("cy")))
+    hypot = lambda a, b: f"sqrt((u.{a}x - v.{b}x) * (u.{a}x - v.{b}x) + (u.{a}y - v.{b}y) * (u.{a}y - v.{b}y))"
+    direct = f"SELECT l.f, src, dst, least({', '.join(hypot(a, b) for a in 'se' for b in 'se')}) AS direct FROM links l JOIN nodes u ON l.f = u.f AND l.src = u.node JOIN nodes v ON l.f = v.f AND l.dst = v.node"
+
+    def hop(t: Tables):
+        s = Stages(t)
+        nodes = s.clustered
+        return routes.hops(nodes, graph.row_links(nodes), s.edges)
+
+    operator("k8_connector_cost")(lambda t: hop(t).select("f", "src", "dst", "direct", "cost"))
+    operator("c21_connector_acceptable")(lambda t: hop(t).select("f", "src", "dst", "ok"))
+    operator("k9_direct_cap", _sql(f"SELECT f, src, dst, direct, direct <= 5e0 AS direct_ok FROM ({direct}) z", "links"), {"direct": 5})(lambda t: hop(t).select("f", "src", "dst", "direct", "direct_ok"))
+    operator("k13_chunk_grouping")(lambda t: FullPlan(t).islands.groupBy("f", "comp", "phase").agg(F.count("*").alias("islands"), F.sum("chunks").alias("chunks")))
+    operator("k15_entry_option")(lambda t: (lambda p: routes.entries(p.islands, p.edges))(FullPlan(t)))
+    operator("j10_unreachable")(lambda t: FullPlan(t).routes.where("unreachable > 0").select("f", "unreachable"))
+    operator("g13_stitch_counters")(lambda t: FullPlan(t).routes.agg(F.sum("islands").alias("islands"), F.sum("used").alias("used"), F.sum("unreachable").alias("unreachable"), F.sum("links").alias("links"), F.sum("phase0").alias("phase0")))
     operator("s8_stitch")(lambda t: FullPlan(t).routes.select("f", "ok", "islands", "used", "unreachable", "links", "phase0"))
     operator("s9_route_points")(lambda t: FullPlan(t).routes.select("f", F.posexplode(F.arrays_zip("xs", "ys")).alias("seq", "p")).select("f", "seq", "p.xs", "p.ys"))
     lat, lon = geo.unproject("(xs + 4118821e0)", "(ys - 7361866e0)")
@@ -228,19 +337,28 @@ def _register_details() -> None:
 
     operator("g4_shell_anchors", _sql(f"SELECT f, node, side, dist FROM ({shell}) z", "nodes"), {"dist": 5})(lambda t: shells(t).select("f", "node", "side", "dist"))
     operator("p3_valid_shell_anchors", _sql(f"SELECT f, count(*) AS anchors FROM ({shell}) z WHERE dist < 3e0 GROUP BY f", "nodes"))(lambda t: shells(t).where("dist < 3").groupBy("f").agg(F.count("*").alias("anchors")))
-    operator("k10_boundary_transfer", _sql(f"SELECT f, node, count(*) = 2 AND min(ring) = max(ring) AND max(dist) <= 3e0 AS same_ring FROM ({shell}) z GROUP BY f, node", "nodes"))(
-        lambda t: shells(t).groupBy("f", "node").agg(F.expr("count(*) = 2 AND min(ring) = max(ring) AND max(dist) <= 3e0 AS same_ring"))
-    )
-    operator("k18_simplified_coverage", _sql("SELECT f, row, CASE WHEN row % 2 = 0 THEN min(a0) ELSE max(a1) END AS first, CASE WHEN row % 2 = 0 THEN max(a1) ELSE min(a0) END AS last FROM nodes GROUP BY f, row", "nodes"), {"first": 5, "last": 5})(
-        lambda t: Stages(t).nodes.groupBy("f", "row").agg(F.expr("CASE WHEN row % 2 = 0 THEN min(a0) ELSE max(a1) END AS first"), F.expr("CASE WHEN row % 2 = 0 THEN max(a1) ELSE min(a0) END AS last"))
-    )
+    arcs = "SELECT *, coalesce(sum(len) OVER (PARTITION BY f, ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS arc, sum(len) OVER (PARTITION BY f, ring) AS total FROM sides"
+    place = f"SELECT p.f, node, side, s.ring, {dist} AS dist, s.arc + {planar.side_t('px', 'py')} * s.len AS arc, total, row_number() OVER (PARTITION BY p.f, node, side ORDER BY {dist}, s.ring, s.i) AS rn FROM (SELECT f, node, 'left' AS side, sx AS px, sy AS py FROM nodes UNION ALL SELECT f, node, 'right' AS side, ex AS px, ey AS py FROM nodes) p JOIN ({arcs}) s ON p.f = s.f"
+    transfer = f"SELECT a.f, a.node, a.ring, a.dist AS d1, b.dist AS d2, least(abs(b.arc - a.arc), a.total - abs(b.arc - a.arc)) AS arc FROM ({place}) a JOIN ({place}) b ON a.f = b.f AND a.node = b.node AND a.ring = b.ring AND a.side = 'left' AND b.side = 'right' AND a.rn = 1 AND b.rn = 1 WHERE a.dist <= 3e0 AND b.dist <= 3e0"
+
+    def transfers(t: Tables):
+        s = Stages(t)
+        both = s.nodes.selectExpr("f", "node", "stack(2, 'left', sx, sy, 'right', ex, ey) AS (side, px, py)")
+        return routes.boundary_transfers(both, s.edges)
+
+    operator("k10_boundary_transfer", _sql(f"SELECT *, d1 + d2 + arc AS score FROM ({transfer}) z", "nodes"), {"d1": 5, "d2": 5, "arc": 4, "score": 4})(transfers)
+    # simplified mode: contours without cutouts
+    operator("k18_simplified_coverage")(lambda t: _simplified(t).select("f", "rows", F.posexplode(F.arrays_zip("xs", "ys")).alias("seq", "p")).select("f", "rows", "seq", "p.xs", "p.ys"))
+    operator("k19_boundary_legs")(lambda t: _simplified(t).select("f", "leg", "back"))
+    length = "aggregate(zip_with(xs, ys, (x, y) -> struct(x, y)), named_struct('n', 0D, 'px', CAST(NULL AS DOUBLE), 'py', CAST(NULL AS DOUBLE)), (s, p) -> named_struct('n', s.n + coalesce(sqrt((p.x - s.px) * (p.x - s.px) + (p.y - s.py) * (p.y - s.py)), 0D), 'px', p.x, 'py', p.y)).n"
+    operator("k20_simplified_route")(lambda t: _simplified(t).select("f", F.size("xs").alias("points"), F.expr(length).alias("metres")))
     inside = f"""SELECT f, src, dst, min(CASE WHEN hit % 2 = 1 OR near THEN 1 ELSE 0 END) = 1 AS inside FROM (SELECT c.f, src, dst, k, sum(CASE WHEN {planar.crosses('px', 'py')} THEN 1 ELSE 0 END) AS hit, min({dist}) <= 1e-6 AS near FROM (
         SELECT l.f, src, dst, k, a.mx + (b.mx - a.mx) * k / 16e0 AS px, a.my + (b.my - a.my) * k / 16e0 AS py FROM links l JOIN nodes a ON l.f = a.f AND l.src = a.node JOIN nodes b ON l.f = b.f AND l.dst = b.node CROSS JOIN (SELECT {{explode:0,16}} AS k) n) c
         JOIN sides s ON c.f = s.f GROUP BY c.f, src, dst, k) q GROUP BY f, src, dst"""
 
     def chords(t: Tables):
         s = Stages(t)
-        nodes = written(s.clustered)
+        nodes = s.clustered
         a = nodes.select("f", F.col("node").alias("src"), F.col("mx").alias("ax"), F.col("my").alias("ay"))
         b = nodes.select("f", F.col("node").alias("dst"), F.col("mx").alias("bx"), F.col("my").alias("by"))
         pts = written(graph.row_links(nodes)).join(a, ["f", "src"]).join(b, ["f", "dst"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(16))))
@@ -248,18 +366,27 @@ def _register_details() -> None:
         return regions.inside(pts, s.edges, ["src", "dst", "k"], 1e-6).groupBy("f", "src", "dst").agg(F.expr("min(CASE WHEN inside THEN 1 ELSE 0 END) = 1 AS inside"))
 
     operator("c15_row_edge_inside", _sql(inside, "links"))(chords)
-    operator("f7_bridge_candidates", f"SELECT a.f, a.i, b.i AS j, sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS hop FROM {{edges}} a JOIN {{edges}} b ON a.f = b.f AND a.ring = 1 AND b.ring = 0 WHERE sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) <= 40e0", {"hop": 6})(
-        lambda t: t["edges"].where("ring = 1").alias("a").join(t["edges"].where("ring = 0").alias("b"), F.expr("a.f = b.f")).selectExpr("a.f", "a.i", "b.i AS j", "sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS hop").where("hop <= 40")
-    )
-    operator("k11_best_bridge", "SELECT f, i, j, hop FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY hop, i, j) AS rn FROM (SELECT a.f, a.i, b.i AS j, sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS hop FROM {edges} a JOIN {edges} b ON a.f = b.f AND a.ring = 1 AND b.ring = 0) q) r WHERE rn = 1", {"hop": 6})(
-        lambda t: t["edges"].where("ring = 1").alias("a").join(t["edges"].where("ring = 0").alias("b"), F.expr("a.f = b.f")).selectExpr("a.f", "struct(sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS hop, a.i AS i, b.i AS j) AS b").groupBy("f").agg(F.min("b").alias("b")).select("f", "b.i", "b.j", "b.hop")
-    )
+    sample = "SELECT f, ring, arc + h * len / 2e0 AS place, x1 + h * (x2 - x1) / 2e0 AS x, y1 + h * (y2 - y1) / 2e0 AS y FROM arcs CROSS JOIN (SELECT {explode:0,1} AS h) z WHERE i % greatest(1, CAST(floor(n / 48e0) AS INT)) = 0"
+    spans = "SELECT a.f, a.ring, a.place, b.place AS outer_place, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS hop FROM samples a JOIN samples b ON a.f = b.f AND a.ring > 0 AND b.ring = 0"
+    clear = f"""SELECT f, ring, place, outer_place, hop FROM (SELECT c.f, c.ring, place, outer_place, hop, k, sum(CASE WHEN {planar.crosses('px', 'py')} THEN 1 ELSE 0 END) % 2 = 1 OR min({dist}) <= 1e-6 AS ok
+        FROM (SELECT f, ring, place, outer_place, hop, k, ux + (vx - ux) * k / 16e0 AS px, uy + (vy - uy) * k / 16e0 AS py FROM spans CROSS JOIN (SELECT {{explode:0,16}} AS k) n WHERE hop <= 5e0) c JOIN sides s ON c.f = s.f GROUP BY ALL) q
+        GROUP BY f, ring, place, outer_place, hop HAVING min(CASE WHEN ok THEN 1 ELSE 0 END) = 1"""
+    spanned = _sql("SELECT 1", "sides").removesuffix("SELECT 1").rstrip() + f", arcs AS ({arcs}), samples AS ({sample}), spans AS ({spans}), clear AS ({clear})"
+    operator("f7_bridge_candidates", f"{spanned} SELECT f, ring, place, outer_place, hop FROM clear", {"place": 4, "outer_place": 4, "hop": 5})(lambda t: routes.bridges(t["edges"]).select("f", "ring", "place", "outer_place", "hop"))
+    operator("k11_best_bridge", f"{spanned} SELECT f, ring, min(hop) AS hop, count(*) AS candidates FROM clear GROUP BY f, ring", {"hop": 5})(lambda t: routes.bridges(t["edges"]).groupBy("f", "ring").agg(F.min("hop").alias("hop"), F.count("*").alias("candidates")))
     operator("f4_shell_semi_join", _sql(f"SELECT DISTINCT l.f, l.src, l.dst FROM links l JOIN ({shell}) a ON l.f = a.f AND l.src = a.node JOIN ({shell}) b ON l.f = b.f AND l.dst = b.node AND a.ring = b.ring AND a.side = b.side AND abs(a.i - b.i) <= 1", "links"))(_near_shells)
 
 
+def _simplified(t: Tables):
+    edges = written(t["outer_edges"])
+    sides = sweep.in_sweep_frame(edges)
+    nodes = written(sweep.numbered(sweep.supported(sweep.rowed(written(sweep.cut(sides, sweep.lines(sides)))))))
+    return routes.simplified(nodes, edges, t["clicks"].select("f", "px", "py"))
+
+
 def _near_shells(t: Tables):
     s = Stages(t)
-    nodes = written(s.clustered)
+    nodes = s.clustered
     both = nodes.selectExpr("f", "node", "stack(2, 'left', sx, sy, 'right', ex, ey) AS (side, px, py)")
     found = written(regions.anchors(both, s.edges, ["node", "side"]).select("f", "node", "side", "ring", "i"))
     links = written(graph.row_links(nodes))

@@ -51,14 +51,15 @@ VIEWS = {
         FROM (SELECT s_suppkey AS f, 6e0 + s_suppkey % 5 AS h FROM {supplier} WHERE s_suppkey % 3 = 0) s CROSS JOIN (SELECT {explode:0,3} AS i) t""",
     "region_vertices": """
         SELECT f, 0 AS ring, i, n, x, y FROM {field_vertices} UNION ALL SELECT f, 1 AS ring, i, n, x, y FROM {cutout_vertices}""",
-    # The edge table: one row per side, with the side's start along the ring.
+    # The edge table: one row per side, to the next vertex of the ring or back to its first.
     "edges": """
-        SELECT a.f, a.ring, a.i, a.n, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len
-        FROM {region_vertices} a JOIN {region_vertices} b ON a.f = b.f AND a.ring = b.ring AND b.i = (a.i + 1) % a.n""",
+        SELECT f, ring, i, n, x AS x1, y AS y1, x2, y2, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS len
+        FROM (SELECT *, coalesce(lead(x) OVER (PARTITION BY f, ring ORDER BY i), first_value(x) OVER (PARTITION BY f, ring ORDER BY i)) AS x2,
+            coalesce(lead(y) OVER (PARTITION BY f, ring ORDER BY i), first_value(y) OVER (PARTITION BY f, ring ORDER BY i)) AS y2 FROM {region_vertices}) v""",
     "outer_edges": "SELECT * FROM {edges} WHERE ring = 0",
-    # Customers as points near the fields, suppliers as clicks.
+    # Customers as points near the fields, as many fields as suppliers; suppliers as clicks.
     "points": """
-        SELECT c_custkey AS id, 1 + c_custkey % 100 AS f, (floor(abs(c_acctbal) * 100e0) % 14001) / 100e0 - 70e0 AS px, (c_custkey * 37 % 14001) / 100e0 - 70e0 AS py FROM {customer}""",
+        SELECT c_custkey AS id, 1 + c_custkey % (SELECT count(*) FROM {supplier}) AS f, (floor(abs(c_acctbal) * 100e0) % 14001) / 100e0 - 70e0 AS px, (c_custkey * 37 % 14001) / 100e0 - 70e0 AS py FROM {customer}""",
     "clicks": """
         SELECT s_suppkey AS id, s_suppkey AS f, (floor(abs(s_acctbal) * 100e0) % 14001) / 100e0 - 70e0 AS px, (s_suppkey * 37 % 14001) / 100e0 - 70e0 AS py FROM {supplier}""",
     # Tracks as tile keys and rectangles.

@@ -1,10 +1,13 @@
 """Regions, sweep, overlay and routes on closed forms and by invariants."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from swathline.operators import commands, graph, overlay, regions, routes, sweep
+from swathline.sources.scratch import written
 
 
 def square(x, y, s):
@@ -74,7 +77,7 @@ def test_route_covers_stripes_and_stays_in_the_field(spark):
     e = edges(spark, overlay.inset(rings, 2))
     sides = sweep.in_sweep_frame(e)
     nodes = graph.clusters(sweep.touching(sweep.numbered(sweep.supported(sweep.rowed(sweep.cut(sides, sweep.lines(sides))))), e))
-    merged = graph.merged(graph.components(nodes, graph.row_links(nodes)))
+    merged = graph.merged(graph.components(nodes, graph.row_links(nodes)), e)
     route = routes.stitched(routes.islands(routes.snakes(merged, e), e), e).first()
     assert route.ok and route.unreachable == 0 and route.used == 1
     p = np.stack([route.xs, route.ys], 1)
@@ -116,3 +119,48 @@ def test_ema(spark):
 def test_empty_field_gives_no_lines(spark):
     empty = edges(spark, [square(0, 0, 4)]).where(F.lit(False))
     assert sweep.cut(sweep.in_sweep_frame(empty), sweep.lines(sweep.in_sweep_frame(empty))).count() == 0
+
+
+def test_bridges_match_brute_force(spark):
+    e = edges(spark, [square(-10, -10, 20), square(-6, -7, 14)[::-1]])
+    got = {(r.ring, round(r.place, 6), round(r.outer_place, 6)): r.hop for r in routes.bridges(e).collect()}
+    sides = e.toPandas().sort_values(["ring", "i"])
+    samples = {0: [], 1: []}
+    for ring, own in sides.groupby("ring"):
+        arc = 0.0
+        for s in own.itertuples():
+            samples[ring] += [(arc, s.x1, s.y1), (arc + s.len / 2, (s.x1 + s.x2) / 2, (s.y1 + s.y2) / 2)]
+            arc += s.len
+    inside = lambda x, y: max(abs(x), abs(y)) <= 10 + 1e-6 and max(abs(x - 1), abs(y)) >= 7 - 1e-6
+    want = {}
+    for u, px, py in samples[1]:
+        for v, qx, qy in samples[0]:
+            hop = math.hypot(qx - px, qy - py)
+            if hop <= 5 and all(inside(px + (qx - px) * k / 16, py + (qy - py) * k / 16) for k in range(17)):
+                want[1, round(u, 6), round(v, 6)] = hop
+    assert got.keys() == want.keys() and len(want) > 5 and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_simplified_route_covers_every_row(spark):
+    e = edges(spark, [square(-10, -10, 20)])
+    sides = sweep.in_sweep_frame(e)
+    nodes = written(sweep.numbered(sweep.supported(sweep.rowed(sweep.cut(sides, sweep.lines(sides))))))
+    f = e.first().f
+    row = routes.simplified(nodes, e, spark.createDataFrame([(f, -14.0, -3.0)], "f long, px double, py double")).first()
+    pts = list(zip(row.xs, row.ys, strict=True))
+    assert pts[0] == (-14.0, -3.0) and pts[-1] == pytest.approx((-14.0, -3.0)) and row.rows == nodes.select("row").distinct().count()
+    for n in nodes.collect():
+        assert any({tuple(round(x, 6) for x in p) for p in (a, b)} == {(round(n.sx, 6), round(n.sy, 6)), (round(n.ex, 6), round(n.ey, 6))} for a, b in zip(pts, pts[1:]))
+    assert row.leg >= 4 - 1e-9 and row.back >= 4 - 1e-9
+
+
+def test_components_are_merged_by_chord_and_shells(spark):
+    # two stripes of one row, apart by a hole: the chord between their middles leaves the region
+    e = edges(spark, [square(-10, -10, 20), square(-2, -2, 4)[::-1]])
+    f = e.first().f
+    node = lambda k, comp, x0, x1, y: (f, k, 0, 0.0, x0, x1, x1 - x0, x0, y, x1, y, (x0 + x1) / 2, y, False, comp)
+    schema = "f long, node int, row int, d double, a0 double, a1 double, len double, sx double, sy double, ex double, ey double, mx double, my double, excl boolean, comp int"
+    apart = spark.createDataFrame([node(0, 0, -9.5, -2.5, 0.0), node(1, 1, 2.5, 9.5, 0.0)], schema)
+    beside = spark.createDataFrame([node(0, 0, -9.5, -2.5, 8.0), node(1, 1, 2.5, 9.5, 8.0)], schema)
+    assert graph.merge_pairs(apart, e).count() == 0
+    assert [(r.a, r.b) for r in graph.merge_pairs(beside, e).collect()] == [(0, 1)]
