@@ -47,7 +47,7 @@ def register() -> None:
     b = tiles.bounds("x", "y", "zoom")
     box = "concat(" + ", ',', ".join(views.fixed(b[k], 6) for k in ("lon_left", "lat_bottom", "lon_right", "lat_top")) + ")"
     height = f"floor(900e0 / (({b['lon_right']} - {b['lon_left']}) / ({b['lat_top']} - {b['lat_bottom']})))"
-    p("a16_bbox_url", "tiles", _ID | {"url": f"concat('http://wms.example.org/?bbox=', {box}, '&width=900&height=', {views.fixed(height, 0)})"}, "event_id % 6 < 3")
+    p("a16_bbox_url", "tiles", _ID | {"url": f"concat('http://wms.example.org/?bbox=', {box}, '&width=900&height=', {views.fixed(height, 0)})"})
     p("c8_tile_holds_tile", "tiles", _ID | {"holds": tiles.holds("9876", "5182", "14", "x", "y", "zoom")})
     # -- views and labels ------------------------------------------------------------------------------------------
     text = views.degrees_text("(lat - 110e0 * (event_id % 2))")

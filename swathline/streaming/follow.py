@@ -7,7 +7,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -68,17 +69,30 @@ def noisy(readings: DataFrame, fix_deg: float = 5.4e-6, turn_rate: float = 8e-4,
     return readings.withColumns({"lat": F.col("lat") + fix_deg * F.randn(seed), "lon": F.col("lon") + fix_deg * F.randn(seed + 1), "wz": F.col("wz") + turn_rate * F.randn(seed + 2)})
 
 
-def markers_upsert(batch: DataFrame, path: str) -> None:
-    """A ``foreachBatch`` sink: the latest marker of each (ns, id), deletes applied, as one table."""
+def markers_upsert(batch: DataFrame, batch_id: int, path: str) -> None:
+    """A ``foreachBatch`` sink: the latest marker of each (ns, id), deletes applied, as a version of the table per micro-batch.
+
+    A version is made from the one before and replaces none, so a failure leaves
+    the last one whole, and a micro-batch that comes again writes its own again.
+    """
     spark = batch.sparkSession
-    try:
-        old = spark.read.parquet(path)
-        both = old.withColumn("age", F.lit(0)).unionByName(batch.withColumn("age", F.lit(1)))
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        both = batch.withColumn("age", F.lit(1))
+    both = batch.withColumn("age", F.lit(1))
+    before = markers(spark, path, batch_id)
+    if before is not None:
+        both = before.withColumn("age", F.lit(0)).unionByName(both)
     latest = both.groupBy("ns", "id").agg(F.max_by(F.struct(*batch.columns), "age").alias("m")).select("m.*").where("action <> 'DELETE'")
-    from ..sources.scratch import written
+    latest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
-    written(latest).write.mode("overwrite").parquet(path)
+
+def markers(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The marker table's last version, or the last one before a micro-batch; None if there is none."""
+    try:
+        versions = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if before is not None:
+        versions = versions.where(F.col("version") < before)
+    last = versions.agg(F.max("version")).first()[0]  # a partition's name, not data
+    return None if last is None else versions.where(F.col("version") == last).drop("version")
