@@ -32,6 +32,17 @@ def route_commands(points: DataFrame, key: str = "robot_id", least_m: float = 0.
     return turned.select(key, "seq", F.explode(F.array_compact(F.array(rotate, move))).alias("c")).select(key, "seq", "c.*")
 
 
+def manual_route(clicks: DataFrame, starts: DataFrame, key: str = "robot_id") -> DataFrame:
+    """(key, pos, lat, lon, metres): a route of clicked points (key, seq, lat, lon) from the robot's place (key, lat, lon), if it is known; metres so far.
+
+    Both windows share one shuffle and sort on the key.
+    """
+    both = clicks.select(key, F.col("seq").cast("bigint").alias("seq"), "lat", "lon").union(starts.select(key, F.lit(None).cast("bigint"), "lat", "lon"))
+    w = Window.partitionBy(key).orderBy(F.col("seq").asc_nulls_first())
+    hops = both.withColumns({"pos": F.row_number().over(w), "lat0": F.lag("lat").over(w), "lon0": F.lag("lon").over(w)}).withColumn("hop", F.coalesce(F.expr(geo.haversine("lat0", "lon0", "lat", "lon")), F.lit(0.0)))
+    return hops.select(key, "pos", "lat", "lon", F.sum("hop").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("metres"))
+
+
 def command_documents(commands: DataFrame, key: str = "robot_id") -> DataFrame:
     """One JSON array of {cmd, data} per key, in route order."""
     data = F.when(F.col("cmd") == "rotate", F.struct(F.round("value", 4).alias("delta_angle"), F.lit(None).cast("double").alias("distance_m"))).otherwise(F.struct(F.lit(None).cast("double").alias("delta_angle"), F.round("value", 4).alias("distance_m")))

@@ -19,6 +19,7 @@ ISLANDS = "f bigint, comp bigint, phase int, island int, min_row int, max_row in
 HOPS = "f bigint, src int, dst int, direct double, direct_ok boolean, cost double, ok boolean"
 ENTRIES = "f bigint, comp bigint, phase int, island int, reverse boolean, cost double"
 COVERAGE = "f bigint, rows int, leg double, back double, xs array<double>, ys array<double>"
+TOURS = "f bigint, step int, comp bigint, phase int, island int, reverse boolean, cost double, ahead double, score double, xs array<double>, ys array<double>"
 ROUTES = "f bigint, ok boolean, islands int, used int, unreachable int, links int, phase0 int, xs array<double>, ys array<double>"
 
 
@@ -209,56 +210,94 @@ def islands(chunks: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -
     return chunks.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, ISLANDS)
 
 
-def stitched(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig(), decimate: float = 0.02) -> DataFrame:
-    """One route per job (``ROUTES``): from the contour's first vertex through the islands and back.
+def _tour(region: Region, todo: list[tuple], c: PlanConfig) -> tuple[list[tuple], tuple | None, list[int]]:
+    """The order in which islands (comp, phase, points) are visited from the contour's first vertex.
 
-    The next island is the one with the best entry cost plus 0.45 of the hop
-    after it, with penalties for tiny and far ones; a component's phase is fixed
-    by its first island, and the other phase's islands are dropped.
+    Gives (island, reverse, connector's cost and path, hop after it, score) of each visit, the connector back, and what stays out of reach.
+    The next island has the best entry cost plus 0.45 of the hop after it, with
+    penalties for tiny and far ones; a component's phase is fixed by its first
+    island, and the other phase's islands are dropped.
     """
+    start = region.at(0, 0.0)
+    at, chosen, used, steps = start, {}, set(), []
+    while True:
+        best = None
+        for k, (comp, phase, pts) in enumerate(todo):
+            if k in used or chosen.get(comp, phase) != phase:
+                continue
+            for flip in (False, True):
+                goal, leave = (pts[-1], pts[0]) if flip else (pts[0], pts[-1])
+                way = region.connect(at, goal, False)
+                if way is None:
+                    continue
+                rest = [min(np.linalg.norm(p[0] - leave), np.linalg.norm(p[-1] - leave)) for j, (cc, ph, p) in enumerate(todo) if j != k and j not in used and chosen.get(cc, ph) == ph]
+                ahead = float(min(rest)) if rest else 0.0
+                tiny = 0.5 * c.step if len(pts) <= 4 and way[0] > c.intra_limit else 0.0
+                far = c.long_jump_weight * max(0.0, (way[0] - c.direct_max) / c.step)
+                score = way[0] + 0.45 * ahead + tiny + far
+                if best is None or score < best[4] - 1e-12:
+                    best = (k, flip, way, ahead, score)
+        if best is None:
+            break
+        k, flip = best[:2]
+        comp, phase, pts = todo[k]
+        at = pts[0] if flip else pts[-1]
+        used.add(k)
+        chosen.setdefault(comp, phase)
+        steps.append(best)
+    back = region.connect(at, start, False) if used else None
+    return steps, back, [k for k, (comp, phase, _) in enumerate(todo) if k not in used and chosen.get(comp, phase) == phase]
+
+
+def stitched(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig(), decimate: float = 0.02) -> DataFrame:
+    """One route per job (``ROUTES``): from the contour's first vertex through the islands in the order of ``_tour`` and back."""
 
     def run(key: tuple, isl: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         region = Region(edges, c)
         todo = [(r.comp, r.phase, _points(r)) for r in isl.sort_values("island").itertuples()]
-        start = region.at(0, 0.0)
-        at, route, chosen, used = start, [start], {}, []
-        while True:
-            best = None
-            for k, (comp, phase, pts) in enumerate(todo):
-                if k in used or chosen.get(comp, phase) != phase:
-                    continue
-                for flip in (False, True):
-                    goal, leave = (pts[-1], pts[0]) if flip else (pts[0], pts[-1])
-                    way = region.connect(at, goal, False)
-                    if way is None:
-                        continue
-                    rest = [min(np.linalg.norm(p[0] - leave), np.linalg.norm(p[-1] - leave)) for j, (cc, ph, p) in enumerate(todo) if j != k and j not in used and chosen.get(cc, ph) == ph]
-                    tiny = 0.5 * c.step if len(pts) <= 4 and way[0] > c.intra_limit else 0.0
-                    far = c.long_jump_weight * max(0.0, (way[0] - c.direct_max) / c.step)
-                    score = way[0] + 0.45 * (min(rest) if rest else 0.0) + tiny + far
-                    if best is None or score < best[0] - 1e-12:
-                        best = (score, k, flip, way[1])
-            if best is None:
-                break
-            _, k, flip, path = best
-            comp, phase, pts = todo[k]
-            route += path + (pts[::-1] if flip else pts)[1:]
-            at = route[-1]
-            used.append(k)
-            chosen.setdefault(comp, phase)
-        back = region.connect(at, start, False) if used else None
+        steps, back, missed = _tour(region, todo, c)
+        route = [region.at(0, 0.0)]
+        for k, flip, way, _, _ in steps:
+            pts = todo[k][2]
+            route += way[1] + (pts[::-1] if flip else pts)[1:]
         route += back[1] if back else []
         kept = route[:1]
         for p in route[1:]:
             if np.linalg.norm(p - kept[-1]) > decimate:
                 kept.append(p)
-        missed = sum(1 for k, (comp, phase, _) in enumerate(todo) if k not in used and chosen.get(comp, phase) == phase)
-        row = (key[0], len(kept) >= 2, len(todo), len(used), missed, max(0, len(used) - 1), sum(p == 0 for _, p, _ in todo), [p[0] for p in kept], [p[1] for p in kept])
-        return pd.DataFrame([row], columns=[x.split()[0] for x in ROUTES.split(", ")])
+        return _rows([(key[0], len(kept) >= 2, len(todo), len(steps), len(missed), max(0, len(steps) - 1), sum(p == 0 for _, p, _ in todo), [p[0] for p in kept], [p[1] for p in kept])], ROUTES)
 
     return isl.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, ROUTES)
 
 
+def tours(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
+    """The connectors of a route (``TOURS``), one per visit in order, from the approach to the first island; the last, without an island, leads back."""
+
+    def run(key: tuple, isl: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        own = isl.sort_values("island")
+        todo = [(r.comp, r.phase, _points(r)) for r in own.itertuples()]
+        if not todo or not len(edges):
+            return _rows([], TOURS)
+        steps, back, _ = _tour(Region(edges, c), todo, c)
+        at, out = own["island"].tolist(), []
+        for n, (k, flip, way, ahead, score) in enumerate(steps):
+            out.append((key[0], n, todo[k][0], todo[k][1], at[k], flip, way[0], ahead, score, [p[0] for p in way[1]], [p[1] for p in way[1]]))
+        if back:
+            out.append((key[0], len(steps), None, None, None, None, back[0], None, None, [p[0] for p in back[1]], [p[1] for p in back[1]]))
+        return _rows(out, TOURS)
+
+    return isl.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, TOURS)
+
+
+def chunk_candidates(chunks: DataFrame) -> DataFrame:
+    """(f, comp, phase, a, b, flip, direct): which chunk may go on at whose tail, at its head or flipped: one component and phase, rows that touch."""
+    one = lambda k: chunks.select("f", "comp", "phase", F.col("chunk").alias(k), *[F.col(x).alias(f"{k}_{x}") for x in ("min_row", "max_row", "xs", "ys")])
+    near = one("a").join(one("b"), ["f", "comp", "phase"]).where("a < b AND least(a_max_row, b_max_row) >= greatest(a_min_row, b_min_row) - 1")
+    ends = F.explode(F.array(*[F.struct(F.lit(flip).alias("flip"), F.element_at("b_xs", k).alias("x"), F.element_at("b_ys", k).alias("y")) for flip, k in ((False, 1), (True, -1))]))
+    tail = near.withColumns({"e": ends, "px": F.element_at("a_xs", -1), "py": F.element_at("a_ys", -1)})
+    return tail.select("f", "comp", "phase", "a", "b", "e.flip", F.sqrt((F.col("px") - F.col("e.x")) ** 2 + (F.col("py") - F.col("e.y")) ** 2).alias("direct"))
+
+
 def _rows(out: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 

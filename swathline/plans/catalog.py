@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, geometry, planner, replays, scalars, sequences
+from . import documents, geometry, planner, replays, scalars, sequences, sessions
 from .spec import ORACLE, QUERIES
 
 scalars.register()
@@ -11,5 +11,6 @@ sequences.register()
 planner.register()
 replays.register()
 documents.register()
+sessions.register()
 
 __all__ = ["ORACLE", "QUERIES"]

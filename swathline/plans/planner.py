@@ -291,6 +291,10 @@ class FullPlan:
     def routes(self):
         return routes.stitched(self.islands, self.edges)
 
+    @property
+    def tours(self):
+        return routes.tours(self.islands, self.edges)
+
 
 def _register_routes() -> None:
     size = "aggregate(zip_with(xs, ys, (x, y) -> struct(x, y)), named_struct('n', 0D, 'px', CAST(NULL AS DOUBLE), 'py', CAST(NULL AS DOUBLE)), (s, p) -> named_struct('n', s.n + coalesce(sqrt((p.x - s.px) * (p.x - s.px) + (p.y - s.py) * (p.y - s.py)), 0D), 'px', p.x, 'py', p.y)).n"
@@ -315,6 +319,11 @@ def _register_routes() -> None:
     operator("k9_direct_cap", _sql(f"SELECT f, src, dst, direct, direct <= 5e0 AS direct_ok FROM ({direct}) z", "links"), {"direct": 5})(lambda t: hop(t).select("f", "src", "dst", "direct", "direct_ok"))
     operator("k13_chunk_grouping")(lambda t: FullPlan(t).islands.groupBy("f", "comp", "phase").agg(F.count("*").alias("islands"), F.sum("chunks").alias("chunks")))
     operator("k15_entry_option")(lambda t: (lambda p: routes.entries(p.islands, p.edges))(FullPlan(t)))
+    operator("k14_island_stitching")(lambda t: FullPlan(t).tours.where("island IS NOT NULL").select("f", "step", "comp", "phase", "island", "reverse"))
+    operator("i5_stitch_order")(lambda t: FullPlan(t).tours.where("island IS NOT NULL").select("f", "step", "cost", "score"))
+    operator("k16_next_hop")(lambda t: FullPlan(t).tours.where("island IS NOT NULL").select("f", "step", "island", "ahead"))
+    operator("k17_approach_legs")(lambda t: FullPlan(t).tours.groupBy("f").agg(F.max(F.when(F.col("step") == 0, F.col("cost"))).alias("approach"), F.max(F.when(F.col("island").isNull(), F.col("cost"))).alias("back")))
+    operator("k12_connector_points")(lambda t: FullPlan(t).tours.select("f", "step", F.posexplode(F.arrays_zip("xs", "ys")).alias("seq", "p")).select("f", "step", "seq", "p.xs", "p.ys"))
     operator("j10_unreachable")(lambda t: FullPlan(t).routes.where("unreachable > 0").select("f", "unreachable"))
     operator("g13_stitch_counters")(lambda t: FullPlan(t).routes.agg(F.sum("islands").alias("islands"), F.sum("used").alias("used"), F.sum("unreachable").alias("unreachable"), F.sum("links").alias("links"), F.sum("phase0").alias("phase0")))
     operator("s8_stitch")(lambda t: FullPlan(t).routes.select("f", "ok", "islands", "used", "unreachable", "links", "phase0"))

@@ -27,7 +27,12 @@ def register() -> None:
     operator("b26_command_panel")(lambda t: commands.command_documents(commands.route_commands(t["track"])))
     statement("h5_adjacent_pairs", f"SELECT robot_id, seq, {_HAV} AS metres FROM ({_HOPS}) h WHERE lat0 IS NOT NULL", {"metres": 4})
     statement("k22_robot_prepend", "SELECT robot_id, seq + 1 AS pos, lat, lon FROM {track} UNION ALL SELECT mission_id AS robot_id, 1 AS pos, origin_lat AS lat, origin_lon AS lon FROM {missions}", {"lat": 9, "lon": 9})
-    statement("k21_manual_route", "SELECT robot_id, count(*) AS points, min(lat) AS south, max(lat) AS north FROM (SELECT robot_id, seq, lat FROM {track} UNION ALL SELECT mission_id, 0, origin_lat FROM {missions}) r GROUP BY robot_id", {"south": 9, "north": 9})
+    route = "SELECT robot_id, seq, lat, lon FROM {track} UNION ALL SELECT mission_id, 0, origin_lat, origin_lon FROM {missions}"
+    operator(
+        "k21_manual_route",
+        f"SELECT robot_id, 1 + count(*) OVER v AS pos, lat, lon, coalesce(sum({_HAV}) OVER w, 0e0) AS metres FROM (SELECT *, lag(lat) OVER (PARTITION BY robot_id ORDER BY seq) AS lat0, lag(lon) OVER (PARTITION BY robot_id ORDER BY seq) AS lon0 FROM ({route}) r) q WINDOW v AS (PARTITION BY robot_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w AS (PARTITION BY robot_id ORDER BY seq ROWS UNBOUNDED PRECEDING)",
+        {"lat": 9, "lon": 9, "metres": 2},
+    )(lambda t: commands.manual_route(t["track"], t["missions"].selectExpr("mission_id AS robot_id", "origin_lat AS lat", "origin_lon AS lon")))
     statement(
         "b2_simulator_points",
         f"SELECT robot_id, seq, d * cos(radians(b)) AS north, -d * sin(radians(b)) AS minus_east FROM (SELECT t.robot_id, seq, {geo.haversine('origin_lat', 'origin_lon', 'lat', 'lon')} AS d, {geo.compass_bearing('origin_lat', 'origin_lon', 'lat', 'lon')} AS b, count(*) OVER (PARTITION BY t.robot_id) AS n FROM {{track}} t JOIN {{missions}} m ON t.robot_id = m.mission_id) q WHERE seq < n",
@@ -113,7 +118,6 @@ def register() -> None:
     statement("j9_missing_tiles", f"SELECT DISTINCT v.zoom, v.x, v.y FROM ({around}) v LEFT JOIN (SELECT DISTINCT zoom, x, y FROM {{tiles}}) h ON v.zoom = h.zoom AND v.x = h.x AND v.y = h.y WHERE h.zoom IS NULL")
     statement("i7_center_out", f"SELECT event_id, x, y, row_number() OVER (PARTITION BY event_id ORDER BY abs(dx) + abs(dy), x, y) AS pos FROM (SELECT v.event_id, v.x, v.y, v.x - t.x AS dx, v.y - t.y AS dy FROM ({around}) v JOIN {{tiles}} t ON v.event_id = t.event_id) q")
     statement("o2_evicted_tiles", "SELECT a.event_id, bool_or(d.event_id IS NOT NULL) AS covered, bool_or(abs(a.zoom - 14) > 4) AS far FROM {tiles} a LEFT JOIN {tiles} d ON a.robot_id = d.robot_id AND d.zoom = a.zoom - 1 AND CAST(floor(a.x / 2e0) AS INT) = d.x AND CAST(floor(a.y / 2e0) AS INT) = d.y GROUP BY a.event_id")
-    statement("o3_tile_state", "SELECT zoom, x, y, max(event_id) AS last_event, CASE WHEN max(event_id) % 3 = 0 THEN 'requested' ELSE 'finished' END AS state FROM {tiles} GROUP BY zoom, x, y")
     # -- text ------------------------------------------------------------------------------------------------------
     model = "CASE WHEN line LIKE '- %' THEN trim(substring(line, 3)) ELSE trim(line) END"
     names = f"SELECT doc_id, pos, {model} AS name FROM {{text_lines}} WHERE length(trim(line)) BETWEEN 1 AND 60 AND line NOT LIKE '[%' AND line NOT LIKE 'WARNING%' AND line NOT LIKE 'ERROR%'"

@@ -69,9 +69,11 @@ def noisy(readings: DataFrame, fix_deg: float = 5.4e-6, turn_rate: float = 8e-4,
     return readings.withColumns({"lat": F.col("lat") + fix_deg * F.randn(seed), "lon": F.col("lon") + fix_deg * F.randn(seed + 1), "wz": F.col("wz") + turn_rate * F.randn(seed + 2)})
 
 
-def markers_upsert(batch: DataFrame, batch_id: int, path: str) -> None:
+def markers_upsert(batch: DataFrame, batch_id: int, path: str, order: str | None = None) -> None:
     """A ``foreachBatch`` sink: the latest marker of each (ns, id), deletes applied, as a version of the table per micro-batch.
 
+    ``order``: a column that says which of a micro-batch's markers of one (ns, id) is the latest; without it there may be one only.
+
     A version is made from the one before and replaces none, so a failure leaves
     the last one whole, and a micro-batch that comes again writes its own again.
     """
@@ -80,7 +82,7 @@ def markers_upsert(batch: DataFrame, batch_id: int, path: str) -> None:
     before = markers(spark, path, batch_id)
     if before is not None:
         both = before.withColumn("age", F.lit(0)).unionByName(both)
-    latest = both.groupBy("ns", "id").agg(F.max_by(F.struct(*batch.columns), "age").alias("m")).select("m.*").where("action <> 'DELETE'")
+    latest = both.groupBy("ns", "id").agg(F.max_by(F.struct(*batch.columns), F.struct("age", order) if order else "age").alias("m")).select("m.*").where("action <> 'DELETE'")
     latest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
 
