@@ -7,17 +7,18 @@ that can be a join or a window (stripes, links, components) is done before.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .sweep import PlanConfig
 
 CHUNKS = "f bigint, comp bigint, phase int, chunk int, min_row int, max_row int, xs array<double>, ys array<double>"
 ISLANDS = "f bigint, comp bigint, phase int, island int, min_row int, max_row int, chunks int, xs array<double>, ys array<double>"
-HOPS = "f bigint, src int, dst int, direct double, direct_ok boolean, cost double, ok boolean"
-ENTRIES = "f bigint, comp bigint, phase int, island int, reverse boolean, cost double"
 COVERAGE = "f bigint, rows int, leg double, back double, xs array<double>, ys array<double>"
 TOURS = "f bigint, step int, comp bigint, phase int, island int, reverse boolean, cost double, ahead double, score double, xs array<double>, ys array<double>"
 ROUTES = "f bigint, ok boolean, islands int, used int, unreachable int, links int, phase0 int, xs array<double>, ys array<double>"
@@ -303,56 +304,68 @@ def _rows(out: list[tuple], schema: str) -> pd.DataFrame:
 
 
 def hops(nodes: DataFrame, links: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
-    """Connectors (``HOPS``) between linked stripes, from the end of one to the end of the other that is nearest.
+    """(f, src, dst, direct, direct_ok, cost, ok): connectors between linked stripes, from the end of one to the end of the other that is nearest.
 
     ``cost`` is null where no connector is legal; ``direct_ok``: short enough to go straight; ``ok``: cheap enough to be taken.
+    Joins only: a straight hop needs its 17 places inside the region, others go along one ring.
     """
+    from . import regions
+
     cap = min(max(0.5, c.direct_max), max(max(0.5, c.direct_max), 1.35 * c.step))
+    key = ["src", "dst"]
     ends = lambda k: nodes.select("f", F.col("node").alias(k), *[F.col(x).alias(f"{k}_{x}") for x in ("sx", "sy", "ex", "ey")])
     near = F.least(*[F.struct(F.sqrt((F.col(f"src_{a}x") - F.col(f"dst_{b}x")) ** 2 + (F.col(f"src_{a}y") - F.col(f"dst_{b}y")) ** 2).alias("direct"), *[F.col(f"{k}_{e}{x}").alias(f"{n}{x}") for k, e, n in (("src", a, "p"), ("dst", b, "q")) for x in "xy"]) for a in "se" for b in "se"])
-    pairs = links.select("f", "src", "dst").join(ends("src"), ["f", "src"]).join(ends("dst"), ["f", "dst"]).select("f", "src", "dst", near.alias("h")).select("f", "src", "dst", "h.*")
-
-    def run(key: tuple, pairs: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        region, out = Region(edges, c), []
-        for r in pairs.itertuples():
-            way = region.connect(np.array([r.px, r.py]), np.array([r.qx, r.qy]), True)
-            ok = way is not None and way[0] <= max(c.intra_limit, 2.5 * r.direct, 2.5 * c.step)
-            out.append((key[0], r.src, r.dst, r.direct, r.direct <= cap, way[0] if way else None, ok))
-        return _rows(out, HOPS)
-
-    return pairs.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, HOPS)
+    pairs = written(links.select("f", *key).join(ends("src"), ["f", "src"]).join(ends("dst"), ["f", "dst"]).select("f", *key, near.alias("h")).select("f", *key, "h.*"))
+    short = pairs.where(F.col("direct") <= cap).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(16)))).selectExpr("f", *key, "k", "px + (qx - px) * k / 16e0 AS px", "py + (qy - py) * k / 16e0 AS py")
+    clear = regions.inside(short, edges, [*key, "k"], 1e-6).groupBy("f", *key).agg(F.bool_and("inside").alias("clear"))
+    both = pairs.selectExpr("f", *key, "stack(2, 'left', px, py, 'right', qx, qy) AS (side, px, py)")
+    along = boundary_transfers(both, edges, c, key).select("f", *key, "score")
+    cost = F.when((F.col("direct") < 0.05) | F.coalesce("clear", F.lit(False)), F.col("direct")).otherwise(F.col("score"))
+    found = pairs.join(clear, ["f", *key], "left").join(along, ["f", *key], "left").withColumn("cost", cost)
+    ok = F.coalesce(F.col("cost") <= F.greatest(F.lit(max(c.intra_limit, 2.5 * c.step)), 2.5 * F.col("direct")), F.lit(False))
+    return found.select("f", *key, "direct", (F.col("direct") <= cap).alias("direct_ok"), "cost", ok.alias("ok"))
 
 
 def entries(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
-    """How each island is best entered from the contour's first vertex (``ENTRIES``): at its head, or at its tail if that is cheaper; no row where neither is legal."""
-
-    def run(key: tuple, isl: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        region, out = Region(edges, c), []
-        for r in isl.sort_values("island").itertuples() if len(edges) else ():
-            pts = _points(r)
-            head, tail = (region.connect(region.at(0, 0.0), p, False) for p in (pts[0], pts[-1]))
-            if head or tail:
-                reverse = bool(tail and (not head or tail[0] < head[0]))
-                out.append((key[0], r.comp, r.phase, r.island, reverse, tail[0] if reverse else head[0]))
-        return _rows(out, ENTRIES)
-
-    return isl.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, ENTRIES)
+    """(f, comp, phase, island, reverse, cost): how each island is best entered from the contour's first vertex: at its head, or at its tail if that is cheaper.
 
+    No row where neither is legal. Joins only: an end in reach of the contour is
+    reached along it, one in reach of a hole by the best bridge to that hole.
+    """
+    from . import regions
 
-def boundary_transfers(ends: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
-    """(f, node, ring, d1, d2, arc, score): ways along one ring between two points of a node; ``ends`` (f, node, side, px, py).
+    key, reach = ["comp", "phase", "island"], max(1.0, 0.75 * c.step)
+    one = lambda k, flip: F.struct(F.lit(flip).alias("reverse"), F.element_at("xs", k).alias("px"), F.element_at("ys", k).alias("py"))
+    ends = written(isl.select("f", *key, F.explode(F.array(one(1, False), one(-1, True))).alias("e")).select("f", *key, "e.*"))
+    start = edges.where("ring = 0 AND i = 0").selectExpr("f", "x1 AS sx", "y1 AS sy")
+    total = edges.groupBy("f", "ring").agg(F.sum("len").alias("total"))
+    arc = lambda d, n: f"least(pmod({d}, {n}), pmod(-({d}), {n}))"
+    straight = ends.join(start, "f").selectExpr("f", *key, "reverse", "sqrt((px - sx) * (px - sx) + (py - sy) * (py - sy)) AS cost").where("cost < 0.05")
+    near = written(regions.anchors(ends, edges, [*key, "reverse"]).where(F.col("dist") <= reach).join(total, ["f", "ring"]).select("f", "ring", *key, "reverse", "dist", F.col("arc").alias("u"), "total"))
+    outer = near.where("ring = 0").selectExpr("f", *key, "reverse", f"dist + {arc('u', 'total')} AS cost")
+    contour = total.where("ring = 0").selectExpr("f", "total AS outer_total")
+    spans = bridges(edges, c).select("f", "ring", "place", "outer_place", "hop").join(contour, "f")
+    over = near.where("ring > 0").join(spans, ["f", "ring"]).selectExpr("f", *key, "reverse", f"dist + {arc('outer_place', 'outer_total')} + hop + {arc('u - place', 'total')} AS cost")
+    # a straight end is dearer by a walk that starts where it stands, so the least of all ways is the one that is taken
+    ways = straight.union(outer).union(over)
+    best = F.min(F.struct("cost", "reverse")).alias("w")
+    return ways.groupBy("f", *key).agg(best).select("f", *key, "w.reverse", "w.cost")
+
+
+def boundary_transfers(ends: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig(), key: Sequence[str] = ("node",)) -> DataFrame:
+    """(f, key..., ring, d1, d2, arc, score): ways along one ring between the left and the right point of a key; ``ends`` (f, key..., side, px, py).
 
     Joins only: both points' nearest boundary places must be on one ring and in reach; the score is both distances and the shorter arc.
     """
     from . import regions
 
     reach = max(1.0, 0.75 * c.step)
-    near = regions.anchors(ends, edges, ["node", "side"]).where(f"dist <= {reach!r}")
+    near = regions.anchors(ends, edges, [*key, "side"]).where(f"dist <= {reach!r}")
     total = edges.groupBy("f", "ring").agg(F.sum("len").alias("total"))
-    a = near.where("side = 'left'").selectExpr("f", "node", "ring", "dist AS d1", "arc AS u")
-    b = near.where("side = 'right'").selectExpr("f", "node", "ring", "dist AS d2", "arc AS v")
-    both = a.join(b, ["f", "node", "ring"]).join(total, ["f", "ring"]).withColumn("arc", F.expr("least(pmod(v - u, total), pmod(u - v, total))"))
-    return both.select("f", "node", "ring", "d1", "d2", "arc", F.expr("d1 + d2 + arc").alias("score"))
+    a = near.where("side = 'left'").selectExpr("f", *key, "ring", "dist AS d1", "arc AS u")
+    b = near.where("side = 'right'").selectExpr("f", *key, "ring", "dist AS d2", "arc AS v")
+    both = a.join(b, ["f", *key, "ring"]).join(total, ["f", "ring"]).withColumn("arc", F.expr("least(pmod(v - u, total), pmod(u - v, total))"))
+    return both.select("f", *key, "ring", "d1", "d2", "arc", F.expr("d1 + d2 + arc").alias("score"))
 
 
 def ring_samples(edges: DataFrame, most: int = 48) -> DataFrame:

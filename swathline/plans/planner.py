@@ -39,6 +39,24 @@ _PAIRS = "SELECT DISTINCT l.f, least(a.cluster, b.cluster) AS a, greatest(a.clus
 _REACH = "SELECT f, cluster AS v, cluster AS w FROM (SELECT DISTINCT f, cluster FROM clustered) c UNION SELECT r.f, r.v, CASE WHEN p.a = r.w THEN p.b ELSE p.a END AS w FROM reach r JOIN pairs p ON r.f = p.f AND (p.a = r.w OR p.b = r.w)"
 _COMPS = "SELECT n.*, CAST(dense_rank() OVER (PARTITION BY n.f ORDER BY m.least) - 1 AS INT) AS comp FROM clustered n JOIN (SELECT f, v, min(w) AS least FROM reach GROUP BY f, v) m ON n.f = m.f AND n.cluster = m.v"
 _STATS = "SELECT f, comp, min(row) AS min_row, max(row) AS max_row, avg(mx) AS cx, avg(my) AS cy, count(*) AS size, min(least(a0, a1)) AS lo, max(greatest(a0, a1)) AS hi, bool_or(excl) AS excl FROM comps GROUP BY f, comp"
+_ARCS = "SELECT *, coalesce(sum(len) OVER (PARTITION BY f, ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS arc, sum(len) OVER (PARTITION BY f, ring) AS total FROM sides"
+# Closed forms where rings neither meet nor fold: the given contours and cutouts. A ring's corners move along both sides' normals;
+# at corners that point into the region and are sharper than the mitre's limit there are two places, one for each side.
+_CORNERS = "SELECT f, ring, i, n, x, y, x - px AS ax, y - py AS ay, nx - x AS cx, ny - y AS cy FROM (SELECT *, lag(x, 1, fx_last) OVER w AS px, lag(y, 1, fy_last) OVER w AS py, lead(x, 1, fx) OVER w AS nx, lead(y, 1, fy) OVER w AS ny FROM (SELECT *, first_value(x) OVER u AS fx, first_value(y) OVER u AS fy, last_value(x) OVER u AS fx_last, last_value(y) OVER u AS fy_last FROM {region_vertices} WINDOW u AS (PARTITION BY f, ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) a WINDOW w AS (PARTITION BY f, ring ORDER BY i)) b"
+_NORMALS = "SELECT f, ring, i, x, y, -ay / sqrt(ax * ax + ay * ay) AS mx, ax / sqrt(ax * ax + ay * ay) AS my, -cy / sqrt(cx * cx + cy * cy) AS ox, cx / sqrt(cx * cx + cy * cy) AS oy, ax * cy - ay * cx < 0 AS dent FROM corners"
+_MOVED = f"""SELECT f, ring, i, unnest(CASE WHEN dent AND c < 0.25e0 THEN [{{'s': 0, 'x': x + {C.offset}e0 * mx, 'y': y + {C.offset}e0 * my}}, {{'s': 1, 'x': x + {C.offset}e0 * ox, 'y': y + {C.offset}e0 * oy}}]
+    ELSE [{{'s': 0, 'x': x + {C.offset}e0 * (mx + ox) / c, 'y': y + {C.offset}e0 * (my + oy) / c}}] END) AS m FROM (SELECT *, 1e0 + mx * ox + my * oy AS c FROM normals) z"""
+
+
+def _ring_stats(source: str) -> str:
+    """Area and perimeter of rings of (f, ring, i, s, x, y)."""
+    near = "lead({0}, 1, first_{0}) OVER (PARTITION BY f, ring ORDER BY i, s) AS {0}2"
+    first = "first_value({0}) OVER (PARTITION BY f, ring ORDER BY i, s) AS first_{0}"
+    return f"SELECT f, ring, sum(x * y2 - x2 * y) / 2e0 AS area, sum(sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))) AS perimeter FROM (SELECT *, {near.format('x')}, {near.format('y')} FROM (SELECT *, {first.format('x')}, {first.format('y')} FROM {source}) p) q GROUP BY f, ring"
+
+
+_GIVEN = _ring_stats("(SELECT *, 0 AS s FROM {region_vertices})")
+_INSET = f"WITH corners AS ({_CORNERS}), normals AS ({_NORMALS}), moved AS ({_MOVED}), inset AS ({_ring_stats('(SELECT f, ring, i, m.s, m.x, m.y FROM moved)')})"
 _CTES = {"sides": _SIDES, "lines": _LINES, "stripes": _CUT, "rowed": _ROWED, "kept": _SUPPORTED, "nodes": _NODES, "flagged": _EXCL, "clustered": _CLUSTERED, "links": _LINKS, "pairs": _PAIRS, "reach": _REACH, "comps": _COMPS, "stats": _STATS}
 
 
@@ -298,10 +316,12 @@ class FullPlan:
 
 def _register_routes() -> None:
     size = "aggregate(zip_with(xs, ys, (x, y) -> struct(x, y)), named_struct('n', 0D, 'px', CAST(NULL AS DOUBLE), 'py', CAST(NULL AS DOUBLE)), (s, p) -> named_struct('n', s.n + coalesce(sqrt((p.x - s.px) * (p.x - s.px) + (p.y - s.py) * (p.y - s.py)), 0D), 'px', p.x, 'py', p.y)).n"
-    operator("e15_working_region")(lambda t: regions.ring_stats(overlay.edges_of(overlay.working_regions(t["region_vertices"]))).select("f", "ring", "area", "perimeter"))
-    operator("e14_inset")(lambda t: regions.ring_stats(overlay.edges_of(overlay.insets(overlay.working_regions(t["region_vertices"]), C.offset))).select("f", "ring", "area", "perimeter"))
+    near = {"area": 1, "perimeter": 1}
+    operator("e15_working_region", _GIVEN, near)(lambda t: regions.ring_stats(overlay.edges_of(overlay.working_regions(t["region_vertices"]))).select("f", "ring", "area", "perimeter"))
+    operator("e14_inset", f"{_INSET} SELECT * FROM inset", near)(lambda t: regions.ring_stats(overlay.edges_of(overlay.insets(overlay.working_regions(t["region_vertices"]), C.offset))).select("f", "ring", "area", "perimeter"))
     operator("e21_overlay_areas")(lambda t: overlay.overlay_areas(t["region_vertices"]))
-    operator("s1_prepare")(lambda t: _prepared(FullPlan(t)))
+    prepared = f"{_INSET} SELECT g.f, count(*) AS rings, sum(g.area) AS working_area, sum(i.area) AS inset_area, 'ok' AS status FROM ({_GIVEN}) g JOIN inset i ON g.f = i.f AND g.ring = i.ring GROUP BY g.f"
+    operator("s1_prepare", prepared, {"working_area": 1, "inset_area": 1})(lambda t: _prepared(FullPlan(t)))
     operator("s6_routes")(lambda t: FullPlan(t).chunks)
     operator("k7_snake_lengths")(lambda t: FullPlan(t).chunks.select("f", "comp", "phase", "chunk", F.expr(size).alias("metres")))
     operator("s7_group")(lambda t: FullPlan(t).islands)
@@ -314,8 +334,19 @@ def _register_routes() -> None:
         nodes = s.clustered
         return routes.hops(nodes, graph.row_links(nodes), s.edges)
 
-    operator("k8_connector_cost")(lambda t: hop(t).select("f", "src", "dst", "direct", "cost"))
-    operator("c21_connector_acceptable")(lambda t: hop(t).select("f", "src", "dst", "ok"))
+    apart = lambda a, b: f"sqrt(pow(u.{a}x - v.{b}x, 2) + pow(u.{a}y - v.{b}y, 2))"
+    choice = ", ".join(f"{{'direct': {apart(a, b)}, 'px': u.{a}x, 'py': u.{a}y, 'qx': v.{b}x, 'qy': v.{b}y}}" for a in "se" for b in "se")
+    dist = planar.side_distance("px", "py")
+    connectors = _sql("SELECT 1", "links").removesuffix("SELECT 1").rstrip() + f""", hop AS MATERIALIZED (SELECT f, src, dst, h.direct, h.px, h.py, h.qx, h.qy FROM (SELECT l.f, src, dst, list_min([{choice}]) AS h FROM links l JOIN nodes u ON l.f = u.f AND l.src = u.node JOIN nodes v ON l.f = v.f AND l.dst = v.node) z),
+        clear AS (SELECT f, src, dst FROM (SELECT c.f, src, dst, k, sum(CASE WHEN {planar.crosses('px', 'py')} THEN 1 ELSE 0 END) % 2 = 1 OR min({dist}) <= 1e-6 AS ok FROM (SELECT f, src, dst, k, px + (qx - px) * k / 16e0 AS px, py + (qy - py) * k / 16e0 AS py FROM hop CROSS JOIN (SELECT {{explode:0,16}} AS k) n WHERE direct <= 5e0) c
+            JOIN sides s ON c.f = s.f GROUP BY c.f, src, dst, k) q GROUP BY f, src, dst HAVING bool_and(ok)),
+        arcs AS ({_ARCS}),
+        places AS (SELECT * FROM (SELECT p.f, src, dst, head, s.ring, {dist} AS off, s.arc + {planar.side_t('px', 'py')} * s.len AS place, total, row_number() OVER (PARTITION BY p.f, src, dst, head ORDER BY {dist}, s.ring, s.i) AS rn
+            FROM (SELECT f, src, dst, true AS head, px, py FROM hop UNION ALL SELECT f, src, dst, false, qx, qy FROM hop) p JOIN arcs s ON p.f = s.f) q WHERE rn = 1 AND off <= 3e0),
+        along AS (SELECT a.f, a.src, a.dst, a.off + b.off + least(abs(b.place - a.place), a.total - abs(b.place - a.place)) AS walked FROM places a JOIN places b ON a.f = b.f AND a.src = b.src AND a.dst = b.dst AND a.ring = b.ring AND a.head AND NOT b.head),
+        priced AS (SELECT h.f, h.src, h.dst, direct, CASE WHEN direct < 0.05e0 OR c.src IS NOT NULL THEN direct ELSE walked END AS cost FROM hop h LEFT JOIN clear c ON h.f = c.f AND h.src = c.src AND h.dst = c.dst LEFT JOIN along a ON h.f = a.f AND h.src = a.src AND h.dst = a.dst)"""
+    operator("k8_connector_cost", f"{connectors} SELECT f, src, dst, direct, cost FROM priced", {"direct": 5, "cost": 4})(lambda t: hop(t).select("f", "src", "dst", "direct", "cost"))
+    operator("c21_connector_acceptable", f"{connectors} SELECT f, src, dst, coalesce(cost <= greatest({max(C.intra_limit, 2.5 * C.step)}e0, 2.5e0 * direct), false) AS ok FROM priced")(lambda t: hop(t).select("f", "src", "dst", "ok"))
     operator("k9_direct_cap", _sql(f"SELECT f, src, dst, direct, direct <= 5e0 AS direct_ok FROM ({direct}) z", "links"), {"direct": 5})(lambda t: hop(t).select("f", "src", "dst", "direct", "direct_ok"))
     operator("k13_chunk_grouping")(lambda t: FullPlan(t).islands.groupBy("f", "comp", "phase").agg(F.count("*").alias("islands"), F.sum("chunks").alias("chunks")))
     operator("k15_entry_option")(lambda t: (lambda p: routes.entries(p.islands, p.edges))(FullPlan(t)))
@@ -346,8 +377,7 @@ def _register_details() -> None:
 
     operator("g4_shell_anchors", _sql(f"SELECT f, node, side, dist FROM ({shell}) z", "nodes"), {"dist": 5})(lambda t: shells(t).select("f", "node", "side", "dist"))
     operator("p3_valid_shell_anchors", _sql(f"SELECT f, count(*) AS anchors FROM ({shell}) z WHERE dist < 3e0 GROUP BY f", "nodes"))(lambda t: shells(t).where("dist < 3").groupBy("f").agg(F.count("*").alias("anchors")))
-    arcs = "SELECT *, coalesce(sum(len) OVER (PARTITION BY f, ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS arc, sum(len) OVER (PARTITION BY f, ring) AS total FROM sides"
-    place = f"SELECT p.f, node, side, s.ring, {dist} AS dist, s.arc + {planar.side_t('px', 'py')} * s.len AS arc, total, row_number() OVER (PARTITION BY p.f, node, side ORDER BY {dist}, s.ring, s.i) AS rn FROM (SELECT f, node, 'left' AS side, sx AS px, sy AS py FROM nodes UNION ALL SELECT f, node, 'right' AS side, ex AS px, ey AS py FROM nodes) p JOIN ({arcs}) s ON p.f = s.f"
+    place = f"SELECT p.f, node, side, s.ring, {dist} AS dist, s.arc + {planar.side_t('px', 'py')} * s.len AS arc, total, row_number() OVER (PARTITION BY p.f, node, side ORDER BY {dist}, s.ring, s.i) AS rn FROM (SELECT f, node, 'left' AS side, sx AS px, sy AS py FROM nodes UNION ALL SELECT f, node, 'right' AS side, ex AS px, ey AS py FROM nodes) p JOIN ({_ARCS}) s ON p.f = s.f"
     transfer = f"SELECT a.f, a.node, a.ring, a.dist AS d1, b.dist AS d2, least(abs(b.arc - a.arc), a.total - abs(b.arc - a.arc)) AS arc FROM ({place}) a JOIN ({place}) b ON a.f = b.f AND a.node = b.node AND a.ring = b.ring AND a.side = 'left' AND b.side = 'right' AND a.rn = 1 AND b.rn = 1 WHERE a.dist <= 3e0 AND b.dist <= 3e0"
 
     def transfers(t: Tables):
@@ -380,7 +410,7 @@ def _register_details() -> None:
     clear = f"""SELECT f, ring, place, outer_place, hop FROM (SELECT c.f, c.ring, place, outer_place, hop, k, sum(CASE WHEN {planar.crosses('px', 'py')} THEN 1 ELSE 0 END) % 2 = 1 OR min({dist}) <= 1e-6 AS ok
         FROM (SELECT f, ring, place, outer_place, hop, k, ux + (vx - ux) * k / 16e0 AS px, uy + (vy - uy) * k / 16e0 AS py FROM spans CROSS JOIN (SELECT {{explode:0,16}} AS k) n WHERE hop <= 5e0) c JOIN sides s ON c.f = s.f GROUP BY ALL) q
         GROUP BY f, ring, place, outer_place, hop HAVING min(CASE WHEN ok THEN 1 ELSE 0 END) = 1"""
-    spanned = _sql("SELECT 1", "sides").removesuffix("SELECT 1").rstrip() + f", arcs AS ({arcs}), samples AS ({sample}), spans AS ({spans}), clear AS ({clear})"
+    spanned = _sql("SELECT 1", "sides").removesuffix("SELECT 1").rstrip() + f", arcs AS ({_ARCS}), samples AS ({sample}), spans AS ({spans}), clear AS ({clear})"
     operator("f7_bridge_candidates", f"{spanned} SELECT f, ring, place, outer_place, hop FROM clear", {"place": 4, "outer_place": 4, "hop": 5})(lambda t: routes.bridges(t["edges"]).select("f", "ring", "place", "outer_place", "hop"))
     operator("k11_best_bridge", f"{spanned} SELECT f, ring, min(hop) AS hop, count(*) AS candidates FROM clear GROUP BY f, ring", {"hop": 5})(lambda t: routes.bridges(t["edges"]).groupBy("f", "ring").agg(F.min("hop").alias("hop"), F.count("*").alias("candidates")))
     operator("f4_shell_semi_join", _sql(f"SELECT DISTINCT l.f, l.src, l.dst FROM links l JOIN ({shell}) a ON l.f = a.f AND l.src = a.node JOIN ({shell}) b ON l.f = b.f AND l.dst = b.node AND a.ring = b.ring AND a.side = b.side AND abs(a.i - b.i) <= 1", "links"))(_near_shells)

@@ -24,7 +24,8 @@ def register() -> None:
     # -- routes and commands ---------------------------------------------------------------------------------------
     operator("h7_route_commands", _COMMANDS, {"value": 4})(lambda t: commands.route_commands(t["track"]))
     operator("b1_command_documents", f"SELECT robot_id, count(*) AS n FROM ({_COMMANDS}) c GROUP BY robot_id")(lambda t: commands.command_documents(commands.route_commands(t["track"])).select("robot_id", "n"))
-    operator("b26_command_panel")(lambda t: commands.command_documents(commands.route_commands(t["track"])))
+    item = """concat('{"cmd":"', cmd, '","data":{"', CASE cmd WHEN 'rotate' THEN 'delta_angle' ELSE 'distance_m' END, '":', CAST(round(value, 4) AS VARCHAR), '}}')"""
+    operator("b26_command_panel", f"SELECT robot_id, concat('[', string_agg({item}, ',' ORDER BY seq, part), ']') AS commands, count(*) AS n FROM ({_COMMANDS}) c GROUP BY robot_id")(lambda t: commands.command_documents(commands.route_commands(t["track"])))
     statement("h5_adjacent_pairs", f"SELECT robot_id, seq, {_HAV} AS metres FROM ({_HOPS}) h WHERE lat0 IS NOT NULL", {"metres": 4})
     statement("k22_robot_prepend", "SELECT robot_id, seq + 1 AS pos, lat, lon FROM {track} UNION ALL SELECT mission_id AS robot_id, 1 AS pos, origin_lat AS lat, origin_lon AS lon FROM {missions}", {"lat": 9, "lon": 9})
     route = "SELECT robot_id, seq, lat, lon FROM {track} UNION ALL SELECT mission_id, 0, origin_lat, origin_lon FROM {missions}"

@@ -164,3 +164,33 @@ def test_components_are_merged_by_chord_and_shells(spark):
     beside = spark.createDataFrame([node(0, 0, -9.5, -2.5, 8.0), node(1, 1, 2.5, 9.5, 8.0)], schema)
     assert graph.merge_pairs(apart, e).count() == 0
     assert [(r.a, r.b) for r in graph.merge_pairs(beside, e).collect()] == [(0, 1)]
+
+
+def test_connectors_and_entries_match_the_walked_ones(spark):
+    rings = [square(-12, -12, 24), square(-9, -4, 8)[::-1], square(4, -3, 6)[::-1]]
+    e = edges(spark, rings)
+    f, region = e.first().f, routes.Region(e.toPandas(), sweep.PlanConfig())
+    rng = np.random.default_rng(5)
+    at = rng.uniform(-11.5, 11.5, (40, 4))
+    at[0] = at[1]  # two stripes at one place: a connector of no length
+    nodes = spark.createDataFrame([(f, k, *map(float, p)) for k, p in enumerate(at)], "f long, node int, sx double, sy double, ex double, ey double")
+    links = spark.createDataFrame([(f, 0, 1), *[(f, a, b) for a in range(1, 40) for b in range(a + 1, min(40, a + 6))]], "f long, src int, dst int")
+    seen = set()
+    for r in routes.hops(nodes, links, e).collect():
+        p, q = min(((p, q) for p in (at[r.src, :2], at[r.src, 2:]) for q in (at[r.dst, :2], at[r.dst, 2:])), key=lambda pq: float(np.linalg.norm(pq[1] - pq[0])))
+        way = region.connect(p, q, True)
+        assert r.cost == (pytest.approx(way[0]) if way else None) and r.ok == (way is not None and way[0] <= max(12.0, 2.5 * r.direct))
+        seen.add((way is not None, r.direct_ok))
+    assert len(seen) == 4
+    isl = spark.createDataFrame([(f, k, k % 2, k, 0, 0, 1, [float(p[0]), 0.0, float(p[2])], [float(p[1]), 0.0, float(p[3])]) for k, p in enumerate(at)] + [(f, 99, 0, 99, 0, 0, 1, [-12.0, 0.0], [-12.0, 0.0])], routes.ISLANDS)
+    got = {r.island: (r.reverse, r.cost) for r in routes.entries(isl, e).collect()}
+    start, want, over = region.at(0, 0.0), {}, 0
+    for k, p in [*enumerate(at), (99, np.array([-12.0, -12.0, 0.0, 0.0]))]:
+        head, tail = region.connect(start, p[:2], False), region.connect(start, p[2:], False)
+        if head or tail:
+            reverse = bool(tail and (not head or tail[0] < head[0]))
+            want[k] = (reverse, pytest.approx((tail if reverse else head)[0]))
+            over += region.anchor(p[2:] if reverse else p[:2])[0] > 0
+    assert got == want and 10 < len(want) and over > 2
+    none = e.where(F.lit(False))
+    assert routes.entries(isl, none).count() == 0 and {(r.src, r.dst) for r in routes.hops(nodes, links, none).where("ok").collect()} == {(0, 1)}
