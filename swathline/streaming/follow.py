@@ -16,7 +16,7 @@ from ..functions.motion import Controller
 from ..operators import telemetry
 
 
-def follow(readings: DataFrame, s: telemetry.Sensors = telemetry.Sensors(), c: Controller = Controller()) -> DataFrame:
+def follow(readings: DataFrame, s: telemetry.Sensors = telemetry.Sensors(), c: Controller = Controller(), idle_ms: int | None = None) -> DataFrame:
     """Ticks of a stream of readings with a ``plan`` column: the robot's mission as JSON {origin, way}.
 
     The state is the robot's, as one JSON value; rows of a micro-batch are taken
@@ -24,6 +24,9 @@ def follow(readings: DataFrame, s: telemetry.Sensors = telemetry.Sensors(), c: C
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         robot = telemetry.Robot(**json.loads(state.get[0])) if state.exists else telemetry.Robot()
         rows = telemetry.batches(parts)
         if len(rows):
@@ -31,9 +34,12 @@ def follow(readings: DataFrame, s: telemetry.Sensors = telemetry.Sensors(), c: C
             plan = json.loads(rows["plan"].iat[0])
             _, ticks = telemetry.advance(robot, rows, tuple(plan["origin"]), [tuple(p) for p in plan["way"]], s, c)
             state.update((json.dumps(dataclasses.asdict(robot)),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
             yield ticks
 
-    return readings.groupBy("robot_id").applyInPandasWithState(run, telemetry.TICK, "robot string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return readings.groupBy("robot_id").applyInPandasWithState(run, telemetry.TICK, "robot string", "append", timeout)
 
 
 def plans(missions: DataFrame) -> DataFrame:
