@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import written
 
-__all__ = ["CHARS_AT_ONCE", "held", "portions", "table", "texts_of", "written"]
+__all__ = ["CHARS_AT_ONCE", "held", "portions", "stretches", "table", "texts_of", "written"]
 
 #: Characters of text that one NumPy pass takes at once, so that a batch of long documents stays small in memory.
 CHARS_AT_ONCE = 4_000_000
@@ -33,6 +34,26 @@ def portions(texts: list, most: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+_SEAM = re.compile(r"(?<=\w) (?=\w)")
+
+
+def stretches(text: str, most: int = CHARS_AT_ONCE) -> Iterator[str]:
+    """The text in stretches of about ``most`` characters, cut only before a single space between two word characters.
+
+    Word splits of byte-level and piece vocabularies have a border there in any
+    case, so stretches are encoded each on its own. Without such a space there is
+    no cut.
+    """
+    at = 0
+    while len(text) - at > most:
+        seam = _SEAM.search(text, at + most)
+        if not seam:
+            break
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:]
+
+
 def texts_of(column: pd.Series, null: str = "") -> list[str]:
     """Python strings, with ``null`` in place of nulls."""
     return [t if isinstance(t, str) else null for t in column]

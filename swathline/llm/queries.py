@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, license_scan, packing, quality_lm, quality_rules, simhash, topk, url_filter
+from . import alignment, bpe, html_extract, langid, license_scan, packing, quality_lm, quality_rules, simhash, token_counts, topk, url_filter, whitening
 from .common import table
 
 #: A document is held out of training if crc32 of its id, as text, leaves 2 by 4.
@@ -58,6 +58,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs.where(f"not {held_out}")), held_out)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_quality_classifier": op2_quality_classifier,
@@ -69,6 +81,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
+    "op12_token_counts": op12_token_counts,
+    "op13_alignment": op13_alignment,
 }
 
 
