@@ -6,12 +6,17 @@ The pieces' length histogram has at most ``capacity`` entries whatever the
 corpus, so the plan is made from it alone:
 
 * the linear program over configurations (which lengths share a sequence) is
-  solved by multiplicative weights: every length has a weight that falls as the
-  length gets covered, configurations are priced by a knapsack dynamic program,
-  those near the best are taken, and the rounds end at a duality gap;
-* the solution is rounded down, and what is left goes into its open and new
-  sequences by best fit, longest first, on counts of equal sequences. Best fit
-  alone is the plan where it needs no more sequences.
+  solved by multiplicative weights: in each round every length may be covered a
+  step further, configurations are priced by a knapsack dynamic program, those
+  near the best are taken in whole numbers, as often as the step has room for
+  them, and the weight of lengths that fall behind grows. So the solution covers
+  no length too often and is rounded down as it is made;
+* what no configuration near the best holds goes into its open and new sequences
+  by best fit, longest first, on counts of equal sequences;
+* weights over the best price are a dual solution, whose value no plan is below.
+  One round of whole demand comes first; more rounds, of smaller steps, follow
+  while the plan is over ``GAP`` from the bound. Best fit alone is the plan only
+  where it needs fewer sequences than all of them.
 
 The plan says, for each length, which ranks go to which sequences. Pieces are
 ranked within their length by Spark: a length of many pieces is dealt out over
@@ -94,86 +99,93 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = END) -> DataFrame:
 # ---- the plan, from the histogram ------------------------------------------------------------------------------
 
 
-def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each room up to ``capacity``: the value of the most valuable configuration in it, and one length of it (0: what fits in less room). values[l] is length l's."""
+def knapsack(values: np.ndarray, capacity: int) -> np.ndarray:
+    """For each room up to ``capacity`` the value of the most valuable configuration in it. values[l] is length l's."""
     lengths = np.flatnonzero(values > 0)
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    best = np.zeros(capacity + 1)
     if not len(lengths):
-        return best, pick
+        return best
     worth = values[lengths]
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(int(lengths[0]), capacity + 1):
         k = fits[c]
-        total = best[c - lengths[:k]] + worth[:k]
-        i = int(total.argmax())
-        if total[i] > best[c - 1]:
-            best[c], pick[c] = total[i], lengths[i]
-        else:
-            best[c] = best[c - 1]
-    return best, pick
-
-
-def configuration(pick: list[int], room: int) -> dict[int, int]:
-    """How many of each length the most valuable configuration in ``room`` has."""
-    out: dict[int, int] = {}
-    while room > 0:
-        k = pick[room]
-        if k:
-            out[k] = out.get(k, 0) + 1
-            room -= k
-        else:
-            room -= 1
-    return out
-
-
-def configuration_lp(hist: np.ndarray, capacity: int, rounds: int = 250, rates: tuple = (0.3, 0.1, 0.1, 0.03, 0.03), gap: float = 0.002) -> tuple[list[tuple[dict[int, int], float]], float]:
-    """Configurations with fractional multiplicities that cover every length as often as ``hist`` has it or more, and a lower bound.
-
-    A length's weight starts at its share of a sequence and falls by exp(-rate)
-    each time the length gets covered once over. In a round every length that is
-    behind takes the best configuration that holds it, if its value is near the
-    maximum. The weights over the maximum are a dual solution, the configurations
-    over the least coverage a primal one; it ends when the two are ``gap`` apart.
-    Smaller rates go on from the weights of larger ones, with a new primal solution.
+        best[c] = max(best[c - 1], (best[c - lengths[:k]] + worth[:k]).max())
+    return best
+
+
+class Program:
+    """The covering program of one histogram while multiplicative weights solve it.
+
+    ``used`` counts what the configurations of ``taken`` hold of each length, never
+    more than there is, so that they are whole sequences of a plan at any time.
+    ``bound`` is the best dual solution so far: weights over the most valuable
+    configuration's value.
     """
-    at = np.flatnonzero(hist)[::-1]
-    if not len(at):
-        return [], 0.0
-    n = hist.astype(float)
-    count = n.tolist()
-    log = np.log(at / capacity)
-    best_out, best_value, bound = [], np.inf, 0.0
-    for rate in rates:
-        covered, taken = [0.0] * len(count), 0.0
-        out: dict[tuple, float] = {}
-        own = np.zeros(len(at))
-        for r in range(1, rounds + 1):
-            weight = np.zeros(len(count))
-            now = log - rate * own
-            weight[at] = np.exp(now - now.max())
-            best, pick = knapsack(weight, capacity)
-            bound = max(bound, float(weight @ n / best[capacity]))
-            near = weight[at] + best[capacity - at] >= (1 - rate / 20) * best[capacity]
-            picks = pick.tolist()
-            for k in at[near].tolist():
-                if covered[k] >= r:
-                    continue
-                config = configuration(picks, capacity - k)
-                config[k] = config.get(k, 0) + 1
-                times = min(count[j] / a for j, a in config.items())
-                key = tuple(sorted(config.items()))
-                out[key] = out.get(key, 0.0) + times
-                taken += times
+
+    def __init__(self, hist: np.ndarray, capacity: int):
+        self.n, self.capacity = hist.astype(np.int64), capacity
+        self.lengths = np.flatnonzero(hist)
+        self.used = np.zeros(capacity + 1, np.int64)
+        self.log = np.zeros(capacity + 1)
+        self.log[self.lengths] = np.log(self.lengths / capacity)
+        self.taken: dict[tuple, int] = {}
+        self.bound = 0.0
+
+    def price(self) -> None:
+        """Weights as they are now, and what each room is worth."""
+        self.weight = np.zeros(self.capacity + 1)
+        self.weight[self.lengths] = np.exp(self.log[self.lengths] - self.log[self.lengths].max())
+        self.best = knapsack(self.weight, self.capacity)
+        self.bound = max(self.bound, float(self.weight @ self.n / self.best[-1]))
+
+    def near_best(self, k: int, left: np.ndarray, loss: float) -> dict[int, int] | None:
+        """A configuration with length ``k`` of what is ``left`` whose value is within ``loss`` of the best, the longest lengths first; nothing if there is none."""
+        room = self.capacity - k
+        spare = loss * self.best[-1] - (self.best[-1] - self.weight[k] - self.best[room]) + 1e-12
+        if spare < 0:
+            return None
+        config = {k: 1}
+        while room:
+            fit = self.lengths[: np.searchsorted(self.lengths, room, side="right")]
+            lost = self.best[room] - self.weight[fit] - self.best[room - fit]
+            free = left[fit]
+            for j, a in config.items():
+                if j <= room:
+                    free[np.searchsorted(fit, j)] -= a
+            good = np.flatnonzero((free > 0) & (lost <= spare))
+            if not len(good):
+                return config if self.best[room] <= spare else None
+            j = int(fit[good[-1]])
+            spare -= lost[good[-1]]
+            config[j] = config.get(j, 0) + 1
+            room -= j
+        return config
+
+    def take(self, target: np.ndarray, loss: float) -> None:
+        """Configurations within ``loss`` of the best as often as ``target`` has room for them."""
+        left = target - self.used
+        for k in self.lengths[::-1].tolist():
+            while left[k] > 0 and (config := self.near_best(k, left, loss)):
+                times = min(int(left[j]) // a for j, a in config.items())
                 for j, a in config.items():
-                    covered[j] += a * times / count[j]
-            own = np.array(covered)[at]
-            least = own.min()
-            if least > 0 and taken / least < best_value:
-                best_out, best_value = [(k, x / least) for k, x in out.items()], taken / least
-                if best_value <= (1 + gap) * bound:
-                    return [(dict(k), x) for k, x in best_out], bound
-        log -= rate * own
-    return [(dict(k), x) for k, x in best_out], bound
+                    left[j] -= a * times
+                    self.used[j] += a * times
+                key = tuple(sorted(config.items()))
+                self.taken[key] = self.taken.get(key, 0) + times
+
+    def run(self, rounds: int, rate: float = 0.1, losses: tuple = (0.0, 0.001, 0.004, 0.01), late: tuple = (0.02, 0.05)) -> list[tuple[dict[int, int], int]]:
+        """In each round a ``rounds``-th more of every length may be covered; the weight of those that fall behind grows."""
+        for t in range(1, rounds + 1):
+            self.price()
+            target = -(-self.n * t // rounds)
+            for loss in losses:
+                self.take(target, loss)
+            behind = (target - self.used)[self.lengths] / self.n[self.lengths] * rounds  # in rounds
+            self.log[self.lengths] += rate * np.minimum(behind, 10)
+        self.price()
+        for loss in (*losses, *late):
+            self.take(self.n, loss)
+        return [(dict(k), x) for k, x in self.taken.items()]
 
 
 def best_fit(hist: np.ndarray, capacity: int, opened: Iterable[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
@@ -210,34 +222,36 @@ def best_fit(hist: np.ndarray, capacity: int, opened: Iterable[tuple[dict[int, i
     return [x for group in room.values() for x in group]
 
 
-def plan(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(configuration, number of sequences) that use every length exactly as often as ``hist[length]`` says."""
+#: How far from the bound a plan is good enough, and in how many rounds the program is solved, one after the other, until it is.
+GAP, ROUNDS = 0.002, (1, 16, 64)
+
+
+def planned(hist: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """(configuration, number of sequences) that use every length exactly as often as ``hist[length]`` says, and a lower bound on their number."""
     left = hist.astype(np.int64).copy()
-    out = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
+    full = int(left[capacity])
     left[capacity] = 0
-    alone = best_fit(left, capacity)
+    if not left.any():
+        return ([({capacity: 1}, full)] if full else []), full
+    best, bound = None, 0
+    for rounds in ROUNDS:
+        program = Program(left, capacity)
+        solved = program.run(rounds)
+        made = best_fit(left - program.used, capacity, solved)
+        used = sum(times for _, times in made)
+        if best is None or used < best[0]:
+            best = used, made
+        bound = max(bound, int(np.ceil(program.bound - 1e-6)))
+        if best[0] <= max(bound, (1 + GAP) * bound):
+            break
+    alone = best_fit(left, capacity)  # of lengths that fit nowhere near, it may need fewer
     used = sum(times for _, times in alone)
-    total = int(left @ np.arange(len(left)))
-    if used <= -(-total // capacity):  # no plan has fewer
-        return out + alone
-    opened, carry = [], 0.0
-    rest = left.copy()
-    solved, _ = configuration_lp(left, capacity)
-    for config, x in sorted(solved, key=lambda s: -s[1]):
-        # Rounded down, with the fraction carried on; what is covered already stays out.
-        times = int(x + carry + 1e-9)
-        carry = max(x + carry - times, 0.0)
-        while times:
-            config = {k: min(a, int(rest[k])) for k, a in config.items() if rest[k]}
-            if not config:
-                break
-            now = min(times, min(int(rest[k]) // a for k, a in config.items()))
-            opened.append((config, now))
-            times -= now
-            for k, a in config.items():
-                rest[k] -= a * now
-    both = best_fit(rest, capacity, opened)
-    return out + min(both, alone, key=lambda plan: sum(times for _, times in plan))
+    made = alone if used < best[0] else best[1]
+    return ([({capacity: 1}, full)] if full else []) + made, bound + full
+
+
+def plan(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    return planned(hist, capacity)[0]
 
 
 def slots(planned: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
