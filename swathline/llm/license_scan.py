@@ -1,8 +1,9 @@
 r"""Licence scans by canonical digests, in DataFrame operations only.
 
 A text is put in canonical form: lower case; title and copyright notice above a
-licence dropped, up to its first words, however the lines are wrapped; other
-lines that are a copyright notice dropped; everything but letters and digits
+licence dropped, up to its first words, however long they are and the lines are
+wrapped, unless a paragraph between is neither; other lines that are a copyright
+notice dropped; everything but letters and digits
 one space; equivalent spellings made one (licence/license, -ise/-ize, -our/-or,
 and the like). Its SHA-256 is joined to the digests of known licences, whose
 texts go through the same expressions. Long licence texts are files in the
@@ -36,9 +37,7 @@ SPELLINGS = (
     (r"\bper cent\b", "percent"),
 )
 # The holder's own name in BSD texts.
-HOLDER = (r"\bneither the names? of (?:[^ ]+ ){1,12}?nor the names of\b", "neither the name of the copyright holder nor the names of")
-# The comparison's SQL drops every line that begins so; the operator drops notices only, see NOTICE.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+HOLDER = (r"\bneither the names? of .*?nor the names of\b", "neither the name of the copyright holder nor the names of")
 OTHER = r"[^\p{L}\p{N}]+"
 
 _GAP, _WORD = r"[^\p{L}\p{N}]++", r"[\p{L}\p{N}]++"
@@ -51,7 +50,7 @@ _NO_HOLDER = (
 #: What begins a copyright notice, in lower case: (c), a year, or a holder.
 _DATED = r"(?:copyright[^\p{L}\p{N}\n]*(?:\(c\)|©|\p{N}{4})|copyright[ \t]+by\b|\(c\)[^\p{L}\p{N}\n]*(?:copyright\b|\p{N}{4})|©)"
 _HELD = rf"copyright[ \t:]+(?!(?:{_NO_HOLDER})\b)\p{{L}}"
-NOTICE = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:{_DATED}[^\n]{{0,300}}|{_HELD}[^\n]{{0,80}})$"
+NOTICE = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:{_DATED}|{_HELD})[^\n]*$"
 #: A notice to be filled in, in texts that say how to apply a licence.
 BLANK_NOTICE = rf"copyright{_GAP}(?:c{_GAP})?(?:year|yyyy){_GAP}name{_GAP}of{_GAP}(?:copyright{_GAP}owner|author)\b|copyright\s+\(c\)\s+_[_\s]*"
 _OPENINGS = (
@@ -74,9 +73,13 @@ _TITLE = (
     rf"(?:the{_GAP})?(?:\p{{N}}{_GAP}clause{_GAP})?(?:(?:new|modified|simplified|revised){_GAP})?(?:mit|expat|isc|zlib|0?bsd|apache|mozilla|gnu)(?:{_GAP}(?:\p{{N}}|clause|lesser|library|general|affero|public|software|or|new|revised|simplified|modified)){{0,6}}{_GAP}licen[cs]e\b"
     rf"(?:{_GAP}(?:mit|expat|isc|zlib|bsd|version|v?\p{{N}}+|clause|january|february|june|november|https?|www|apache|org|licenses)(?![\p{{L}}\p{{N}}])){{0,10}}"
 )
-_NOTED = rf"(?:{_DATED.replace(chr(92) + 'n', '')}|{_HELD})[\p{{L}}\p{{N}}]*+(?:{_GAP}{_WORD}){{0,40}}?"
-#: Title and notices before the first words of a licence.
-HEAD = rf"\A[^\p{{L}}\p{{N}}]*(?:{_TITLE}(?:[^\p{{L}}\p{{N}}]+{_NOTED})?|[^\p{{L}}\p{{N}}]*{_NOTED})(?:{_GAP}all{_GAP}rights{_GAP}reserved)?[^\p{{L}}\p{{N}}]+(?={_OPENING})"
+_MARK = rf"(?:{_DATED.replace(chr(92) + 'n', '')}|{_HELD})"
+_RESERVED = rf"all{_GAP}rights{_GAP}reserved"
+#: What may stand above the first words of a licence: a title, a notice, or both; a notice has any number of words.
+TITLED = rf"\A[^\p{{L}}\p{{N}}]*{_TITLE}(?:{_GAP}{_RESERVED})?[^\p{{L}}\p{{N}}]*\z"
+NOTED = rf"\A[^\p{{L}}\p{{N}}]*(?:{_TITLE}[^\p{{L}}\p{{N}}]+)?{_MARK}"
+#: A paragraph that is neither, so what stands there is more than the head of a licence.
+OTHER_PARAGRAPH = rf"\n[ \t\r]*\n[^\p{{L}}\p{{N}}]*+(?!{_MARK}|{_RESERVED}|(?:the{_GAP})?{_TITLE}[^\p{{L}}\p{{N}}]*+(?:\z|\n|{_MARK}))[\p{{L}}\p{{N}}]"
 
 # Public licence texts and notices, without their copyright lines.
 TEXTS = {
@@ -142,9 +145,12 @@ You should have received a copy of the GNU General Public License along with thi
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern in (BLANK_NOTICE, HEAD, NOTICE):
-        out = F.regexp_replace(out, pattern, " ")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BLANK_NOTICE, " ")
+    begin = F.regexp_instr(out, F.lit(_OPENING))
+    head = F.substring(out, F.lit(1), begin - 1)
+    is_head = F.rlike(head, F.lit(TITLED)) | (F.rlike(head, F.lit(NOTED)) & ~F.rlike(head, F.lit(OTHER_PARAGRAPH)))
+    out = F.when((begin > 1) & is_head, F.substring(out, begin, F.length(out))).otherwise(out)
+    out = F.regexp_replace(out, NOTICE, " ")
     out = F.trim(F.regexp_replace(out, OTHER, " "))
     for pattern, to in (*SPELLINGS, HOLDER):
         out = F.regexp_replace(out, pattern, to)
@@ -172,19 +178,3 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     marked = form.select("doc_id", F.sha2("form", 256).alias("digest"), F.length("form").cast("bigint").alias("n_canonical"))
     return marked.join(known, "digest", "left").select("doc_id", "digest", "n_canonical", "license_id")
 
-
-def oracle_sql() -> str:
-    """The same in DuckDB's SQL."""
-
-    def form(text: str) -> str:
-        out = rf"trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g'), '{OTHER}', ' ', 'g'))"
-        for pattern, to in SPELLINGS:
-            out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
-        return out
-
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEXTS.items()))
-    return f"""
-        WITH known AS (SELECT sha256({form('t')}) AS digest, min(i) AS license_id FROM (VALUES {values}) AS v(i, t) GROUP BY 1),
-        marked AS (SELECT doc_id, {form('text')} AS form FROM documents)
-        SELECT doc_id, sha256(form) AS digest, length(form) AS n_canonical, license_id
-        FROM marked LEFT JOIN known ON sha256(form) = known.digest"""

@@ -109,5 +109,4 @@ ORACLE: dict[str, str] = {
         ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
         SELECT * FROM ranked WHERE rank <= 20""",
     "op5_url_filter": _url_sql(),
-    "op9_license_scan": license_scan.oracle_sql(),
 }
