@@ -38,6 +38,47 @@ def inside(points: DataFrame, edges: DataFrame, key: list[str], eps: float = 1e-
     return found.select(*key, "f", ((F.col("on_edge") == 1) | (F.col("crossings") % 2 == 1)).alias("inside"))
 
 
+def ring_holds(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., f, ring): the rings that points (key..., f, px, py) are inside of, whatever the rings' direction.
+
+    A point meets the sides of its field at its height only: both are put into
+    bands of the field's mean side height.
+    """
+    band = edges.groupBy("f").agg(F.greatest(F.avg(F.abs(F.col("y2") - F.col("y1"))), F.lit(1e-3)).alias("band"))
+    spread = edges.join(band, "f").withColumn("bucket", F.explode(F.sequence(F.floor(F.least("y1", "y2") / F.col("band")), F.floor(F.greatest("y1", "y2") / F.col("band")))))
+    at = points.join(band, "f").withColumn("bucket", F.floor(F.col("py") / F.col("band")))
+    hit = at.join(spread.select("f", "bucket", "ring", *planar.SIDE), ["f", "bucket"]).where(planar.crosses("px", "py"))
+    return hit.groupBy(*key, "f", "ring").agg(F.count("*").alias("crossings")).where("crossings % 2 = 1").drop("crossings")
+
+
+def nesting(edges: DataFrame) -> DataFrame:
+    """The forest of rings: (f, ring, parent, depth, outer, path, area, perimeter, largest).
+
+    ``parent``: the smallest ring that holds the ring's first vertex, null at the
+    top. Rings of even depth are outer ones, whatever their direction; ``path`` is
+    the outer ring that a ring bounds: itself, or a hole's parent. ``area`` is
+    positive for outer rings; ``largest`` marks the field's greatest outer ring.
+    """
+    stats = ring_stats(edges).select("f", "ring", F.abs("area").alias("size"), "perimeter")
+    probes = edges.where("i = 0").select("f", F.col("ring").alias("own"), F.col("x1").alias("px"), F.col("y1").alias("py"))
+    holds = ring_holds(probes, edges, ["own"]).where("ring <> own").join(stats.select("f", "ring", "size"), ["f", "ring"])
+    above = holds.groupBy("f", F.col("own").alias("ring")).agg(F.count("*").alias("depth"), F.min(F.struct("size", "ring")).alias("least"))
+    found = stats.join(above, ["f", "ring"], "left").select("f", "ring", F.col("least.ring").alias("parent"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), "size", "perimeter")
+    found = found.withColumn("outer", F.col("depth") % 2 == 0)
+    best = F.max(F.when(F.col("outer"), F.struct("size", -F.col("ring")))).over(Window.partitionBy("f"))
+    return found.select(
+        "f", "ring", "parent", "depth", "outer", F.when(F.col("outer"), F.col("ring")).otherwise(F.col("parent")).alias("path"), F.when(F.col("outer"), F.col("size")).otherwise(-F.col("size")).alias("area"), "perimeter", (F.struct("size", -F.col("ring")) == best).alias("largest")
+    )
+
+
+def owners(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., f, ring): the first outer ring that holds each point; of one that none holds, the field's greatest."""
+    rings = nesting(edges).where("outer").select("f", "ring", "largest")
+    first = ring_holds(points, edges, key).join(rings.select("f", "ring"), ["f", "ring"]).groupBy(*key, "f").agg(F.min("ring").alias("first"))
+    other = rings.where("largest").select("f", F.col("ring").alias("other"))
+    return points.join(first, [*key, "f"], "left").join(other, "f").select(*key, "f", F.coalesce("first", "other").alias("ring"))
+
+
 def anchors(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """The nearest boundary place of each point (key..., f, px, py): ring, side, t, arc, x, y, dist."""
     t = planar.side_t("px", "py")

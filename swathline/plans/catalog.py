@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import documents, geometry, planner, replays, scalars, sequences, sessions
+from . import documents, geometry, planner, replays, scalars, sequences, sessions, shapes
 from .spec import ORACLE, QUERIES
 
 scalars.register()
 geometry.register()
 sequences.register()
 planner.register()
+shapes.register()
 replays.register()
 documents.register()
 sessions.register()

@@ -22,10 +22,6 @@ def _near(points: str = "{points}") -> str:
 
 def register() -> None:
     stats = "SELECT f, ring, sum(x1 * y2 - x2 * y1) / 2e0 AS area, sum(len) AS perimeter, min(x1) AS min_x, max(x1) AS max_x, min(y1) AS min_y, max(y1) AS max_y FROM {edges} GROUP BY f, ring"
-    six = {c: 6 for c in ("area", "perimeter", "min_x", "max_x", "min_y", "max_y")}
-    operator("e1_region_rings", f"SELECT r.*, o.ring AS owner FROM ({stats}) r LEFT JOIN (SELECT f, min(ring) AS ring FROM {{edges}} WHERE ring = 0 GROUP BY f) o ON r.f = o.f AND r.area < 0", six)(
-        lambda t: regions.ring_stats(t["edges"]).alias("r").join(t["edges"].where("ring = 0").groupBy("f").agg({"ring": "min"}).toDF("of", "owner"), _expr("r.f = of AND r.area < 0"), "left").select("r.*", "owner")
-    )
     operator("e2_ring_area", f"SELECT f, ring, area, area > 0 AS ccw FROM ({stats})", {"area": 6})(lambda t: regions.ring_stats(t["edges"]).selectExpr("f", "ring", "area", "area > 0 AS ccw"))
     statement("e3_region_area", "SELECT f, sum(x1 * y2 - x2 * y1) / 2e0 AS area_m2, sum(x1 * y2 - x2 * y1) / 2e0 * 1e6 AS area_mm2 FROM {edges} WHERE n >= 3 GROUP BY f", {"area_m2": 6, "area_mm2": 0})
     statement("e4_region_bounds", "SELECT f, coalesce(min(x1), -1e0) AS min_x, coalesce(max(x1), 1e0) AS max_x, coalesce(min(y1), -1e0) AS min_y, coalesce(max(y1), 1e0) AS max_y FROM {edges} GROUP BY f", {c: 6 for c in ("min_x", "max_x", "min_y", "max_y")})
@@ -103,7 +99,6 @@ def register() -> None:
     projection("b25_outline_to_geo", "edges", {"f": "f", "ring": "ring", "i": "i", "lat": (lat, 9), "lon": (lon, 9)})
     statement("b21_build_status", "SELECT f, CASE WHEN n = 0 THEN 'failed' WHEN holes > 0 THEN 'partial' ELSE 'ok' END AS status FROM (SELECT f, count(*) AS n, count(CASE WHEN ring > 0 THEN 1 END) AS holes FROM {edges} GROUP BY f) q")
     statement("p13_cutout_close", "SELECT a.f, a.i, sqrt((a.x2 - b.x1) * (a.x2 - b.x1) + (a.y2 - b.y1) * (a.y2 - b.y1)) <= 1.5e0 AS closes FROM {edges} a JOIN {edges} b ON a.f = b.f AND a.ring = b.ring AND b.i = 0 WHERE a.ring = 1")
-    statement("e16_cutout_preview", "SELECT f, count(CASE WHEN ring = 0 AND i = 0 THEN 1 END) AS outers, count(CASE WHEN ring = 0 AND i = 0 THEN 1 END) > 1 AS multi FROM {edges} GROUP BY f")
     # 1-D set operations on intervals: chords of holes cut from the extent of the contour along d.
     cuts = "SELECT f, min(y1) AS lo, max(y1) AS hi FROM {edges} WHERE ring = 1 GROUP BY f"
     base = "SELECT f, min(y1) AS lo, max(y1) AS hi FROM {outer_edges} GROUP BY f"

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from ..functions import geo, planar
-from ..operators import graph, overlay, regions, routes, sweep
+from ..operators import arrangement, graph, regions, routes, sweep
 from ..sources.fixtures import Tables
 from ..sources.scratch import written
 from .spec import operator
@@ -60,10 +60,10 @@ _INSET = f"WITH corners AS ({_CORNERS}), normals AS ({_NORMALS}), moved AS ({_MO
 _CTES = {"sides": _SIDES, "lines": _LINES, "stripes": _CUT, "rowed": _ROWED, "kept": _SUPPORTED, "nodes": _NODES, "flagged": _EXCL, "clustered": _CLUSTERED, "links": _LINKS, "pairs": _PAIRS, "reach": _REACH, "comps": _COMPS, "stats": _STATS}
 
 
-def _sql(text: str, upto: str) -> str:
+def _sql(text: str, upto: str, edges: str = "edges") -> str:
     names = list(_CTES)
     used = names[: names.index(upto) + 1]
-    return f"WITH RECURSIVE {', '.join(f'{n} AS ({_CTES[n]})' for n in used)} {text}"
+    return f"WITH RECURSIVE {', '.join(f'{n} AS ({_CTES[n]})' for n in used)} {text}".replace("{edges}", f"{{{edges}}}")
 
 
 class Stages:
@@ -72,12 +72,12 @@ class Stages:
     What several later steps read is written once, so that no plan holds a step twice.
     """
 
-    def __init__(self, t: Tables):
-        self.t = t
+    def __init__(self, t: Tables, edges: str = "edges"):
+        self.t, self.source = t, edges
 
     @cached_property
     def edges(self):
-        return written(self.t["edges"])
+        return written(self.t[self.source])
 
     @cached_property
     def sides(self):
@@ -123,18 +123,12 @@ def register() -> None:
     op("g6_extent_across", "SELECT f, min(d1) AS lo, max(d1) AS hi FROM sides GROUP BY f", "sides", {"lo": 6, "hi": 6})(lambda t: sweep.in_sweep_frame(t["edges"]).groupBy("f").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")))
     cut = {"d": 5, "a0": 5, "a1": 5, "len": 5}
     op("e7_line_region_intersection", "SELECT f, k, d, a0, a1, len FROM stripes", "stripes", cut)(lambda t: Stages(t).stripes)
-    op("s2_sweep_lines", "SELECT f, k, d FROM lines", "lines", {"d": 5})(lambda t: Stages(t).lines)
-    res = """SELECT f, lo, hi FROM (SELECT e.f, dmin AS lo, b0 AS hi FROM (SELECT f, min(d1) AS dmin FROM sides GROUP BY f) e JOIN (SELECT f, min(d) - 2e0 AS b0 FROM lines GROUP BY f) b ON e.f = b.f
-        UNION ALL SELECT e.f, b1, dmax FROM (SELECT f, max(d1) AS dmax FROM sides GROUP BY f) e JOIN (SELECT f, max(d) + 2e0 AS b1 FROM lines GROUP BY f) b ON e.f = b.f) q WHERE hi - lo > 2e-3"""
-    op("j4_residual_intervals", res, "lines", {"lo": 5, "hi": 5})(lambda t: (lambda s: sweep.residual(s.lines, s.sides))(Stages(t)))
-    op("e13_band_cover", f"SELECT f, count(*) AS intervals, sum(hi - lo) AS open_m FROM ({res}) z GROUP BY f", "lines", {"open_m": 5})(lambda t: (lambda s: sweep.residual(s.lines, s.sides))(Stages(t)).groupBy("f").agg(F.count("*").alias("intervals"), F.expr("sum(hi - lo)").alias("open_m")))
     op("h2_distinct_rows", "SELECT f, count(DISTINCT k) AS n FROM stripes GROUP BY f", "stripes")(lambda t: sweep.distinct_rows(Stages(t).stripes).groupBy("f").agg(F.count("*").alias("n")))
     op("h3_row_of_stripe", "SELECT f, k, a0, row FROM rowed", "rowed", {"a0": 5})(lambda t: Stages(t).rowed.select("f", "k", "a0", "row"))
     op("j6_duplicate_distances", "SELECT f, k, min(d) AS d FROM stripes GROUP BY f, k", "stripes", {"d": 5})(lambda t: Stages(t).stripes.groupBy("f", "k").agg(F.min("d").alias("d")))
     op("f1_neighbour_support", "SELECT f, k, a0, len FROM kept", "kept", {"a0": 5, "len": 5})(lambda t: Stages(t).kept.select("f", "k", "a0", "len"))
     op("s3_filter", "SELECT f, node, row, d, a0, a1 FROM nodes", "nodes", {"d": 5, "a0": 5, "a1": 5})(lambda t: Stages(t).nodes.select("f", "node", "row", "d", "a0", "a1"))
     op("i1_stripe_order", "SELECT f, node, row FROM nodes", "nodes")(lambda t: Stages(t).nodes.select("f", "node", "row"))
-    op("f8_stripe_owner", "SELECT f, node, 0 AS ring FROM nodes", "nodes")(lambda t: (lambda s: s.nodes.join(s.edges.where("ring = 0").select("f", "ring").distinct(), "f").select("f", "node", "ring"))(Stages(t)))
     op("c23_along_overlap", "SELECT a.f, a.node AS a, b.node AS b, least(a.a1, b.a1) > greatest(a.a0, b.a0) + 0.5e0 AS over FROM nodes a JOIN nodes b ON a.f = b.f AND b.row = a.row + 1", "nodes")(
         lambda t: _pairs(Stages(t).nodes).selectExpr("f", "a", "b", "least(a1, b1) > greatest(a0, b0) + 0.5e0 AS over")
     )
@@ -284,9 +278,9 @@ class FullPlan:
     """The whole planner: working region, inset, stripes, components, snakes, islands, route. Each step is a table."""
 
     def __init__(self, t: Tables, c: sweep.PlanConfig = C):
-        self.working = written(overlay.working_regions(t["region_vertices"]))
-        self.inset = written(overlay.insets(self.working, c.offset))
-        self.edges = written(overlay.edges_of(self.inset))
+        self.working = written(arrangement.working_regions(t["region_vertices"]))
+        self.inset = written(arrangement.insets(self.working, c.offset))
+        self.edges = written(arrangement.edges_of(self.inset))
         sides = sweep.in_sweep_frame(self.edges)
         first = sweep.lines(sides)
         at = first.union(sweep.second_pass(sweep.residual(first, sides), first))
@@ -317,9 +311,8 @@ class FullPlan:
 def _register_routes() -> None:
     size = "aggregate(zip_with(xs, ys, (x, y) -> struct(x, y)), named_struct('n', 0D, 'px', CAST(NULL AS DOUBLE), 'py', CAST(NULL AS DOUBLE)), (s, p) -> named_struct('n', s.n + coalesce(sqrt((p.x - s.px) * (p.x - s.px) + (p.y - s.py) * (p.y - s.py)), 0D), 'px', p.x, 'py', p.y)).n"
     near = {"area": 1, "perimeter": 1}
-    operator("e15_working_region", _GIVEN, near)(lambda t: regions.ring_stats(overlay.edges_of(overlay.working_regions(t["region_vertices"]))).select("f", "ring", "area", "perimeter"))
-    operator("e14_inset", f"{_INSET} SELECT * FROM inset", near)(lambda t: regions.ring_stats(overlay.edges_of(overlay.insets(overlay.working_regions(t["region_vertices"]), C.offset))).select("f", "ring", "area", "perimeter"))
-    operator("e21_overlay_areas")(lambda t: overlay.overlay_areas(t["region_vertices"]))
+    operator("e15_working_region", _GIVEN, near)(lambda t: regions.ring_stats(arrangement.edges_of(arrangement.working_regions(t["region_vertices"]))).select("f", "ring", "area", "perimeter"))
+    operator("e14_inset", f"{_INSET} SELECT * FROM inset", near)(lambda t: regions.ring_stats(arrangement.edges_of(arrangement.insets(arrangement.working_regions(t["region_vertices"]), C.offset))).select("f", "ring", "area", "perimeter"))
     prepared = f"{_INSET} SELECT g.f, count(*) AS rings, sum(g.area) AS working_area, sum(i.area) AS inset_area, 'ok' AS status FROM ({_GIVEN}) g JOIN inset i ON g.f = i.f AND g.ring = i.ring GROUP BY g.f"
     operator("s1_prepare", prepared, {"working_area": 1, "inset_area": 1})(lambda t: _prepared(FullPlan(t)))
     operator("s6_routes")(lambda t: FullPlan(t).chunks)
@@ -435,7 +428,7 @@ def _near_shells(t: Tables):
 
 
 def _prepared(p: FullPlan):
-    before = regions.ring_stats(overlay.edges_of(p.working)).groupBy("f").agg(F.sum("area").alias("working_area"), F.count("*").alias("rings"))
+    before = regions.ring_stats(arrangement.edges_of(p.working)).groupBy("f").agg(F.sum("area").alias("working_area"), F.count("*").alias("rings"))
     after = regions.ring_stats(p.edges).groupBy("f").agg(F.sum("area").alias("inset_area"))
     return before.join(after, "f", "left").select("f", "rings", "working_area", "inset_area", F.when(F.col("inset_area").isNull(), "failed").otherwise("ok").alias("status"))
 

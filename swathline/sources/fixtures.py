@@ -56,6 +56,27 @@ VIEWS = {
         SELECT f, ring, i, n, x AS x1, y AS y1, x2, y2, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS len
         FROM (SELECT *, coalesce(lead(x) OVER (PARTITION BY f, ring ORDER BY i), first_value(x) OVER (PARTITION BY f, ring ORDER BY i)) AS x2,
             coalesce(lead(y) OVER (PARTITION BY f, ring ORDER BY i), first_value(y) OVER (PARTITION BY f, ring ORDER BY i)) AS y2 FROM {region_vertices}) v""",
+    # Rectangles that meet the contours: a hole inside, a road across, or a bite at the first vertex.
+    "patches": """
+        SELECT f, CASE f % 3 WHEN 0 THEN 'hole' WHEN 1 THEN 'road' ELSE 'bite' END AS kind,
+            CASE f % 3 WHEN 0 THEN -6e0 - f % 5 WHEN 1 THEN -90e0 ELSE 32e0 + (7 * f % 11) * 3 END AS px1, CASE f % 3 WHEN 0 THEN -6e0 - f % 5 WHEN 1 THEN -3e0 - f % 4 ELSE -8e0 END AS py1,
+            CASE f % 3 WHEN 0 THEN 6e0 + f % 5 WHEN 1 THEN 90e0 ELSE 48e0 + (7 * f % 11) * 3 END AS px2, CASE f % 3 WHEN 0 THEN 6e0 + f % 5 WHEN 1 THEN 3e0 + f % 4 ELSE 8e0 END AS py2
+        FROM (SELECT s_suppkey AS f FROM {supplier}) s""",
+    "patch_vertices": """
+        SELECT f, i, 4 AS n, CASE WHEN i IN (0, 3) THEN px1 ELSE px2 END AS x, CASE WHEN i IN (0, 1) THEN py1 ELSE py2 END AS y FROM {patches} p CROSS JOIN (SELECT {explode:0,3} AS i) t""",
+    # Regions of several outer rings: the contour and its hole, an island inside the hole, and a second part with a hole of its own.
+    "nested_vertices": """
+        SELECT f, ring, i, n, x, y FROM {region_vertices}
+        UNION ALL SELECT f, 2 AS ring, i, 4 AS n, CASE WHEN i IN (0, 3) THEN -3e0 ELSE 3e0 END AS x, CASE WHEN i IN (0, 1) THEN -3e0 ELSE 3e0 END AS y
+            FROM (SELECT s_suppkey AS f FROM {supplier} WHERE s_suppkey % 3 = 0) s CROSS JOIN (SELECT {explode:0,3} AS i) t
+        UNION ALL SELECT f, 3 AS ring, i, 4 AS n, CASE WHEN i IN (0, 3) THEN 90e0 ELSE 150e0 END AS x, (f % 3 - 1) * 40e0 + CASE WHEN i IN (0, 1) THEN -30e0 ELSE 30e0 END AS y
+            FROM (SELECT s_suppkey AS f FROM {supplier} WHERE s_suppkey % 2 = 0) s CROSS JOIN (SELECT {explode:0,3} AS i) t
+        UNION ALL SELECT f, 4 AS ring, i, 4 AS n, CASE WHEN i IN (0, 3) THEN 128e0 ELSE 112e0 END AS x, (f % 3 - 1) * 40e0 + CASE WHEN i IN (0, 1) THEN -8e0 ELSE 8e0 END AS y
+            FROM (SELECT s_suppkey AS f FROM {supplier} WHERE s_suppkey % 4 = 0) s CROSS JOIN (SELECT {explode:0,3} AS i) t""",
+    "nested_edges": """
+        SELECT f, ring, i, n, x AS x1, y AS y1, x2, y2, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS len
+        FROM (SELECT *, coalesce(lead(x) OVER (PARTITION BY f, ring ORDER BY i), first_value(x) OVER (PARTITION BY f, ring ORDER BY i)) AS x2,
+            coalesce(lead(y) OVER (PARTITION BY f, ring ORDER BY i), first_value(y) OVER (PARTITION BY f, ring ORDER BY i)) AS y2 FROM {nested_vertices}) v""",
     "outer_edges": "SELECT * FROM {edges} WHERE ring = 0",
     # Customers as points near the fields, as many fields as suppliers; suppliers as clicks.
     "points": """

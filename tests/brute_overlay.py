@@ -1,4 +1,4 @@
-"""Polygon overlay and inset, one region per group.
+"""Polygon overlay and inset of one region in NumPy, to compare with.
 
 A region is rings of points; winding numbers decide what is inside. Sides are
 split where they meet, each part is kept if exactly one of its two flanks is
@@ -11,11 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 Ring = np.ndarray  # (n, 2)
-RINGS = "f bigint, ring int, i int, n int, x double, y double"
 
 
 def area(ring: Ring) -> float:
@@ -132,38 +128,3 @@ def rings_of(pdf: pd.DataFrame) -> list[Ring]:
 def frame_of(f: int, rings: list[Ring]) -> pd.DataFrame:
     rows = [(f, k, i, len(r), *p) for k, r in enumerate(sorted(rings, key=lambda r: -area(r))) for i, p in enumerate(r.tolist())]
     return pd.DataFrame(rows, columns=["f", "ring", "i", "n", "x", "y"])
-
-
-def working_regions(vertices: DataFrame) -> DataFrame:
-    """Contours (ring 0) without cutouts (other rings), as ``RINGS``; one group per field."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        outer, holes = rings_of(pdf[pdf["ring"] == 0]), rings_of(pdf[pdf["ring"] > 0])
-        return frame_of(int(pdf["f"].iat[0]), combine(outer, holes, "difference") if holes else combine(outer, [], "union"))
-
-    return vertices.groupBy("f").applyInPandas(run, RINGS)
-
-
-def insets(regions: DataFrame, distance: float) -> DataFrame:
-    """Regions (``RINGS``) moved inwards by ``distance``; a field that vanishes has no rows."""
-    return regions.groupBy("f").applyInPandas(lambda pdf: frame_of(int(pdf["f"].iat[0]), inset(rings_of(pdf), distance)), RINGS)
-
-
-def overlay_areas(vertices: DataFrame, shift: float = 5.0) -> DataFrame:
-    """(f, a, b, union, intersection, difference, xor): areas of a contour and its copy moved by ``shift``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = rings_of(pdf[pdf["ring"] == 0])
-        b = [r + shift for r in a]
-        size = lambda rings: sum(map(area, rings))
-        return pd.DataFrame([(int(pdf["f"].iat[0]), size(a), size(b), *(size(combine(a, b, how)) for how in ("union", "intersection", "difference", "xor")))], columns=["f", "a", "b", "union", "intersection", "difference", "xor"])
-
-    return vertices.groupBy("f").applyInPandas(run, "f bigint, a double, b double, union double, intersection double, difference double, xor double")
-
-
-def edges_of(rings: DataFrame) -> DataFrame:
-    """The edge table of ``RINGS``."""
-    a, b = rings.alias("a"), rings.alias("b")
-    joined = a.join(b, F.expr("a.f = b.f AND a.ring = b.ring AND b.i = (a.i + 1) % a.n"))
-    return joined.selectExpr("a.f", "a.ring", "a.i", "a.n", "a.x AS x1", "a.y AS y1", "b.x AS x2", "b.y AS y2", "sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len")
-

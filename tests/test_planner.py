@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swathline.operators import commands, graph, overlay, regions, routes, sweep
+import brute_overlay as overlay
+from swathline.operators import arrangement, commands, graph, regions, routes, sweep
 from swathline.sources.scratch import written
 
 
@@ -15,7 +16,7 @@ def square(x, y, s):
 
 
 def edges(spark, rings, f=6):
-    return overlay.edges_of(spark.createDataFrame(overlay.frame_of(f, rings)))
+    return arrangement.edges_of(spark.createDataFrame(overlay.frame_of(f, rings)))
 
 
 @pytest.mark.parametrize(("how", "expected"), [("union", 175), ("intersection", 25), ("difference", 75), ("xor", 150)])
