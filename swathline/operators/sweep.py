@@ -93,24 +93,6 @@ def cut(sides: DataFrame, at: DataFrame, c: PlanConfig = PlanConfig(), shortest:
     return paired.where("rn % 2 = 1 AND a1 IS NOT NULL").select("f", "k", "d", "a0", "a1", (F.col("a1") - F.col("a0")).alias("len")).where(F.col("len") >= shortest)
 
 
-def residual(at: DataFrame, sides: DataFrame, c: PlanConfig = PlanConfig(), sliver: float = 2e-3) -> DataFrame:
-    """(f, lo, hi): parts of the region's extent across that no line's band covers, without slivers."""
-    half = max(0.25, c.step / 2)
-    extent = sides.groupBy("f").agg(F.min("d1").alias("dmin"), F.max("d1").alias("dmax"))
-    bands = at.groupBy("f").agg((F.min("d") - half).alias("b0"), (F.max("d") + half).alias("b1"))
-    both = extent.join(bands, "f")
-    ends = both.select("f", F.explode(F.array(F.struct(F.col("dmin").alias("lo"), F.col("b0").alias("hi")), F.struct(F.col("b1").alias("lo"), F.col("dmax").alias("hi")))).alias("e"))
-    return ends.select("f", "e.lo", "e.hi").where(F.col("hi") - F.col("lo") > sliver)
-
-
-def second_pass(left: DataFrame, at: DataFrame) -> DataFrame:
-    """(f, k, d): a line at the covered end of each residual interval, which covers it, as rows before and after the others."""
-    known = at.groupBy("f").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("d").alias("first"))
-    both = left.join(known, "f")
-    below = F.col("hi") < F.col("first")
-    return both.select("f", F.when(below, F.col("k0") - 1).otherwise(F.col("k1") + 1).alias("k"), F.when(below, F.col("hi") - 1e-6).otherwise(F.col("lo") + 1e-6).alias("d"))
-
-
 def _runs(stripes: DataFrame, eps: float) -> DataFrame:
     """(f, run, all, ds): distinct values of d in runs whose neighbours are less than ``eps`` apart, and those of a run that are kept.
 

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from ..functions import geo, planar
-from ..operators import arrangement, graph, regions, routes, sweep
+from ..operators import arrangement, graph, passes, regions, routes, sweep
 from ..sources.fixtures import Tables
 from ..sources.scratch import written
 from .spec import operator
@@ -282,9 +282,8 @@ class FullPlan:
         self.inset = written(arrangement.insets(self.working, c.offset))
         self.edges = written(arrangement.edges_of(self.inset))
         sides = sweep.in_sweep_frame(self.edges)
-        first = sweep.lines(sides)
-        at = first.union(sweep.second_pass(sweep.residual(first, sides), first))
-        kept = sweep.supported(sweep.rowed(written(sweep.cut(sides, at))))
+        self.swept = passes.swept(sides, sides.where("ring = 0 AND i = 0").selectExpr("f", "a1 AS sa", "d1 AS sd"), c)
+        kept = sweep.supported(sweep.rowed(self.swept.stripes.drop("row")))
         self.nodes = written(graph.clusters(sweep.touching(sweep.numbered(kept), self.edges)))
 
     @property

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import planar
-from ..operators import arrangement, regions
+from ..operators import arrangement, passes, regions, sweep
 from ..sources.fixtures import Tables
-from .planner import Stages, _sql
+from .planner import C, Stages, _sql
 from .spec import operator
 
 # Area of a simple ring inside a rectangle, by its sides: the integral of the height cut to [py1, py2] over the width cut to [px1, px2].
@@ -61,6 +61,62 @@ def _turned(t: Tables):
     return t["field_vertices"].selectExpr("f", "0 AS ring", "i", "n", "x", "y").unionByName(patch).withColumn("op", F.lit(0))
 
 
+def _clip(spans: str, columns: str = "") -> str:
+    """Sides between the ends of intervals, as (f, columns, x1, y1, x2, y2) along and across."""
+    at = lambda d: f"CASE WHEN d2 = d1 THEN a1 ELSE a1 + ({d} - d1) / (d2 - d1) * (a2 - a1) END"
+    p, q = "greatest(lo, least(hi, d1))", "greatest(lo, least(hi, d2))"
+    return f"SELECT s.f{columns}, {at(p)} AS x1, {p} AS y1, CASE WHEN d2 = d1 THEN a2 ELSE {at(q)} END AS x2, {q} AS y2 FROM sides s JOIN {spans} r ON s.f = r.f AND least(d1, d2) <= hi AND greatest(d1, d2) >= lo"
+
+
+def _pass_sql(p: int) -> dict[str, str]:
+    """One pass in SQL, as common tables: all fields go through all six, but one that has stopped has no rows in them."""
+    small, half = passes.least_area(C), passes.half_band(C)
+    t = planar.side_t("sa", "sd")
+    cut = """SELECT f, k, d, a AS a0, lead(a) OVER w AS a1, row_number() OVER w AS rn FROM (SELECT s.f, l.k, l.d, s.ring, s.i, s.a1 + (l.d - s.d1) / (s.d2 - s.d1) * (s.a2 - s.a1) AS a
+        FROM sides s JOIN {} l ON s.f = l.f AND (s.d1 > l.d) <> (s.d2 > l.d)) x WINDOW w AS (PARTITION BY f, k ORDER BY a, ring, i)"""
+    chords = cut.format(f"(SELECT f, d, row_number() OVER (PARTITION BY f ORDER BY d) AS k FROM (SELECT f, lo AS d FROM left{p} UNION SELECT f, hi FROM left{p}) e)")
+    return {
+        f"anchor{p}": f"""SELECT f, arg_min(place, (dist, place)) AS anchor FROM (SELECT b.f, round({planar.side_distance('sa', 'sd')}, 6) AS dist, round({planar.side_point(t)[1]}, 9) AS place
+            FROM ({_clip(f'left{p}')} UNION ALL SELECT f, a0, d, a1, d FROM ({chords}) c WHERE rn % 2 = 1 AND a1 IS NOT NULL) b JOIN starts g ON b.f = g.f) q GROUP BY f""",
+        f"lines{p}": f"""SELECT z.f, z.k, min(CASE WHEN spot >= lo - 2e-6 AND spot <= hi + 2e-6 THEN least(greatest(spot + 1e-6, lo + 1e-6), hi - 1e-6) END) AS d FROM (
+            SELECT f, k, anchor + k * {C.step}e0 AS spot FROM (SELECT r.f, anchor, min(lo) AS first, max(hi) AS last FROM left{p} r JOIN anchor{p} a ON r.f = a.f GROUP BY r.f, anchor) o
+            JOIN (SELECT {{explode:-99,99}} AS k) n ON k >= -floor((greatest(anchor, first) - first) / {C.step}e0 + 1e-9) AND k <= floor((greatest(anchor, last) - anchor) / {C.step}e0 + 1e-9)) z JOIN left{p} r ON z.f = r.f GROUP BY z.f, z.k""",
+        f"cuts{p}": f"SELECT f, k, d, a0, a1, a1 - a0 AS len FROM ({cut.format(f'(SELECT * FROM lines{p} WHERE d IS NOT NULL)')}) c WHERE rn % 2 = 1 AND a1 IS NOT NULL AND a1 - a0 >= 0.05e0",
+        f"bands{p}": f"SELECT DISTINCT f, k, d, d - {half}e0 AS lo, d + {half}e0 AS hi FROM cuts{p}",
+        f"rest{p}": f"""SELECT f, lo, hi FROM (SELECT f, spot AS lo, lead(spot) OVER w AS hi, sum(o) OVER w AS o, sum(t) OVER w AS t FROM (SELECT f, spot, sum(o) AS o, sum(t) AS t FROM (
+            SELECT f, lo AS spot, 1 AS o, 0 AS t FROM left{p} UNION ALL SELECT f, hi, -1, 0 FROM left{p} UNION ALL SELECT f, lo, 0, 1 FROM bands{p} UNION ALL SELECT f, hi, 0, -1 FROM bands{p}) m GROUP BY f, spot) e
+            WINDOW w AS (PARTITION BY f ORDER BY spot)) z WHERE hi IS NOT NULL AND o > 0 AND t = 0 AND hi - lo > 2e-3""",
+        f"took{p}": f"SELECT f, k, d, abs(sum((y2 - y1) * (x1 + x2) / 2e0)) AS area FROM ({_clip(f'(SELECT b.f, k, d, greatest(b.lo, r.lo) AS lo, least(b.hi, r.hi) AS hi FROM bands{p} b JOIN left{p} r ON b.f = r.f AND b.lo < r.hi AND b.hi > r.lo)', ', r.k, r.d')}) z GROUP BY f, k, d",
+        f"pass{p}": f"""SELECT g.f, rows + lines AS rows, coalesce(segments, 0) AS segments, CASE WHEN segments > 0 THEN coalesce(now, 0e0) ELSE area END AS area, CASE WHEN area - coalesce(now, 0e0) < {0.1 * small}e0 THEN stalled + 1 ELSE 0 END AS stalled, coalesce(segments, 0) > 0 AS counted
+            FROM state{p} g JOIN (SELECT f, count(*) AS lines FROM lines{p} GROUP BY f) l ON g.f = l.f LEFT JOIN (SELECT f, count(*) AS segments FROM cuts{p} GROUP BY f) c ON g.f = c.f
+            LEFT JOIN (SELECT f, abs(sum((y2 - y1) * (x1 + x2) / 2e0)) AS now FROM ({_clip(f'rest{p}')}) z GROUP BY f) a ON g.f = a.f""",
+        f"state{p + 1}": f"SELECT f, area, stalled, rows FROM pass{p} WHERE counted AND area > {small}e0 AND stalled < {passes.STALLED}",
+        f"left{p + 1}": f"SELECT * FROM rest{p} WHERE f IN (SELECT f FROM state{p + 1})",
+        f"over{p}": f"SELECT * FROM rest{p} WHERE f IN (SELECT f FROM pass{p} WHERE counted) {'' if p + 1 == passes.MOST else f'AND f NOT IN (SELECT f FROM state{p + 1})'} UNION ALL SELECT * FROM left{p} WHERE f IN (SELECT f FROM pass{p} WHERE NOT counted)",
+    }
+
+
+def _sweep_sql(query: str, each: str) -> str:
+    """``each`` is the row source of pass {p}; ``query`` selects from ``every``, the union of all."""
+    first = _sql("SELECT 1", "sides", "nested_edges").removesuffix("SELECT 1").rstrip()
+    tables = {
+        "starts": "SELECT f, a1 AS sa, d1 AS sd FROM sides WHERE ring = 0 AND i = 0",
+        "left0": """SELECT f, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY f ORDER BY lo, hi, ring ROWS UNBOUNDED PRECEDING) AS island FROM (
+            SELECT *, CASE WHEN lo > coalesce(max(hi) OVER (PARTITION BY f ORDER BY lo, hi, ring ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e9) THEN 1 ELSE 0 END AS fresh
+            FROM (SELECT f, ring, min(d1) AS lo, max(d1) AS hi FROM sides GROUP BY f, ring) r) m) z GROUP BY f, island""",
+        "state0": f"SELECT f, abs(sum((y2 - y1) * (x1 + x2) / 2e0)) AS area, 0 AS stalled, 0 AS rows FROM ({_clip('left0')}) z GROUP BY f",
+    }
+    for p in range(passes.MOST):
+        tables |= _pass_sql(p)
+    every = _union([each.format(p=p) for p in range(passes.MOST)])
+    return f"{first}, {', '.join(f'{n} AS MATERIALIZED ({q})' for n, q in tables.items())} {query.format(every=f'({every}) z')}"
+
+
+def _swept(t: Tables) -> passes.Swept:
+    sides = sweep.in_sweep_frame(t["nested_edges"])
+    return passes.swept(sides, sides.where("ring = 0 AND i = 0").selectExpr("f", "a1 AS sa", "d1 AS sd"))
+
+
 def _union(parts: list[str]) -> str:
     return "\nUNION ALL ".join(parts)
 
@@ -111,3 +167,12 @@ def register() -> None:
     def stripe_owner(t: Tables):
         s = Stages(t, "nested_edges")
         return regions.owners(s.nodes.selectExpr("f", "node", "mx AS px", "my AS py"), s.edges, ["node"])
+
+    by_pass = {"d": 4, "a0": 4, "a1": 4, "len": 4, "area": 2, "lo": 4, "hi": 4}
+    only = lambda *names: {n: by_pass[n] for n in names}
+    operator("s2_sweep_lines", _sweep_sql("SELECT * FROM {every}", "SELECT f, {p} AS pass, k, d, a0, a1, len FROM cuts{p}"), only("d", "a0", "a1", "len"))(lambda t: _swept(t).stripes.select("f", "pass", "k", "d", "a0", "a1", "len"))
+    operator("s2_sweep_passes", _sweep_sql("SELECT f, CAST(count(CASE WHEN counted THEN 1 END) AS INT) AS passes, max(rows) AS rows, CAST(sum(segments) AS BIGINT) AS stripes, min(area) AS area FROM {every} GROUP BY f", "SELECT *, {p} AS pass FROM pass{p}"), only("area"))(
+        lambda t: _swept(t).passes.groupBy("f").agg(F.count_if("counted").cast("int").alias("passes"), F.max("rows").alias("rows"), F.sum("segments").alias("stripes"), F.min("area").alias("area"))
+    )
+    operator("j4_residual_intervals", _sweep_sql("SELECT * FROM {every}", "SELECT f, lo, hi FROM over{p}"), only("lo", "hi"))(lambda t: _swept(t).left)
+    operator("e13_band_cover", _sweep_sql("SELECT * FROM {every}", "SELECT f, {p} AS pass, k, d, area FROM took{p}"), only("d", "area"))(lambda t: _swept(t).bands)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swathline.operators import arrangement, regions
+from swathline.operators import arrangement, passes, regions, sweep
 
 
 def square(x, y, s):
@@ -103,3 +103,50 @@ def test_ring_forest(spark):
 def test_nothing_in_nothing_out(spark):
     none = spark.createDataFrame([], "f long, op int, ring int, i int, n int, x double, y double")
     assert arrangement.overlaid(none, {"u": ("union", "nonzero")}).count() == 0 and arrangement.insets(none, 2.0).count() == 0
+
+
+# ---- sweeps ----
+
+
+def swept(spark, rings, start, step=4.0):
+    """Sweeps rings in a frame of their own: x along, y across."""
+    e = arrangement.edges_of(vertices(spark, [(rings, [])]).withColumn("n", F.lit(4)))
+    sides = e.selectExpr("*", "x1 AS a1", "x2 AS a2", "y1 AS d1", "y2 AS d2")
+    return passes.swept(sides, spark.createDataFrame([(0, *start)], "f long, sa double, sd double"), sweep.PlanConfig(step=step))
+
+
+def test_one_pass_takes_a_rectangle(spark):
+    got = swept(spark, [square(0, 0, 20)], (0.0, 10.0))
+    stripes = got.stripes.toPandas().sort_values("row")
+    assert list(stripes["d"].round(3)) == [10, 14, 18, 6, 2] and stripes["len"].round(3).eq(20).all()  # the anchor's line, those after, those before
+    assert got.left.count() == 0 and [r.rows for r in got.passes.collect()] == [5]
+    assert got.bands.toPandas()["area"].sum() == pytest.approx(400)
+
+
+def test_what_lines_miss_is_left_for_the_next_pass(spark):
+    # Lines at 1, 5, 9, ... miss the second part, 2.2 high between two of them; only half of it is in the bands.
+    low, high = np.array([[0, 0], [20, 0], [20, 2], [0, 2]], float), np.array([[0, 6], [30, 6], [30, 8.2], [0, 8.2]], float)
+    got = swept(spark, [low, high], (0.0, 1.0))
+    by_pass = {r["pass"]: (r.rows, r.segments, round(r.area, 3)) for r in got.passes.collect()}
+    # First pass: lines at 1 and 5; the one at 1 takes [-1, 3], the one at 5 cuts nothing and has no band.
+    # Second pass: one line where the second part begins; what is above its band is under the least area.
+    assert by_pass == {0: (2, 1, 66.0), 1: (3, 1, 6.0)}
+    assert got.stripes.toPandas().sort_values("pass")["d"].round(3).tolist() == [1.0, 6.0]
+    assert [(round(r.lo, 3), round(r.hi, 3)) for r in got.left.collect()] == [(8.0, 8.2)]
+
+
+def test_fields_stop_on_their_own(spark):
+    both = vertices(spark, [([square(0, 0, 20)], []), ([square(0, 0, 2), np.array([[0, 6], [30, 6], [30, 8.2], [0, 8.2]], float)], [])])
+    sides = arrangement.edges_of(both.withColumn("n", F.lit(4))).selectExpr("*", "x1 AS a1", "x2 AS a2", "y1 AS d1", "y2 AS d2")
+    starts = spark.createDataFrame([(0, 0.0, 10.0), (1, 0.0, 1.0)], "f long, sa double, sd double")
+    got = passes.swept(sides, starts)
+    assert {r.f: r.n for r in got.passes.groupBy("f").agg(F.count("*").alias("n")).collect()} == {0: 1, 1: 2}
+
+
+def test_a_sliver_too_small_for_a_pass_is_left(spark):
+    # Lines at 0, 10 and 20 take up to 25; of 16 metres those at 0 and 10 leave the last one.
+    got = swept(spark, [np.array([[0, 0], [1.5, 0], [1.5, 20.5], [0, 20.5]], float)], (0.0, 0.0), step=10.0)
+    left = [(round(r.lo, 3), round(r.hi, 3)) for r in got.left.collect()]
+    assert [r["pass"] for r in got.passes.collect()] == [0] and left == []
+    small = swept(spark, [np.array([[0, 0], [1.5, 0], [1.5, 16], [0, 16]], float)], (0.0, 0.0), step=10.0)
+    assert [(round(r.lo, 3), round(r.hi, 3)) for r in small.left.collect()] == [(15.0, 16.0)]  # 1.5 square metres, under the least area of 50
