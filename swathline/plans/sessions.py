@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import drawing
 from ..sources import parameters
 from ..sources.fixtures import duckdb_sql
-from ..streaming import follow
+from ..streaming import clock, follow
 from ..streaming.tables import drained, landed, streamed
 from .spec import ORACLE, QUERIES, operator
 
@@ -93,3 +93,46 @@ def _streams() -> None:
 
     QUERIES["b6_marker_sink"] = sink
     ORACLE["b6_marker_sink"] = f"SELECT ns, id, event_id, lat, lon FROM (SELECT {", ".join(mark)}, row_number() OVER (PARTITION BY robot_id ORDER BY event_id DESC) AS rn FROM {duckdb_sql('{gps_fix}')} g) q WHERE rn = 1 AND action = 'ADD'"
+    _clocks()
+
+
+_HOUR = 3_600_000_000
+_US = "epoch_us(CAST(ts AS TIMESTAMP))"
+#: How far the watermark stays behind; what it has passed at the end of the given events is what the streams have given out.
+_LATE, _LATE_US = "1 hour", _HOUR
+_PASSED = f"""SELECT (least(max(CASE WHEN event_id % 3 = 0 THEN us END), max(us)) // 1000) * 1000 - {_LATE_US} AS mark FROM (SELECT event_id, {_US} AS us FROM {{gps_fix}}) e"""
+_SENSORS = f"SELECT g.robot_id, g.event_id AS id, epoch_us(CAST(g.ts AS TIMESTAMP)) AS us, g.event_id % 3 = 0 AS is_gps, status >= 0 AS gps_ok, cov0 >= 0 AS imu_ok FROM {{gps_fix}} g JOIN {{imu}} i ON g.event_id = i.event_id"
+
+
+def _clocked(spark, sf_dir: str, processor: clock.Ordered):
+    """The processor over two streams: fixes of every third event, and all IMU readings."""
+    gps = streamed(spark, sf_dir)["gps_fix"].selectExpr("robot_id", "CAST(ts AS TIMESTAMP) AS ts", "event_id AS id", "status >= 0 AS ok").where("id % 3 = 0")
+    imu = streamed(spark, sf_dir)["imu"].selectExpr("robot_id", "CAST(ts AS TIMESTAMP) AS ts", "event_id AS id", "cov0 >= 0 AS ok")
+    with clock.keyed_state(spark):
+        return landed(clock.processed(clock.tagged(gps, imu, _LATE), processor))
+
+
+def _clocks() -> None:
+    def op(name: str, processor: clock.Ordered, text: str) -> None:
+        QUERIES[name] = lambda spark, sf_dir: _clocked(spark, sf_dir, processor)
+        ORACLE[name] = duckdb_sql(f"WITH passed AS ({_PASSED}), sensors AS MATERIALIZED ({_SENSORS}) {text}")
+
+    day, period = 24 * _HOUR, 2 * _HOUR
+    latest = f"""SELECT robot_id, id, imu_ok, CASE WHEN us - fix_us <= {day} THEN fix_id END AS fix_id, us FROM (SELECT *, last_value(CASE WHEN is_gps AND gps_ok THEN id END IGNORE NULLS) OVER w AS fix_id, last_value(CASE WHEN is_gps AND gps_ok THEN us END IGNORE NULLS) OVER w AS fix_us
+        FROM sensors WINDOW w AS (PARTITION BY robot_id ORDER BY us, id ROWS UNBOUNDED PRECEDING)) q"""
+    op("f11_stream_alignment", clock.LatestFix(day), f"SELECT robot_id, id, fix_id FROM ({latest}) z WHERE us <= (SELECT mark FROM passed)")
+    # A tick belongs to the last reading before it or at its time; the last ones are at most a period later than the longest limit.
+    grid = """SELECT r.*, t.us0 + n * {period} AS tick_us FROM (SELECT *, ((us + {period} - 1) // {period}) * {period} AS us0 FROM ({rows}) a) t JOIN (SELECT * FROM ({rows}) b) r ON r.robot_id = t.robot_id AND r.id = t.id
+        JOIN (SELECT {{explode:0,400}} AS n) k ON t.us0 + n * {period} < coalesce(r.next_us, 9223372036854775807) AND t.us0 + (n - 1) * {period} - r.us <= {silence} WHERE t.us0 + n * {period} <= (SELECT mark FROM passed)"""
+    readings = """SELECT *, lead(us) OVER w AS next_us, last_value(CASE WHEN is_gps THEN us END IGNORE NULLS) OVER v AS gps_us, last_value(CASE WHEN is_gps THEN gps_ok END IGNORE NULLS) OVER v AS gps_good
+        FROM sensors WINDOW w AS (PARTITION BY robot_id ORDER BY us, id), v AS (PARTITION BY robot_id ORDER BY us, id ROWS UNBOUNDED PRECEDING)"""
+    have = f"SELECT robot_id, tick_us, coalesce(gps_good AND tick_us - gps_us <= {day}, false) AS have_gps, imu_ok AND tick_us - us <= {day // 2} AS have_imu FROM ({grid.format(period=period, rows=readings, silence=day)}) g"
+    op("m4_clock_ticks", clock.Clock(period, day, day // 2), f"SELECT *, CASE WHEN have_gps AND have_imu THEN 'live' ELSE 'stop' END AS state, CASE WHEN have_gps AND have_imu THEN '' WHEN have_imu THEN 'gps' WHEN have_gps THEN 'imu' ELSE 'gps, imu' END AS missing FROM ({have}) h")
+    fixes = "SELECT *, lead(us) OVER (PARTITION BY robot_id ORDER BY us, id) AS next_us FROM sensors WHERE is_gps AND gps_ok"
+    op("m14_marker_refresh", clock.Refresh(_HOUR, 6 * _HOUR), f"SELECT robot_id, tick_us, id AS fix_id FROM ({grid.format(period=_HOUR, rows=fixes, silence=6 * _HOUR)}) g")
+    step = 6 * _HOUR
+    every = f"SELECT robot_id, us FROM sensors UNION ALL SELECT robot_id, us FROM sensors WHERE is_gps"
+    polls = f"""SELECT f.robot_id, first, tick_us, count(e.us) AS n FROM (SELECT robot_id, first, ((first + {step} - 1) // {step} + k) * {step} AS tick_us FROM (SELECT robot_id, min(us) AS first FROM sensors GROUP BY robot_id) a CROSS JOIN (SELECT {{explode:0,20}} AS k) b) f
+        JOIN ({every}) e ON e.robot_id = f.robot_id AND e.us <= tick_us GROUP BY f.robot_id, first, tick_us"""
+    runs = f"SELECT *, CASE WHEN n = lag(n, 1) OVER w AND n = lag(n, 2) OVER w THEN 'ready' WHEN tick_us - first >= {3 * day} THEN 'late' ELSE 'waiting' END AS state FROM ({polls}) p WINDOW w AS (PARTITION BY robot_id ORDER BY tick_us)"
+    op("m16_readiness_polls", clock.Readiness(step, 2, 3 * day), f"SELECT robot_id, tick_us, n, state FROM (SELECT *, count(CASE WHEN state <> 'waiting' THEN 1 END) OVER (PARTITION BY robot_id ORDER BY tick_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over FROM ({runs}) r) q WHERE over = 0 AND tick_us <= (SELECT mark FROM passed)")

@@ -70,11 +70,6 @@ def segments(readings: DataFrame, gap: str = "2 seconds", late: str = "2 seconds
     )
 
 
-def noisy(readings: DataFrame, fix_deg: float = 5.4e-6, turn_rate: float = 8e-4, seed: int = 1) -> DataFrame:
-    """Sensor noise: Gaussian on positions and turn rate, from a seed."""
-    return readings.withColumns({"lat": F.col("lat") + fix_deg * F.randn(seed), "lon": F.col("lon") + fix_deg * F.randn(seed + 1), "wz": F.col("wz") + turn_rate * F.randn(seed + 2)})
-
-
 def markers_upsert(batch: DataFrame, batch_id: int, path: str, order: str | None = None) -> None:
     """A ``foreachBatch`` sink: the latest marker of each (ns, id), deletes applied, as a version of the table per micro-batch.
 
