@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
+from typing import NamedTuple
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, planar
 from ..operators import arrangement, graph, passes, regions, routes, sweep
 from ..sources.fixtures import Tables
-from ..sources.scratch import written
+from ..sources.scratch import kept, written
 from .spec import operator
 
 C = sweep.PlanConfig()
@@ -66,55 +68,73 @@ def _sql(text: str, upto: str, edges: str = "edges") -> str:
     return f"WITH RECURSIVE {', '.join(f'{n} AS ({_CTES[n]})' for n in used)} {text}".replace("{edges}", f"{{{edges}}}")
 
 
-class Stages:
-    """The planner's DataFrames over raw regions (no inset), made when they are asked for.
+class Step(NamedTuple):
+    """One table of a plan: the stage it belongs to, what makes it from the plan's other tables, and what is counted as it is written."""
 
-    What several later steps read is written once, so that no plan holds a step twice.
+    stage: int
+    make: Callable[[Steps], DataFrame]
+    counts: dict[str, Column]
+
+
+class Steps:
+    """Tables of a plan by name, made when they are first asked for.
+
+    A table is kept for the whole application under a digest of the given tables'
+    files and the configuration, so queries share the stages that they have in
+    common, and another configuration or another input has tables of its own.
     """
 
-    def __init__(self, t: Tables, edges: str = "edges"):
-        self.t, self.source = t, edges
+    STEPS: dict[str, Step] = {}
+
+    def __init__(self, t: Tables, c: sweep.PlanConfig = C, source: str = "edges"):
+        self.t, self.c, self.source = t, c, source
+        self.key = (type(self).__name__, t.fingerprint("supplier"), repr(c), source)
+
+    def _kept(self, name: str) -> tuple[DataFrame, dict[str, float]]:
+        step = self.STEPS[name]
+        return kept(self.t.spark, (*self.key, name), lambda: step.make(self), step.counts)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.STEPS:
+            raise AttributeError(name)
+        return self._kept(name)[0]
+
+    def metrics(self) -> list[tuple[int, str, str, float]]:
+        """(stage, table, key, value) of all steps, as observed when they were made."""
+        return [(step.stage, name, k, v) for name, step in self.STEPS.items() if step.counts for k, v in self._kept(name)[1].items()]
 
-    @cached_property
-    def edges(self):
-        return written(self.t[self.source])
 
-    @cached_property
+_ROWS = F.count(F.lit(1))
+
+
+class Stages(Steps):
+    """The planner over raw regions (no inset)."""
+
+    STEPS = {
+        "edges": Step(0, lambda p: p.t[p.source], {}),
+        "stripes": Step(1, lambda p: sweep.cut(p.sides, p.lines), {}),
+        "rowed": Step(2, lambda p: sweep.rowed(p.stripes), {}),
+        "nodes": Step(2, lambda p: sweep.numbered(p.kept), {}),
+        "clustered": Step(3, lambda p: graph.clusters(sweep.touching(p.nodes, p.edges)), {}),
+        "comps": Step(3, lambda p: graph.components(p.clustered, p.links), {}),
+    }
+
+    @property
     def sides(self):
         return sweep.in_sweep_frame(self.edges)
 
-    @cached_property
+    @property
     def lines(self):
         return sweep.lines(self.sides)
 
-    @cached_property
-    def stripes(self):
-        return written(sweep.cut(self.sides, self.lines))
-
-    @cached_property
-    def rowed(self):
-        return written(sweep.rowed(self.stripes))
-
-    @cached_property
+    @property
     def kept(self):
         return sweep.supported(self.rowed)
 
-    @cached_property
-    def nodes(self):
-        return written(sweep.numbered(self.kept))
-
-    @cached_property
-    def clustered(self):
-        return written(graph.clusters(sweep.touching(self.nodes, self.edges)))
-
-    @cached_property
+    @property
     def links(self):
         return graph.row_links(self.clustered)
 
-    @cached_property
-    def comps(self):
-        return graph.components(self.clustered, self.links)
-
 
 def register() -> None:
     def op(name: str, text: str | None, upto: str, rounded: dict[str, int] | None = None):
@@ -274,37 +294,43 @@ def _register_merge(op) -> None:
     operator("k6_spanning_tree", tree)(grown)
 
 
-class FullPlan:
-    """The whole planner: working region, inset, stripes, components, snakes, islands, route. Each step is a table."""
+def _stripes(p: Steps) -> DataFrame:
+    sides = sweep.in_sweep_frame(p.edges)
+    return passes.swept(sides, sides.where("ring = 0 AND i = 0").selectExpr("f", "a1 AS sa", "d1 AS sd"), p.c).stripes
 
-    def __init__(self, t: Tables, c: sweep.PlanConfig = C):
-        self.working = written(arrangement.working_regions(t["region_vertices"]))
-        self.inset = written(arrangement.insets(self.working, c.offset))
-        self.edges = written(arrangement.edges_of(self.inset))
-        sides = sweep.in_sweep_frame(self.edges)
-        self.swept = passes.swept(sides, sides.where("ring = 0 AND i = 0").selectExpr("f", "a1 AS sa", "d1 AS sd"), c)
-        kept = sweep.supported(sweep.rowed(self.swept.stripes.drop("row")))
-        self.nodes = written(graph.clusters(sweep.touching(sweep.numbered(kept), self.edges)))
 
-    @property
-    def merged(self):
-        return written(graph.merged(graph.components(self.nodes, graph.row_links(self.nodes)), self.edges))
+class FullPlan(Steps):
+    """The whole planner: working region, inset, stripes, components, snakes, islands, route."""
 
-    @property
-    def chunks(self):
-        return written(routes.snakes(self.merged, self.edges))
+    STEPS = {
+        "working": Step(0, lambda p: arrangement.working_regions(p.t["region_vertices"]), {}),
+        "inset": Step(0, lambda p: arrangement.insets(p.working, p.c.offset), {}),
+        "edges": Step(0, lambda p: arrangement.edges_of(p.inset), {"sides": _ROWS, "rings": F.count_if(F.col("i") == 0), "area": F.sum(F.expr("x1 * y2 - x2 * y1")) / 2}),
+        "stripes": Step(1, _stripes, {"rawStripes": _ROWS, "metres": F.sum("len"), "laterPasses": F.count_if(F.col("pass") > 0)}),
+        "filtered": Step(2, lambda p: sweep.numbered(sweep.supported(sweep.rowed(p.stripes.drop("row")))), {"kept": _ROWS, "metres": F.sum("len")}),
+        "nodes": Step(3, lambda p: graph.clusters(sweep.touching(p.filtered, p.edges)), {"nodes": _ROWS, "excluded": F.count_if("excl")}),
+        "links": Step(3, lambda p: graph.row_links(p.nodes), {"edges": _ROWS}),
+        "comps": Step(3, lambda p: graph.components(p.nodes, p.links), {}),
+        "merged": Step(4, lambda p: graph.merged(p.comps, p.edges), {"merged": F.count_if(F.col("merged") != F.col("comp")), "nodes": _ROWS}),
+        "chunks": Step(5, lambda p: routes.snakes(p.merged, p.edges), {"chunks": _ROWS}),
+        "islands": Step(6, lambda p: routes.islands(p.chunks, p.edges), {"islands": _ROWS, "chunks": F.sum("chunks")}),
+        "routes": Step(7, lambda p: routes.stitched(p.islands, p.edges), {"fields": _ROWS, "used": F.sum("used"), "unreachable": F.sum("unreachable")}),
+        "tours": Step(8, lambda p: routes.tours(p.islands, p.edges), {"legs": _ROWS, "points": F.sum(F.size("xs"))}),
+    }
 
-    @property
-    def islands(self):
-        return written(routes.islands(self.chunks, self.edges))
 
-    @property
-    def routes(self):
-        return routes.stitched(self.islands, self.edges)
+#: The nine stages, by number.
+STAGE_NAMES = ("Prepare", "Sweep", "Filter", "Graph", "Merge", "Routes", "Group", "Stitch", "Approach")
 
-    @property
-    def tours(self):
-        return routes.tours(self.islands, self.edges)
+
+def stage_report(p: FullPlan) -> DataFrame:
+    """(stage, name, key, value, status): metrics of all nine stages over all fields, from the passes that made their tables; a stage that made nothing has failed."""
+    found = p.metrics()
+    by = {(stage, key): value for stage, _, key, value in found}
+    rows = [(stage, STAGE_NAMES[stage], key, value) for stage, _, key, value in found]
+    rows.append((2, STAGE_NAMES[2], "dropped", by[1, "rawStripes"] - by[2, "kept"]))
+    made = {stage: max(v for (k, _), v in by.items() if k == stage) for stage in range(9)}
+    return p.t.spark.createDataFrame([(*r, "ok" if made[r[0]] else "failed") for r in rows], "stage int, name string, key string, value double, status string")
 
 
 def _register_routes() -> None:
@@ -314,6 +340,7 @@ def _register_routes() -> None:
     operator("e14_inset", f"{_INSET} SELECT * FROM inset", near)(lambda t: regions.ring_stats(arrangement.edges_of(arrangement.insets(arrangement.working_regions(t["region_vertices"]), C.offset))).select("f", "ring", "area", "perimeter"))
     prepared = f"{_INSET} SELECT g.f, count(*) AS rings, sum(g.area) AS working_area, sum(i.area) AS inset_area, 'ok' AS status FROM ({_GIVEN}) g JOIN inset i ON g.f = i.f AND g.ring = i.ring GROUP BY g.f"
     operator("s1_prepare", prepared, {"working_area": 1, "inset_area": 1})(lambda t: _prepared(FullPlan(t)))
+    operator("n7_stage_observations")(lambda t: stage_report(FullPlan(t)))
     operator("s6_routes")(lambda t: FullPlan(t).chunks)
     operator("k7_snake_lengths")(lambda t: FullPlan(t).chunks.select("f", "comp", "phase", "chunk", F.expr(size).alias("metres")))
     operator("s7_group")(lambda t: FullPlan(t).islands)

@@ -165,7 +165,7 @@ def register() -> None:
 
     @operator("f8_stripe_owner", owned)
     def stripe_owner(t: Tables):
-        s = Stages(t, "nested_edges")
+        s = Stages(t, source="nested_edges")
         return regions.owners(s.nodes.selectExpr("f", "node", "mx AS px", "my AS py"), s.edges, ["node"])
 
     by_pass = {"d": 4, "a0": 4, "a1": 4, "len": 4, "area": 2, "lo": 4, "hi": 4}

@@ -7,6 +7,7 @@ sees one plan down to the Parquet scan; the text for DuckDB nests them.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,6 +136,17 @@ class Tables:
             self.made[name] = self.sql(VIEWS[name]) if name in VIEWS else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
 
+    def fingerprint(self, *names: str) -> str:
+        """A digest of the tables' files: their paths, lengths and times of change."""
+        hadoop = self.spark._jsc.hadoopConfiguration()
+        found = []
+        for name in names:
+            for file in sorted(self[name].inputFiles()):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+                status = path.getFileSystem(hadoop).getFileStatus(path)
+                found.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+        return hashlib.sha256("\n".join(found).encode()).hexdigest()
+
     def sql(self, text: str) -> DataFrame:
         """Run a text with ``{view}`` marks."""
         text = _MARK.sub(lambda m: _dialect(m[1], m[2], "spark") if m[2] is not None else m[0], text)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,7 +34,34 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class _Kept(NamedTuple):
+    path: str
+    schema: StructType
+    metrics: dict[str, float]
+
+
+_KEPT: dict[tuple, _Kept] = {}
+
+
+def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], counts: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """The table that ``make`` gives, written once per application and key, and its metrics.
+
+    ``counts`` are aggregates that Spark observes in the pass that writes the table.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        df, path = make(), f"{folder(spark)}/{uuid.uuid4().hex}"
+        seen = Observation()
+        observed = df.observe(seen, *[c.alias(k) for k, c in counts.items()]) if counts else df
+        observed.write.parquet(path)
+        _KEPT[key] = _Kept(path, df.schema, {k: float(v or 0) for k, v in seen.get.items()} if counts else {})
+    found = _KEPT[key]
+    return spark.read.schema(found.schema).parquet(found.path), found.metrics
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this application has written so far; what still reads them fails afterwards."""
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -195,3 +195,37 @@ def test_connectors_and_entries_match_the_walked_ones(spark):
     assert got == want and 10 < len(want) and over > 2
     none = e.where(F.lit(False))
     assert routes.entries(isl, none).count() == 0 and {(r.src, r.dst) for r in routes.hops(nodes, links, none).where("ok").collect()} == {(0, 1)}
+
+
+# ---- stages ----
+
+
+def test_queries_of_a_session_share_stages(spark, sf_dir):
+    from swathline.plans import planner
+    from swathline.sources.fixtures import Tables
+    from swathline.sources.scratch import clear
+
+    clear(spark)
+    one, two = planner.Stages(Tables(spark, sf_dir)), planner.Stages(Tables(spark, sf_dir))
+    files = sorted(one.nodes.inputFiles())
+    assert sorted(two.nodes.inputFiles()) == files  # read, not made again
+    other = planner.Stages(Tables(spark, sf_dir), sweep.PlanConfig(step=5.0))
+    assert not set(other.nodes.inputFiles()) & set(files)
+    assert not set(planner.Stages(Tables(spark, sf_dir), source="nested_edges").nodes.inputFiles()) & set(files)
+    clear(spark)
+    assert not set(planner.Stages(Tables(spark, sf_dir)).nodes.inputFiles()) & set(files)
+
+
+def test_observed_metrics_equal_recounted_tables(spark, sf_dir):
+    from swathline.plans import planner
+    from swathline.sources.fixtures import Tables
+
+    p = planner.FullPlan(Tables(spark, sf_dir))
+    got = {(r.stage, r.key): r.value for r in planner.stage_report(p).collect()}
+    assert {stage for stage, _ in got} == set(range(9))
+    recounted = {(0, "sides"): p.edges, (1, "rawStripes"): p.stripes, (2, "kept"): p.filtered, (3, "nodes"): p.nodes, (3, "edges"): p.links, (5, "chunks"): p.chunks, (6, "islands"): p.islands, (7, "fields"): p.routes, (8, "legs"): p.tours}
+    assert {k: got[k] for k in recounted} == {k: df.count() for k, df in recounted.items()}
+    assert got[2, "dropped"] == p.stripes.count() - p.filtered.count()
+    assert got[4, "merged"] == p.merged.where("merged <> comp").count()
+    assert got[0, "area"] == pytest.approx(sum(r.area for r in regions.ring_stats(p.edges).collect()))
+    assert got[7, "used"] == p.routes.agg(F.sum("used")).first()[0]
