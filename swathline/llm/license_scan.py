@@ -78,6 +78,8 @@ _RESERVED = rf"all{_GAP}rights{_GAP}reserved"
 #: What may stand above the first words of a licence: a title, a notice, or both; a notice has any number of words.
 TITLED = rf"\A[^\p{{L}}\p{{N}}]*{_TITLE}(?:{_GAP}{_RESERVED})?[^\p{{L}}\p{{N}}]*\z"
 NOTED = rf"\A[^\p{{L}}\p{{N}}]*(?:{_TITLE}[^\p{{L}}\p{{N}}]+)?{_MARK}"
+#: What texts with either begin with, to look no further in all others.
+BEGINS = rf"\A[^\p{{L}}\p{{N}}]*+(?:{_TITLE}|{_MARK})"
 #: A paragraph that is neither, so what stands there is more than the head of a licence.
 OTHER_PARAGRAPH = rf"\n[ \t\r]*\n[^\p{{L}}\p{{N}}]*+(?!{_MARK}|{_RESERVED}|(?:the{_GAP})?{_TITLE}[^\p{{L}}\p{{N}}]*+(?:\z|\n|{_MARK}))[\p{{L}}\p{{N}}]"
 
@@ -149,7 +151,7 @@ def canonical(text: Column) -> Column:
     begin = F.regexp_instr(out, F.lit(_OPENING))
     head = F.substring(out, F.lit(1), begin - 1)
     is_head = F.rlike(head, F.lit(TITLED)) | (F.rlike(head, F.lit(NOTED)) & ~F.rlike(head, F.lit(OTHER_PARAGRAPH)))
-    out = F.when((begin > 1) & is_head, F.substring(out, begin, F.length(out))).otherwise(out)
+    out = F.when(F.when(F.rlike(out, F.lit(BEGINS)), (begin > 1) & is_head).otherwise(False), F.substring(out, begin, F.length(out))).otherwise(out)
     out = F.regexp_replace(out, NOTICE, " ")
     out = F.trim(F.regexp_replace(out, OTHER, " "))
     for pattern, to in (*SPELLINGS, HOLDER):
