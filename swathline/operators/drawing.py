@@ -110,3 +110,18 @@ def tile_states(steps: DataFrame, key: str = "robot_id") -> DataFrame:
     got = now.where("reply AND v.zoom = zoom AND abs(v.x - x) <= 1 AND abs(v.y - y) <= 1").selectExpr(key, "zoom", "x", "y", "1 AS got")
     both = asked.unionByName(got).groupBy(key, "zoom", "x", "y").agg(F.max("got").alias("got"))
     return both.select(key, "zoom", "x", "y", F.when(F.col("got") == 1, "finished").otherwise("requested").alias("state"))
+
+
+#: Layers in drawing order.
+LAYERS = ("main", "cutout", "draft", "route", "robot")
+
+
+def layers(contours: DataFrame, cutouts: DataFrame, drawn: DataFrame, waypoints: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(z, layer, items): the five layers with how many items their sources give them; a draft is a session whose last click left one open."""
+    last = drawn.groupBy("robot_id").agg(F.max_by("drafted", "seq").alias("drafted")).where("drafted > 0").select(F.col("robot_id").alias("item"))
+    sources = [contours.select(F.col("f").alias("item")), cutouts.select(F.col("f").alias("item")), last, waypoints.select(F.col("mission_id").alias("item")), fixes.where("status >= 0").select(F.col("robot_id").alias("item"))]
+    out = None
+    for z, (name, items) in enumerate(zip(LAYERS, sources, strict=True)):
+        own = items.agg(F.countDistinct("item").alias("items")).select(F.lit(z).alias("z"), F.lit(name).alias("layer"), "items")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -162,25 +162,29 @@ def spanning_tree(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(f, node, parent, level): the breadth-first tree of each component from its first stripe by (row, along); a root is its own parent.
 
     Of several neighbours one level up the smallest is the parent. One group per
-    field; a field's links are at most ``neighbours`` times its stripes.
+    component, each link looked at twice.
     """
+    of = nodes.select("f", F.col("comp").alias("within"), F.col("node").alias("src"))
+    own = links.select("f", "src", "dst").join(of, ["f", "src"]).select(F.col("f").alias("field"), "within", "src", "dst")
 
     def run(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        beside: dict[int, set[int]] = {}
+        beside: dict[int, list[int]] = {}
         for a, b in zip(links["src"], links["dst"], strict=True):
-            beside.setdefault(a, set()).add(b)
-            beside.setdefault(b, set()).add(a)
-        out = []
-        for _, own in nodes.sort_values(["row", "a0", "node"]).groupby("comp", sort=True):
-            root = own["node"].iat[0]
-            seen, level, depth = {root}, [root], 0
-            out.append((key[0], root, root, 0))
-            while level:
-                depth += 1
-                found = {v: min(u for u in level if v in beside[u]) for v in {v for u in level for v in beside.get(u, ())} - seen}
-                out += [(key[0], v, u, depth) for v, u in found.items()]
-                level = sorted(found)
-                seen |= found.keys()
+            beside.setdefault(a, []).append(b)
+            beside.setdefault(b, []).append(a)
+        root = nodes.sort_values(["row", "a0", "node"])["node"].iat[0]
+        above, level, depth = {root: root}, [root], 0
+        out = [(key[0], root, root, 0)]
+        while level:
+            depth += 1
+            found: dict[int, int] = {}
+            for u in level:  # in order, so the smallest neighbour comes first
+                for v in beside.get(u, ()):
+                    if v not in above:
+                        found.setdefault(v, u)
+            out += [(key[0], v, u, depth) for v, u in found.items()]
+            above |= found
+            level = sorted(found)
         return pd.DataFrame(out, columns=["f", "node", "parent", "level"])
 
-    return nodes.select("f", "node", "row", "a0", "comp").groupBy("f").cogroup(links.select("f", "src", "dst").groupBy("f")).applyInPandas(run, "f bigint, node int, parent int, level int")
+    return nodes.select("f", "comp", "node", "row", "a0").groupBy("f", "comp").cogroup(own.groupBy("field", "within")).applyInPandas(run, "f bigint, node int, parent int, level int")

@@ -142,6 +142,11 @@ def numbered(stripes: DataFrame) -> DataFrame:
     return out.selectExpr("f", "node", "row", "d", "a0", "a1", "len", *[f"{a} * {s} + d * {c} AS {n}x" for n, a in (("s", "a0"), ("e", "a1"), ("m", "(a0 + a1) / 2"))], *[f"-({a}) * {c} + d * {s} AS {n}y" for n, a in (("s", "a0"), ("e", "a1"), ("m", "(a0 + a1) / 2"))])
 
 
+def alternated(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``forward``: rows are driven in turns, the first one along the sweep."""
+    return nodes.withColumn("forward", F.dense_rank().over(Window.partitionBy("f").orderBy("row")) % 2 == 1)
+
+
 def touching(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
     """Nodes with ``excl``: whether an end or the middle is near a hole's side."""
     from ..functions import planar

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, planar
@@ -69,11 +69,11 @@ def _sql(text: str, upto: str, edges: str = "edges") -> str:
 
 
 class Step(NamedTuple):
-    """One table of a plan: the stage it belongs to, what makes it from the plan's other tables, and what is counted as it is written."""
+    """One table of a plan: the stage it belongs to, what makes it from the plan's other tables, and what is counted as it is written (SQL aggregates)."""
 
     stage: int
     make: Callable[[Steps], DataFrame]
-    counts: dict[str, Column]
+    counts: dict[str, str]
 
 
 class Steps:
@@ -104,7 +104,7 @@ class Steps:
         return [(step.stage, name, k, v) for name, step in self.STEPS.items() if step.counts for k, v in self._kept(name)[1].items()]
 
 
-_ROWS = F.count(F.lit(1))
+_ROWS = "count(*)"
 
 
 class Stages(Steps):
@@ -143,7 +143,13 @@ def register() -> None:
     op("g6_extent_across", "SELECT f, min(d1) AS lo, max(d1) AS hi FROM sides GROUP BY f", "sides", {"lo": 6, "hi": 6})(lambda t: sweep.in_sweep_frame(t["edges"]).groupBy("f").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")))
     cut = {"d": 5, "a0": 5, "a1": 5, "len": 5}
     op("e7_line_region_intersection", "SELECT f, k, d, a0, a1, len FROM stripes", "stripes", cut)(lambda t: Stages(t).stripes)
-    op("h2_distinct_rows", "SELECT f, count(DISTINCT k) AS n FROM stripes GROUP BY f", "stripes")(lambda t: sweep.distinct_rows(Stages(t).stripes).groupBy("f").agg(F.count("*").alias("n")))
+    op("h2_distinct_rows", "SELECT f, min(d) AS d FROM stripes GROUP BY f, k", "stripes", {"d": 5})(lambda t: sweep.distinct_rows(Stages(t).stripes))
+    row = lambda *order: F.row_number().over(Window.partitionBy("f", "row").orderBy(*order))
+    op("i2_along_sort", "SELECT f, node, row, row_number() OVER (PARTITION BY f, row ORDER BY (a0 + a1) / 2, node) AS pos FROM nodes", "nodes")(lambda t: Stages(t).nodes.select("f", "node", "row", row(F.expr("(a0 + a1) / 2"), "node").alias("pos")))
+    op("h10_alternation", "SELECT f, node, row, dense_rank() OVER (PARTITION BY f ORDER BY row) % 2 = 1 AS forward FROM nodes", "nodes")(lambda t: sweep.alternated(Stages(t).nodes).select("f", "node", "row", "forward"))
+    op("h11_orientation", "SELECT f, node, CASE WHEN row % 2 = 0 THEN a0 ELSE a1 END AS from_a, CASE WHEN row % 2 = 0 THEN a1 ELSE a0 END AS to_a FROM nodes", "nodes", {"from_a": 5, "to_a": 5})(
+        lambda t: sweep.alternated(Stages(t).nodes).selectExpr("f", "node", "IF(forward, a0, a1) AS from_a", "IF(forward, a1, a0) AS to_a")
+    )
     op("h3_row_of_stripe", "SELECT f, k, a0, row FROM rowed", "rowed", {"a0": 5})(lambda t: Stages(t).rowed.select("f", "k", "a0", "row"))
     op("j6_duplicate_distances", "SELECT f, k, min(d) AS d FROM stripes GROUP BY f, k", "stripes", {"d": 5})(lambda t: Stages(t).stripes.groupBy("f", "k").agg(F.min("d").alias("d")))
     op("f1_neighbour_support", "SELECT f, k, a0, len FROM kept", "kept", {"a0": 5, "len": 5})(lambda t: Stages(t).kept.select("f", "k", "a0", "len"))
@@ -305,17 +311,17 @@ class FullPlan(Steps):
     STEPS = {
         "working": Step(0, lambda p: arrangement.working_regions(p.t["region_vertices"]), {}),
         "inset": Step(0, lambda p: arrangement.insets(p.working, p.c.offset), {}),
-        "edges": Step(0, lambda p: arrangement.edges_of(p.inset), {"sides": _ROWS, "rings": F.count_if(F.col("i") == 0), "area": F.sum(F.expr("x1 * y2 - x2 * y1")) / 2}),
-        "stripes": Step(1, _stripes, {"rawStripes": _ROWS, "metres": F.sum("len"), "laterPasses": F.count_if(F.col("pass") > 0)}),
-        "filtered": Step(2, lambda p: sweep.numbered(sweep.supported(sweep.rowed(p.stripes.drop("row")))), {"kept": _ROWS, "metres": F.sum("len")}),
-        "nodes": Step(3, lambda p: graph.clusters(sweep.touching(p.filtered, p.edges)), {"nodes": _ROWS, "excluded": F.count_if("excl")}),
+        "edges": Step(0, lambda p: arrangement.edges_of(p.inset), {"sides": _ROWS, "rings": "count_if(i = 0)", "area": "sum(x1 * y2 - x2 * y1) / 2"}),
+        "stripes": Step(1, _stripes, {"rawStripes": _ROWS, "metres": "sum(len)", "laterPasses": "count_if(pass > 0)"}),
+        "filtered": Step(2, lambda p: sweep.numbered(sweep.supported(sweep.rowed(p.stripes.drop("row")))), {"kept": _ROWS, "metres": "sum(len)"}),
+        "nodes": Step(3, lambda p: graph.clusters(sweep.touching(p.filtered, p.edges)), {"nodes": _ROWS, "excluded": "count_if(excl)"}),
         "links": Step(3, lambda p: graph.row_links(p.nodes), {"edges": _ROWS}),
         "comps": Step(3, lambda p: graph.components(p.nodes, p.links), {}),
-        "merged": Step(4, lambda p: graph.merged(p.comps, p.edges), {"merged": F.count_if(F.col("merged") != F.col("comp")), "nodes": _ROWS}),
+        "merged": Step(4, lambda p: graph.merged(p.comps, p.edges), {"merged": "count_if(merged <> comp)", "nodes": _ROWS}),
         "chunks": Step(5, lambda p: routes.snakes(p.merged, p.edges), {"chunks": _ROWS}),
-        "islands": Step(6, lambda p: routes.islands(p.chunks, p.edges), {"islands": _ROWS, "chunks": F.sum("chunks")}),
-        "routes": Step(7, lambda p: routes.stitched(p.islands, p.edges), {"fields": _ROWS, "used": F.sum("used"), "unreachable": F.sum("unreachable")}),
-        "tours": Step(8, lambda p: routes.tours(p.islands, p.edges), {"legs": _ROWS, "points": F.sum(F.size("xs"))}),
+        "islands": Step(6, lambda p: routes.islands(p.chunks, p.edges), {"islands": _ROWS, "chunks": "sum(chunks)"}),
+        "routes": Step(7, lambda p: routes.stitched(p.islands, p.edges), {"fields": _ROWS, "used": "sum(used)", "unreachable": "sum(unreachable)"}),
+        "tours": Step(8, lambda p: routes.tours(p.islands, p.edges), {"legs": _ROWS, "points": "sum(size(xs))"}),
     }
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, geo, palette
 from ..operators import commands
+from ..operators import tree as trees
+from ..sources.fixtures import Tables
 from .spec import operator, projection, statement
 
 _HAV = geo.haversine("lat0", "lon0", "lat", "lon")
@@ -23,8 +26,8 @@ _LEN = angles.hypot("nx - x", "ny - y")
 def register() -> None:
     # -- routes and commands ---------------------------------------------------------------------------------------
     operator("h7_route_commands", _COMMANDS, {"value": 4})(lambda t: commands.route_commands(t["track"]))
-    operator("b1_command_documents", f"SELECT robot_id, count(*) AS n FROM ({_COMMANDS}) c GROUP BY robot_id")(lambda t: commands.command_documents(commands.route_commands(t["track"])).select("robot_id", "n"))
     item = """concat('{"cmd":"', cmd, '","data":{"', CASE cmd WHEN 'rotate' THEN 'delta_angle' ELSE 'distance_m' END, '":', CAST(round(value, 4) AS VARCHAR), '}}')"""
+    operator("b1_command_documents", f"SELECT robot_id, count(*) AS n, md5(concat('[', string_agg({item}, ',' ORDER BY seq, part), ']')) AS document FROM ({_COMMANDS}) c GROUP BY robot_id")(lambda t: commands.command_documents(commands.route_commands(t["track"])).select("robot_id", "n", F.md5("commands").alias("document")))
     operator("b26_command_panel", f"SELECT robot_id, concat('[', string_agg({item}, ',' ORDER BY seq, part), ']') AS commands, count(*) AS n FROM ({_COMMANDS}) c GROUP BY robot_id")(lambda t: commands.command_documents(commands.route_commands(t["track"])))
     statement("h5_adjacent_pairs", f"SELECT robot_id, seq, {_HAV} AS metres FROM ({_HOPS}) h WHERE lat0 IS NOT NULL", {"metres": 4})
     statement("k22_robot_prepend", "SELECT robot_id, seq + 1 AS pos, lat, lon FROM {track} UNION ALL SELECT mission_id AS robot_id, 1 AS pos, origin_lat AS lat, origin_lon AS lon FROM {missions}", {"lat": 9, "lon": 9})
@@ -55,7 +58,6 @@ def register() -> None:
     projection("b7_point_markers", "waypoint_xy", {"mission_id": "mission_id", "id": "i", "x": ("x", 4), "y": ("y", 4), "scale": "CASE WHEN i = mission_id % 5 THEN 0.48e0 ELSE 0.35e0 END", "state": state, "red": (palette.channel("i", 0), 4)})
     projection("b8_radius_markers", "waypoint_xy", {"mission_id": "mission_id", "id": "1000 + i", "diameter": ("2e0 * reach_radius_m", 4)})
     projection("b9_label_markers", "waypoint_xy", {"mission_id": "mission_id", "id": "2000 + i", "text": "concat(CAST(i + 1 AS STRING), ': ', wid)"})
-    statement("b10_stale_markers", "SELECT o.mission_id, o.i AS id, 'DELETE' AS action FROM {waypoints} o LEFT JOIN (SELECT mission_id, i FROM {waypoints} WHERE i % 2 = 0) n ON o.mission_id = n.mission_id AND o.i = n.i WHERE n.i IS NULL")
     count = f"(CAST(floor(greatest(0.05e0, {_LEN} - 0.28e0) / 0.45e0) AS INT) + 1)"
     arrows = f"SELECT mission_id, i, x, y, nx, ny, {_LEN} AS len, greatest(1, {count}) AS n FROM ({_NEXT}) s WHERE nx IS NOT NULL AND {_LEN} >= 1e-4"
     operator(
@@ -63,6 +65,19 @@ def register() -> None:
         f"SELECT mission_id, i, k, x + (nx - x) * (k + 0.5e0) / n - 0.16e0 * (nx - x) / len AS tail_x, y + (ny - y) * (k + 0.5e0) / n - 0.16e0 * (ny - y) / len AS tail_y, sin(atan2(ny - y, nx - x) / 2e0) AS qz FROM (SELECT *, CAST(unnest(generate_series(0, n - 1)) AS INT) AS k FROM ({arrows}) a) b",
         {"tail_x": 3, "tail_y": 3, "qz": 6},
     )(lambda t: t.sql(arrows).withColumn("k", F.explode(F.expr("sequence(0, n - 1)"))).selectExpr("mission_id", "i", "k", "x + (nx - x) * (k + 0.5e0) / n - 0.16e0 * (nx - x) / len AS tail_x", "y + (ny - y) * (k + 0.5e0) / n - 0.16e0 * (ny - y) / len AS tail_y", "sin(atan2(ny - y, nx - x) / 2e0) AS qz"))
+    # Two publishes of a mission, the second without its last waypoint: arrows are numbered anew from 3000 on, so the last ones are stale, and two fixed markers are always deleted.
+    route, shorter = "'waypoints_route_arrow'", f"SELECT a.* FROM ({arrows}) a JOIN (SELECT mission_id, max(i) AS last FROM {{waypoints}} GROUP BY mission_id) m ON a.mission_id = m.mission_id AND a.i < m.last - 1"
+    sizes = f"SELECT o.mission_id, o.n AS before, coalesce(w.n, 0) AS after FROM (SELECT mission_id, sum(n) AS n FROM ({arrows}) x GROUP BY mission_id) o LEFT JOIN (SELECT mission_id, sum(n) AS n FROM ({shorter}) y GROUP BY mission_id) w ON o.mission_id = w.mission_id"
+
+    def published(t: Tables, text: str):
+        every = t.sql(text).withColumn("k", F.explode(F.expr("sequence(0, n - 1)")))
+        return every.select("mission_id", F.lit("waypoints_route_arrow").alias("ns"), (F.row_number().over(Window.partitionBy("mission_id").orderBy("i", "k")) + 2999).alias("id"))
+
+    operator(
+        "b10_stale_markers",
+        f"""SELECT mission_id, {route} AS ns, CAST(unnest(generate_series(CAST(3000 + after AS BIGINT), CAST(2999 + before AS BIGINT))) AS INT) AS id, 'DELETE' AS action FROM ({sizes}) s
+            UNION ALL SELECT mission_id, 'waypoints_route_line', 4000, 'DELETE' FROM {{missions}} UNION ALL SELECT mission_id, 'robot_target_line', 4001, 'DELETE' FROM {{missions}}""",
+    )(lambda t: commands.stale_markers(published(t, arrows), published(t, shorter), t["missions"].select("mission_id")))
     statement("b12_trajectory", "SELECT robot_id, CASE WHEN count(*) >= 2 THEN 'ADD' ELSE 'DELETE' END AS action, count(*) AS points FROM {track} GROUP BY robot_id")
     projection("b13_robot_markers", "imu", {"event_id": "event_id", "arrow": "5000", "label": "5001", "qz": ("sin(yaw / 2e0)", 8), "qw": ("cos(yaw / 2e0)", 8)})
     projection("b15_waypoint_models", "waypoint_xy", {"mission_id": "mission_id", "name": "wid", "pose_x": ("x", 4), "pose_y": ("y", 4), "sphere": "0.18e0", "disc": ("reach_radius_m", 3), "rgba": palette.rgba_text("i", "1.0")})
@@ -71,11 +86,8 @@ def register() -> None:
     statement("b18_segment_overlap", f"SELECT mission_id, i, {_LEN} AS chord, reach_radius_m + nr AS radii, {_LEN} < reach_radius_m + nr AS overlap FROM ({_NEXT}) s WHERE nx IS NOT NULL", {"chord": 3, "radii": 3})
     statement("b22_polyline_segments", f"SELECT mission_id, i, x, y, nx, ny, nx - 2e0 * (nx - x) / {_LEN} AS head_x, ny - 2e0 * (ny - y) / {_LEN} AS head_y FROM ({_NEXT}) s WHERE nx IS NOT NULL AND {_LEN} > 1e-6", {c: 3 for c in ("x", "y", "nx", "ny", "head_x", "head_y")})
     statement("e25_polyline_path", "SELECT mission_id, i, CASE WHEN i = 0 THEN 'move' ELSE 'line' END AS op, x, y FROM {waypoint_xy}", {"x": 4, "y": 4})
-    statement("p18_layers", "SELECT mission_id, i, CASE i % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'cutout' WHEN 2 THEN 'draft' WHEN 3 THEN 'route' ELSE 'robot' END AS layer FROM {waypoints}")
     # -- sequences -------------------------------------------------------------------------------------------------
     statement("h9_speed", f"SELECT robot_id, seq, least(2e0, d / nullif(dt, 0e0)) AS speed FROM (SELECT robot_id, seq, {_HAV} AS d, dt FROM (SELECT robot_id, seq, lat, lon, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, seq * 1e0 - lag(seq) OVER w AS dt FROM {{track}} WINDOW w AS (PARTITION BY robot_id ORDER BY seq)) q WHERE lat0 IS NOT NULL) r WHERE dt > 1e-6", {"speed": 5})
-    statement("h10_alternation", "SELECT f, i, dense_rank() OVER (PARTITION BY f ORDER BY i) % 2 AS forward FROM {outer_edges}")
-    projection("h11_orientation", "outer_edges", {"f": "f", "i": "i", "ax": ("CASE WHEN i % 2 = 0 THEN least(x1, x2) ELSE greatest(x1, x2) END", 6), "bx": ("CASE WHEN i % 2 = 0 THEN greatest(x1, x2) ELSE least(x1, x2) END", 6)})
     statement("h12_route_prefix", "SELECT mission_id, i, count(*) OVER (PARTITION BY mission_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS points_so_far FROM {waypoints}")
     statement("h14_stable_reads", "SELECT robot_id, seq, count(*) OVER (PARTITION BY robot_id, g ORDER BY seq ROWS UNBOUNDED PRECEDING) * ok AS stable FROM (SELECT *, sum(1 - ok) OVER (PARTITION BY robot_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT robot_id, CAST(row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) AS INT) AS seq, CASE WHEN status >= 0 THEN 1 ELSE 0 END AS ok FROM {gps_fix}) a) b WHERE ok = 1")
     statement("m16_readiness", "SELECT robot_id, min(seq) AS ready_at FROM (SELECT robot_id, seq, ok + coalesce(lag(ok) OVER (PARTITION BY robot_id ORDER BY seq), 0) AS run FROM (SELECT robot_id, row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) AS seq, CASE WHEN status >= 0 THEN 1 ELSE 0 END AS ok FROM {gps_fix}) a) b WHERE run = 2 GROUP BY robot_id")
@@ -91,7 +103,6 @@ def register() -> None:
     )
     statement("i9_step_limit", "SELECT robot_id, seq, lat FROM {track} WHERE seq <= 5", {"lat": 9})
     statement("i10_log_cap", "SELECT robot_id, event_id FROM (SELECT robot_id, event_id, row_number() OVER (PARTITION BY robot_id ORDER BY event_id DESC) AS rn FROM {gps_fix}) q WHERE rn <= 500")
-    statement("i2_along_sort", "SELECT f, i, row_number() OVER (PARTITION BY f ORDER BY x1 + x2, i) AS pos FROM {outer_edges}")
     statement("j5_row_concatenation", "SELECT robot_id AS k, seq AS i FROM {track} UNION ALL SELECT mission_id, i FROM {waypoints}")
     statement("j7_edge_set", "SELECT DISTINCT least(robot_id, k) AS a, greatest(robot_id, k) AS b FROM {gps_fix} WHERE robot_id <> k")
     # -- streams seen as batches -----------------------------------------------------------------------------------
@@ -127,7 +138,8 @@ def register() -> None:
     # -- item tree -------------------------------------------------------------------------------------------------
     tree = """WITH RECURSIVE t AS (SELECT CAST(0 AS BIGINT) AS depth, robot_id AS id, robot_id AS root, 1e0 AS opacity FROM (SELECT DISTINCT user_id AS robot_id FROM {events} WHERE user_id < 4) r
         UNION ALL SELECT depth + 1, c.id, root, opacity * (0.9e0 - (c.id % 5) / 50e0) FROM t JOIN (SELECT DISTINCT user_id AS id, CAST(floor(user_id / 4e0) AS BIGINT) AS parent FROM {events} WHERE user_id >= 4) c ON c.parent = t.id) SELECT id, root, depth, opacity FROM t"""
-    statement("c26_effective_opacity", tree, {"opacity": 8})
+    items = "SELECT id, CASE WHEN id >= 4 THEN CAST(floor(id / 4e0) AS BIGINT) END AS parent, CASE WHEN id < 4 THEN 1e0 ELSE 0.9e0 - (id % 5) / 50e0 END AS own FROM (SELECT DISTINCT user_id AS id FROM {events}) u"
+    operator("c26_effective_opacity", tree, {"opacity": 8})(lambda t: trees.effective(t.sql(items)))
     statement("o5_item_tree", "SELECT p.id AS parent, count(c.id) AS children FROM (SELECT DISTINCT user_id AS id FROM {events}) p LEFT JOIN (SELECT DISTINCT user_id AS id, CAST(floor(user_id / 4e0) AS BIGINT) AS parent FROM {events}) c ON c.parent = p.id GROUP BY p.id")
 
 

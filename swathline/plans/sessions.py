@@ -73,6 +73,10 @@ def register() -> None:
     operator("p14_contour_mode", f"SELECT robot_id, max(contour) AS most, count(CASE WHEN outcome = 'closed' THEN 1 END) AS contours FROM ({contour}) q GROUP BY robot_id")(
         lambda t: drawing.sessions(t.sql(_CONTOUR), "contour").groupBy("robot_id").agg(F.max("contour").alias("most"), F.count_if(F.col("outcome") == "closed").alias("contours"))
     )
+    # Layers from what feeds them, in drawing order: contours, holes, open drafts of cutouts, routes, robots.
+    last = "SELECT robot_id, drafted, row_number() OVER (PARTITION BY robot_id ORDER BY seq DESC) AS rn FROM"
+    rows = "SELECT 0 AS z, 'main' AS layer, count(DISTINCT f) AS items FROM {field_vertices} UNION ALL SELECT 1, 'cutout', count(DISTINCT f) FROM {cutout_vertices} UNION ALL SELECT 2, 'draft', count(*) FROM drafts UNION ALL SELECT 3, 'route', count(DISTINCT mission_id) FROM {waypoints} UNION ALL SELECT 4, 'robot', count(DISTINCT robot_id) FROM {gps_fix} WHERE status >= 0"
+    operator("p18_layers", f"WITH drafts AS MATERIALIZED (SELECT * FROM ({last} ({cutout}) s) q WHERE rn = 1 AND drafted > 0) {rows}")(lambda t: drawing.layers(t["field_vertices"], t["cutout_vertices"], drawing.sessions(t.sql(_CUTOUT), "cutout"), t["waypoints"], t["gps_fix"]))
     operator("o3_tile_state", _TILES)(lambda t: drawing.tile_states(t.sql(_TILE_STEPS)))
     operator("a10_parameters", _parameters(), {"value": 6})(lambda t: parameters.parameters(t.sql(_OVERRIDES)))
     _streams()

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -43,16 +44,16 @@ class _Kept(NamedTuple):
 _KEPT: dict[tuple, _Kept] = {}
 
 
-def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], counts: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, float]]:
+def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], counts: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, float]]:
     """The table that ``make`` gives, written once per application and key, and its metrics.
 
-    ``counts`` are aggregates that Spark observes in the pass that writes the table.
+    ``counts`` are SQL aggregates that Spark observes in the pass that writes the table.
     """
     key = (spark.sparkContext.applicationId, *key)
     if key not in _KEPT:
         df, path = make(), f"{folder(spark)}/{uuid.uuid4().hex}"
         seen = Observation()
-        observed = df.observe(seen, *[c.alias(k) for k, c in counts.items()]) if counts else df
+        observed = df.observe(seen, *[F.expr(c).alias(k) for k, c in counts.items()]) if counts else df
         observed.write.parquet(path)
         _KEPT[key] = _Kept(path, df.schema, {k: float(v or 0) for k, v in seen.get.items()} if counts else {})
     found = _KEPT[key]
