@@ -85,11 +85,11 @@ def register() -> None:
     statement("c18_point_on_contour", f"SELECT id, p.f, bool_or({_DIST} <= 1e0) AS on_contour FROM {{points}} p JOIN {{outer_edges}} e ON p.f = e.f GROUP BY id, p.f")
     statement("c19_near_duplicate_fixes", "SELECT robot_id, seq, (lat - plat) * (lat - plat) + (lon - plon) * (lon - plon) < 1e-14 AS same FROM (SELECT *, lag(lat) OVER (PARTITION BY robot_id ORDER BY seq) AS plat, lag(lon) OVER (PARTITION BY robot_id ORDER BY seq) AS plon FROM {track}) t WHERE plat IS NOT NULL")
     statement("c27_hit_test", "SELECT p.id, p.f FROM {points} p JOIN (SELECT f, min(x1) AS a, max(x1) AS b, min(y1) AS c, max(y1) AS d FROM {outer_edges} GROUP BY f) r ON p.f = r.f AND px BETWEEN a AND b AND py BETWEEN c AND d")
-    pairs = f"SELECT a.f, a.ring, a.i, b.i AS j, {planar.side_point(meet[0], ('a.x1', 'a.y1', 'a.x2', 'a.y2'))[0]} AS x, {planar.side_point(meet[0], ('a.x1', 'a.y1', 'a.x2', 'a.y2'))[1]} AS y FROM {{edges}} a JOIN {{edges}} b ON a.f = b.f AND a.ring = b.ring AND b.i > a.i + 1 AND NOT (a.i = 0 AND b.i = a.n - 1) WHERE {hit}"
-    operator("f9_self_intersections", pairs, {"x": 6, "y": 6})(lambda t: regions.self_intersections(t["edges"]))
-    statement("g12_intersection_list", f"SELECT e.f, count(p.i) AS n FROM (SELECT DISTINCT f FROM {{edges}}) e LEFT JOIN ({pairs}) p ON e.f = p.f GROUP BY e.f")
+    pairs = f"SELECT a.f, a.ring, a.i, b.i AS j, {planar.side_point(meet[0], ('a.x1', 'a.y1', 'a.x2', 'a.y2'))[0]} AS x, {planar.side_point(meet[0], ('a.x1', 'a.y1', 'a.x2', 'a.y2'))[1]} AS y FROM {{drawn_edges}} a JOIN {{drawn_edges}} b ON a.f = b.f AND a.ring = b.ring AND b.i > a.i + 1 AND NOT (a.i = 0 AND b.i = a.n - 1) WHERE {hit}"
+    operator("f9_self_intersections", pairs, {"x": 6, "y": 6})(lambda t: regions.self_intersections(t["drawn_edges"]))
+    statement("g12_intersection_list", f"SELECT e.f, count(p.i) AS n FROM (SELECT DISTINCT f FROM {{drawn_edges}}) e LEFT JOIN ({pairs}) p ON e.f = p.f GROUP BY e.f")
     statement("f10_new_edge_check", f"SELECT a.f, a.i, count(CASE WHEN {hit} THEN 1 END) AS hits FROM {{outer_edges}} a LEFT JOIN {{outer_edges}} b ON a.f = b.f AND b.i < a.i - 1 AND NOT (b.i = 0 AND a.i = a.n - 1) GROUP BY a.f, a.i")
-    statement("a3_valid_contours", f"SELECT f FROM (SELECT DISTINCT f FROM {{edges}}) e WHERE f NOT IN (SELECT f FROM ({pairs}) p)")
+    statement("a3_valid_contours", f"SELECT f FROM (SELECT DISTINCT f FROM {{drawn_edges}}) e WHERE f NOT IN (SELECT f FROM ({pairs}) p)")
     statement("f6_hole_owner", "SELECT h.f, h.ring, min(o.ring) AS owner FROM (SELECT DISTINCT f, ring FROM {edges} WHERE ring > 0) h JOIN (SELECT DISTINCT f, ring FROM {edges} WHERE ring = 0) o ON h.f = o.f GROUP BY h.f, h.ring")
     operator("f14_click_snap", f"SELECT id, f, x, y FROM ({_near('{clicks}')}) WHERE dist <= 1e0 * 10 AND ring = 0", {"x": 6, "y": 6})(lambda t: regions.anchors(t["clicks"], t["edges"], ["id"]).where("dist <= 10e0 AND ring = 0").select("id", "f", "x", "y"))
     statement("g8_ring_counts", "SELECT f, count(CASE WHEN area > 0 THEN 1 END) AS outers, count(CASE WHEN area < 0 THEN 1 END) AS holes FROM (SELECT f, ring, sum(x1 * y2 - x2 * y1) AS area FROM {edges} GROUP BY f, ring) r GROUP BY f")

@@ -436,8 +436,9 @@ def _register_details() -> None:
         FROM (SELECT f, ring, place, outer_place, hop, k, ux + (vx - ux) * k / 16e0 AS px, uy + (vy - uy) * k / 16e0 AS py FROM spans CROSS JOIN (SELECT {{explode:0,16}} AS k) n WHERE hop <= 5e0) c JOIN sides s ON c.f = s.f GROUP BY ALL) q
         GROUP BY f, ring, place, outer_place, hop HAVING min(CASE WHEN ok THEN 1 ELSE 0 END) = 1"""
     spanned = _sql("SELECT 1", "sides").removesuffix("SELECT 1").rstrip() + f", arcs AS ({_ARCS}), samples AS ({sample}), spans AS ({spans}), clear AS ({clear})"
-    operator("f7_bridge_candidates", f"{spanned} SELECT f, ring, place, outer_place, hop FROM clear", {"place": 4, "outer_place": 4, "hop": 5})(lambda t: routes.bridges(t["edges"]).select("f", "ring", "place", "outer_place", "hop"))
-    operator("k11_best_bridge", f"{spanned} SELECT f, ring, min(hop) AS hop, count(*) AS candidates FROM clear GROUP BY f, ring", {"hop": 5})(lambda t: routes.bridges(t["edges"]).groupBy("f", "ring").agg(F.min("hop").alias("hop"), F.count("*").alias("candidates")))
+    close = spanned.replace("{edges}", "{close_edges}")
+    operator("f7_bridge_candidates", f"{close} SELECT f, ring, place, outer_place, hop FROM clear", {"place": 4, "outer_place": 4, "hop": 5})(lambda t: routes.bridges(t["close_edges"]).select("f", "ring", "place", "outer_place", "hop"))
+    operator("k11_best_bridge", f"{close} SELECT f, ring, min(hop) AS hop, count(*) AS candidates FROM clear GROUP BY f, ring", {"hop": 5})(lambda t: routes.bridges(t["close_edges"]).groupBy("f", "ring").agg(F.min("hop").alias("hop"), F.count("*").alias("candidates")))
     operator("f4_shell_semi_join", _sql(f"SELECT DISTINCT l.f, l.src, l.dst FROM links l JOIN ({shell}) a ON l.f = a.f AND l.src = a.node JOIN ({shell}) b ON l.f = b.f AND l.dst = b.node AND a.ring = b.ring AND a.side = b.side AND abs(a.i - b.i) <= 1", "links"))(_near_shells)
 
 

@@ -14,6 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("nation", "customer", "supplier", "orders", "lineitem", "events", "documents", "embeddings")
 
+
+
+def _edges(vertices: str) -> str:
+    """Sides of rings of a view, or a query in brackets: one row per side, to the next vertex of the ring or back to its first."""
+    source = vertices if vertices.startswith("(") else f"{{{vertices}}}"
+    return f"""
+        SELECT f, ring, i, n, x AS x1, y AS y1, x2, y2, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS len
+        FROM (SELECT *, coalesce(lead(x) OVER (PARTITION BY f, ring ORDER BY i), first_value(x) OVER (PARTITION BY f, ring ORDER BY i)) AS x2,
+            coalesce(lead(y) OVER (PARTITION BY f, ring ORDER BY i), first_value(y) OVER (PARTITION BY f, ring ORDER BY i)) AS y2 FROM {source} w) v"""
+
+
 VIEWS = {
     # One reading per event: position within 0.001 degrees of (55, 37); no fix at errors.
     "gps_fix": """
@@ -53,10 +64,7 @@ VIEWS = {
     "region_vertices": """
         SELECT f, 0 AS ring, i, n, x, y FROM {field_vertices} UNION ALL SELECT f, 1 AS ring, i, n, x, y FROM {cutout_vertices}""",
     # The edge table: one row per side, to the next vertex of the ring or back to its first.
-    "edges": """
-        SELECT f, ring, i, n, x AS x1, y AS y1, x2, y2, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS len
-        FROM (SELECT *, coalesce(lead(x) OVER (PARTITION BY f, ring ORDER BY i), first_value(x) OVER (PARTITION BY f, ring ORDER BY i)) AS x2,
-            coalesce(lead(y) OVER (PARTITION BY f, ring ORDER BY i), first_value(y) OVER (PARTITION BY f, ring ORDER BY i)) AS y2 FROM {region_vertices}) v""",
+    "edges": _edges("region_vertices"),
     # Rectangles that meet the contours: a hole inside, a road across, or a bite at the first vertex.
     "patches": """
         SELECT f, CASE f % 3 WHEN 0 THEN 'hole' WHEN 1 THEN 'road' ELSE 'bite' END AS kind,
@@ -74,10 +82,13 @@ VIEWS = {
             FROM (SELECT s_suppkey AS f FROM {supplier} WHERE s_suppkey % 2 = 0) s CROSS JOIN (SELECT {explode:0,3} AS i) t
         UNION ALL SELECT f, 4 AS ring, i, 4 AS n, CASE WHEN i IN (0, 3) THEN 128e0 ELSE 112e0 END AS x, (f % 3 - 1) * 40e0 + CASE WHEN i IN (0, 1) THEN -8e0 ELSE 8e0 END AS y
             FROM (SELECT s_suppkey AS f FROM {supplier} WHERE s_suppkey % 4 = 0) s CROSS JOIN (SELECT {explode:0,3} AS i) t""",
-    "nested_edges": """
-        SELECT f, ring, i, n, x AS x1, y AS y1, x2, y2, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS len
-        FROM (SELECT *, coalesce(lead(x) OVER (PARTITION BY f, ring ORDER BY i), first_value(x) OVER (PARTITION BY f, ring ORDER BY i)) AS x2,
-            coalesce(lead(y) OVER (PARTITION BY f, ring ORDER BY i), first_value(y) OVER (PARTITION BY f, ring ORDER BY i)) AS y2 FROM {nested_vertices}) v""",
+    "nested_edges": _edges("nested_vertices"),
+    # Contours that cross themselves in every fifth field, where two vertices are drawn in the wrong order.
+    "drawn_edges": _edges("(SELECT f, ring, CASE WHEN f % 5 = 0 AND ring = 0 AND i = 1 THEN 2 WHEN f % 5 = 0 AND ring = 0 AND i = 2 THEN 1 ELSE i END AS i, n, x, y FROM {region_vertices})"),
+    # A hole a few metres inside the first side of every second field.
+    "close_edges": _edges("""(SELECT f, 0 AS ring, i, n, x, y FROM {field_vertices} UNION ALL SELECT f, 1 AS ring, i, 4 AS n, cx + CASE WHEN i IN (0, 3) THEN -2e0 ELSE 2e0 END AS x, cy + CASE WHEN i IN (0, 1) THEN 2e0 ELSE -2e0 END AS y
+        FROM (SELECT f, mx - 6e0 * mx / sqrt(mx * mx + my * my) AS cx, my - 6e0 * my / sqrt(mx * mx + my * my) AS cy FROM (
+            SELECT f, avg(x) AS mx, avg(y) AS my FROM {field_vertices} WHERE i < 2 AND f % 2 = 0 GROUP BY f) m) h CROSS JOIN (SELECT {explode:0,3} AS i) t)"""),
     "outer_edges": "SELECT * FROM {edges} WHERE ring = 0",
     # Customers as points near the fields, as many fields as suppliers; suppliers as clicks.
     "points": """
