@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import written
 
-__all__ = ["CHARS_AT_ONCE", "held", "portions", "stretches", "table", "texts_of", "written"]
+__all__ = ["CHARS_AT_ONCE", "held", "portions", "release", "stretches", "table", "texts_of", "written"]
 
 #: Characters of text that one NumPy pass takes at once, so that a batch of long documents stays small in memory.
 CHARS_AT_ONCE = 4_000_000
@@ -68,3 +68,11 @@ def held(token: str, make: Callable[[], Any]) -> Any:
         _HELD.clear()
         _HELD[token] = make()
     return _HELD[token]
+
+
+def release() -> None:
+    """Drops what an earlier job's tasks hold in this worker; for tasks that hold nothing themselves and need the room."""
+    import pyarrow as pa
+
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()

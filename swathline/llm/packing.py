@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import release, texts_of, written
 
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -80,6 +80,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = END) -> DataFrame:
     """One row of ``PIECES`` per piece: a narrow pass that reads each text once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         encoder = Encoder()
         for pdf in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import release, texts_of, written
 
 SCHEMA = "doc_id bigint, fingerprint string, component_id bigint"
 SHINGLE, SEED, FAN = 3, 42, 8
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, *others: Column) -> DataFrame:
     more = bool(others)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             fp = np.fromiter((fingerprint(t) for t in texts_of(pdf["text"])), np.uint64, len(pdf))
             out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "fp": fp.view(np.int64)})
