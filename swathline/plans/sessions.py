@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drawing
+from ..operators import camera, drawing
 from ..sources import parameters
 from ..sources.fixtures import duckdb_sql
 from ..streaming import clock, follow
@@ -65,6 +65,12 @@ def _parameters() -> str:
     return f"WITH p AS ({read}) SELECT p.robot_id, p.name, CASE WHEN p.name = 'settle_timeout_s' THEN greatest(p.value, s.value) ELSE p.value END AS value FROM p JOIN p s ON p.robot_id = s.robot_id AND s.name = 'settle_min_s'"
 
 
+#: Camera actions of each robot's session, from its fixes.
+_ACTIONS = """SELECT robot_id, seq, kind, CASE kind WHEN 'scale_by' THEN 0.75e0 + (k % 8) * pi() / 31e0 WHEN 'scale_to' THEN 0.5e0 + (k % 7) * pi() / 13e0 ELSE k * 3e0 - 150e0 END AS p, (k * 7 % 100) - 50e0 AS q FROM (
+    SELECT robot_id, k, row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) AS seq,
+        CASE event_id % 11 WHEN 0 THEN 'scale_to' WHEN 1 THEN 'rotate_to' WHEN 2 THEN 'move_to' WHEN 3 THEN 'rotate_by' WHEN 4 THEN 'rotate_by' WHEN 5 THEN 'scale_by' WHEN 6 THEN 'scale_by' ELSE 'drag' END AS kind FROM {gps_fix}) e"""
+
+
 def register() -> None:
     contour = _walk(_CONTOUR, _CONTOUR_DID, "'cancelled', 'removed', 'closed', 'intersects'")
     cutout = _walk(_CUTOUT, _CUTOUT_DID, "'cleared', 'undone', 'none', 'added'")
@@ -77,6 +83,11 @@ def register() -> None:
     last = "SELECT robot_id, drafted, row_number() OVER (PARTITION BY robot_id ORDER BY seq DESC) AS rn FROM"
     rows = "SELECT 0 AS z, 'main' AS layer, count(DISTINCT f) AS items FROM {field_vertices} UNION ALL SELECT 1, 'cutout', count(DISTINCT f) FROM {cutout_vertices} UNION ALL SELECT 2, 'draft', count(*) FROM drafts UNION ALL SELECT 3, 'route', count(DISTINCT mission_id) FROM {waypoints} UNION ALL SELECT 4, 'robot', count(DISTINCT robot_id) FROM {gps_fix} WHERE status >= 0"
     operator("p18_layers", f"WITH drafts AS MATERIALIZED (SELECT * FROM ({last} ({cutout}) s) q WHERE rn = 1 AND drafted > 0) {rows}")(lambda t: drawing.layers(t["field_vertices"], t["cutout_vertices"], drawing.sessions(t.sql(_CUTOUT), "cutout"), t["waypoints"], t["gps_fix"]))
+    walk = f"""WITH RECURSIVE a AS MATERIALIZED ({_ACTIONS}), w AS (SELECT DISTINCT robot_id, CAST(0 AS BIGINT) AS seq, 1e0 AS scale, 0e0 AS azimuth, 0e0 AS x, 0e0 AS y FROM a
+        UNION ALL SELECT w.robot_id, a.seq, CASE kind WHEN 'scale_by' THEN scale * p WHEN 'scale_to' THEN p ELSE scale END, CASE kind WHEN 'rotate_by' THEN azimuth + p WHEN 'rotate_to' THEN p ELSE azimuth END,
+            CASE kind WHEN 'move_to' THEN p WHEN 'drag' THEN x - (p * cos(radians(azimuth)) - q * sin(radians(azimuth))) / scale ELSE x END, CASE kind WHEN 'move_to' THEN q WHEN 'drag' THEN y - (p * sin(radians(azimuth)) + q * cos(radians(azimuth))) / scale ELSE y END
+        FROM w JOIN a ON a.robot_id = w.robot_id AND a.seq = w.seq + 1) SELECT * FROM w WHERE seq > 0"""
+    operator("n6_camera_chain", walk, {"scale": 5, "azimuth": 4, "x": 3, "y": 3})(lambda t: camera.states(t.sql(_ACTIONS)))
     operator("o3_tile_state", _TILES)(lambda t: drawing.tile_states(t.sql(_TILE_STEPS)))
     operator("a10_parameters", _parameters(), {"value": 6})(lambda t: parameters.parameters(t.sql(_OVERRIDES)))
     _streams()

@@ -101,3 +101,22 @@ def test_connectors_of_a_route(spark):
         pts = list(zip(r.xs, r.ys))
         assert r.cost >= 0 and pts[-1] in {(1.0, 1.0), (2.0, 9.0), (0.0, 0.0)}
     assert (whole.xs[0], whole.ys[0]) == (0.0, 0.0) == (whole.xs[-1], whole.ys[-1])
+
+
+def test_camera_states_follow_each_action(spark):
+    import math
+
+    from swathline.operators import camera
+
+    actions = [("drag", 10, 0), ("scale_by", 2, 0), ("drag", 10, 0), ("rotate_by", 90, 0), ("drag", 4, 0), ("rotate_by", -30, 0), ("scale_to", 4, 0), ("scale_by", 0.5, 0), ("move_to", 7, 8), ("drag", 0, 6), ("rotate_to", 10, 0), ("rotate_by", 5, 0)]
+    rows = [(r, i + 1, k, float(p), float(q)) for r in (1, 2) for i, (k, p, q) in enumerate(actions[: 12 if r == 1 else 5])]
+    got = {(g.robot_id, g.seq): g for g in camera.states(spark.createDataFrame(rows, "robot_id long, seq long, kind string, p double, q double")).collect()}
+    for robot in (1, 2):
+        scale, azimuth, x, y = 1.0, 0.0, 0.0, 0.0
+        for _, seq, kind, p, q in (r for r in rows if r[0] == robot):
+            scale = scale * p if kind == "scale_by" else p if kind == "scale_to" else scale
+            azimuth = azimuth + p if kind == "rotate_by" else p if kind == "rotate_to" else azimuth
+            c, s = math.cos(math.radians(azimuth)), math.sin(math.radians(azimuth))
+            x, y = (p, q) if kind == "move_to" else (x - (p * c - q * s) / scale, y - (p * s + q * c) / scale) if kind == "drag" else (x, y)
+            g = got[robot, seq]
+            assert (g.scale, g.azimuth, g.x, g.y) == pytest.approx((scale, azimuth, x, y))
