@@ -88,7 +88,11 @@ def ema(points: DataFrame, keys: list[str], order: str, value: str, alpha: float
 
 
 def stale_markers(before: DataFrame, now: DataFrame, missions: DataFrame) -> DataFrame:
-    """(mission_id, ns, id, action): deletes of markers (mission_id, ns, id) that the last publish had and this one has not, and of the markers of earlier versions."""
+    """(mission_id, ns, id, action): deletes of markers (mission_id, ns, id) that the last publish had and this one has not, and of the markers of earlier versions.
+
+    Both publishes are shuffled: a route's arrows are a hundred times its waypoints,
+    by whose file Spark would take them for small and send them whole through the driver.
+    """
     old = F.explode(F.array(F.struct(F.lit("waypoints_route_line").alias("ns"), F.lit(4000).alias("id")), F.struct(F.lit("robot_target_line").alias("ns"), F.lit(4001).alias("id"))))
-    gone = before.join(now, ["mission_id", "ns", "id"], "left_anti").select("mission_id", "ns", "id")
+    gone = before.join(now.hint("merge"), ["mission_id", "ns", "id"], "left_anti").select("mission_id", "ns", "id")
     return gone.unionByName(missions.select("mission_id", old.alias("m")).select("mission_id", "m.ns", "m.id")).withColumn("action", F.lit("DELETE"))

@@ -229,3 +229,10 @@ def test_observed_metrics_equal_recounted_tables(spark, sf_dir):
     assert got[4, "merged"] == p.merged.where("merged <> comp").count()
     assert got[0, "area"] == pytest.approx(sum(r.area for r in regions.ring_stats(p.edges).collect()))
     assert got[7, "used"] == p.routes.agg(F.sum("used")).first()[0]
+
+
+def test_stale_markers_send_no_publish_through_the_driver(spark):
+    publish = lambda n: spark.range(n).selectExpr("id % 3 AS mission_id", "'route' AS ns", "id")
+    gone = commands.stale_markers(publish(12), publish(9), spark.range(3).selectExpr("id AS mission_id"))
+    assert "Broadcast" not in gone._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in gone.where("ns = 'route'").collect()) == [9, 10, 11]
