@@ -7,7 +7,9 @@ that can be a join or a window (stripes, links, components) is done before.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -23,49 +25,94 @@ COVERAGE = "f bigint, rows int, leg double, back double, xs array<double>, ys ar
 TOURS = "f bigint, step int, comp bigint, phase int, island int, reverse boolean, cost double, ahead double, score double, xs array<double>, ys array<double>"
 ROUTES = "f bigint, ok boolean, islands int, used int, unreachable int, links int, phase0 int, xs array<double>, ys array<double>"
 
+_LEG = TOURS.split(", ")[1:]
+VISITS = f"{ROUTES}, legs array<struct<{', '.join(x.replace(' ', ': ', 1) for x in _LEG)}>>"
+_CHORD = np.linspace(0, 1, 17)[:, None]
+
+
+def _apart(p: np.ndarray, q: np.ndarray) -> float:
+    x, y = float(q[0]) - float(p[0]), float(q[1]) - float(p[1])
+    return math.sqrt(x * x + y * y)
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Fields dealt over all shuffle partitions: their few bytes take long, and Spark would join small partitions of them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
+
+
+def _sides(edges: DataFrame) -> DataFrame:
+    return edges.select("f", "ring", "i", "x1", "y1", "x2", "y2", "len")
+
 
 class Region:
-    """Inside tests, nearest boundary places and walks along rings."""
+    """Inside tests, nearest boundary places and walks along rings.
+
+    Places and bridges are kept once found, as the greedy steps ask for the same
+    ends again and again; ``prepare`` finds the places of many points at once.
+    """
+
+    #: Point-side pairs that are looked at together.
+    BLOCK = 1 << 18
 
     def __init__(self, edges: pd.DataFrame, c: PlanConfig):
-        e = edges.sort_values(["ring", "i"])
-        self.a, self.v = e[["x1", "y1"]].to_numpy(), e[["x2", "y2"]].to_numpy() - e[["x1", "y1"]].to_numpy()
-        self.ring, self.len, self.c = e["ring"].to_numpy(), e["len"].to_numpy(), c
-        self.arc = np.zeros(len(e))
+        ring, i = edges["ring"].to_numpy(), edges["i"].to_numpy()
+        order = np.lexsort((i, ring))
+        x1, y1, x2, y2, self.len = (edges[k].to_numpy()[order] for k in ("x1", "y1", "x2", "y2", "len"))
+        self.a = np.stack([x1, y1], axis=1)
+        self.v = np.stack([x2, y2], axis=1) - self.a
+        self.ring, self.c = ring[order], c
+        self.ax, self.ay, self.vx, self.vy = (np.ascontiguousarray(k) for k in (*self.a.T, *self.v.T))
+        self.vv = np.maximum(self.vx * self.vx + self.vy * self.vy, 1e-18)
+        self.arc = np.zeros(len(order))
+        self.own: dict[int, np.ndarray] = {}
         self.total: dict[int, float] = {}
-        for r in np.unique(self.ring):
-            k = self.ring == r
+        for r in np.unique(self.ring).tolist():
+            k = np.flatnonzero(self.ring == r)
+            self.own[r] = k
             self.arc[k] = np.cumsum(self.len[k]) - self.len[k]
-            self.total[int(r)] = float(self.len[k].sum())
+            self.total[r] = float(self.len[k].sum())
+        self.near: dict[tuple[float, float], tuple[int, float, float]] = {}
+        self.spans: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+
+    def places(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each point and side: the nearest place as a share of the side, and its distance."""
+        px, py = p[:, :1], p[:, 1:]
+        t = np.clip(((px - self.ax) * self.vx + (py - self.ay) * self.vy) / self.vv, 0, 1)
+        dx, dy = self.ax + t * self.vx - px, self.ay + t * self.vy - py
+        return t, np.sqrt(dx * dx + dy * dy)
 
     def inside(self, p: np.ndarray) -> np.ndarray:
-        y1, y2 = self.a[:, 1], self.a[:, 1] + self.v[:, 1]
-        cut = (y1[None] > p[:, 1:]) != (y2[None] > p[:, 1:])
+        px, py = p[:, :1], p[:, 1:]
+        cut = (self.ay > py) != (self.ay + self.vy > py)
         with np.errstate(divide="ignore", invalid="ignore"):
-            x = self.v[None, :, 0] * (p[:, 1:] - y1[None]) / self.v[None, :, 1] + self.a[None, :, 0]
-        odd = (cut & (p[:, :1] < x)).sum(1) % 2 == 1
-        return odd | (self.distances(p).min(1) <= 1e-6)
-
-    def places(self, p: np.ndarray) -> np.ndarray:
-        t = ((p[:, None] - self.a[None]) * self.v[None]).sum(2) / np.maximum((self.v**2).sum(1), 1e-18)[None]
-        return np.clip(t, 0, 1)
-
-    def distances(self, p: np.ndarray) -> np.ndarray:
-        return np.linalg.norm(self.a[None] + self.places(p)[..., None] * self.v[None] - p[:, None], axis=2)
+            x = self.vx * (py - self.ay) / self.vy + self.ax
+        found = (cut & (px < x)).sum(1) % 2 == 1
+        rest = np.flatnonzero(~found)
+        if len(rest):
+            found[rest] = self.places(p[rest])[1].min(1) <= 1e-6
+        return found
 
     def chord_inside(self, p: np.ndarray, q: np.ndarray) -> bool:
-        return bool(self.inside(p + np.linspace(0, 1, 17)[:, None] * (q - p)).all())
-
-    def anchor(self, p: np.ndarray, ring: int | None = None) -> tuple[int, float, float]:
+        return bool(self.inside(p + _CHORD * (q - p)).all())
+
+    def prepare(self, p: np.ndarray) -> None:
+        """Find the boundary places of points (x, y)."""
+        for k in range(0, len(p), rows := max(1, self.BLOCK // max(1, len(self.len)))):
+            part = p[k : k + rows]
+            t, d = self.places(part)
+            at, row = d.argmin(1), np.arange(len(part))
+            arcs = self.arc[at] + t[row, at] * self.len[at]
+            self.near.update(zip(map(tuple, part.tolist()), zip(self.ring[at].tolist(), arcs.tolist(), d[row, at].tolist(), strict=True), strict=True))
+
+    def anchor(self, p: np.ndarray) -> tuple[int, float, float]:
         """(ring, arc, distance) of the nearest boundary place."""
-        d = self.distances(p[None])[0]
-        if ring is not None:
-            d = np.where(self.ring == ring, d, np.inf)
-        k = int(d.argmin())
-        return int(self.ring[k]), float(self.arc[k] + self.places(p[None])[0, k] * self.len[k]), float(d[k])
+        key = (float(p[0]), float(p[1]))
+        if key not in self.near:
+            self.prepare(np.array([key]))
+        return self.near[key]
 
     def at(self, ring: int, arc: float) -> np.ndarray:
-        own = np.flatnonzero(self.ring == ring)
+        own = self.own[ring]
         k = own[max(0, int(np.searchsorted(self.arc[own], arc % self.total[ring], side="right")) - 1)]
         return self.a[k] + self.v[k] * min(1.0, (arc % self.total[ring] - self.arc[k]) / max(self.len[k], 1e-12))
 
@@ -75,57 +122,57 @@ class Region:
 
     def walk(self, ring: int, a: float, b: float) -> list[np.ndarray]:
         """Vertices passed on the shorter way from a to b, then the place b; ties go forward."""
-        own, total = np.flatnonzero(self.ring == ring), self.total[ring]
-        ahead = (self.arc[own] - a) % total
+        own, total = self.own[ring], self.total[ring]
         way = (b - a) % total
-        if way <= total - way:
-            order = own[np.argsort(ahead)]
-            passed = [self.a[k] for k in order if 1e-9 < (self.arc[k] - a) % total < way - 1e-9]
-        else:
-            behind = (a - self.arc[own]) % total
-            order = own[np.argsort(behind)]
-            passed = [self.a[k] for k in order if 1e-9 < (a - self.arc[k]) % total < total - way - 1e-9]
-        return [*passed, self.at(ring, b)]
-
-    def connect(self, p: np.ndarray, q: np.ndarray, intra: bool) -> tuple[float, list[np.ndarray]] | None:
-        """Cost and points of a legal connector from p to q, without p; None if there is none."""
-        direct = float(np.linalg.norm(q - p))
+        forward = way <= total - way
+        ahead = (self.arc[own] - a if forward else a - self.arc[own]) % total
+        passed = own[(ahead > 1e-9) & (ahead < (way if forward else total - way) - 1e-9)]
+        ahead = (self.arc[passed] - a if forward else a - self.arc[passed]) % total
+        return [*self.a[passed[np.argsort(ahead)]], self.at(ring, b)]
+
+    def connect(self, p: np.ndarray, q: np.ndarray, intra: bool) -> tuple[float, Callable[[], list[np.ndarray]]] | None:
+        """Cost of a legal connector from p to q, and what gives its points without p; None if there is none."""
+        direct = _apart(p, q)
         if direct < 0.05:
-            return direct, []
+            return direct, list
         cap = min(max(0.5, self.c.direct_max), max(max(0.5, self.c.direct_max), 1.35 * self.c.step)) if intra else 0.0
         if direct <= cap and self.chord_inside(p, q):
-            return direct, [q]
+            return direct, lambda: [q]
         reach = max(1.0, 0.75 * self.c.step)
         (r1, a1, d1), (r2, a2, d2) = self.anchor(p), self.anchor(q)
         if d1 > reach or d2 > reach:
             return None
         if r1 == r2:
-            return d1 + d2 + self.arc_distance(r1, a1, a2), [self.at(r1, a1), *self.walk(r1, a1, a2), q]
+            return d1 + d2 + self.arc_distance(r1, a1, a2), lambda: [self.at(r1, a1), *self.walk(r1, a1, a2), q]
         if intra or (r1 > 0) == (r2 > 0):
             return None
         return self.bridge(q, (r1, a1, d1), (r2, a2, d2))
 
-    def bridge(self, q: np.ndarray, one: tuple, two: tuple) -> tuple[float, list[np.ndarray]] | None:
+    def chords(self, r1: int, r2: int) -> tuple[np.ndarray, ...]:
+        """(u, w, hop) of the short chords inside the region from samples of one ring to another's."""
+        if (r1, r2) not in self.spans:
+            samples = []
+            for r in (r1, r2):
+                own = self.own[r][:: max(1, len(self.own[r]) // 48)]
+                samples.append(np.r_[self.arc[own], self.arc[own] + self.len[own] / 2])
+            pu, pw = (np.array([self.at(r, x) for x in xs]) for r, xs in zip((r1, r2), samples, strict=True))
+            d = pw[None] - pu[:, None]
+            hop = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1])
+            found = [(i, j) for i, j in np.argwhere(hop <= max(0.5, min(2.5 * self.c.step, self.c.direct_max))) if self.chord_inside(pu[i], pw[j])]
+            i, j = np.array(found, int).reshape(-1, 2).T
+            self.spans[r1, r2] = samples[0][i], samples[1][j], hop[i, j]
+        return self.spans[r1, r2]
+
+    def bridge(self, q: np.ndarray, one: tuple, two: tuple) -> tuple[float, Callable[[], list[np.ndarray]]] | None:
         """Along one ring, over a short chord inside the region, along the other."""
         (r1, a1, d1), (r2, a2, d2) = one, two
-        samples = []
-        for r in (r1, r2):
-            own = np.flatnonzero(self.ring == r)[:: max(1, int((self.ring == r).sum()) // 48)]
-            samples.append(np.r_[self.arc[own], self.arc[own] + self.len[own] / 2])
-        longest = max(0.5, min(2.5 * self.c.step, self.c.direct_max))
-        best = None
-        for u in samples[0]:
-            pu = self.at(r1, u)
-            for w in samples[1]:
-                pw = self.at(r2, w)
-                hop = float(np.linalg.norm(pw - pu))
-                score = d1 + self.arc_distance(r1, a1, u) + hop + self.arc_distance(r2, w, a2) + d2
-                if hop <= longest and (best is None or score < best[0]) and self.chord_inside(pu, pw):
-                    best = (score, u, w)
-        if best is None:
+        u, w, hop = self.chords(r1, r2)
+        if not len(hop):
             return None
-        score, u, w = best
-        return score, [self.at(r1, a1), *self.walk(r1, a1, u), self.at(r2, w), *self.walk(r2, w, a2), q]
+        one_way, other_way = (u - a1) % self.total[r1], (a2 - w) % self.total[r2]
+        score = d1 + np.minimum(one_way, self.total[r1] - one_way) + hop + np.minimum(other_way, self.total[r2] - other_way) + d2
+        k = int(score.argmin())
+        return float(score[k]), lambda: [self.at(r1, a1), *self.walk(r1, a1, u[k]), self.at(r2, w[k]), *self.walk(r2, w[k], a2), q]
 
 
 def snakes(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
@@ -133,7 +180,12 @@ def snakes(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) ->
 
     def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         region, out = Region(edges, c), []
-        for comp, own in nodes.groupby("merged", sort=True):
+        ends = nodes[["sx", "sy", "ex", "ey"]].to_numpy()
+        region.prepare(ends.reshape(-1, 2))
+        comps, rows_of = nodes["merged"].to_numpy(), nodes["row"].to_numpy()
+        order = np.lexsort((nodes["node"].to_numpy(), nodes["a0"].to_numpy(), rows_of, comps))
+        for own in _runs(order, comps):
+            comp = comps[own[0]]
             for phase in (0, 1):
                 forward, pts, rows = phase == 0, [], []
 
@@ -143,9 +195,9 @@ def snakes(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) ->
                     pts.clear()
                     rows.clear()
 
-                for row, stripes in own.groupby("row", sort=True):
-                    stripes = stripes.sort_values(["a0", "node"])
-                    left = [(s[:2], s[2:]) if forward else (s[2:], s[:2]) for s in stripes[["sx", "sy", "ex", "ey"]].to_numpy()]
+                for stripes in _runs(own, rows_of):
+                    row = rows_of[stripes[0]]
+                    left = [(s[:2], s[2:]) if forward else (s[2:], s[:2]) for s in ends[stripes]]
                     if not forward:
                         left.reverse()
                     while left:
@@ -158,26 +210,32 @@ def snakes(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) ->
                             if not open_:
                                 flush()
                                 continue
-                            k = min(open_, key=lambda k: float(np.linalg.norm(left[k][0] - pts[-1])))
+                            k = min(open_, key=lambda k: _apart(left[k][0], pts[-1]))
                             start, end = left.pop(k)
                             cost, path = ways[k]
-                            direct = float(np.linalg.norm(start - pts[-1]))
+                            direct = _apart(start, pts[-1])
                             if cost > max(c.intra_limit, 2.5 * direct, 2.5 * c.step):
                                 flush()
                                 pts.append(start)
                             else:
-                                pts.extend(path)
+                                pts.extend(path())
                         pts.append(end)
                         rows.append(int(row))
                     forward = not forward
                 flush()
-        return pd.DataFrame(out, columns=[x.split()[0] for x in CHUNKS.split(", ")])
+        return _rows(out, CHUNKS)
 
-    return nodes.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, CHUNKS)
+    own = nodes.select("f", "merged", "row", "node", "a0", "sx", "sy", "ex", "ey")
+    return _dealt(own).groupBy("f").cogroup(_dealt(_sides(edges)).groupBy("f")).applyInPandas(run, CHUNKS)
+
+
+def _runs(order: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
+    """Places in order, cut where the key changes."""
+    return np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []
 
 
 def _points(row) -> list[np.ndarray]:
-    return [np.array(p) for p in zip(row.xs, row.ys, strict=True)]
+    return list(np.stack([row.xs, row.ys], axis=1))
 
 
 def islands(chunks: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
@@ -185,41 +243,44 @@ def islands(chunks: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -
 
     def run(key: tuple, chunks: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         region, out = Region(edges, c), []
-        for (comp, phase), own in chunks.groupby(["comp", "phase"], sort=True):
+        every = [(ch, _points(ch)) for ch in chunks.sort_values(["comp", "phase", "chunk"]).itertuples()]
+        region.prepare(np.array([p for _, pts in every for p in (pts[0], pts[-1])]).reshape(-1, 2))
+        for (comp, phase), own in groupby(every, key=lambda e: (e[0].comp, e[0].phase)):
             made: list[list] = []
-            for ch in own.sort_values("chunk").itertuples():
-                pts, best = _points(ch), None
+            for ch, pts in own:
+                best = None
                 for isl in made:
                     if min(isl[1], ch.max_row) < max(isl[0], ch.min_row) - 1:
                         continue
                     for flip in (False, True):
                         goal = pts[-1] if flip else pts[0]
                         way = region.connect(isl[3][-1], goal, True)
-                        direct = float(np.linalg.norm(goal - isl[3][-1]))
+                        direct = _apart(goal, isl[3][-1])
                         if way and way[0] <= max(c.intra_limit, 2.5 * direct, 2.5 * c.step) and (best is None or way[0] < best[0]):
                             best = (way[0], isl, flip, way[1])
                 if best is None:
                     made.append([ch.min_row, ch.max_row, 1, pts])
                 else:
                     _, isl, flip, path = best
-                    isl[3] += path + (pts[::-1] if flip else pts)[1:]
+                    isl[3] += path() + (pts[::-1] if flip else pts)[1:]
                     isl[0], isl[1], isl[2] = min(isl[0], ch.min_row), max(isl[1], ch.max_row), isl[2] + 1
             for lo, hi, n, pts in made:
                 out.append((key[0], comp, phase, len(out), lo, hi, n, [p[0] for p in pts], [p[1] for p in pts]))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in ISLANDS.split(", ")])
+        return _rows(out, ISLANDS)
 
-    return chunks.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, ISLANDS)
+    return _dealt(chunks).groupBy("f").cogroup(_dealt(_sides(edges)).groupBy("f")).applyInPandas(run, ISLANDS)
 
 
 def _tour(region: Region, todo: list[tuple], c: PlanConfig) -> tuple[list[tuple], tuple | None, list[int]]:
     """The order in which islands (comp, phase, points) are visited from the contour's first vertex.
 
-    Gives (island, reverse, connector's cost and path, hop after it, score) of each visit, the connector back, and what stays out of reach.
+    Gives (island, reverse, connector's cost and points, hop after it, score) of each visit, the connector back, and what stays out of reach.
     The next island has the best entry cost plus 0.45 of the hop after it, with
     penalties for tiny and far ones; a component's phase is fixed by its first
     island, and the other phase's islands are dropped.
     """
     start = region.at(0, 0.0)
+    region.prepare(np.array([start, *[p for *_, pts in todo for p in (pts[0], pts[-1])]]))
     at, chosen, used, steps = start, {}, set(), []
     while True:
         best = None
@@ -231,7 +292,7 @@ def _tour(region: Region, todo: list[tuple], c: PlanConfig) -> tuple[list[tuple]
                 way = region.connect(at, goal, False)
                 if way is None:
                     continue
-                rest = [min(np.linalg.norm(p[0] - leave), np.linalg.norm(p[-1] - leave)) for j, (cc, ph, p) in enumerate(todo) if j != k and j not in used and chosen.get(cc, ph) == ph]
+                rest = [min(_apart(p[0], leave), _apart(p[-1], leave)) for j, (cc, ph, p) in enumerate(todo) if j != k and j not in used and chosen.get(cc, ph) == ph]
                 ahead = float(min(rest)) if rest else 0.0
                 tiny = 0.5 * c.step if len(pts) <= 4 and way[0] > c.intra_limit else 0.0
                 far = c.long_jump_weight * max(0.0, (way[0] - c.direct_max) / c.step)
@@ -245,49 +306,55 @@ def _tour(region: Region, todo: list[tuple], c: PlanConfig) -> tuple[list[tuple]
         at = pts[0] if flip else pts[-1]
         used.add(k)
         chosen.setdefault(comp, phase)
-        steps.append(best)
+        steps.append((k, flip, (best[2][0], best[2][1]()), *best[3:]))
     back = region.connect(at, start, False) if used else None
+    back = (back[0], back[1]()) if back else None
     return steps, back, [k for k, (comp, phase, _) in enumerate(todo) if k not in used and chosen.get(comp, phase) == phase]
 
 
-def stitched(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig(), decimate: float = 0.02) -> DataFrame:
-    """One route per job (``ROUTES``): from the contour's first vertex through the islands in the order of ``_tour`` and back."""
+def visits(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig(), decimate: float = 0.02) -> DataFrame:
+    """One row per job: its route (``ROUTES``) from the contour's first vertex through the islands in the order of ``_tour`` and back, and ``legs``, its connectors (``TOURS``)."""
 
     def run(key: tuple, isl: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        region = Region(edges, c)
-        todo = [(r.comp, r.phase, _points(r)) for r in isl.sort_values("island").itertuples()]
+        region, own = Region(edges, c), isl.sort_values("island")
+        todo, at = [(r.comp, r.phase, _points(r)) for r in own.itertuples()], own["island"].tolist()
         steps, back, missed = _tour(region, todo, c)
-        route = [region.at(0, 0.0)]
-        for k, flip, way, _, _ in steps:
+        route, legs = [region.at(0, 0.0)], []
+        for n, (k, flip, way, ahead, score) in enumerate(steps):
             pts = todo[k][2]
             route += way[1] + (pts[::-1] if flip else pts)[1:]
-        route += back[1] if back else []
+            legs.append((n, todo[k][0], todo[k][1], at[k], flip, way[0], ahead, score, [p[0] for p in way[1]], [p[1] for p in way[1]]))
+        if back:
+            route += back[1]
+            legs.append((len(steps), None, None, None, None, back[0], None, None, [p[0] for p in back[1]], [p[1] for p in back[1]]))
         kept = route[:1]
         for p in route[1:]:
-            if np.linalg.norm(p - kept[-1]) > decimate:
+            if _apart(kept[-1], p) > decimate:
                 kept.append(p)
-        return _rows([(key[0], len(kept) >= 2, len(todo), len(steps), len(missed), max(0, len(steps) - 1), sum(p == 0 for _, p, _ in todo), [p[0] for p in kept], [p[1] for p in kept])], ROUTES)
+        legs = [dict(zip([x.split()[0] for x in _LEG], leg, strict=True)) for leg in legs]
+        return _rows([(key[0], len(kept) >= 2, len(todo), len(steps), len(missed), max(0, len(steps) - 1), sum(p == 0 for _, p, _ in todo), [p[0] for p in kept], [p[1] for p in kept], legs)], f"{ROUTES}, legs")
 
-    return isl.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, ROUTES)
+    return _dealt(isl).groupBy("f").cogroup(_dealt(_sides(edges)).groupBy("f")).applyInPandas(run, VISITS)
 
 
-def tours(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
-    """The connectors of a route (``TOURS``), one per visit in order, from the approach to the first island; the last, without an island, leads back."""
+def routes_of(found: DataFrame) -> DataFrame:
+    """The routes (``ROUTES``) of ``visits``."""
+    return found.drop("legs")
 
-    def run(key: tuple, isl: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        own = isl.sort_values("island")
-        todo = [(r.comp, r.phase, _points(r)) for r in own.itertuples()]
-        if not todo or not len(edges):
-            return _rows([], TOURS)
-        steps, back, _ = _tour(Region(edges, c), todo, c)
-        at, out = own["island"].tolist(), []
-        for n, (k, flip, way, ahead, score) in enumerate(steps):
-            out.append((key[0], n, todo[k][0], todo[k][1], at[k], flip, way[0], ahead, score, [p[0] for p in way[1]], [p[1] for p in way[1]]))
-        if back:
-            out.append((key[0], len(steps), None, None, None, None, back[0], None, None, [p[0] for p in back[1]], [p[1] for p in back[1]]))
-        return _rows(out, TOURS)
 
-    return isl.groupBy("f").cogroup(edges.groupBy("f")).applyInPandas(run, TOURS)
+def legs_of(found: DataFrame) -> DataFrame:
+    """The connectors (``TOURS``) of ``visits``, one per visit in order, from the approach to the first island; the last, without an island, leads back."""
+    return found.select("f", F.explode("legs").alias("leg")).select("f", "leg.*")
+
+
+def stitched(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig(), decimate: float = 0.02) -> DataFrame:
+    """One route per job (``ROUTES``)."""
+    return routes_of(visits(isl, edges, c, decimate))
+
+
+def tours(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
+    """The connectors of each job's route (``TOURS``)."""
+    return legs_of(visits(isl, edges, c))
 
 
 def chunk_candidates(chunks: DataFrame) -> DataFrame:
@@ -414,32 +481,34 @@ def simplified(nodes: DataFrame, edges: DataFrame, starts: DataFrame, c: PlanCon
         region, route = Region(edges, c), []
 
         def add(p: np.ndarray) -> None:
-            if not route or np.linalg.norm(p - route[-1]) > 0.02:
+            if not route or _apart(route[-1], p) > 0.02:
                 route.append(p)
 
-        for _, row in nodes.groupby("row", sort=True):
-            ends = row.sort_values(["a0", "node"])[["sx", "sy", "ex", "ey"]].to_numpy()
-            forward = not route or np.linalg.norm(ends[0, :2] - route[-1]) <= np.linalg.norm(ends[-1, 2:] - route[-1])
+        every, rows_of = nodes[["sx", "sy", "ex", "ey"]].to_numpy(), nodes["row"].to_numpy()
+        region.prepare(every.reshape(-1, 2))
+        for own in _runs(np.lexsort((nodes["node"].to_numpy(), nodes["a0"].to_numpy(), rows_of)), rows_of):
+            ends = every[own]
+            forward = not route or _apart(ends[0, :2], route[-1]) <= _apart(ends[-1, 2:], route[-1])
             for e in ends if forward else ends[::-1]:
                 first, last = (e[:2], e[2:]) if forward else (e[2:], e[:2])
                 way = region.connect(route[-1], first, True) if route else None
-                for p in way[1] if way else [first]:
+                for p in way[1]() if way else [first]:
                     add(p)
                 add(last)
         ring, arc, _ = region.anchor(start[0])
         place = region.at(ring, arc)
-        if np.linalg.norm(route[-1] - place) < np.linalg.norm(route[0] - place):
+        if _apart(route[-1], place) < _apart(route[0], place):
             route.reverse()
 
         def leg(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
             (r1, u, _), (r2, v, _) = region.anchor(p), region.anchor(q)
             return [region.at(r1, u), *region.walk(r1, u, v), q] if r1 == r2 else [q]
 
-        length = lambda pts: float(sum(np.linalg.norm(b - a) for a, b in zip(pts, pts[1:])))
+        length = lambda pts: float(sum(_apart(a, b) for a, b in zip(pts, pts[1:])))
         there, back = [start[0], *leg(start[0], route[0])], [route[-1], *leg(route[-1], start[0])]
         whole = [*there, *route[1:], *back[1:]]
         return _rows([(key[0], nodes["row"].nunique(), length(there), length(back), [p[0] for p in whole], [p[1] for p in whole])], COVERAGE)
 
     at = starts.selectExpr("f", "CAST(NULL AS INT) AS ring", "CAST(NULL AS INT) AS i", "px AS x1", "py AS y1", "CAST(NULL AS DOUBLE) AS x2", "CAST(NULL AS DOUBLE) AS y2", "CAST(NULL AS DOUBLE) AS len")
     rest = edges.select("f", "ring", "i", "x1", "y1", "x2", "y2", "len").union(at)
-    return nodes.select("f", "node", "row", "a0", "sx", "sy", "ex", "ey").groupBy("f").cogroup(rest.groupBy("f")).applyInPandas(run, COVERAGE)
+    return _dealt(nodes.select("f", "node", "row", "a0", "sx", "sy", "ex", "ey")).groupBy("f").cogroup(_dealt(rest).groupBy("f")).applyInPandas(run, COVERAGE)

@@ -320,8 +320,9 @@ class FullPlan(Steps):
         "merged": Step(4, lambda p: graph.merged(p.comps, p.edges), {"merged": "count_if(merged <> comp)", "nodes": _ROWS}),
         "chunks": Step(5, lambda p: routes.snakes(p.merged, p.edges), {"chunks": _ROWS}),
         "islands": Step(6, lambda p: routes.islands(p.chunks, p.edges), {"islands": _ROWS, "chunks": "sum(chunks)"}),
-        "routes": Step(7, lambda p: routes.stitched(p.islands, p.edges), {"fields": _ROWS, "used": "sum(used)", "unreachable": "sum(unreachable)"}),
-        "tours": Step(8, lambda p: routes.tours(p.islands, p.edges), {"legs": _ROWS, "points": "sum(size(xs))"}),
+        "visits": Step(7, lambda p: routes.visits(p.islands, p.edges), {}),
+        "routes": Step(7, lambda p: routes.routes_of(p.visits), {"fields": _ROWS, "used": "sum(used)", "unreachable": "sum(unreachable)"}),
+        "tours": Step(8, lambda p: routes.legs_of(p.visits), {"legs": _ROWS, "points": "sum(size(xs))"}),
     }
 
 

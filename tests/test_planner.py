@@ -236,3 +236,21 @@ def test_stale_markers_send_no_publish_through_the_driver(spark):
     gone = commands.stale_markers(publish(12), publish(9), spark.range(3).selectExpr("id AS mission_id"))
     assert "Broadcast" not in gone._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.id for r in gone.where("ns = 'route'").collect()) == [9, 10, 11]
+
+
+def test_small_fields_are_dealt_over_all_tasks_and_toured_once(spark):
+    ring = overlay.inset([square(0, 0, 40)], 2)
+    e = arrangement.edges_of(spark.createDataFrame([r for f in range(8) for r in overlay.frame_of(f, ring).to_dict("records")]))
+    isl = spark.createDataFrame([(f, 0, 0, k, 0, 0, 1, [2.0, 38.0], [4.0 + 8 * k] * 2) for f in range(8) for k in range(3)], routes.ISLANDS)
+    found = routes.visits(isl, e)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    legs = routes.legs_of(found).orderBy("f", "step").collect()
+    route = {r.f: list(zip(r.xs, r.ys, strict=True)) for r in routes.routes_of(found).collect()}
+    assert len(route) == 8 and all(sorted(r.island for r in legs if r.f == f and r.island is not None) == [0, 1, 2] for f in route)
+    for f, points in route.items():  # every connector's points are on the route, in order
+        at = 0
+        for p in [p for r in legs if r.f == f for p in zip(r.xs, r.ys, strict=True)]:
+            near = [k for k in range(at, len(points)) if math.dist(points[k], p) <= 0.02]
+            assert near
+            at = near[0]
+    assert {tuple(route[f]) for f in route} == {tuple(route[0])}
