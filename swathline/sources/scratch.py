@@ -27,7 +27,22 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/swathline-{spark.sparkContext.applicationId}"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Rows that grow with the input: their joins sort and shuffle both sides.
+
+    Spark sizes a side by the files below it. Those of fields and stripes are a
+    hundredth of their rows in memory, and what is exploded counts as what it was
+    made from, so such a side would pass for small and go whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame) -> DataFrame:
+    """Write a result to a table of its own in ``folder`` and read it again; its joins are shuffled."""
+    return shuffled(stored(df))
+
+
+def stored(df: DataFrame) -> DataFrame:
     """Write a result to a table of its own in ``folder`` and read it again."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
@@ -45,7 +60,7 @@ _KEPT: dict[tuple, _Kept] = {}
 
 
 def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], counts: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, float]]:
-    """The table that ``make`` gives, written once per application and key, and its metrics.
+    """The table that ``make`` gives, written once per application and key, and its metrics; its joins are shuffled.
 
     ``counts`` are SQL aggregates that Spark observes in the pass that writes the table.
     """
@@ -57,7 +72,7 @@ def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], counts:
         observed.write.parquet(path)
         _KEPT[key] = _Kept(path, df.schema, {k: float(v or 0) for k, v in seen.get.items()} if counts else {})
     found = _KEPT[key]
-    return spark.read.schema(found.schema).parquet(found.path), found.metrics
+    return shuffled(spark.read.schema(found.schema).parquet(found.path)), found.metrics
 
 
 def clear(spark: SparkSession) -> None:

@@ -254,3 +254,9 @@ def test_small_fields_are_dealt_over_all_tasks_and_toured_once(spark):
             assert near
             at = near[0]
     assert {tuple(route[f]) for f in route} == {tuple(route[0])}
+
+
+def test_scratch_tables_are_joined_by_shuffles(spark):
+    a, b = (written(spark.range(30).selectExpr("id AS f", "id AS v")) for _ in range(2))
+    joined = a.groupBy("f").count().join(b.where("v > 3").select("f", "v"), "f", "left_anti")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 4
