@@ -48,7 +48,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,6 +60,7 @@ from .common import texts_of, written
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint, n_side_tokens bigint, n_repeated_tokens bigint"
 _STREAM = "uid binary, host string, shard bigint, shards bigint, blocks array<string>, places array<string>"
 _FOUND = "uid binary, start int, digest binary, n int, kind string, host string, shard bigint"
+_SHARED = "host string, uid binary, start int, digest binary, n int, size int, inside array<int>"
 #: A main run is boilerplate on half of the host's pages, and on so many at least.
 LEAST_PAGES = 4
 #: Distinct pages that a task remembers, so that it sends copies once.
@@ -335,8 +336,14 @@ def covered(n: int, starts: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def boilerplate(rows: DataFrame, least: int = 8) -> DataFrame:
-    """(host, uid, starts): where windows of ``least`` tokens start in a page that are boilerplate there. ``rows``: ``_STREAM``."""
+def boilerplate(rows: DataFrame, least: int = 8, of_hosts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(host, uid, starts): where windows of ``least`` tokens start in a page that are boilerplate there. ``rows``: ``_STREAM``.
+
+    A window of main text that half of a host's pages have is on half of the pages
+    of at least one of its shards. Those of each shard are counted again in all
+    shards, so the result is the same however a host is dealt; ``of_hosts`` gives
+    the rows of some hosts (host), whole, for that.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         from xxhash import xxh3_128_digest
@@ -362,29 +369,59 @@ def boilerplate(rows: DataFrame, least: int = 8) -> DataFrame:
             once = once[np.unique(rank[once], return_index=True)[1]]  # of the windows found here, one each, as news for other shards
             add("fresh", fresh, bare[fresh], True)
             add("fresh", once, False, True)
-        common = whole & main & (pages >= max(2 if shards > 1 else LEAST_PAGES, len(pdf) / 2))
-        once = np.flatnonzero(common)
-        once = once[np.unique(rank[once], return_index=True)[1]]
-        add("report", once, False, True)
+        common = whole & main & (2 * pages >= len(pdf))
+        if shards > 1:
+            once = np.flatnonzero(common)
+            add("likely", once[np.unique(rank[once], return_index=True)[1]], False, True)
+        common &= (shards == 1) & (pages >= LEAST_PAGES)
         for k in np.unique(page[common]):
             own = np.flatnonzero(common & (page == k))
             here = slice(first[k], first[k] + int((page == k).sum()))
             if 2 * (covered(here.stop - here.start, own - here.start, least) & main[here]).sum() <= main[here].sum():
-                add("main", own, True, True)
+                add("main", own, True, False)
         out.append(pd.DataFrame({"uid": [b""], "start": [-1], "digest": [None], "n": [len(pdf)], "kind": ["pages"]}))
         return pd.concat(out, ignore_index=True).assign(host=key[0], shard=key[1])
 
     found = written(rows.groupBy("host", "shard").applyInPandas(run, _FOUND))
-    fresh, main = found.where("kind = 'fresh'"), found.where("kind = 'main'")
+    fresh = found.where("kind = 'fresh'")
     across = fresh.groupBy("host", "digest").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a < b").select("host", "digest")
-    pages = found.where("kind = 'pages'").groupBy("host").agg(F.sum("n").alias("pages"))
-    common = found.where("kind = 'report'").groupBy("host", "digest").agg(F.sum("n").alias("n")).join(pages, "host").where(f"2 * n >= pages AND n >= {LEAST_PAGES}").select("host", "digest")
-    starts = found.where("kind = 'open'").select("host", "uid", "start")
+    starts = found.where("kind IN ('open', 'main')").select("host", "uid", "start")
     starts = starts.union(fresh.where("start >= 0").join(written(across), ["host", "digest"], "left_semi").select("host", "uid", "start"))
-    starts = starts.union(main.join(written(common), ["host", "digest"], "left_semi").select("host", "uid", "start"))
+    likely = written(found.where("kind = 'likely'").select("host", "digest").distinct())
+    if not likely.isEmpty():
+        hosts = likely.select("host").distinct()
+        again = of_hosts(hosts) if of_hosts else rows.join(hosts, "host", "left_semi")
+        starts = starts.union(_shared(again, likely, found.where("kind = 'pages'").select("host", "shard", "n"), least))
     return starts.groupBy("host", "uid").agg(F.collect_list("start").alias("starts"))
 
 
+def _shared(rows: DataFrame, likely: DataFrame, shards: DataFrame, least: int) -> DataFrame:
+    """(host, uid, start): windows of main text that half of a host's pages have, where they are at most half of a page's. ``rows``: ``_STREAM``; ``likely``: host, digest; ``shards``: host, shard, n pages."""
+
+    def run(key: tuple, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        from xxhash import xxh3_128_digest
+
+        pdf = pdf.drop_duplicates("uid").sort_values("uid", ignore_index=True)
+        tokens, page, stop, main = _tokens(pdf)
+        rank, pages, whole = window_pages(tokens, page, stop, least)
+        first, size = np.searchsorted(page, np.arange(len(pdf))), np.bincount(page[main], minlength=len(pdf))
+        wanted, at = set(asked["digest"]), np.flatnonzero(whole & main)
+        once = at[np.unique(rank[at], return_index=True)[1]]
+        digest = {rank[i]: d for i in once if (d := xxh3_128_digest("\0".join(tokens[i : i + least]))) in wanted}
+        uid, columns = pdf["uid"].to_numpy(), [c.split()[0] for c in _SHARED.split(", ")]
+        out = [(key[0], uid[page[i]], i - first[page[i]], digest[rank[i]], pages[i], size[page[i]], [k - first[page[i]] for k in range(i, i + least) if main[k]]) for i in at.tolist() if rank[i] in digest]
+        seen = [(key[0], None, -1, digest[rank[i]], pages[i], 0, []) for i in once.tolist() if rank[i] in digest]
+        return pd.DataFrame(out + seen, columns=columns)
+
+    asked = likely.join(shards.select("host", "shard"), "host")
+    found = written(rows.groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInPandas(run, _SHARED))
+    every = shards.groupBy("host").agg(F.sum("n").alias("pages"))
+    common = found.where("uid IS NULL").groupBy("host", "digest").agg(F.sum("n").alias("n")).join(every, "host").where(f"2 * n >= pages AND n >= {LEAST_PAGES}").select("host", "digest")
+    own = written(found.where("uid IS NOT NULL").join(common, ["host", "digest"], "left_semi"))
+    covers = own.groupBy("host", "uid").agg(F.size(F.array_distinct(F.flatten(F.collect_list("inside")))).alias("covered"), F.max("size").alias("size"))
+    return own.join(covers.where("2 * covered <= size").select("host", "uid"), ["host", "uid"], "left_semi").select("host", "uid", "start")
+
+
 def chosen(found: list[tuple[str, str]], starts: np.ndarray | None, least: int) -> tuple[list[str], int, int]:
     """Blocks of the article, the number of tokens outside main, and of tokens that runs cover."""
     sizes = [len(t.split()) for t, _ in found]
@@ -408,7 +445,7 @@ def extract(pages: DataFrame, least: int = 8, shard_chars: int = 1 << 18) -> Dat
     none, they are few, and Spark broadcasts them if they are below its limit.
     """
     named = _named(pages)
-    marks = written(boilerplate(streams(named, shard_chars), least))
+    marks = written(boilerplate(streams(named, shard_chars), least, lambda hosts: streams(named.join(hosts, "host", "left_semi"), shard_chars)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

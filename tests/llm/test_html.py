@@ -51,3 +51,17 @@ def test_runs_decide_where_no_element_does(spark):
     with_runs = {r.text for r in html_extract.extract(df).collect()}
     assert not any(notice in t for t in with_runs) and len(with_runs) == 5
     assert all(notice in "\n".join(html_extract.chosen(html_extract.blocks(page), None, 8)[0]) for *_, page in rows)
+
+
+def test_shared_runs_of_articles_do_not_depend_on_shards(spark):
+    """A notice inside the articles of just half of a host's pages, and one of fewer, whatever part of the host a task sees."""
+    notice, other = "Every order of this shop is sent by the post on the next working day", "Only some of our writers add this long line under what they have written"
+    words = lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    rows = [(i, "http://host.net/a", f"<article><p>Page {i} says {words(i)}</p>" + f"<p>{notice}</p>" * (i % 2 == 0) + f"<p>{other}</p>" * (i % 3 == 0) + "</article>") for i in range(12)]
+    rows.append((12, "http://host.net/b", f"<article><p>{notice}</p><p>Short</p></article>"))  # nothing but the notice: it stays
+    rows.append((13, "http://host.net/c", f"<article><p>Page 13 says {words(13)}</p><p>{notice}</p></article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {n: {r.page_id: r.text for r in html_extract.extract(df, shard_chars=n).collect()} for n in (1 << 18, 1500, 200)}
+    one = got[1 << 18]
+    assert got[1500] == one and got[200] == one
+    assert [i for i, t in one.items() if notice in t] == [12] and sum(other in t for t in one.values()) == 4
