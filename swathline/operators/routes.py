@@ -1,14 +1,14 @@
 """Routes over stripes: snakes per component, islands, one stitched route per job.
 
-The greedy steps depend on what was chosen before, so they run in grouped
-functions: snakes per (job, component, phase), stitching per job. Everything
+The greedy steps depend on what was chosen before, so they run in functions of
+one job's rows: snakes per (job, component, phase), stitching per job. Everything
 that can be a join or a window (stripes, links, components) is done before.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -35,13 +35,54 @@ def _apart(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(x * x + y * y)
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    """Fields dealt over all shuffle partitions: their few bytes take long, and Spark would join small partitions of them."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
+Columns = Mapping[str, np.ndarray]
 
+_SIDE = ["ring", "i", "x1", "y1", "x2", "y2", "len"]
+_NONE = {"array": "array()", "boolean": "false"}
 
-def _sides(edges: DataFrame) -> DataFrame:
-    return edges.select("f", "ring", "i", "x1", "y1", "x2", "y2", "len")
+
+def by_field(rows: DataFrame, sides: DataFrame, run: Callable[[int, Columns, Columns], list[tuple]], schema: str) -> DataFrame:
+    """``run(f, rows, sides)`` of each field that has any: its rows and its sides (``_SIDE``) as arrays by column.
+
+    Both are one stream, sorted by field, that is cut where the field changes: a
+    group of its own for each small field would cost more than what is done in it.
+    Fields are dealt over all shuffle partitions, as Spark would join the few bytes
+    of many into one task. A task holds one batch and the field that it ends in.
+    """
+    names = [x for x in rows.columns if x != "f"]
+    kinds = {**{x.name: x.dataType for x in rows.schema}, **{x.name: x.dataType for x in sides.schema}}
+
+    def tagged(df: DataFrame, own: list[str], part: int) -> DataFrame:
+        none = {x: f"CAST({_NONE.get(kinds[x].typeName(), '0')} AS {kinds[x].simpleString()}) AS {x}" for x in (*_SIDE, *names)}
+        return df.selectExpr("f", f"{part} AS part", *[x if x in own else none[x] for x in (*_SIDE, *names)])
+
+    def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = {x: pdf[x].to_numpy() for x in pdf.columns}
+        f, part, out = at["f"], at["part"], []
+        cuts = [0, *(np.flatnonzero(f[1:] != f[:-1]) + 1).tolist(), len(f)]
+        for a, b in zip(cuts, cuts[1:]):
+            m = a + int(np.searchsorted(part[a:b], 1))
+            out += run(int(f[a]), {x: at[x][m:b] for x in names}, {x: at[x][a:m] for x in _SIDE})
+        return _rows(out, schema)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the last field so far, which may go on
+        for pdf in batches:
+            f = pdf["f"].to_numpy()
+            for cut in np.flatnonzero(f != f[-1])[-1:] + 1:
+                yield made(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
+                held, pdf = [], pdf.iloc[cut:]
+            if held and held[-1]["f"].iat[0] != f[-1]:
+                yield made(pd.concat(held, ignore_index=True))
+                held = []
+            if len(pdf):
+                held.append(pdf)
+        if held:
+            yield made(pd.concat(held, ignore_index=True))
+
+    both = tagged(sides, _SIDE, 0).unionByName(tagged(rows, names, 1))
+    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(tasks, "f").sortWithinPartitions("f", "part").mapInPandas(stream, schema)
 
 
 class Region:
@@ -54,10 +95,10 @@ class Region:
     #: Point-side pairs that are looked at together.
     BLOCK = 1 << 18
 
-    def __init__(self, edges: pd.DataFrame, c: PlanConfig):
-        ring, i = edges["ring"].to_numpy(), edges["i"].to_numpy()
+    def __init__(self, edges: Columns | pd.DataFrame, c: PlanConfig):
+        ring, i = np.asarray(edges["ring"]), np.asarray(edges["i"])
         order = np.lexsort((i, ring))
-        x1, y1, x2, y2, self.len = (edges[k].to_numpy()[order] for k in ("x1", "y1", "x2", "y2", "len"))
+        x1, y1, x2, y2, self.len = (np.asarray(edges[k])[order] for k in ("x1", "y1", "x2", "y2", "len"))
         self.a = np.stack([x1, y1], axis=1)
         self.v = np.stack([x2, y2], axis=1) - self.a
         self.ring, self.c = ring[order], c
@@ -178,12 +219,12 @@ class Region:
 def snakes(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
     """Chunks (``CHUNKS``) of each component's snake, in both starting directions; nodes have ``merged``."""
 
-    def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        region, out = Region(edges, c), []
-        ends = nodes[["sx", "sy", "ex", "ey"]].to_numpy()
+    def run(f: int, nodes: Columns, sides: Columns) -> list[tuple]:
+        region, out = Region(sides, c), []
+        ends = np.stack([nodes[k] for k in ("sx", "sy", "ex", "ey")], axis=1)
         region.prepare(ends.reshape(-1, 2))
-        comps, rows_of = nodes["merged"].to_numpy(), nodes["row"].to_numpy()
-        order = np.lexsort((nodes["node"].to_numpy(), nodes["a0"].to_numpy(), rows_of, comps))
+        comps, rows_of = nodes["merged"], nodes["row"]
+        order = np.lexsort((nodes["node"], nodes["a0"], rows_of, comps))
         for own in _runs(order, comps):
             comp = comps[own[0]]
             for phase in (0, 1):
@@ -191,7 +232,7 @@ def snakes(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) ->
 
                 def flush(comp=comp, phase=phase) -> None:
                     if len(pts) > 1:
-                        out.append((key[0], comp, phase, len(out), min(rows), max(rows), [p[0] for p in pts], [p[1] for p in pts]))
+                        out.append((f, comp, phase, len(out), min(rows), max(rows), *_xy(pts)))
                     pts.clear()
                     rows.clear()
 
@@ -205,14 +246,14 @@ def snakes(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) ->
                             start, end = left.pop(0)
                             pts.append(start)
                         else:
-                            ways = [region.connect(pts[-1], s, True) for s, _ in left]
-                            open_ = [k for k, w in enumerate(ways) if w is not None]
-                            if not open_:
+                            nearest = sorted(range(len(left)), key=lambda k: _apart(left[k][0], pts[-1]))
+                            ways = ((k, region.connect(pts[-1], left[k][0], True)) for k in nearest)
+                            k, way = next(((k, w) for k, w in ways if w is not None), (None, None))
+                            if way is None:
                                 flush()
                                 continue
-                            k = min(open_, key=lambda k: _apart(left[k][0], pts[-1]))
                             start, end = left.pop(k)
-                            cost, path = ways[k]
+                            cost, path = way
                             direct = _apart(start, pts[-1])
                             if cost > max(c.intra_limit, 2.5 * direct, 2.5 * c.step):
                                 flush()
@@ -223,10 +264,9 @@ def snakes(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) ->
                         rows.append(int(row))
                     forward = not forward
                 flush()
-        return _rows(out, CHUNKS)
+        return out
 
-    own = nodes.select("f", "merged", "row", "node", "a0", "sx", "sy", "ex", "ey")
-    return _dealt(own).groupBy("f").cogroup(_dealt(_sides(edges)).groupBy("f")).applyInPandas(run, CHUNKS)
+    return by_field(nodes.select("f", "merged", "row", "node", "a0", "sx", "sy", "ex", "ey"), edges.select("f", *_SIDE), run, CHUNKS)
 
 
 def _runs(order: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
@@ -234,23 +274,29 @@ def _runs(order: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []
 
 
-def _points(row) -> list[np.ndarray]:
-    return list(np.stack([row.xs, row.ys], axis=1))
+def _points(rows: Columns, k: int) -> list[np.ndarray]:
+    return list(np.stack([rows["xs"][k], rows["ys"][k]], axis=1))
+
+
+def _xy(pts: list[np.ndarray]) -> tuple[list[float], list[float]]:
+    return [p[0] for p in pts], [p[1] for p in pts]
 
 
 def islands(chunks: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
     """Chunks of one component and phase joined at tails where rows touch and the connector is cheap: ``ISLANDS``."""
 
-    def run(key: tuple, chunks: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        region, out = Region(edges, c), []
-        every = [(ch, _points(ch)) for ch in chunks.sort_values(["comp", "phase", "chunk"]).itertuples()]
+    def run(f: int, chunks: Columns, sides: Columns) -> list[tuple]:
+        region, out = Region(sides, c), []
+        comps, phases = chunks["comp"].tolist(), chunks["phase"].tolist()
+        lows, highs = chunks["min_row"].tolist(), chunks["max_row"].tolist()
+        every = [(k, _points(chunks, k)) for k in np.lexsort((chunks["chunk"], chunks["phase"], chunks["comp"])).tolist()]
         region.prepare(np.array([p for _, pts in every for p in (pts[0], pts[-1])]).reshape(-1, 2))
-        for (comp, phase), own in groupby(every, key=lambda e: (e[0].comp, e[0].phase)):
+        for (comp, phase), own in groupby(every, key=lambda e: (comps[e[0]], phases[e[0]])):
             made: list[list] = []
             for ch, pts in own:
                 best = None
                 for isl in made:
-                    if min(isl[1], ch.max_row) < max(isl[0], ch.min_row) - 1:
+                    if min(isl[1], highs[ch]) < max(isl[0], lows[ch]) - 1:
                         continue
                     for flip in (False, True):
                         goal = pts[-1] if flip else pts[0]
@@ -259,16 +305,16 @@ def islands(chunks: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -
                         if way and way[0] <= max(c.intra_limit, 2.5 * direct, 2.5 * c.step) and (best is None or way[0] < best[0]):
                             best = (way[0], isl, flip, way[1])
                 if best is None:
-                    made.append([ch.min_row, ch.max_row, 1, pts])
+                    made.append([lows[ch], highs[ch], 1, pts])
                 else:
                     _, isl, flip, path = best
                     isl[3] += path() + (pts[::-1] if flip else pts)[1:]
-                    isl[0], isl[1], isl[2] = min(isl[0], ch.min_row), max(isl[1], ch.max_row), isl[2] + 1
+                    isl[0], isl[1], isl[2] = min(isl[0], lows[ch]), max(isl[1], highs[ch]), isl[2] + 1
             for lo, hi, n, pts in made:
-                out.append((key[0], comp, phase, len(out), lo, hi, n, [p[0] for p in pts], [p[1] for p in pts]))
-        return _rows(out, ISLANDS)
+                out.append((f, comp, phase, len(out), lo, hi, n, *_xy(pts)))
+        return out
 
-    return _dealt(chunks).groupBy("f").cogroup(_dealt(_sides(edges)).groupBy("f")).applyInPandas(run, ISLANDS)
+    return by_field(chunks, edges.select("f", *_SIDE), run, ISLANDS)
 
 
 def _tour(region: Region, todo: list[tuple], c: PlanConfig) -> tuple[list[tuple], tuple | None, list[int]]:
@@ -315,26 +361,27 @@ def _tour(region: Region, todo: list[tuple], c: PlanConfig) -> tuple[list[tuple]
 def visits(isl: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig(), decimate: float = 0.02) -> DataFrame:
     """One row per job: its route (``ROUTES``) from the contour's first vertex through the islands in the order of ``_tour`` and back, and ``legs``, its connectors (``TOURS``)."""
 
-    def run(key: tuple, isl: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        region, own = Region(edges, c), isl.sort_values("island")
-        todo, at = [(r.comp, r.phase, _points(r)) for r in own.itertuples()], own["island"].tolist()
+    def run(f: int, isl: Columns, sides: Columns) -> list[tuple]:
+        region, own = Region(sides, c), np.argsort(isl["island"], kind="stable")
+        comps, phases, at = (isl[k][own].tolist() for k in ("comp", "phase", "island"))
+        todo = [(comp, phase, _points(isl, k)) for comp, phase, k in zip(comps, phases, own.tolist(), strict=True)]
         steps, back, missed = _tour(region, todo, c)
         route, legs = [region.at(0, 0.0)], []
         for n, (k, flip, way, ahead, score) in enumerate(steps):
             pts = todo[k][2]
             route += way[1] + (pts[::-1] if flip else pts)[1:]
-            legs.append((n, todo[k][0], todo[k][1], at[k], flip, way[0], ahead, score, [p[0] for p in way[1]], [p[1] for p in way[1]]))
+            legs.append((n, todo[k][0], todo[k][1], at[k], flip, way[0], ahead, score, *_xy(way[1])))
         if back:
             route += back[1]
-            legs.append((len(steps), None, None, None, None, back[0], None, None, [p[0] for p in back[1]], [p[1] for p in back[1]]))
+            legs.append((len(steps), None, None, None, None, back[0], None, None, *_xy(back[1])))
         kept = route[:1]
         for p in route[1:]:
             if _apart(kept[-1], p) > decimate:
                 kept.append(p)
         legs = [dict(zip([x.split()[0] for x in _LEG], leg, strict=True)) for leg in legs]
-        return _rows([(key[0], len(kept) >= 2, len(todo), len(steps), len(missed), max(0, len(steps) - 1), sum(p == 0 for _, p, _ in todo), [p[0] for p in kept], [p[1] for p in kept], legs)], f"{ROUTES}, legs")
+        return [(f, len(kept) >= 2, len(todo), len(steps), len(missed), max(0, len(steps) - 1), sum(p == 0 for _, p, _ in todo), *_xy(kept), legs)]
 
-    return _dealt(isl).groupBy("f").cogroup(_dealt(_sides(edges)).groupBy("f")).applyInPandas(run, VISITS)
+    return by_field(isl.select("f", "comp", "phase", "island", "xs", "ys"), edges.select("f", *_SIDE), run, VISITS)
 
 
 def routes_of(found: DataFrame) -> DataFrame:
@@ -367,7 +414,8 @@ def chunk_candidates(chunks: DataFrame) -> DataFrame:
 
 
 def _rows(out: list[tuple], schema: str) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+    names = [x.split()[0] for x in schema.split(", legs ")[0].split(", ")]
+    return pd.DataFrame(out, columns=[*names, "legs"] if ", legs " in schema else names)
 
 
 def hops(nodes: DataFrame, links: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
@@ -474,19 +522,20 @@ def simplified(nodes: DataFrame, edges: DataFrame, starts: DataFrame, c: PlanCon
     these are. No cutouts: ``nodes`` and ``edges`` are of contours.
     """
 
-    def run(key: tuple, nodes: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
-        edges, start = rest[rest["ring"].notna()], rest.loc[rest["ring"].isna(), ["x1", "y1"]].to_numpy()
-        if not len(nodes) or not len(edges) or not len(start):
-            return _rows([], COVERAGE)
-        region, route = Region(edges, c), []
+    def run(f: int, nodes: Columns, rest: Columns) -> list[tuple]:
+        given = rest["ring"] >= 0
+        sides, start = {k: v[given] for k, v in rest.items()}, np.stack([rest["x1"], rest["y1"]], axis=1)[~given]
+        if not len(nodes["node"]) or given.all() or not given.any():
+            return []
+        region, route = Region(sides, c), []
 
         def add(p: np.ndarray) -> None:
             if not route or _apart(route[-1], p) > 0.02:
                 route.append(p)
 
-        every, rows_of = nodes[["sx", "sy", "ex", "ey"]].to_numpy(), nodes["row"].to_numpy()
+        every, rows_of = np.stack([nodes[k] for k in ("sx", "sy", "ex", "ey")], axis=1), nodes["row"]
         region.prepare(every.reshape(-1, 2))
-        for own in _runs(np.lexsort((nodes["node"].to_numpy(), nodes["a0"].to_numpy(), rows_of)), rows_of):
+        for own in _runs(np.lexsort((nodes["node"], nodes["a0"], rows_of)), rows_of):
             ends = every[own]
             forward = not route or _apart(ends[0, :2], route[-1]) <= _apart(ends[-1, 2:], route[-1])
             for e in ends if forward else ends[::-1]:
@@ -507,8 +556,7 @@ def simplified(nodes: DataFrame, edges: DataFrame, starts: DataFrame, c: PlanCon
         length = lambda pts: float(sum(_apart(a, b) for a, b in zip(pts, pts[1:])))
         there, back = [start[0], *leg(start[0], route[0])], [route[-1], *leg(route[-1], start[0])]
         whole = [*there, *route[1:], *back[1:]]
-        return _rows([(key[0], nodes["row"].nunique(), length(there), length(back), [p[0] for p in whole], [p[1] for p in whole])], COVERAGE)
+        return [(f, len(np.unique(rows_of)), length(there), length(back), *_xy(whole))]
 
-    at = starts.selectExpr("f", "CAST(NULL AS INT) AS ring", "CAST(NULL AS INT) AS i", "px AS x1", "py AS y1", "CAST(NULL AS DOUBLE) AS x2", "CAST(NULL AS DOUBLE) AS y2", "CAST(NULL AS DOUBLE) AS len")
-    rest = edges.select("f", "ring", "i", "x1", "y1", "x2", "y2", "len").union(at)
-    return _dealt(nodes.select("f", "node", "row", "a0", "sx", "sy", "ex", "ey")).groupBy("f").cogroup(_dealt(rest).groupBy("f")).applyInPandas(run, COVERAGE)
+    at = starts.selectExpr("f", "-1 AS ring", "0 AS i", "px AS x1", "py AS y1", "0e0 AS x2", "0e0 AS y2", "0e0 AS len")
+    return by_field(nodes.select("f", "node", "row", "a0", "sx", "sy", "ex", "ey"), edges.select("f", *_SIDE).union(at), run, COVERAGE)

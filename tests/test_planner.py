@@ -256,6 +256,23 @@ def test_small_fields_are_dealt_over_all_tasks_and_toured_once(spark):
     assert {tuple(route[f]) for f in route} == {tuple(route[0])}
 
 
+def test_fields_are_streams_that_may_span_batches(spark):
+    ring = overlay.inset([square(0, 0, 40)], 2)
+    e = arrangement.edges_of(spark.createDataFrame([r for f in range(9) for r in overlay.frame_of(f, ring).to_dict("records")]))
+    isl = spark.createDataFrame([(f, 0, 0, k, 0, 0, 1, [2.0, 38.0], [4.0 + 4 * k] * 2) for f in range(8) for k in range(1 + f)], routes.ISLANDS)  # field 8 has none
+    sizes = {}
+    for most in ("1", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            found = routes.visits(isl, e)
+            assert "CoGroups" not in found._jdf.queryExecution().executedPlan().toString()  # a group of its own for each field costs more than its work
+            sizes[most] = sorted((r.f, r.ok, r.islands, r.used, tuple(r.xs), tuple(r.ys), len(r.legs)) for r in found.collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [x[:4] for x in sizes["10000"]] == [*[(f, True, 1 + f, 1 + f) for f in range(8)], (8, False, 0, 0)]
+    assert sizes["1"] == sizes["3"] == sizes["10000"]
+
+
 def test_scratch_tables_are_joined_by_shuffles(spark):
     a, b = (written(spark.range(30).selectExpr("id AS f", "id AS v")) for _ in range(2))
     joined = a.groupBy("f").count().join(b.where("v > 3").select("f", "v"), "f", "left_anti")
