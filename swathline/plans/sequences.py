@@ -128,7 +128,8 @@ def register() -> None:
     around = "SELECT event_id, zoom, x + dx AS x, y + dy AS y FROM {tiles} CROSS JOIN (SELECT {explode:-1,1} AS dx) a CROSS JOIN (SELECT {explode:-1,1} AS dy) b"
     statement("o1_visible_tiles", f"SELECT event_id, zoom, x, y FROM ({around}) v WHERE x >= 0 AND y >= 0 AND x < pow(2e0, zoom) AND y < pow(2e0, zoom)")
     statement("j9_missing_tiles", f"SELECT DISTINCT v.zoom, v.x, v.y FROM ({around}) v LEFT JOIN (SELECT DISTINCT zoom, x, y FROM {{tiles}}) h ON v.zoom = h.zoom AND v.x = h.x AND v.y = h.y WHERE h.zoom IS NULL")
-    statement("i7_center_out", f"SELECT event_id, x, y, row_number() OVER (PARTITION BY event_id ORDER BY abs(dx) + abs(dy), x, y) AS pos FROM (SELECT v.event_id, v.x, v.y, v.x - t.x AS dx, v.y - t.y AS dy FROM ({around}) v JOIN {{tiles}} t ON v.event_id = t.event_id) q")
+    center_out = f"SELECT event_id, x, y, row_number() OVER (PARTITION BY event_id ORDER BY abs(dx) + abs(dy), x, y) AS pos FROM (SELECT v.event_id, v.x, v.y, v.x - t.x AS dx, v.y - t.y AS dy FROM ({around}) v JOIN {{tiles}} t ON v.event_id = t.event_id) q"
+    operator("i7_center_out", center_out)(_center_out)
     statement("o2_evicted_tiles", "SELECT a.event_id, bool_or(d.event_id IS NOT NULL) AS covered, bool_or(abs(a.zoom - 14) > 4) AS far FROM {tiles} a LEFT JOIN {tiles} d ON a.robot_id = d.robot_id AND d.zoom = a.zoom - 1 AND CAST(floor(a.x / 2e0) AS INT) = d.x AND CAST(floor(a.y / 2e0) AS INT) = d.y GROUP BY a.event_id")
     # -- text ------------------------------------------------------------------------------------------------------
     model = "CASE WHEN line LIKE '- %' THEN trim(substring(line, 3)) ELSE trim(line) END"
@@ -153,6 +154,15 @@ def _greedy(source: str, key: str, order: str, columns: list[str], keep: str) ->
         SELECT {key}, {order}, {cols} FROM w WHERE is_kept"""
 
 
+def _center_out(t):
+    """The nine tiles around each event's own, from the inside out: they are made and sorted inside one row per event, so a task sorts its events and no tiles."""
+    moved = "named_struct('off', abs(v.x + s.dx - o.x) + abs(v.y + s.dy - o.y), 'x', v.x + s.dx, 'y', v.y + s.dy)"
+    steps = "array(" + ", ".join(f"named_struct('dx', {dx}, 'dy', {dy})" for dx in (-1, 0, 1) for dy in (-1, 0, 1)) + ")"
+    own = t["tiles"].where("event_id IS NOT NULL").groupBy("event_id").agg(F.collect_list(F.struct("x", "y")).alias("own"))
+    sorted_ = F.expr(f"array_sort(flatten(flatten(transform(own, v -> transform(own, o -> transform({steps}, s -> {moved}))))))")
+    return own.select("event_id", F.posexplode(sorted_).alias("pos", "v")).select("event_id", "v.x", "v.y", (F.col("pos") + 1).alias("pos"))
+
+
 def _documents(t):
     """One mission document per mission: origin, default radius and waypoints in order."""
     point = F.struct("i", F.struct((F.col("i") + 1).cast("string").alias("id"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).alias("w"))

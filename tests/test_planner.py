@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute_overlay as overlay
-from swathline.operators import arrangement, commands, graph, regions, routes, sweep
+from swathline.operators import arrangement, commands, graph, passes, regions, routes, sweep
 from swathline.sources.scratch import written
 
 
@@ -277,3 +277,9 @@ def test_scratch_tables_are_joined_by_shuffles(spark):
     a, b = (written(spark.range(30).selectExpr("id AS f", "id AS v")) for _ in range(2))
     joined = a.groupBy("f").count().join(b.where("v > 3").select("f", "v"), "f", "left_anti")
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 4
+
+
+def test_tiles_around_an_event_are_sorted_in_its_row(spark, sf_dir):
+    from swathline.plans.catalog import QUERIES
+
+    assert "Window" not in QUERIES["i7_center_out"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
