@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import planar
-from ..sources.scratch import written
+from ..sources.scratch import shuffled, written
 from .sweep import PlanConfig, cut
 
 MOST, STALLED = 6, 2
@@ -72,7 +72,7 @@ def extents(sides: DataFrame) -> DataFrame:
 
 def areas(sides: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
     """The area of the region between each interval's ends, by ``key``. Rings are directed: contours and holes the opposite way."""
-    return clipped(sides, spans).groupBy(*key).agg(F.abs(F.sum(F.expr("(y2 - y1) * (x1 + x2) / 2e0"))).alias("area"))
+    return shuffled(clipped(sides, spans).groupBy(*key).agg(F.abs(F.sum(F.expr("(y2 - y1) * (x1 + x2) / 2e0"))).alias("area")))
 
 
 def _subtracted(spans: DataFrame, bands: DataFrame) -> DataFrame:
@@ -88,12 +88,12 @@ def _anchors(sides: DataFrame, spans: DataFrame, starts: DataFrame, c: PlanConfi
     """(f, anchor): d of the place nearest to the start (f, sa, sd) on the boundary of what is left: its sides, and the lines where it was cut."""
     ends = spans.select("f", F.explode(F.array("lo", "hi")).alias("d")).distinct()
     extent = sides.groupBy("f").agg(F.min("d1").alias("d0"), F.max("d1").alias("d9"))
-    inner = ends.join(extent, "f").where("d > d0 AND d < d9").select("f", "d", F.row_number().over(Window.partitionBy("f").orderBy("d")).alias("k"))
+    inner = shuffled(ends.join(extent, "f").where("d > d0 AND d < d9").select("f", "d", F.row_number().over(Window.partitionBy("f").orderBy("d")).alias("k")))
     chords = cut(sides, inner, c, 0.0).selectExpr("f", "a0 AS x1", "d AS y1", "a1 AS x2", "d AS y2")
-    own = clipped(sides, spans).select("f", *planar.SIDE).union(chords).join(starts, "f")
+    own = clipped(sides, spans).select("f", *planar.SIDE).union(chords).join(shuffled(starts), "f")
     t = planar.side_t("sa", "sd")
     best = F.min(F.struct(F.round(F.expr(planar.side_distance("sa", "sd")), 6).alias("dist"), F.round(F.expr(planar.side_point(t)[1]), 9).alias("anchor")))
-    return own.groupBy("f").agg(best.alias("b")).select("f", "b.anchor")
+    return shuffled(own.groupBy("f").agg(best.alias("b")).select("f", "b.anchor"))
 
 
 def _lines(spans: DataFrame, anchor: DataFrame, c: PlanConfig) -> DataFrame:
@@ -120,14 +120,14 @@ def swept(sides: DataFrame, starts: DataFrame, c: PlanConfig = PlanConfig()) ->
     left, state = written(left), written(state)
     stripes, bands, done, passes = [], [], [], []
     for p in range(MOST):
-        active = left.join(state.select("f"), "f", "left_semi")
+        active = shuffled(left.join(state.select("f"), "f", "left_semi"))  # what is joined is no scratch table any more
         at = written(_lines(active, _anchors(sides, active, starts, c), c).join(state.select("f", F.col("rows").alias("before")), "f").select("f", "k", "d", (F.col("before") + F.col("place")).alias("row")))
         cuts = written(cut(sides, at.where("d IS NOT NULL").select("f", "k", "d"), c).join(at.select("f", "k", "row"), ["f", "k"]).select("f", F.lit(p).alias("pass"), "k", "row", "d", "a0", "a1", "len"))
         taken = cuts.select("f", "k", "d").distinct().selectExpr("f", "k", "d", f"d - {half!r}D AS lo", f"d + {half!r}D AS hi")
         rest = written(_subtracted(active, taken.select("f", "lo", "hi")))
         both = taken.alias("b").join(active.alias("s"), "f").where("b.lo < s.hi AND b.hi > s.lo").selectExpr("f", "k", "d", "greatest(b.lo, s.lo) AS lo", "least(b.hi, s.hi) AS hi")
         bands.append(written(areas(sides, both, ["f", "k", "d"]).select("f", F.lit(p).alias("pass"), "k", "d", "area")))
-        found = at.groupBy("f").agg(F.count("*").alias("lines")).join(cuts.groupBy("f").agg(F.count("*").alias("segments")), "f", "left").fillna(0, ["segments"])
+        found = shuffled(at.groupBy("f").agg(F.count("*").alias("lines")).join(cuts.groupBy("f").agg(F.count("*").alias("segments")), "f", "left").fillna(0, ["segments"]))
         after = areas(sides, rest, ["f"]).withColumnRenamed("area", "now")
         now = state.join(found, "f").join(after, "f", "left").fillna(0.0, ["now"])
         counted = F.col("segments") > 0

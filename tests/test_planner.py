@@ -279,6 +279,14 @@ def test_scratch_tables_are_joined_by_shuffles(spark):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 4
 
 
+def test_sweeps_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(passes, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df))[1])
+    sides = sweep.in_sweep_frame(edges(spark, [square(0, 0, 40), square(15, 15, 10)[::-1]]))
+    found = passes.swept(sides, sides.where("ring = 0 AND i = 0").selectExpr("f", "a1 AS sa", "d1 AS sd"))
+    assert found.stripes.count() > 0 and len(plans) > 8 and not [p for p in plans[3:] if "BroadcastExchange" in p]  # the first three read the given sides
+
+
 def test_tiles_around_an_event_are_sorted_in_its_row(spark, sf_dir):
     from swathline.plans.catalog import QUERIES
 
