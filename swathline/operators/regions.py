@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import planar
+from ..sources.scratch import shuffled
 
 
 def ring_stats(edges: DataFrame) -> DataFrame:
@@ -80,11 +81,17 @@ def owners(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
 
 
 def anchors(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """The nearest boundary place of each point (key..., f, px, py): ring, side, t, arc, x, y, dist."""
-    t = planar.side_t("px", "py")
-    x, y = planar.side_point(t)
-    near = F.struct(F.expr(planar.side_distance("px", "py")).alias("dist"), "ring", "i", F.expr(t).alias("t"), (F.col("arc") + F.expr(t) * F.col("len")).alias("arc"), F.expr(x).alias("x"), F.expr(y).alias("y"))
-    best = points.join(with_arcs(edges), "f").groupBy(*key, "f").agg(F.min(near).alias("nearest"))
+    """The nearest boundary place of each point (key..., f, px, py): ring, side, t, arc, x, y, dist.
+
+    A point looks at its field's sides inside its own row, so a task sorts its points and not every pair of a point and a side.
+    """
+    side = tuple(f"s.{c}" for c in planar.SIDE)
+    t = planar.side_t("px", "py", side)
+    x, y = planar.side_point(t, side)
+    near = f"named_struct('dist', {planar.side_distance('px', 'py', side)}, 'ring', s.ring, 'i', s.i, 't', {t}, 'arc', s.arc + {t} * s.len, 'x', {x}, 'y', {y})"
+    sides = with_arcs(edges).groupBy("f").agg(F.collect_list(F.struct("ring", "i", "len", "arc", *planar.SIDE)).alias("sides"))
+    nearest = points.join(shuffled(sides), "f").select(*key, "f", F.expr(f"array_min(transform(sides, s -> {near}))").alias("nearest"))
+    best = nearest.groupBy(*key, "f").agg(F.min("nearest").alias("nearest"))
     return best.select(*key, "f", "nearest.*")
 
 
@@ -113,8 +120,8 @@ def self_intersections(edges: DataFrame) -> DataFrame:
 
 def along_contour(points: DataFrame, edges: DataFrame, key: list[str], step: str) -> DataFrame:
     """The place ``step`` metres (an SQL expression; negative: backwards) along the ring from each point's nearest place."""
-    arcs = with_arcs(edges)
-    total = edges.groupBy("f", "ring").agg(F.sum("len").alias("perimeter"))
+    arcs = shuffled(with_arcs(edges))
+    total = shuffled(edges.groupBy("f", "ring").agg(F.sum("len").alias("perimeter")))
     goal = anchors(points, edges, key).join(total, ["f", "ring"]).select(*key, "f", "ring", F.expr(f"pmod(arc + ({step}), perimeter)").alias("goal"))
     hit = goal.join(arcs, ["f", "ring"]).where("goal >= arc AND goal < arc + len")
     t = "((goal - arc) / len)"

@@ -287,6 +287,18 @@ def test_sweeps_send_no_table_through_the_driver(spark, monkeypatch):
     assert found.stripes.count() > 0 and len(plans) > 8 and not [p for p in plans[3:] if "BroadcastExchange" in p]  # the first three read the given sides
 
 
+def test_points_look_at_sides_inside_their_rows(spark):
+    e = written(edges(spark, [square(0, 0, 10), square(4, 4, 2)[::-1]]))
+    p = written(spark.createDataFrame([(1, 6, 1.0, 5.0), (2, 6, 5.0, 4.5), (2, 6, 5.0, 9.0), (3, 7, 0.0, 0.0)], "id int, f long, px double, py double"))
+    near = regions.anchors(p, e, ["id"])
+    assert {(r.id, r.ring, round(r.dist, 9)) for r in near.collect()} == {(1, 0, 1.0), (2, 1, 0.5)}  # of two points of one key the nearer
+    assert "Generate" not in near._jdf.queryExecution().executedPlan().toString()
+    ahead = regions.along_contour(p, e, ["id"], "1")
+    assert {(r.id, round(r.x, 9), round(r.y, 9)) for r in ahead.where("id = 1").collect()} == {(1, 0.0, 4.0)}
+    plan = ahead._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "transform(sides" in plan
+
+
 def test_tiles_around_an_event_are_sorted_in_its_row(spark, sf_dir):
     from swathline.plans.catalog import QUERIES
 
