@@ -54,6 +54,19 @@ def compass_bearing(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return f"degrees(atan2({y}, {x}))"
 
 
+def hop_bearing(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """The compass bearing of a short hop: the northward part as a sum without cancellation.
+
+    cos a sin b - sin a cos b cos d = sin(b - a) + 2 sin a cos b sin(d / 2)^2. The difference on the left keeps
+    8 digits of a hop of half a metre, and the rest hangs on the engine's sine.
+    """
+    dlon = f"radians(({lon2}) - ({lon1}))"
+    half = f"sin({dlon} / 2e0)"
+    y = f"sin({dlon}) * cos(radians({lat2}))"
+    x = f"sin(radians(({lat2}) - ({lat1}))) + 2e0 * sin(radians({lat1})) * cos(radians({lat2})) * {half} * {half}"
+    return f"degrees(atan2({y}, {x}))"
+
+
 def math_bearing(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Radians counter-clockwise from east."""
     return f"(pi() / 2e0 - radians({compass_bearing(lat1, lon1, lat2, lon2)}))"

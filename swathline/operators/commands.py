@@ -22,7 +22,7 @@ def route_commands(points: DataFrame, key: str = "robot_id", least_m: float = 0.
     """
     w = Window.partitionBy(key).orderBy("seq")
     hops = points.select(key, "seq", "lat", "lon", F.lag("lat").over(w).alias("lat0"), F.lag("lon").over(w).alias("lon0")).where("lat0 IS NOT NULL")
-    hops = hops.select(key, "seq", F.expr(geo.haversine("lat0", "lon0", "lat", "lon")).alias("distance_m"), F.expr(geo.compass_bearing("lat0", "lon0", "lat", "lon")).alias("azimuth"))
+    hops = hops.select(key, "seq", F.expr(geo.haversine("lat0", "lon0", "lat", "lon")).alias("distance_m"), F.expr(geo.hop_bearing("lat0", "lon0", "lat", "lon")).alias("azimuth"))
     kept = hops.where(F.col("distance_m") >= least_m)
     before = F.lag("azimuth", 1, start_angle).over(w)
     turned = kept.withColumn("delta", before).withColumn("delta", F.expr(angles.wrap_degrees("(azimuth - delta)")))

@@ -12,7 +12,7 @@ from ..sources.fixtures import Tables
 from .spec import operator, projection, statement
 
 _HAV = geo.haversine("lat0", "lon0", "lat", "lon")
-_AZ = geo.compass_bearing("lat0", "lon0", "lat", "lon")
+_AZ = geo.hop_bearing("lat0", "lon0", "lat", "lon")
 _HOPS = "SELECT robot_id, seq, lat, lon, lag(lat) OVER (PARTITION BY robot_id ORDER BY seq) AS lat0, lag(lon) OVER (PARTITION BY robot_id ORDER BY seq) AS lon0 FROM {track}"
 _KEPT = f"SELECT *, lag(azimuth, 1, 0e0) OVER (PARTITION BY robot_id ORDER BY seq) AS before FROM (SELECT robot_id, seq, {_HAV} AS distance_m, {_AZ} AS azimuth FROM ({_HOPS}) h WHERE lat0 IS NOT NULL) k WHERE distance_m >= 0.2e0"
 _TURNED = f"SELECT robot_id, seq, distance_m, {angles.wrap_degrees('(azimuth - before)')} AS delta FROM ({_KEPT}) t"
