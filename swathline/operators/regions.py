@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import planar
+from ..functions import angles, planar
 from ..sources.scratch import shuffled
 
 
@@ -84,15 +84,17 @@ def anchors(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """The nearest boundary place of each point (key..., f, px, py): ring, side, t, arc, x, y, dist.
 
     A point looks at its field's sides inside its own row, so a task sorts its points and not every pair of a point and a side.
+    What is asked of every side is its distance only, with ``t`` found once, as functions of arrays are not compiled; the rest is of the nearest.
     """
     side = tuple(f"s.{c}" for c in planar.SIDE)
-    t = planar.side_t("px", "py", side)
-    x, y = planar.side_point(t, side)
-    near = f"named_struct('dist', {planar.side_distance('px', 'py', side)}, 'ring', s.ring, 'i', s.i, 't', {t}, 'arc', s.arc + {t} * s.len, 'x', {x}, 'y', {y})"
+    own = ", ".join(f"'{c}', u.s.{c}" for c in ("len", "arc", *planar.SIDE))
+    x, y = planar.side_point("u.t", tuple(f"u.s.{c}" for c in planar.SIDE))
+    near = f"named_struct('dist', {angles.hypot(f'px - {x}', f'py - {y}')}, 'ring', u.s.ring, 'i', u.s.i, 't', u.t, {own})"
     sides = with_arcs(edges).groupBy("f").agg(F.collect_list(F.struct("ring", "i", "len", "arc", *planar.SIDE)).alias("sides"))
-    nearest = points.join(shuffled(sides), "f").select(*key, "f", F.expr(f"array_min(transform(sides, s -> {near}))").alias("nearest"))
-    best = nearest.groupBy(*key, "f").agg(F.min("nearest").alias("nearest"))
-    return best.select(*key, "f", "nearest.*")
+    nearest = points.join(shuffled(sides), "f").select(*key, "f", F.expr(f"array_min(transform(transform(sides, s -> named_struct('s', s, 't', {planar.side_t('px', 'py', side)})), u -> {near}))").alias("s"))
+    best = nearest.groupBy(*key, "f").agg(F.min("s").alias("s"))
+    x, y = planar.side_point("s.t", side)
+    return best.selectExpr(*key, "f", "s.dist", "s.ring", "s.i", "s.t", "s.arc + s.t * s.len AS arc", f"{x} AS x", f"{y} AS y")
 
 
 def ring_distances(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:

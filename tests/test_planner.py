@@ -299,6 +299,16 @@ def test_points_look_at_sides_inside_their_rows(spark):
     assert "Broadcast" not in plan and "transform(sides" in plan
 
 
+def test_a_side_is_asked_for_its_nearest_place_once(spark):
+    e = written(edges(spark, [square(0, 0, 10), square(4, 4, 2)[::-1]]))
+    p = written(spark.createDataFrame([(1, 6, 1.0, 5.5), (2, 6, 5.0, 4.5), (3, 6, -3.0, -4.0)], "id int, f long, px double, py double"))
+    near = regions.anchors(p, e, ["id"])
+    got = {r.id: (r.ring, r.i, *(round(v, 9) for v in (r.t, r.arc, r.x, r.y, r.dist))) for r in near.collect()}
+    assert got == {1: (0, 3, 0.45, 34.5, 0.0, 5.5, 1.0), 2: (1, got[2][1], 0.5, got[2][1] * 2 + 1.0, 5.0, 4.0, 0.5), 3: (0, 0, 0.0, 0.0, 0.0, 0.0, 5.0)}
+    asked = [line for line in near._jdf.queryExecution().optimizedPlan().toString().splitlines() if "array_min" in line]
+    assert len(asked) == 1 and asked[0].count(" / ") == 1
+
+
 def test_tiles_around_an_event_are_sorted_in_its_row(spark, sf_dir):
     from swathline.plans.catalog import QUERIES
 
