@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import shuffled, written
 from .sweep import PlanConfig
 
 
@@ -37,23 +40,46 @@ def row_links(nodes: DataFrame, c: PlanConfig = PlanConfig()) -> DataFrame:
     return ok.withColumn("rank", rank).where(F.col("rank") <= c.neighbours).select("f", "src", "dst", "score")
 
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each batch of links (f, a, b) as stars (f, v, root): a vertex and the smallest one that the batch's links lead to."""
+    for pdf in batches:
+        ends = np.stack([np.tile(pdf["f"].to_numpy(), 2), np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()])], axis=1)
+        every, at = np.unique(ends, axis=0, return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root, before = np.arange(len(every)), None
+        while before is None or (root != before).any():
+            before, low = root.copy(), np.minimum(root[a], root[b])
+            np.minimum.at(root, before[a], low)
+            np.minimum.at(root, before[b], low)
+            while (root[root] != root).any():
+                root = root[root]
+        yield pd.DataFrame({"f": every[:, 0], "v": every[:, 1], "root": every[root, 1]})
+
+
 def connected(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(f, v, comp): components of (f, a, b) links over all vertices (f, v); a component is named by its smallest vertex.
 
-    Labels take the least of the neighbours' and then jump to their label's
-    label, so chains halve; each round is a table, and rounds grow with the
-    logarithm of a component's length.
+    Links are dealt by field and each batch of them is made into stars, which
+    connect the same vertices; a field whose links are in one batch is done then.
+    Over the stars, labels take the least of the neighbours' and then jump to their
+    label's label, so chains halve; each round is a table, and rounds grow with the
+    logarithm of the number of batches that a component's links are in.
     """
-    both = written(links.select("f", "a", "b").union(links.select("f", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = written(nodes.select("f", "v", F.col("v").alias("comp")))
+    dealt = links.selectExpr("f", "CAST(a AS BIGINT) AS a", "CAST(b AS BIGINT) AS b").repartition("f").sortWithinPartitions("f", "a", "b")
+    kinds = {x.name: x.dataType.simpleString() for x in nodes.schema}
+    stars = written(dealt.mapInPandas(_stars, "f bigint, v bigint, root bigint").selectExpr(f"CAST(f AS {kinds['f']}) AS f", *[f"CAST({x} AS {kinds['v']}) AS {x}" for x in ("v", "root")]))
+    both = stars.where("v <> root").selectExpr("f", "v AS a", "root AS b")
+    both = written(both.union(both.select("f", "b", "a")).distinct())
+    first = shuffled(stars.groupBy("f", "v").agg(F.min("root").alias("root")))
+    label = written(nodes.select("f", "v").join(first, ["f", "v"], "left").select("f", "v", F.coalesce("root", "v").alias("comp")))
     while True:
-        near = both.join(label, (both["f"] == label["f"]) & (both["b"] == label["v"])).groupBy(both["f"].alias("f"), both["a"].alias("v")).agg(F.min("comp").alias("near"))
-        least = label.join(near, ["f", "v"], "left").select("f", "v", F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        up = least.select(F.col("f"), F.col("v").alias("comp"), F.col("comp").alias("up"))
-        now = written(least.join(up, ["f", "comp"], "left").select("f", "v", F.coalesce("up", "comp").alias("comp")))
-        if now.join(label, ["f", "v"]).where(now["comp"] != label["comp"]).isEmpty():
-            return now
-        label = now
+        near = shuffled(both.join(label, (both["f"] == label["f"]) & (both["b"] == label["v"])).groupBy(both["f"].alias("f"), both["a"].alias("v")).agg(F.min("comp").alias("near")))
+        least = label.join(near, ["f", "v"], "left").select("f", "v", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
+        up = shuffled(least.select(F.col("f"), F.col("v").alias("comp"), F.col("comp").alias("up")))
+        now = written(least.join(up, ["f", "comp"], "left").select("f", "v", F.coalesce("up", "comp").alias("comp"), (F.coalesce("up", "comp") != F.col("was")).alias("news")))
+        label = now.drop("news")
+        if now.where("news").isEmpty():
+            return label
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -141,12 +167,12 @@ def merge_pairs(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()
     found = written(merge_candidates(component_stats(nodes), c))
     points = found.select("f", "a", "b", "a_cx", "a_cy", "b_cx", "b_cy", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("k"))
     points = points.selectExpr("f", "a", "b", "k", "a_cx + (b_cx - a_cx) * k / 16e0 AS px", "a_cy + (b_cy - a_cy) * k / 16e0 AS py")
-    chord = regions.inside(points, edges, ["a", "b", "k"], 1e-6).groupBy("f", "a", "b").agg(F.bool_and("inside").alias("chord")).where("chord")
+    chord = shuffled(regions.inside(points, edges, ["a", "b", "k"], 1e-6).groupBy("f", "a", "b").agg(F.bool_and("inside").alias("chord")).where("chord"))
     own = written(shells(nodes, edges))
     named = lambda x: own.select("f", "ring", "n", F.col("comp").alias(x), *[F.col(k).alias(f"{x}_{k}") for k in ("side", "i", "last", "first")])
     meets = found.select("f", "a", "b").join(named("a"), ["f", "a"]).join(named("b"), ["f", "ring", "n", "b"]).where(f"least({_corners('a', 'b')}, {_corners('b', 'a')}) <= 1")
     sides = lambda x, y: F.bool_or((F.col("a_side") == x) & (F.col("b_side") == y)).alias(f"{x}_{y}")
-    meets = meets.groupBy("f", "a", "b").agg(*[sides(x, y) for x in ("left", "right") for y in ("left", "right")])
+    meets = shuffled(meets.groupBy("f", "a", "b").agg(*[sides(x, y) for x in ("left", "right") for y in ("left", "right")]))
     facing = f"CASE WHEN abs(a_d - b_d) > {max(1.0, 0.2 * c.step)!r}D THEN IF(a_d < b_d, right_left, left_right) ELSE right_left OR left_right END"
     return found.join(chord, ["f", "a", "b"]).join(meets, ["f", "a", "b"]).where(f"(left_left AND right_right) OR {facing}").select("f", "a", "b")
 

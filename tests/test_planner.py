@@ -313,3 +313,66 @@ def test_tiles_around_an_event_are_sorted_in_its_row(spark, sf_dir):
     from swathline.plans.catalog import QUERIES
 
     assert "Window" not in QUERIES["i7_center_out"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_of_a_field_become_stars_before_the_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df: (made.append(1), written(df))[1])
+    order = np.random.default_rng(5).permutation(300).tolist()
+    links = spark.createDataFrame([(f, a, b) for f in (1, 2) for a, b in zip(order, order[1:])], "f long, a long, b long")
+    found = graph.connected(links, spark.createDataFrame([(f, v) for f in (1, 2) for v in range(301)], "f long, v long"))
+    assert {(r.f, r.v, r.comp) for r in found.collect()} == {(f, v, 0 if v < 300 else 300) for f in (1, 2) for v in range(301)}
+    assert len(made) <= 4
+
+
+def test_stars_of_several_batches_are_joined_by_the_rounds(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        order = np.random.default_rng(6).permutation(90).tolist()
+        links = spark.createDataFrame([(1, a, b) for a, b in zip(order, order[1:]) if a != 40], "f long, a long, b long")
+        cut = order.index(40) + 1
+        found = graph.connected(links, spark.createDataFrame([(1, v) for v in order], "f long, v long"))
+        assert {(r.v, r.comp) for r in found.collect()} == {(v, min(part)) for part in (order[:cut], order[cut:]) for v in part}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_overlays_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    keep = lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df))[1]
+    monkeypatch.setattr(arrangement, "written", keep)
+    rings = [(6, 0, i, 4, float(x), float(y)) for i, (x, y) in enumerate(square(0, 0, 40))] + [(6, 1, i, 4, float(x), float(y)) for i, (x, y) in enumerate(square(15, 15, 10))]
+    found = keep(arrangement.working_regions(spark.createDataFrame(rings, "f long, ring int, i int, n int, x double, y double")))
+    assert found.count() == 8 and len(plans) > 4 and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_short_chords_of_a_field_are_tested_together(spark):
+    c = sweep.PlanConfig()
+    e = edges(spark, [square(0, 0, 40), square(15, 15, 10)[::-1]]).toPandas()
+    rng = np.random.default_rng(8)
+    p, q = rng.uniform(-2, 42, (400, 2)), rng.uniform(-2, 42, (400, 2))
+    alone, region = routes.Region(e, c), routes.Region(e, c)
+    region.BLOCK = 1000
+    region.prepare_chords(p, q)
+    region.inside = None  # no chord is tested again
+    assert [region.chord_inside(a, b) for a, b in zip(p, q)] == [alone.chord_inside(a, b) for a, b in zip(p, q)]
+    comps, rows = np.sort(rng.integers(0, 3, 60)), np.zeros(60, int)
+    for k in range(3):
+        rows[comps == k] = np.sort(rng.integers(0, 9, (comps == k).sum()))
+    ends = rng.uniform(0, 12, (60, 4))
+    want = set()
+    for phase in (True, False):
+        driven = [(d[:2], d[2:]) if (len(set(rows[(comps == k) & (rows <= r)])) % 2 == 1) == phase else (d[2:], d[:2]) for k, r, d in zip(comps, rows, ends)]
+        for k in range(3):
+            own = sorted(set(rows[comps == k]))
+            after = dict(zip(own, own[1:]))
+            want |= {(*driven[s][1], *driven[t][0]) for s in np.flatnonzero(comps == k) for t in np.flatnonzero(comps == k) if s != t and rows[t] in (rows[s], after.get(rows[s])) and ((driven[s][1] - driven[t][0]) ** 2).sum() <= 25}
+    assert {(*a, *b) for ps, qs in routes._short_hops(ends, comps, rows, 5.0) for a, b in zip(ps, qs)} == want
+
+
+def test_what_hangs_on_a_side_alone_is_not_worked_out_for_each_point(spark):
+    e = written(edges(spark, [square(0, 0, 10)]))
+    near = regions.anchors(spark.createDataFrame([(1, 6, 1.0, 5.5)], "id int, f long, px double, py double"), e, ["id"])
+    asked = [line for line in near._jdf.queryExecution().optimizedPlan().toString().splitlines() if "array_min" in line]
+    assert len(asked) == 1 and ".x2" not in asked[0] and near.first().dist == 1.0
