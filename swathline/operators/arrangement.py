@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import planar
-from ..sources.scratch import written
+from ..sources.scratch import shuffled, written
 
 #: The grid of nodes, in metres, and how near to a side an end of another lies on it.
 GRID, NEAR = 1e-8, 2e-8
@@ -55,7 +55,7 @@ def parts(sides: DataFrame) -> DataFrame:
     """(f, ax, ay, bx, by, w0, w1): what lies between neighbouring nodes, once, from the smaller node to the greater, with each operand's net windings."""
     sides = written(sides)
     size = F.greatest(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))), F.lit(1e-3))
-    sides = sides.join(sides.groupBy("f").agg(size.alias("cell")), "f").withColumn("key", F.struct("op", "ring", "i"))
+    sides = shuffled(sides.join(sides.groupBy("f").agg(size.alias("cell")), "f").withColumn("key", F.struct("op", "ring", "i")))
     spread = sides.withColumn("cx", _cells(F.least("x1", "x2") - NEAR, F.greatest("x1", "x2") + NEAR, F.col("cell")))
     spread = spread.withColumn("cy", _cells(F.least("y1", "y2") - NEAR, F.greatest("y1", "y2") + NEAR, F.col("cell")))
     a = spread.select("f", "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in ("key", *planar.SIDE, *NODE)])
@@ -95,7 +95,7 @@ def faces(parts: DataFrame) -> DataFrame:
     across = lambda x, y: f"({y} * {RAY_X!r}D - {x} * {RAY_Y!r}D) * {GRID!r}D"
     along = lambda x, y: f"({x} * {RAY_X!r}D + {y} * {RAY_Y!r}D) * {GRID!r}D"
     placed = parts.selectExpr("*", f"{across('ax', 'ay')} AS v1", f"{across('bx', 'by')} AS v2", f"{along('ax', 'ay')} AS u1", f"{along('bx', 'by')} AS u2")
-    placed = placed.join(placed.groupBy("f").agg(F.greatest(F.avg(F.abs(F.col("v2") - F.col("v1"))), F.lit(1e-3)).alias("band")), "f")
+    placed = shuffled(placed.join(placed.groupBy("f").agg(F.greatest(F.avg(F.abs(F.col("v2") - F.col("v1"))), F.lit(1e-3)).alias("band")), "f"))
     middles = placed.select("f", *[F.col(c).alias(f"m_{c}") for c in NODE], F.expr("(u1 + u2) / 2").alias("um"), F.expr("(v1 + v2) / 2").alias("vm"), F.expr("floor((v1 + v2) / 2 / band)").alias("bucket"))
     spread = placed.withColumn("bucket", _cells(F.least("v1", "v2"), F.greatest("v1", "v2"), F.col("band"))).select("f", "bucket", *NODE, "u1", "v1", "u2", "v2", "w0", "w1")
     other = " OR ".join(f"{c} <> m_{c}" for c in NODE)
@@ -159,7 +159,7 @@ def _numbered(placed: DataFrame, key: list[str]) -> DataFrame:
     sized = placed.withColumn("part", F.col("x") * ny - nx * F.col("y"))
     areas = sized.groupBy(*key, "at").agg((F.sum("part") / 2).alias("area")).where("abs(area) > 1e-6")
     ranked = areas.withColumn("ring", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("area"), "at")) - 1)
-    return placed.join(ranked, [*key, "at"]).select(*key, "ring", F.col("i").cast("int").alias("i"), F.col("n").cast("int").alias("n"), "x", "y")
+    return placed.join(shuffled(ranked), [*key, "at"]).select(*key, "ring", F.col("i").cast("int").alias("i"), F.col("n").cast("int").alias("n"), "x", "y")
 
 
 def overlaid(vertices: DataFrame, results: dict[str, tuple[str, str]]) -> DataFrame:
