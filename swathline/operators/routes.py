@@ -89,7 +89,8 @@ class Region:
     """Inside tests, nearest boundary places and walks along rings.
 
     Places and bridges are kept once found, as the greedy steps ask for the same
-    ends again and again; ``prepare`` finds the places of many points at once.
+    ends again and again; ``prepare`` finds the places of many points at once, and
+    ``prepare_chords`` which of many short chords stay inside.
     """
 
     #: Point-side pairs that are looked at together.
@@ -114,6 +115,7 @@ class Region:
             self.total[r] = float(self.len[k].sum())
         self.near: dict[tuple[float, float], tuple[int, float, float]] = {}
         self.spans: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+        self.straight: dict[tuple[float, ...], bool] = {}
 
     def places(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each point and side: the nearest place as a share of the side, and its distance."""
@@ -134,7 +136,19 @@ class Region:
         return found
 
     def chord_inside(self, p: np.ndarray, q: np.ndarray) -> bool:
-        return bool(self.inside(p + _CHORD * (q - p)).all())
+        found = self.straight.get((*p.tolist(), *q.tolist())) if self.straight else None
+        return bool(self.inside(p + _CHORD * (q - p)).all()) if found is None else found
+
+    def prepare_chords(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Find which chords from points p to points q stay inside."""
+        for k in range(0, len(p), rows := max(1, self.BLOCK // (len(_CHORD) * max(1, len(self.len))))):
+            a, b = p[k : k + rows], q[k : k + rows]
+            ok = self.inside((a[:, None] + _CHORD * (b - a)[:, None]).reshape(-1, 2)).reshape(len(a), -1).all(1)
+            self.straight.update(zip(map(tuple, np.concatenate([a, b], axis=1).tolist()), ok.tolist(), strict=True))
+
+    def direct_cap(self) -> float:
+        """How far apart the ends of a straight connector inside a component are at most."""
+        return min(max(0.5, self.c.direct_max), max(max(0.5, self.c.direct_max), 1.35 * self.c.step))
 
     def prepare(self, p: np.ndarray) -> None:
         """Find the boundary places of points (x, y)."""
@@ -176,7 +190,7 @@ class Region:
         direct = _apart(p, q)
         if direct < 0.05:
             return direct, list
-        cap = min(max(0.5, self.c.direct_max), max(max(0.5, self.c.direct_max), 1.35 * self.c.step)) if intra else 0.0
+        cap = self.direct_cap() if intra else 0.0
         if direct <= cap and self.chord_inside(p, q):
             return direct, lambda: [q]
         reach = max(1.0, 0.75 * self.c.step)
@@ -225,6 +239,8 @@ def snakes(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) ->
         region.prepare(ends.reshape(-1, 2))
         comps, rows_of = nodes["merged"], nodes["row"]
         order = np.lexsort((nodes["node"], nodes["a0"], rows_of, comps))
+        for p, q in _short_hops(ends[order], comps[order], rows_of[order], region.direct_cap()):
+            region.prepare_chords(p, q)
         for own in _runs(order, comps):
             comp = comps[own[0]]
             for phase in (0, 1):
@@ -269,6 +285,33 @@ def snakes(nodes: DataFrame, edges: DataFrame, c: PlanConfig = PlanConfig()) ->
     return by_field(nodes.select("f", "merged", "row", "node", "a0", "sx", "sy", "ex", "ey"), edges.select("f", *_SIDE), run, CHUNKS)
 
 
+def _short_hops(ends: np.ndarray, comps: np.ndarray, rows: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(from, to) in blocks: hops of at most ``most`` from a stripe's end to the start of another of its row or the component's next one, in both directions of driving.
+
+    Stripes are sorted by component and row, so those that a stripe can go on to are a range.
+    """
+    fresh = np.r_[True, (comps[1:] != comps[:-1]) | (rows[1:] != rows[:-1])]
+    start = np.flatnonzero(fresh)
+    run, end = np.cumsum(fresh) - 1, np.r_[start[1:], len(comps)]
+    last = np.r_[comps[start][1:] != comps[start][:-1], True]
+    till = np.where(last, end, np.r_[end[1:], len(comps)])[run]
+    first = np.flatnonzero(np.r_[True, comps[start][1:] != comps[start][:-1]])
+    even = (run - first[np.searchsorted(first, run, side="right") - 1]) % 2 == 0
+    size = till - start[run]
+    block = np.cumsum(size) // Region.BLOCK
+    for b in np.unique(block):
+        s = np.flatnonzero(block == b)
+        src = np.repeat(s, size[s])
+        dst = np.arange(len(src)) - np.repeat(np.cumsum(size[s]) - size[s], size[s]) + start[run[src]]
+        src, dst = src[src != dst], dst[src != dst]
+        for forward in (even, ~even):
+            p = np.where(forward[src, None], ends[src, 2:], ends[src, :2])
+            q = np.where(forward[dst, None], ends[dst, :2], ends[dst, 2:])
+            d = q - p
+            near = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] <= most * most
+            yield p[near], q[near]
+
+
 def _runs(order: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
     """Places in order, cut where the key changes."""
     return np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []
