@@ -84,17 +84,19 @@ def anchors(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """The nearest boundary place of each point (key..., f, px, py): ring, side, t, arc, x, y, dist.
 
     A point looks at its field's sides inside its own row, so a task sorts its points and not every pair of a point and a side.
-    What is asked of every side is its distance only, with ``t`` found once, as functions of arrays are not compiled; the rest is of the nearest.
+    What is asked of every side is its distance only, each part of it once, as functions of arrays are not compiled: what hangs on the side alone
+    (its vector and that one's square) comes with it; the rest is of the nearest.
     """
-    side = tuple(f"s.{c}" for c in planar.SIDE)
-    own = ", ".join(f"'{c}', u.s.{c}" for c in ("len", "arc", *planar.SIDE))
-    x, y = planar.side_point("u.t", tuple(f"u.s.{c}" for c in planar.SIDE))
-    near = f"named_struct('dist', {angles.hypot(f'px - {x}', f'py - {y}')}, 'ring', u.s.ring, 'i', u.s.i, 't', u.t, {own})"
-    sides = with_arcs(edges).groupBy("f").agg(F.collect_list(F.struct("ring", "i", "len", "arc", *planar.SIDE)).alias("sides"))
-    nearest = points.join(shuffled(sides), "f").select(*key, "f", F.expr(f"array_min(transform(transform(sides, s -> named_struct('s', s, 't', {planar.side_t('px', 'py', side)})), u -> {near}))").alias("s"))
-    best = nearest.groupBy(*key, "f").agg(F.min("s").alias("s"))
-    x, y = planar.side_point("s.t", side)
-    return best.selectExpr(*key, "f", "s.dist", "s.ring", "s.i", "s.t", "s.arc + s.t * s.len AS arc", f"{x} AS x", f"{y} AS y")
+    across, up, square = "(x2 - x1)", "(y2 - y1)", "(x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)"
+    own = F.struct("ring", "i", "len", "arc", *planar.SIDE, F.expr(across).alias("vx"), F.expr(up).alias("vy"), F.expr(f"nullif({square}, 0e0)").alias("vv"))
+    t = "coalesce(greatest(0e0, least(1e0, ((px - s.x1) * s.vx + (py - s.y1) * s.vy) / s.vv)), 0e0)"
+    placed = f"transform(sides, s -> named_struct('s', s, 't', {t}))"
+    off = f"transform({placed}, u -> named_struct('s', u.s, 't', u.t, 'dx', px - (u.s.x1 + u.t * u.s.vx), 'dy', py - (u.s.y1 + u.t * u.s.vy)))"
+    near = f"transform({off}, w -> named_struct('dist', {angles.hypot('w.dx', 'w.dy')}, 'ring', w.s.ring, 'i', w.s.i, 't', w.t, 's', w.s))"
+    sides = with_arcs(edges).groupBy("f").agg(F.collect_list(own).alias("sides"))
+    nearest = points.join(shuffled(sides), "f").select(*key, "f", F.expr(f"array_min({near})").alias("n"))
+    best = nearest.groupBy(*key, "f").agg(F.min("n").alias("n")).select(*key, "f", "n.dist", "n.ring", "n.i", "n.t", "n.s")
+    return best.selectExpr(*key, "f", "dist", "ring", "i", "t", "s.arc + t * s.len AS arc", "s.x1 + t * s.vx AS x", "s.y1 + t * s.vy AS y")
 
 
 def ring_distances(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
